@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, token_counts, toxicity, url_filter
+from . import quality, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op6_quality": quality.op6_quality,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_simhash": simhash.op9_simhash,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {

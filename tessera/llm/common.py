@@ -89,3 +89,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     star = e.groupBy("u").agg(F.min("v").alias("component"))
     roots = e.select(F.col("v").alias("u")).distinct().join(star, "u", "left_anti").select("u", F.col("u").alias("component"))
     return star.unionByName(roots).withColumnRenamed("u", "node")
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, n: str, share: int = 1000) -> DataFrame:
+    """big inner-joined to small on key, where small has one row per key and n, the key's rows in big.
+
+    Keys with over a `share`-th of big's rows, of which there are fewer than `share`, are broadcast;
+    the others are joined by a shuffle, in which no key stands out. n is dropped.
+    """
+    total = small.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > total / share
+    often = F.broadcast(small.where(hot).drop(n))
+    rare = small.where(~hot).drop(n)
+    return big.join(often, key).unionByName(big.join(often.select(key), key, "left_anti").join(rare, key))
