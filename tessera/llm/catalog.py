@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality, simhash, token_counts, toxicity, url_filter
+from . import quality, sentencepiece_model, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_model.op1_sentencepiece,
     "op3_toxicity": toxicity.op3_toxicity,
     "op6_quality": quality.op6_quality,
     "op8_url_filter": url_filter.op8_url_filter,
