@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import stored, table, texts
 
 #: At most so many labelled rows are fitted, those with the least hash of their id.
 SAMPLE = 12_000
@@ -92,69 +92,70 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, n_grades: int, ridge: float = 0.00
     return w[1:], theta - w[0]
 
 
-def fit_words(docs: list[Counter], y: np.ndarray, n_grades: int, evidence: tuple[int, ...] = ()) -> tuple[dict[bytes, float], list[float]]:
-    """Weights of the features that part the grades (|z| >= LEAST_Z), and the thresholds.
+def fit_words(x: np.ndarray, y: np.ndarray, names: list[bytes], n_grades: int, evidence: tuple[int, ...] = ()) -> tuple[dict[bytes, float], list[float]]:
+    """Weights of the features and the thresholds; x[i, j]: whether document i has feature j, strongest first.
 
-    Documents with equal counts and grade count once, so that copies do not pass for evidence.
+    A feature whose documents all have a stronger one of the same sign that is as pure gets no weight.
     Given `evidence`, labels are only 0 and 1, and a text labelled 1 has grade 1 plus the number of
-    these limits that its count of distinct positive features reaches.
+    these limits that its count of positive features reaches.
     """
-    once = {(g, tuple(sorted(d.items()))): (d, g) for d, g in zip(docs, y, strict=True)}
-    docs, y = [d for d, _ in once.values()], np.array([g for _, g in once.values()], dtype=int)
     if not len(y):
         return {}, [math.inf] * (n_grades - 1)
-    df: Counter = Counter()
-    high: Counter = Counter()  # the same, over documents above grade 0
-    for d, g in zip(docs, y, strict=True):
-        df.update(d.keys())
-        if g:
-            high.update(d.keys())
-    share = min(max((y > 0).mean(), 1e-6), 1 - 1e-6)
-    z = {w: (high[w] - c * share) / math.sqrt(c * share * (1 - share)) for w, c in df.items() if c >= MIN_DF}
-    strong = [w for _, w in sorted((-abs(v), w) for w, v in z.items() if abs(v) >= LEAST_Z)[:MAX_FEATURES]]
-    names, columns = [], []
-    for w in strong:  # a feature adds nothing if all its documents have a stronger one that is as pure
-        column = np.array([w in d for d in docs])
-        if not any((column <= c).all() for c, k in zip(columns, names, strict=True) if z[k] * z[w] > 0 and abs(high[k] / df[k] - share) >= abs(high[w] / df[w] - share) - 0.02):
-            names.append(w)
-            columns.append(column)
-    x = np.array(columns, dtype=float).reshape(len(names), len(docs)).T
+    share, kept = (y > 0).mean(), []
+    rate = [(y[x[:, j]] > 0).mean() - share if x[:, j].any() else 0.0 for j in range(len(names))]
+    for j in range(len(names)):
+        if not any((x[:, j] <= x[:, k]).all() for k in kept if rate[k] * rate[j] > 0 and abs(rate[k]) >= abs(rate[j]) - 0.02):
+            kept.append(j)
+    m = x[:, kept].astype(float)
     if evidence:
-        n = x @ np.array([float(z[w] > 0) for w in names])
+        n = m @ np.array([float(rate[j] > 0) for j in kept])
         y = np.where(y > 0, 1 + sum((n >= e).astype(int) for e in evidence), 0)
         n_grades = 2 + len(evidence)
-    w, theta = fit_ordinal(x, y, n_grades)
-    return {k: float(v) for k, v in zip(names, w, strict=True)}, [float(t) for t in theta]
+    w, theta = fit_ordinal(m, y, n_grades)
+    return {names[j]: float(v) for j, v in zip(kept, w, strict=True)}, [float(t) for t in theta]
 
 
 def fit_toxicity(labelled: DataFrame, grade: str = "grade", text: str = "text", key: str = "doc_id", n_grades: int = 2, sample: int = SAMPLE, evidence: tuple[int, ...] = ()) -> tuple[dict[bytes, float], list[float]]:
     """Fit on at most `sample` rows; null grades are left out, null texts are empty.
 
-    The rows are those with the least xxhash64 of the key. Their words are counted where the rows
-    are; one task fits the counts, which `sample` bounds, and the driver gets the weights alone.
+    The rows are those with the least xxhash64 of the key; equal texts of one grade count once, so
+    that copies do not pass for evidence. The features' document counts are summed by Spark, and at
+    most MAX_FEATURES that part grade 0 from the rest (|z| >= LEAST_Z, MIN_DF documents) are kept. One
+    task fits the documents' kept features, which the two bounds limit; the driver gets the weights.
     """
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for g, t in zip(b.column(0).to_pylist(), texts(b, "_text"), strict=True):
+                f = list(features(t))
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array([int(g > 0)] * len(f), pa.int64())], names=["feature", "high"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = labelled.where(F.col(grade).isNotNull()).select(F.xxhash64(key).alias("_h"), F.col(key).alias("_key"), F.least(F.greatest(F.col(grade), F.lit(0)), F.lit(n_grades - 1)).cast("int").alias("grade"), F.col(text).alias("_text"))
+    chosen = rows.select("_h", "_key").orderBy("_h", "_key").limit(sample).distinct()  # ids first: texts stay where they are
+    few = stored(rows.join(F.broadcast(chosen), ["_h", "_key"], "left_semi").select("grade", F.coalesce("_text", F.lit("")).alias("_text")).distinct(), "toxicity-sample")
+    total = few.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("grade") > 0).cast("long")), F.lit(0)).alias("high")).first()
+    share = min(max(total.high / max(1, total.n), 1e-6), 1 - 1e-6)
+    df = few.mapInArrow(explode, "feature binary, high long").groupBy("feature").agg(F.count(F.lit(1)).alias("df"), F.sum("high").alias("high"))
+    z = F.abs(F.col("high") - F.col("df") * share) / F.sqrt(F.col("df") * (share * (1 - share)))
+    strong = df.where(F.col("df") >= MIN_DF).withColumn("z", F.round(z, 9)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
+    names = [bytes(r.feature) for r in strong]
+    place = {w: j for j, w in enumerate(names)}
+
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = [features(t) for t in texts(b, "_text")]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(x) for x in c], pa.list_(pa.binary())), pa.array([list(x.values()) for x in c], pa.list_(pa.int32()))], names=["grade", "words", "counts"])
+            got = [sorted(place[w] for w in features(t, place)) for t in texts(b, "_text")]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["grade", "at"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, y = [], []
-        for b in batches:
-            for g, ws, cs in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                docs.append(Counter(dict(zip(ws, cs, strict=True))))
-                y.append(g)
-        order = sorted(range(len(y)), key=lambda i: (y[i], sorted(docs[i].items())))  # the same fit however rows come
-        w, theta = fit_words([docs[i] for i in order], np.array([y[i] for i in order], dtype=int), n_grades, evidence)
+        docs = sorted((g, at) for b in batches for g, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        x = np.zeros((len(docs), len(names)), dtype=bool)
+        for i, (_, at) in enumerate(docs):
+            x[i, at] = True
+        w, theta = fit_words(x, np.array([g for g, _ in docs], dtype=int), names, n_grades, evidence)
         out = sorted(w.items()) + [(None, t) for t in theta]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([x for _, x in out], pa.float64())], names=["word", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([v for _, v in out], pa.float64())], names=["word", "weight"])
 
-    rows = labelled.where(F.col(grade).isNotNull()).select(F.xxhash64(key).alias("_h"), F.col(key).alias("_key"), F.least(F.greatest(F.col(grade), F.lit(0)), F.lit(n_grades - 1)).cast("int").alias("grade"), F.col(text).alias("_text"))
-    chosen = rows.select("_h", "_key").orderBy("_h", "_key").limit(sample).distinct()  # ids first: texts stay where they are
-    few = rows.join(F.broadcast(chosen), ["_h", "_key"], "left_semi").select("grade", "_text")
-    got = few.mapInArrow(count, "grade int, words array<binary>, counts array<int>").repartition(1).mapInArrow(fit, "word binary, weight double").collect()
-    return {bytes(r.word): r.weight for r in got if r.word is not None}, [r.weight for r in got if r.word is None]
+    got = few.mapInArrow(present, "grade int, at array<int>").repartition(1).mapInArrow(fit, "word binary, weight double").collect()
+    return {bytes(r.word): r.weight for r in got if r.word is not None}, [r.weight for r in got if r.word is None] or [math.inf] * (n_grades - 1)
 
 
 def score_toxicity(df: DataFrame, model: tuple[dict[bytes, float], list[float]], text: str = "text", cut: float = CUT) -> DataFrame:
