@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality, sentencepiece_model, simhash, token_counts, toxicity, url_filter
+from . import quality, secrets, sentencepiece_model, simhash, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_model.op1_sentencepiece,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op5_secrets": secrets.op5_secrets,
     "op6_quality": quality.op6_quality,
+    "op7_warc": warc.op7_warc,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_simhash": simhash.op9_simhash,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {
+    "op7_warc": warc.SQL,
     "op8_url_filter": url_filter.SQL,
 }
