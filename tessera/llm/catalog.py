@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, sentencepiece_model, simhash, token_counts, toxicity, url_filter, warc
+from . import decontaminate, quality, secrets, sentencepiece_model, simhash, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_model.op1_sentencepiece,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_secrets": secrets.op5_secrets,
     "op6_quality": quality.op6_quality,
     "op7_warc": warc.op7_warc,
