@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, secrets, sentencepiece_model, simhash, token_counts, toxicity, url_filter, warc
+from . import decontaminate, lm_score, quality, secrets, sentencepiece_model, simhash, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_model.op1_sentencepiece,
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_secrets": secrets.op5_secrets,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLES = {
+    "op2_lm_score": lm_score.SQL,
     "op7_warc": warc.SQL,
     "op8_url_filter": url_filter.SQL,
 }
