@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 #: n of the longest n-grams, pseudo-counts m of the orders from 2 on, and what the unigrams add to each count.
-ORDER, PRIORS, ADD = 2, (30.0, 10.0, 5.0), 0.5
+ORDER, PRIORS, ADD = 2, (300.0, 30.0, 10.0), 0.5
 #: Bytes of text of a pack, and n-grams that a counting task gets on average.
 PACK_BYTES, KEYS_PER_TASK = 16 << 20, 2_000_000
 END = b""  # no word is empty

@@ -95,13 +95,13 @@ def _level(p: Column) -> Column:
     return F.least(F.floor(F.round(-F.log10(F.greatest(p, F.lit(1e-300))) * STEP, 6)), F.lit(MOST)).cast("int")
 
 
-def find_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without its text, with base and cands: arrays of spans, cands with their test results.
+def find_spans(df: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
+    """df without its text (with it if `keep`), with base and cands: arrays of spans, cands with their test results.
 
     Null texts count as empty. Columns of df named base or cands are replaced.
     """
     t = F.coalesce(F.col("_t"), F.lit(""))
-    rest = [c for c in df.columns if c not in (text, "base", "cands")]
+    rest = [c for c in df.columns if c not in ("base", "cands") and (keep or c != text)]
     out = df.select(*rest, F.col(text).cast("string").alias("_t"))
     sign = (F.instr(t, ":") > 0) | (F.instr(t, "=") > 0)
     out = out.withColumn("_a", _spans(t, ASSIGN, 0, 2, LEAST["assign"], sign))
@@ -140,18 +140,40 @@ def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     empty table gives no rows.
     """
     found = stored(find_spans(df.drop("secrets"), text), "secret-spans")
-    levels = rejection_levels(found)
+    return _decide(found, rejection_levels(found)).drop("cands").withColumnRenamed("base", "base_secrets")
+
+
+def _decide(found: DataFrame, levels: dict[int, int]) -> DataFrame:
+    """found with `secrets`: the base spans, and the candidates that the levels leave."""
     limit = F.lit(MOST + 1)
-    cls = lambda t: _class(t["n"])
 
     def random(c: Column) -> Column:
         most = limit
         for k, v in sorted(levels.items()):
-            most = F.when(cls(c["test"]) == k, v).otherwise(most)
+            most = F.when(_class(c["test"]["n"]) == k, v).otherwise(most)
         return _level(c["test"]["p"]) < most
 
     more = F.transform(F.filter("cands", random), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
-    return found.withColumn("secrets", F.array_sort(F.concat("base", more))).drop("cands").withColumnRenamed("base", "base_secrets")
+    return found.withColumn("secrets", F.array_sort(F.concat("base", more)))
+
+
+def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """df with each secret in its text replaced by `mark`; spans that overlap share one.
+
+    Null texts stay null and texts without secrets stay as they are. The texts are scanned twice, for
+    the tests' levels and for the spans, so that no text is shuffled.
+    """
+    levels = rejection_levels(stored(find_spans(df.select(text), text), "secret-spans"))
+    found = _decide(find_spans(df, text, keep=True), levels)
+    t = F.col(text)
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        fresh = F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
+
+    clean = F.aggregate("secrets", begin, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    return found.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(t)).select(*df.columns)
 
 
 def _joined(spans: Column) -> Column:
