@@ -66,9 +66,7 @@ def train(word_counts: DataFrame, merges: int, least: int = 2, batch: int = 1) -
         if not taken:
             break
         done += taken
-        parts = _apply(parts, taken)
-        if len(done) % 8 == 0:
-            parts = checkpointed(parts)
+        parts = checkpointed(_apply(parts, taken))
     return done
 
 

@@ -87,7 +87,7 @@ def read_vocab(spark, path: str) -> DataFrame:
 def byte_ids(text: Column) -> Column:
     """The UTF-8 bytes of a text as integers."""
     hexed = F.hex(F.encode(text, "UTF-8"))
-    return F.transform(F.sequence(F.lit(1), F.length(hexed) / 2), lambda i: F.conv(F.substring(hexed, (2 * i - 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+    return F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda i: F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
 
 
 def bytes_text(ids: Column) -> Column:
