@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cohort_queries, document_queries, merge_queries, program_queries, stat_queries, stream_queries
+from . import cohort_queries, document_queries, merge_queries, program_queries, sample_queries, stat_queries, stream_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cohort_queries", "document_queries", "merge_queries", "program_queries", "stat_queries", "stream_queries"]
+__all__ = ["ORACLES", "QUERIES", "cohort_queries", "document_queries", "merge_queries", "program_queries", "sample_queries", "stat_queries", "stream_queries"]
