@@ -137,7 +137,7 @@ def counters_decoded(spark, sf_dir):
     return o.select("o_orderkey", (F.col("c") == F.col("p")).alias("parsed"), total.cast("string").alias("total"), F.try_element_at("m", F.lit(7)).cast("long").alias("first_block"))
 
 
-@query("""SELECT o_orderpriority AS "environmentId", o_orderkey AS "shaderId", round(avg(l_extendedprice), 4) AS "timeMean", count(*) AS counters FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")
+@query("""SELECT o_orderpriority AS "environmentId", o_orderkey AS "shaderId", round(avg(l_extendedprice), 7) AS "timeMean", count(*) AS counters FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")
 def sample_assembly(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.collect_list("l_extendedprice")).alias("results"), F.to_json(F.collect_list(F.col("l_quantity").cast("long"))).alias("counters"))
     orders = table(spark, sf_dir, "orders")
@@ -145,4 +145,4 @@ def sample_assembly(spark, sf_dir):
     shaders = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("shader_id"), F.lit(None).cast("binary").alias("fragment_spv"))
     traces = items.select(F.col("l_orderkey").alias("id"), F.lit('{"1":0}').alias("bb_idx_map"), F.col("counters").alias("bb_trace_counters"), F.lit(None).cast("binary").alias("traced_fragment_spv"))
     out = store.assemble_samples(e.select("environment", "shader", "trace", "results"), shaders, traces)
-    return out.select("environmentId", "shaderId", F.round("timeMean", 4).alias("timeMean"), F.size("bbTraceCounters").cast("long").alias("counters"))
+    return out.select("environmentId", "shaderId", F.round("timeMean", 7).alias("timeMean"), F.size("bbTraceCounters").cast("long").alias("counters"))

@@ -16,19 +16,19 @@ def _r(df, *cols, places=6):
     return df.withColumns({c: F.round(c, places) for c in cols})
 
 
-@query("""SELECT l_orderkey, count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS stdev,
+@query("""SELECT l_orderkey, count(l_extendedprice) AS n, round(avg(l_extendedprice), 7) AS mean, round(stddev_pop(l_extendedprice), 4) AS stdev,
  round(stddev_pop(l_extendedprice) / avg(l_extendedprice), 6) AS cv FROM lineitem GROUP BY 1""")
 def trial_stats(spark, sf_dir):
     out = stats.trial_stats(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_extendedprice").drop("inverse_cv")
-    return _r(_r(out, "mean", "stdev", places=4), "cv")
+    return _r(_r(_r(out, "mean", places=7), "stdev", places=4), "cv")
 
 
 @query("""WITH t AS (SELECT l_orderkey, list_sort(list(l_extendedprice)) AS a FROM lineitem GROUP BY 1), s AS (SELECT l_orderkey, CASE WHEN len(a) > 2 THEN a[2:len(a) - 1] END AS a FROM t)
-SELECT l_orderkey, round(list_avg(a), 4) AS mean, round(list_stddev_pop(a), 4) AS stdev FROM s""")
+SELECT l_orderkey, round(list_avg(a), 7) AS mean, round(list_stddev_pop(a), 4) AS stdev FROM s""")
 def trial_trimmed(spark, sf_dir):
     runs = stats.trial_arrays(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_extendedprice")
     a = stats.trimmed(F.col("trials"))
-    return runs.select("l_orderkey", F.round(stats.array_mean(a), 4).alias("mean"), F.round(stats.array_stddev(a), 4).alias("stdev"))
+    return runs.select("l_orderkey", F.round(stats.array_mean(a), 7).alias("mean"), F.round(stats.array_stddev(a), 4).alias("stdev"))
 
 
 @query("SELECT l_suppkey, round(stddev_pop(l_quantity) / avg(l_quantity), 6) AS cv, round(CASE WHEN stddev_pop(l_quantity) > 0 THEN avg(l_quantity) / stddev_pop(l_quantity) END, 6) AS inverse_cv FROM lineitem GROUP BY 1")
