@@ -18,11 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lookup, shared_folder, stored, table, texts
+from .common import components, lookup, remove_folder, shared_folder, stored, table, texts
 
-#: Segments (lane, first bit, width) of one 64-bit lane, and of two lanes' first 92 bits.
+#: Segments (lane, first bit, width) of one 64-bit lane.
 ONE_LANE = ((0, 0, 23), (0, 23, 23), (0, 46, 18))
-TWO_LANES = ((0, 0, 23), (0, 23, 23), (1, 0, 23), (1, 23, 23))
 #: A bucket of up to so many members is compared pair by pair; larger ones go another way.
 SMALL_BUCKET = 8
 _GOLAY: list[np.ndarray] = []
@@ -164,69 +163,122 @@ def op9_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def _sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """Rows (key, lo, hi, grams): two lanes over the distinct words, and the distinct shingles' hashes."""
+#: Segments of two lanes, 115 bits, and the number of least shingle hashes that a text has.
+WIDE = ((0, 0, 23), (0, 23, 23), (1, 0, 23), (1, 23, 23), (1, 41, 23))
+_MIXERS = tuple(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(1, len(WIDE) + 1))
+
+
+def _sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """Rows (id, same, lo, hi, least, grams): a digest of the shingle set, two lanes over the distinct words,
+    the set's least hash under each mixer, and the set as sorted 32-bit hashes."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lanes, grams = [], []
+            ids, same, lanes, least, grams = b.column(0), [], [], [], []
             for t in texts(b, "_text"):
                 lanes.append(fingerprint(list(dict.fromkeys(t.lower().split())), (42, 43)))
-                grams.append(np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles(t, words)], dtype=np.uint64)).view(np.int64))
-            ends = np.cumsum([0, *map(len, grams)])
-            flat = pa.array(np.concatenate([*grams, np.empty(0, dtype=np.int64)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in lanes], pa.int64()), pa.array([x[1] for x in lanes], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["id", "lo", "hi", "grams"])
+                g = np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles(t, words)], dtype=np.uint64))
+                same.append(xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63))
+                mixed = [(g * np.uint64(m)) ^ ((g * np.uint64(m)) >> np.uint64(31)) for m in _MIXERS]
+                least.append([int(x.min()) - (1 << 63) if len(g) else 0 for x in mixed])
+                grams.append(np.unique(g.astype(np.uint32)).view(np.int32))
+            ends = pa.array(np.cumsum([0, *map(len, grams)]), pa.int32())
+            flat = pa.array(np.concatenate([*grams, np.empty(0, dtype=np.int32)]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(same, pa.int64()), *(pa.array([x[i] for x in lanes], pa.int64()) for i in (0, 1)), pa.array(least, pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, flat)], names=["id", "same", "lo", "hi", "least", "grams"])
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("_text")).mapInArrow(build, "id long, lo long, hi long, grams array<long>")
+    return df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("_text")).mapInArrow(build, "id long, same long, lo long, hi long, least array<long>, grams array<int>")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
+    left = sketches.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
+    right = sketches.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     fits = F.least(F.size("ga"), F.size("gb")) >= similarity * F.greatest(F.size("ga"), F.size("gb"))
     return pairs.join(right, "b").join(left, "a").where(fits & (both >= similarity * (F.size("ga") + F.size("gb") - both))).select("a", "b")
 
 
-def near_copy_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 8) -> DataFrame:
+def near_copy_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 14) -> DataFrame:
     """One row per row of df: key, component_id, for near copies by the similarity of word shingles.
 
-    Candidates come from Golay keys of 92-bit fingerprints of the distinct words: all pairs within
-    `bits` share a key, and most farther ones do too. They are verified by the exact Jaccard
-    similarity of their `words`-word shingles (at least `similarity`). Texts with equal shingle sets,
-    among them those without words, are one node. In a bucket of over SMALL_BUCKET members the least
-    one is compared with all others; those like it leave the bucket, and this is done again until the
-    bucket is small. Within such a bucket, links between two texts that have both left are not
-    sought. component_id is the least key reached. An empty table gives no rows; a null key is
-    a row of its own component null.
+    A 115-bit fingerprint of the distinct words has five segments. Two texts within `bits` (up to 14)
+    have a segment with two errors or fewer, and so a Golay key of it in common. A join key is a
+    segment's Golay key with the shingle set's least hash under the segment's own mixer, which
+    similar sets share with a probability of their similarity; a pair has five chances of both.
+    Candidates are verified by the exact Jaccard similarity of the shingle sets.
+
+    Buckets of up to SMALL_BUCKET members are compared pair by pair. In a larger one all are compared
+    with the least, and it is dealt anew by the next mixer's least hash, until it is small or has
+    agreed under all mixers; a bucket that large and alike is then compared with its least member
+    only, so that rows stay in proportion to members.
+
+    Texts with equal shingle sets, among them those without words (null, empty, blank), are one node.
+    component_id is the least key reached. An empty table gives no rows; null keys are rows without a
+    component unless an equal text has a key; repeated rows keep their own row.
     """
-    built = stored(_sets(df, key, text, words), "shingle-sets")
-    group = F.xxhash64("grams", F.size("grams"))
-    nodes = stored(built.groupBy(group.alias("g")).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "set-nodes")
-    sets = built.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    keyed = stored(golay_keys(sets.withColumnRenamed("id", "node"), ["lo", "hi"], ["node"], TWO_LANES, bits), "golay-keys")
-    near = F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2"))) <= 40
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_, links = stored(keyed.join(sizes, "key"), "buckets"), []
-    while True:
-        few = open_.where(F.col("n") <= SMALL_BUCKET).select("key", "node", "lo", "hi")
-        other = few.select("key", F.col("node").alias("node2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-        pairs = few.join(other, "key").where((F.col("node") < F.col("node2")) & near).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-        many = open_.where(F.col("n") > SMALL_BUCKET)
-        heads = many.groupBy("key").agg(F.min(F.struct("node", "lo", "hi")).alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.lo").alias("lo2"), F.col("h.hi").alias("hi2"))
-        led = many.join(heads, "key").where((F.col("node") > F.col("a")) & near).select("a", F.col("node").alias("b"))
-        tried = pairs.unionByName(led).distinct()
-        links.append(stored(_similar(tried, sets, similarity), "links"))
-        if many.limit(1).count() == 0:
+    spark, paths = df.sparkSession, []
+
+    def kept(frame: DataFrame, name: str) -> DataFrame:
+        paths.append(shared_folder(spark, name))
+        frame.write.parquet(paths[-1])
+        return spark.read.parquet(paths[-1])
+
+    if bits // 3 >= len(WIDE):
+        raise ValueError("too many bits for these segments")
+    sketches = kept(_sketches(df, key, text, words), "sketches")
+    nodes = kept(sketches.groupBy("same").agg(F.min(F.struct("id", "lo", "hi", "least")).alias("x"), F.count(F.lit(1)).alias("n")).select("same", "n", F.col("x.id").alias("node"), "x.lo", "x.hi", "x.least"), "nodes")
+    known = nodes.where("node is not null")
+    keyed = kept(_segment_keys(known), "golay-keys")
+    prints = known.select("node", "least", "lo", "hi")
+    size = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    open_ = kept(keyed.join(size(keyed), "key"), "buckets")
+    pairs = None
+    for level in range(len(WIDE)):
+        few, many = open_.where(F.col("n") <= SMALL_BUCKET).select("key", "node"), open_.where(F.col("n") > SMALL_BUCKET)
+        two = few.join(few.withColumnRenamed("node", "b"), "key").where("node < b").select(F.col("node").alias("a"), "b")
+        head = many.groupBy("key").agg(F.min("node").alias("a"))
+        led = many.join(head, "key").where("node > a").select("a", F.col("node").alias("b"))
+        found = two.unionByName(led)
+        pairs = found if pairs is None else pairs.unionByName(found)
+        if level == len(WIDE) - 1 or many.isEmpty():
             break
-        gone = links[-1].select("a", F.col("b").alias("node"))
-        rest = many.join(heads.select("key", "a"), "key").where("node <> a").join(gone, ["a", "node"], "left_anti").select("key", "node", "lo", "hi")
-        left = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        open_ = stored(rest.join(left, "key"), "buckets")
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    found = components(edges)
-    named = nodes.join(found, "node", "left").select("g", "n", F.coalesce("component", "node").alias("component_id"))
-    return lookup(built.select(F.col("id").alias(key), group.alias("g")), stored(named, "named"), "g", "n").select(key, "component_id")
+        if "least" not in many.columns:  # joined once; later deals carry it along
+            many = many.join(prints.select("node", "least"), "node")
+        again = many.select(F.xxhash64("key", F.element_at("least", F.col("segment") + F.lit(level + 1) - F.when(F.col("segment") + level + 1 >= len(WIDE), len(WIDE)).otherwise(0) + 1)).alias("key"), "node", "segment", "least")
+        again = kept(again, "dealt")
+        open_ = kept(again.join(size(again), "key"), "buckets")
+    far = F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2")))
+    side = prints.select(F.col("node").alias("a"), "lo", "hi")
+    other = prints.select(F.col("node").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    close = kept(pairs.distinct().join(side, "a").join(other, "b").where(far <= 2 * 128 // 5).select("a", "b"), "candidates")
+    found = components(_similar(close, kept(_unique(sketches, close), "sets"), similarity))
+    named = kept(nodes.join(found, "node", "left").select("same", "n", F.coalesce("component", "node").alias("component_id")), "named")
+    out = stored(lookup(sketches.select(F.col("id").alias(key), "same"), named, "same", "n").select(key, "component_id"), "near-copy-groups")
+    for path in paths:
+        remove_folder(spark, path)
+    return out
+
+
+def _segment_keys(nodes: DataFrame) -> DataFrame:
+    """Rows (key, node, segment) of the nodes' Golay keys with their least hashes."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
+                node = b.column(0).to_numpy(zero_copy_only=False)
+                lanes = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (1, 2)]
+                least = np.array(b.column(3).to_pylist(), dtype=np.int64).reshape(b.num_rows, len(WIDE)).view(np.uint64)
+                for s, (lane, first, width) in enumerate(WIDE):
+                    near = segment_keys((lanes[lane] >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1), width)
+                    sizes = [len(x) for x in near]
+                    codes = np.concatenate([*near, np.empty(0, dtype=np.int64)]).astype(np.uint64)
+                    key = (np.repeat(least[:, s], sizes) ^ (codes << np.uint64(3) | np.uint64(s))) * np.uint64(0xD6E8FEB86659FD93)
+                    yield pa.RecordBatch.from_arrays([pa.array((key ^ (key >> np.uint64(32))).view(np.int64)), pa.array(np.repeat(node, sizes), pa.int64()), pa.array(np.full(len(codes), s, dtype=np.int32))], names=["key", "node", "segment"])
+
+    return nodes.select("node", "lo", "hi", "least").mapInArrow(expand, "key long, node long, segment int")
+
+
+def _unique(sketches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Shingle sets of the ids in the pairs, one row each."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return sketches.select("id", "grams").join(ids, "id").dropDuplicates(["id"])
