@@ -33,7 +33,7 @@ _PARTS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57
 def token_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each token; tokens are runs of characters other than ASCII marks and blanks, in lower case."""
     words = (text if text.isascii() else text.decode().lower().encode()).translate(_PARTS).split()
-    if len(_WORD_HASHES) > 1_000_000:
+    if len(_WORD_HASHES) > 200_000:
         _WORD_HASHES.clear()
     known = _WORD_HASHES
     for w in words:

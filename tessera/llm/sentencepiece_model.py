@@ -22,8 +22,8 @@ MARK = "▁"
 #: Fixed values of the format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Entries of the memory of chunks that a task keeps; beyond it the memory starts anew.
-MEMORY = 500_000
+#: Entries of the memory of chunks that a task keeps, beyond which it starts anew; chunks encoded at once.
+MEMORY, AT_ONCE = 250_000, 8192
 _CODECS: dict = {}
 
 
@@ -137,11 +137,14 @@ class Codec:
     def _encode(self, many: list[str]) -> list[bytes]:
         """The ids of each text; notes the texts that the libraries encode differently, where
         sentencepiece's ids stand, and those that the ids do not give back."""
-        got = self.tokenizer.encode_batch_fast(many, add_special_tokens=False)  # on as many threads as RAYON_NUM_THREADS says
-        want = self.reference.encode(many, num_threads=1)
-        self.unlike.update(m for m, g, w in zip(many, got, want, strict=True) if g.ids != w)
-        self.lossy.update(m for m, d in zip(many, self.decode(want), strict=True) if m != d)
-        return [np.array(w, dtype="<i4").tobytes() for w in want]
+        out = []
+        for part in (many[i : i + AT_ONCE] for i in range(0, len(many), AT_ONCE)):
+            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)  # on as many threads as RAYON_NUM_THREADS says
+            want = self.reference.encode(part, num_threads=1)
+            self.unlike.update(m for m, g, w in zip(part, got, want, strict=True) if g.ids != w)
+            self.lossy.update(m for m, d in zip(part, self.decode(want), strict=True) if m != d)
+            out += [np.array(w, dtype="<i4").tobytes() for w in want]
+        return out
 
     def encode(self, many: list[str]) -> list[tuple[bytes, bool, bool]]:
         """Of each text: its ids, whether both libraries give them, and whether they decode to the text."""
@@ -181,7 +184,7 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """df with ids (array of int), n_tokens, parity and round_trip.
 
     parity: the rebuilt tokenizer gave sentencepiece's ids for each of the text's chunks. round_trip:
