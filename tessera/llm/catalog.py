@@ -21,6 +21,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_lm_score": lm_score.SQL,
+    "op5_secrets": secrets.SQL,
     "op7_warc": warc.SQL,
     "op8_url_filter": url_filter.SQL,
 }

@@ -8,7 +8,7 @@ each length class decides which candidates do; the others are reported as random
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -52,35 +52,56 @@ def _upper_tail(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(1.5976) * z + F.lit(0.07056) * z * z * z))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def randomness(token: Column) -> Column:
     """struct(encoding, n, p_chi2, p_runs, p_serial, p) of a token; null where it has no letter or digit.
 
     p is three times the least of the tests' p-values, 1 at most: small for what is not random.
     """
-    body = F.regexp_replace(token, "=+$", "")
-    mixed = body.rlike("[0-9]") & body.rlike("[A-Za-z]")
-    encoding = F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
-    plain = F.when(encoding == "hex", F.lower(body)).when(encoding == "base64", F.translate(body, "-_=", "+/")).otherwise(body)
-    alphabet = F.when(encoding == "hex", ALPHABETS["hex"]).when(encoding == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
-    k = F.length(alphabet).cast("double")
-    chars = F.filter(F.split(plain, ""), lambda c: c != "")
-    values = F.transform(chars, lambda c: F.position(c, alphabet).cast("double") - 1.0)
-    n = F.length(plain).cast("double")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(plain, c, F.lit(""))).cast("double"), F.lit(2.0)))
-    chi, free = k / n * squares - n, k - 1.0
-    spread = F.lit(2.0) / (F.lit(9.0) * free)
+    return _let(F.regexp_replace(token, "=+$", ""), lambda body: F.when(body.rlike("[0-9]") & body.rlike("[A-Za-z]"), _let(_encoded(body), _tested)))
+
+
+def _encoded(body: Column) -> Column:
+    """struct(encoding, alphabet, plain) of a token; plain has the alphabet's characters only."""
+    hexed, upper = body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), body.rlike("^[A-Z2-7]+$")
+    pick = lambda a, b, c: F.when(hexed, a).when(upper, b).otherwise(c)
+    names = [F.lit(k) for k in ALPHABETS]
+    return F.struct(pick(*names).alias("encoding"), pick(*[F.lit(v) for v in ALPHABETS.values()]).alias("alphabet"), pick(F.lower(body), body, F.translate(body, "-_=", "+/")).alias("plain"))
+
+
+def _tested(e: Column) -> Column:
+    chars = F.filter(F.split(e["plain"], ""), lambda c: c != "")
+    k, n = F.length(e["alphabet"]).cast("double"), F.length(e["plain"]).cast("double")
+    values = F.transform(chars, lambda c: F.position(c, e["alphabet"]).cast("double") - 1.0)
+    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(e["plain"], c, F.lit(""))).cast("double"), F.lit(2.0)))
+    return _let(F.struct(e["encoding"].alias("encoding"), k.alias("k"), n.alias("n"), squares.alias("squares"), values.alias("values")), lambda x: _let(_three_tests(x), _combined))
+
+
+def _three_tests(x: Column) -> Column:
+    k, n, values = x["k"], x["n"], x["values"]
+    free = k - 1.0
+    chi, spread = k / n * x["squares"] - n, F.lit(2.0) / (F.lit(9.0) * free)
     p_chi = _upper_tail((F.pow(chi / free, F.lit(1.0 / 3.0)) - (F.lit(1.0) - spread)) / F.sqrt(spread))
-    high = F.transform(values, lambda v: (v >= k / 2.0).cast("int"))
     begin = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("ones"))
+    high = F.transform(values, lambda v: (v >= k / 2.0).cast("int"))
     seen = F.aggregate(high, begin, lambda a, h: F.struct(h.alias("last"), (a["runs"] + (a["last"] != h).cast("double")).alias("runs"), (a["ones"] + h.cast("double")).alias("ones")))
-    both = F.lit(2.0) * seen["ones"] * (n - seen["ones"]) / n
-    p_runs = F.least(F.lit(1.0), F.lit(2.0) * _upper_tail(F.coalesce(F.try_divide(F.abs(seen["runs"] - both - 1.0), F.sqrt(F.greatest(both * (both - 1.0) / (n - 1.0), F.lit(0.0)))), F.lit(12.0))))
+    both = lambda s: F.lit(2.0) * s["ones"] * (n - s["ones"]) / n
+    z_runs = _let(seen, lambda s: F.coalesce(F.try_divide(F.abs(s["runs"] - both(s) - 1.0), F.sqrt(F.greatest(both(s) * (both(s) - 1.0) / (n - 1.0), F.lit(0.0)))), F.lit(12.0)))
     middle = (k - 1.0) / 2.0
     begin = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("cross"), F.lit(0.0).alias("square"))
     lag = F.aggregate(values, begin, lambda a, v: F.struct((v - middle).alias("last"), (a["cross"] + F.coalesce(a["last"] * (v - middle), F.lit(0.0))).alias("cross"), (a["square"] + (v - middle) * (v - middle)).alias("square")))
-    p_serial = F.least(F.lit(1.0), F.lit(2.0) * _upper_tail(F.abs(F.coalesce(F.try_divide(lag["cross"], lag["square"]), F.lit(1.0))) * F.sqrt(n)))
-    least = F.least(F.lit(1.0), F.lit(3.0) * F.least(p_chi, p_runs, p_serial))
-    return F.when(mixed, F.struct(encoding.alias("encoding"), n.cast("int").alias("n"), F.round(p_chi, 6).alias("p_chi2"), F.round(p_runs, 6).alias("p_runs"), F.round(p_serial, 6).alias("p_serial"), least.alias("p")))
+    z_lag = _let(lag, lambda a: F.abs(F.coalesce(F.try_divide(a["cross"], a["square"]), F.lit(1.0))) * F.sqrt(n))
+    two = lambda z: F.least(F.lit(1.0), F.lit(2.0) * _let(z, _upper_tail))
+    return F.struct(x["encoding"].alias("encoding"), n.cast("int").alias("n"), p_chi.alias("p_chi2"), two(z_runs).alias("p_runs"), two(z_lag).alias("p_serial"))
+
+
+def _combined(t: Column) -> Column:
+    least = F.least(F.lit(1.0), F.lit(3.0) * F.least(t["p_chi2"], t["p_runs"], t["p_serial"]))
+    return F.struct(t["encoding"].alias("encoding"), t["n"].alias("n"), *[F.round(t[c], 6).alias(c) for c in ("p_chi2", "p_runs", "p_serial")], least.alias("p"))
 
 
 def _class(n: Column) -> Column:
@@ -96,22 +117,22 @@ def _level(p: Column) -> Column:
 
 
 def find_spans(df: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
-    """df without its text (with it if `keep`), with base and cands: arrays of spans, cands with their test results.
+    """df without its text (with it if `keep`), with _base and _cands: arrays of spans, _cands with their test results.
 
-    Null texts count as empty. Columns of df named base or cands are replaced.
+    Null texts count as empty.
     """
     t = F.coalesce(F.col("_t"), F.lit(""))
-    rest = [c for c in df.columns if c not in ("base", "cands") and (keep or c != text)]
+    rest = [c for c in df.columns if keep or c != text]
     out = df.select(*rest, F.col(text).cast("string").alias("_t"))
     sign = (F.instr(t, ":") > 0) | (F.instr(t, "=") > 0)
     out = out.withColumn("_a", _spans(t, ASSIGN, 0, 2, LEAST["assign"], sign))
     out = out.withColumn("_k", _spans(t, ACCESS, 1, 0, LEAST["access"], F.instr(t, "AKIA") > 0))
     out = out.withColumn("_h", _spans(t, "[0-9a-f]{%d,}" % LEAST["hex"], 2, 0, LEAST["hex"], t.rlike("[0-9a-f]{%d,}" % LEAST["hex"])))
     out = out.withColumn("_c", _spans(t, CANDIDATE, 3, 0, 0, t.rlike(CANDIDATE)))
-    out = out.withColumn("base", F.array_sort(F.transform(F.concat("_a", "_k", "_h"), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))))
-    fresh = F.filter(F.col("_c"), lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    out = out.withColumn("_base", F.array_sort(F.transform(F.concat("_a", "_k", "_h"), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))))
+    fresh = F.filter(F.col("_c"), lambda c: ~F.exists(F.col("_base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     tested = F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), randomness(c["text"]).alias("test")))
-    return out.withColumn("cands", F.filter(tested, lambda c: c["test"].isNotNull())).select(*rest, "base", "cands")
+    return out.withColumn("_cands", F.filter(tested, lambda c: c["test"].isNotNull())).select(*rest, "_base", "_cands")
 
 
 def rejection_levels(found: DataFrame) -> dict[int, int]:
@@ -121,14 +142,12 @@ def rejection_levels(found: DataFrame) -> dict[int, int]:
     MOST + 1 of them, are summed from the smallest p, and the largest p that is within its count's
     share is the limit. A class without any such p rejects none.
     """
-    c = found.select(F.explode("cands.test").alias("t")).select(_class(F.col("t.n")).alias("class"), _level(F.col("t.p")).alias("level"))
+    c = found.select(F.explode("_cands.test").alias("t")).select(_class(F.col("t.n")).alias("class"), _level(F.col("t.p")).alias("level"))
     counts = c.groupBy("class", "level").agg(F.count(F.lit(1)).alias("n"))
-    counts.createOrReplaceTempView("_tessera_levels")
-    rows = found.sparkSession.sql(f"""
-        SELECT class, min(level) AS level FROM (
-          SELECT class, level, sum(n) OVER (PARTITION BY class ORDER BY level DESC) AS k, sum(n) OVER (PARTITION BY class) AS m FROM _tessera_levels)
-        WHERE pow(10.0D, -level / {STEP}.0D) <= {FALSE_SHARE}D * k / m GROUP BY class""").collect()
-    found.sparkSession.catalog.dropTempView("_tessera_levels")
+    w = Window.partitionBy("class")
+    ranked = counts.withColumn("k", F.sum("n").over(w.orderBy(F.desc("level")))).withColumn("m", F.sum("n").over(w))
+    within = F.pow(F.lit(10.0), -F.col("level") / float(STEP)) <= FALSE_SHARE * F.col("k") / F.col("m")
+    rows = ranked.where(within).groupBy("class").agg(F.min("level").alias("level")).collect()
     return {r["class"]: r["level"] for r in rows}
 
 
@@ -137,10 +156,10 @@ def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
 
     rank numbers KINDS. Base spans all stay; the tests add candidates that no base span overlaps. Null
     and empty texts have none; repeated rows are scanned alike; very long texts are taken whole. An
-    empty table gives no rows.
+    empty table gives no rows. A column of df named secrets or base_secrets is replaced.
     """
-    found = stored(find_spans(df.drop("secrets"), text), "secret-spans")
-    return _decide(found, rejection_levels(found)).drop("cands").withColumnRenamed("base", "base_secrets")
+    found = stored(find_spans(df.drop("secrets", "base_secrets"), text), "secret-spans")
+    return _decide(found, rejection_levels(found)).drop("_cands").withColumnRenamed("_base", "base_secrets")
 
 
 def _decide(found: DataFrame, levels: dict[int, int]) -> DataFrame:
@@ -153,8 +172,8 @@ def _decide(found: DataFrame, levels: dict[int, int]) -> DataFrame:
             most = F.when(_class(c["test"]["n"]) == k, v).otherwise(most)
         return _level(c["test"]["p"]) < most
 
-    more = F.transform(F.filter("cands", random), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
-    return found.withColumn("secrets", F.array_sort(F.concat("base", more)))
+    more = F.transform(F.filter("_cands", random), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
+    return found.withColumn("secrets", F.array_sort(F.concat("_base", more)))
 
 
 def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -185,3 +204,46 @@ def op5_secrets(spark, sf_dir):
     out = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda rank: F.size(F.filter("base_secrets", lambda s: s["rank"] == rank)).cast("long")
     return out.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(F.col("base_secrets")), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
+
+
+def _sql() -> str:
+    """The query in SQL. Letters in either case are spelled out, as case folding differs between engines."""
+    words = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+    assign = f"({words})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    kinds = [(assign, 2, LEAST["assign"]), (ACCESS, 0, LEAST["access"]), (HEX, 0, LEAST["hex"]), (CANDIDATE, 0, 0)]
+
+    def found(rank: int, pattern: str, group: int, least: int) -> str:
+        return f"""SELECT doc_id, {rank} AS rank, begun AS start, begun + length(hits[i + 1]) AS stop, hits[i + 1] AS s FROM (
+  SELECT doc_id, i, hits, groups, list_sum(list_transform(parts[1:i + 1], lambda p: length(p)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i], lambda h: length(h))), 0)::BIGINT AS begun FROM (
+    SELECT doc_id, parts, hits, groups, unnest(range(len(hits))) AS i FROM (
+      SELECT doc_id, string_split_regex(t, '{pattern}') AS parts, regexp_extract_all(t, '{pattern}', 0) AS hits, regexp_extract_all(t, '{pattern}', {group}) AS groups FROM d))) WHERE length(groups[i + 1]) >= {least}"""
+
+    spans = " UNION ALL ".join(found(r, *k) for r, k in enumerate(kinds))
+    tail = lambda z: f"(1.0::DOUBLE / (1 + exp(1.5976 * least(greatest({z}, -12), 12) + 0.07056 * least(greatest({z}, -12), 12) ** 3)))"
+    classes = "CASE " + " ".join(f"WHEN n >= {c} THEN {c}" for c in reversed(CLASSES[1:])) + f" ELSE {CLASSES[0]} END"
+    name = "CASE rank " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END || ':' || start || ':' || stop"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({spans}),
+c AS (SELECT doc_id, start, stop, regexp_replace(s, '=+$', '') AS body FROM f a WHERE rank = 3 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = a.doc_id AND b.rank < 3 AND b.start < a.stop AND a.start < b.stop)),
+e AS (SELECT *, CASE WHEN regexp_full_match(body, '[0-9a-f]+|[0-9A-F]+') THEN lower(body) WHEN regexp_full_match(body, '[A-Z2-7]+') THEN body ELSE translate(replace(body, '=', ''), '-_', '+/') END AS plain,
+  CASE WHEN regexp_full_match(body, '[0-9a-f]+|[0-9A-F]+') THEN '{ALPHABETS["hex"]}' WHEN regexp_full_match(body, '[A-Z2-7]+') THEN '{ALPHABETS["base32"]}' ELSE '{ALPHABETS["base64"]}' END AS alphabet
+  FROM c WHERE regexp_matches(body, '[0-9]') AND regexp_matches(body, '[A-Za-z]')),
+v AS (SELECT doc_id, start, stop, length(alphabet)::DOUBLE AS k, length(plain)::DOUBLE AS n, list_transform(string_split(plain, ''), lambda x: strpos(alphabet, x) - 1.0::DOUBLE) AS v,
+  list_sum(list_transform(list_distinct(string_split(plain, '')), lambda x: (length(plain) - length(replace(plain, x, '')))::DOUBLE ** 2)) AS squares FROM e),
+q AS (SELECT *, k / n * squares - n AS chi, 2 / (9 * (k - 1)) AS spread, list_sum(list_transform(v, lambda x: CASE WHEN x >= k / 2 THEN 1.0::DOUBLE ELSE 0 END)) AS ones,
+  1 + coalesce(list_sum(list_transform(range(1, len(v)), lambda i: CASE WHEN (v[i] >= k / 2) <> (v[i + 1] >= k / 2) THEN 1.0::DOUBLE ELSE 0 END)), 0) AS runs,
+  coalesce(list_sum(list_transform(range(1, len(v)), lambda i: (v[i] - (k - 1) / 2) * (v[i + 1] - (k - 1) / 2))), 0) / list_sum(list_transform(v, lambda x: (x - (k - 1) / 2) ** 2)) AS r FROM v),
+z AS (SELECT *, ((chi / (k - 1)) ** (1.0::DOUBLE / 3) - (1 - spread)) / sqrt(spread) AS z1, 2 * ones * (n - ones) / n AS mean FROM q),
+y AS (SELECT *, CASE WHEN mean * (mean - 1) / (n - 1) > 0 THEN abs(runs - mean - 1) / sqrt(mean * (mean - 1) / (n - 1)) ELSE 12 END AS z2, abs(r) * sqrt(n) AS z3 FROM z),
+p AS (SELECT doc_id, start, stop, {classes} AS class, least(1.0, 3 * least({tail('z1')}, least(1.0, 2 * {tail('z2')}), least(1.0, 2 * {tail('z3')}))) AS p FROM y),
+l AS (SELECT *, CAST(least(floor(round(-log10(greatest(p, 1e-300)) * {STEP}, 6)), {MOST}) AS INT) AS level FROM p),
+g AS (SELECT class, level, sum(count(*)) OVER (PARTITION BY class ORDER BY level DESC) AS k, sum(count(*)) OVER (PARTITION BY class) AS m FROM l GROUP BY class, level),
+b AS (SELECT class, min(level) AS most FROM g WHERE 10.0::DOUBLE ** (-level / {STEP}.0) <= {FALSE_SHARE} * k / m GROUP BY class),
+o AS (SELECT doc_id, rank, start, stop FROM f WHERE rank < 3 UNION ALL SELECT doc_id, 3, start, stop FROM l LEFT JOIN b USING (class) WHERE most IS NULL OR level < most)
+SELECT d.doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+  sha256(coalesce(string_agg({name}, ',' ORDER BY start, rank) FILTER (WHERE rank < 3), '')) AS base_sha256, coalesce(string_agg({name}, ',' ORDER BY start, rank), '') AS spans
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+SQL = _sql()
