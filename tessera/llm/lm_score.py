@@ -29,7 +29,7 @@ from .common import stored, table
 #: n of the longest n-grams, pseudo-counts m of the orders from 2 on, and what the unigrams add to each count.
 ORDER, PRIORS, ADD = 2, (300.0, 30.0, 10.0), 0.5
 #: Bytes of text of a pack, and n-grams that a counting task gets on average.
-PACK_BYTES, KEYS_PER_TASK = 16 << 20, 2_000_000
+PACK_BYTES, KEYS_PER_TASK = 8 << 20, 2_000_000
 END = b""  # no word is empty
 
 
@@ -183,8 +183,8 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", order: i
                 p, back_ = _open(row), sorted(row["back"], key=lambda r: (r["n"], r["task"]))
                 log = state = None
                 for n, _, place, _ in p.grams(order):
-                    totals = np.concatenate([_spread(r["totals"], np.int64) for r in back_ if r["n"] == n])
-                    seen = np.where(place >= 0, totals[np.maximum(place, 0)], 0)
+                    totals = np.concatenate([*(_spread(r["totals"], np.int64) for r in back_ if r["n"] == n), [0]])
+                    seen = totals[place].astype(np.int64)  # a place of -1 is the zero at the end
                     if n == 1:
                         prob = (seen + ADD) / whole
                         base, known = np.log10(prob), seen > 0
