@@ -10,6 +10,7 @@ principle, and that decides which segments are combined into one join key.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, lookup, remove_folder, shared_folder, stored, table, texts
 
@@ -212,6 +214,9 @@ def near_copy_groups(df: DataFrame, key: str = "doc_id", text: str = "text", wor
     agreed under all mixers; a bucket that large and alike is then compared with its least member
     only, so that rows stay in proportion to members.
 
+    What that search leaves apart, an exact join of rare shingles brings together (_rare_shingle_pairs):
+    no two texts of the similarity asked for stay in different components.
+
     Texts with equal shingle sets, among them those without words (null, empty, blank), are one node.
     component_id is the least key reached. An empty table gives no rows; null keys are rows without a
     component unless an equal text has a key; repeated rows keep their own row.
@@ -251,7 +256,10 @@ def near_copy_groups(df: DataFrame, key: str = "doc_id", text: str = "text", wor
     side = prints.select(F.col("node").alias("a"), "lo", "hi")
     other = prints.select(F.col("node").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     close = kept(pairs.distinct().join(side, "a").join(other, "b").where(far <= 2 * 128 // 5).select("a", "b"), "candidates")
-    found = components(_similar(close, kept(_unique(sketches, close), "sets"), similarity))
+    edges = kept(_similar(close, kept(_unique(sketches, close), "sets"), similarity), "links")
+    first = known.select("same", "node").join(components(edges), "node", "left").select("same", "node", F.coalesce("component", "node").alias("comp"))
+    rest = kept(_rare_shingle_pairs(sketches, kept(first, "first"), similarity, kept), "rare-pairs")
+    found = components(edges.unionByName(_similar(rest, kept(_unique(sketches, rest), "rare-sets"), similarity)))
     named = kept(nodes.join(found, "node", "left").select("same", "n", F.coalesce("component", "node").alias("component_id")), "named")
     out = stored(lookup(sketches.select(F.col("id").alias(key), "same"), named, "same", "n").select(key, "component_id"), "near-copy-groups")
     for path in paths:
@@ -259,6 +267,80 @@ def near_copy_groups(df: DataFrame, key: str = "doc_id", text: str = "text", wor
     return out
 
 
+#: Cells in which shingles are counted, by their leading bits, to put rare ones first; members of a salted part.
+COUNT_BITS, SALT_ROWS = 20, 2000
+
+
+def _rarity(sketches: DataFrame) -> np.ndarray:
+    """For each cell of shingle hashes, a class that grows with the shingles in it: 1 MB at any size.
+
+    Any order of the shingles gives the same pairs; this one keeps common ones out of the prefixes.
+    """
+    size, lines = 1 << COUNT_BITS, 1 << (COUNT_BITS - 12)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            cells += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint32) >> (32 - COUNT_BITS), minlength=size)
+        part = cells.reshape(lines, -1)
+        at = np.flatnonzero(part.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([part[i].astype("<i4").tobytes() for i in at], pa.binary())], names=["line", "cells"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, dtype="<i4").astype(np.int64) for c in group["cells"].to_pylist())
+        return pa.table([group["line"][:1], pa.array([(8 * np.log2(1 + total)).astype(np.uint8).tobytes()], pa.binary())], names=["line", "cells"])
+
+    out = np.zeros((lines, size // lines), dtype=np.uint8)
+    for r in sketches.select("grams").mapInArrow(count, "line long, cells binary").groupBy("line").applyInArrow(add, "line long, cells binary").toLocalIterator():
+        out[r.line] = np.frombuffer(r.cells, dtype=np.uint8)
+    return out.ravel()
+
+
+def _prefixes(sketches: DataFrame, similarity: float) -> DataFrame:
+    """Rows (gram, same, size, at): the first shingles of each set, rare ones first, `at` the place.
+
+    A set of n can do without the others: if none of n - ceil(similarity n) + 1 is in another set,
+    less than similarity n are.
+    """
+    rarity = _rarity(sketches)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, ends = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.cumsum([0, *(len(x or ()) for x in b.column(1))])
+            rank = rarity[flat >> (32 - COUNT_BITS)].astype(np.uint64) << np.uint64(32) | flat
+            sizes = np.diff(ends)
+            takes = [int(n) - math.ceil(similarity * n - 1e-9) + 1 if n else 0 for n in sizes]
+            first = [np.sort(np.partition(rank[a : a + n], k - 1)[:k]) for a, n, k in zip(ends, sizes, takes, strict=False) if k]
+            grams = np.concatenate([*first, np.empty(0, dtype=np.uint64)]).astype(np.uint32).view(np.int32)
+            at = np.concatenate([*map(np.arange, takes), np.empty(0, dtype=np.int64)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), takes)), pa.array(np.repeat(sizes.astype(np.int32), takes)), pa.array(at)], names=["gram", "same", "size", "at"])
+
+    return sketches.select("same", "grams").mapInArrow(cut, "gram int, same long, size int, at int")
+
+
+def _rare_shingle_pairs(sketches: DataFrame, nodes: DataFrame, similarity: float, kept) -> DataFrame:
+    """Pairs (a, b) of nodes in different components `comp`, among them all of this similarity or more.
+
+    Sets that are alike share a shingle of their prefixes, and the first that they share leaves enough
+    places behind it in both. Under each shingle the members of its most frequent component, which are
+    linked already, meet the other members only; a shingle of one component makes no pair. Members of
+    frequent shingles are dealt over salted parts, so that no task gets all pairs of one.
+    """
+    rows = _prefixes(sketches, similarity).repartition("gram").dropDuplicates(["gram", "same"])
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n > 1").drop("n")
+    rows = kept(rows.join(nodes, "same"), "prefixes")
+    most = rows.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("gram")
+    most = most.agg(F.max_by("comp", "n").alias("top"), F.count(F.lit(1)).alias("k"), F.ceil(F.sum("n") / SALT_ROWS).cast("int").alias("parts")).where("k > 1").drop("k")
+    open_ = kept(rows.join(most, "gram").select("gram", "node", "size", "at", "comp", "top", "parts"), "open")
+    right = open_.select("gram", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), *(F.col(c).alias(c + "2") for c in ("node", "size", "at", "comp")))
+    left = open_.where("comp <> top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    once = (F.col("comp2") == F.col("top")) | (F.col("node") < F.col("node2"))
+    sizes = F.least("size", "size2") >= similarity * F.greatest("size", "size2") - 1e-9
+    places = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) >= similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - 1e-9
+    met = left.join(right, ["gram", "part"]).where((F.col("comp") != F.col("comp2")) & once & sizes & places)
+    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
 def _segment_keys(nodes: DataFrame) -> DataFrame:
     """Rows (key, node, segment) of the nodes' Golay keys with their least hashes."""
 

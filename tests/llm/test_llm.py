@@ -431,6 +431,26 @@ def test_near_copy_groups(spark, odd, none):
     assert simhash.near_copy_groups(none).count() == 0
 
 
+def test_near_copies_in_a_template_group(spark):
+    """2,000 texts of one template, unlike ones at about 0.74: every pair planted at 0.8 or more is linked, and no other."""
+    rng = np.random.default_rng(7)
+    shared = [f"s{i}" for i in range(200)]
+    texts = [shared + [f"o{i}x{k}" for k in range(35)] for i in range(1900)]
+    for i in range(100):
+        t = list(texts[i])
+        for k in rng.choice(np.arange(200, 235), 1 + i % 3, replace=False):
+            t[int(k)] = f"c{i}x{k}"
+        texts.append(t)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    like = [(i, 1900 + i) for i in range(100) if len(sets[i] & sets[1900 + i]) >= 0.8 * len(sets[i] | sets[1900 + i])]
+    assert len(like) == 100 and len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copy_groups(df).collect()}
+    missed = [(i, j) for i, j in like if got[i] != got[j]]
+    assert not missed, f"{len(missed)} of {len(like)} missed"
+    assert got == groups(like, range(2000))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7), (200, 150)] + [(300, i) for i in range(301, 400)]
     df = spark.createDataFrame(edges, "a long, b long")
