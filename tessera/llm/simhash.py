@@ -165,8 +165,8 @@ def op9_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: Segments of two lanes, 115 bits, and the number of least shingle hashes that a text has.
-WIDE = ((0, 0, 23), (0, 23, 23), (1, 0, 23), (1, 23, 23), (1, 41, 23))
+#: Disjoint segments of two lanes, 110 bits, and the number of least shingle hashes that a text has.
+WIDE = ((0, 0, 23), (0, 23, 23), (1, 0, 23), (1, 23, 23), (1, 46, 18))
 _MIXERS = tuple(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(1, len(WIDE) + 1))
 
 
@@ -203,10 +203,11 @@ def _similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFr
 def near_copy_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 14) -> DataFrame:
     """One row per row of df: key, component_id, for near copies by the similarity of word shingles.
 
-    A 115-bit fingerprint of the distinct words has five segments. Two texts within `bits` (up to 14)
-    have a segment with two errors or fewer, and so a Golay key of it in common. A join key is a
+    A 110-bit fingerprint of the distinct words has five segments without common bits. Two texts within
+    14 bits have a segment with two errors or fewer, and so a Golay key of it in common. A join key is a
     segment's Golay key with the shingle set's least hash under the segment's own mixer, which
-    similar sets share with a probability of their similarity; a pair has five chances of both.
+    similar sets share with a probability of their similarity; so this first search is not complete,
+    and `bits` only says for how many errors the segments must have a Golay key in common.
     Candidates are verified by the exact Jaccard similarity of the shingle sets.
 
     Buckets of up to SMALL_BUCKET members are compared pair by pair. In a larger one all are compared

@@ -451,6 +451,22 @@ def test_near_copies_in_a_template_group(spark):
     assert got == groups(like, range(2000))
 
 
+def test_near_copies_with_a_passage_appended(spark):
+    """Copies at just 0.8, whose fingerprints differ in more bits than the Golay keys bear."""
+    rng = np.random.default_rng(9)
+    bits = [{(lane, b) for b in range(first, first + width)} for lane, first, width in simhash.WIDE]
+    assert len(set.union(*bits)) == sum(map(len, bits))
+    texts = [[f"v{x}" for x in rng.integers(0, 5000, 200)] for _ in range(300)]
+    texts += [t + [f"a{i}x{k}" for k in range(48)] for i, t in enumerate(texts)]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    assert all(len(sets[i] & sets[300 + i]) >= 0.8 * len(sets[i] | sets[300 + i]) for i in range(300))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copy_groups(df).collect()}
+    missed = sum(got[i] != got[300 + i] for i in range(300))
+    assert not missed, f"{missed} of 300 missed"
+    assert got == {i: i % 300 for i in range(600)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7), (200, 150)] + [(300, i) for i in range(301, 400)]
     df = spark.createDataFrame(edges, "a long, b long")
