@@ -232,7 +232,7 @@ def near_copy_groups(df: DataFrame, key: str = "doc_id", text: str = "text", wor
     if bits // 3 >= len(WIDE):
         raise ValueError("too many bits for these segments")
     sketches = kept(_sketches(df, key, text, words), "sketches")
-    nodes = kept(sketches.groupBy("same").agg(F.min(F.struct("id", "lo", "hi", "least")).alias("x"), F.count(F.lit(1)).alias("n")).select("same", "n", F.col("x.id").alias("node"), "x.lo", "x.hi", "x.least"), "nodes")
+    nodes = kept(sketches.groupBy("same").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "lo", "hi", "least"))).alias("x"), F.count(F.lit(1)).alias("n")).select("same", "n", F.col("x.id").alias("node"), "x.lo", "x.hi", "x.least"), "nodes")
     known = nodes.where("node is not null")
     keyed = kept(_segment_keys(known), "golay-keys")
     prints = known.select("node", "least", "lo", "hi")

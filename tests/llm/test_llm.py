@@ -467,6 +467,15 @@ def test_near_copies_with_a_passage_appended(spark):
     assert got == {i: i % 300 for i in range(600)}
 
 
+def test_null_key_in_a_group_of_copies(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, "a b c"), (1, "a b c"), (2, "a b c"), (None, ""), (3, ""), (4, None), (None, long), (5, long), (6, long + " more"), (None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in simhash.near_copy_groups(df).collect()]
+    assert {(i, c) for i, c in got if i} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)}
+    assert sorted(str(c) for i, c in got if i is None) == ["1", "3", "5", "None"]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7), (200, 150)] + [(300, i) for i in range(301, 400)]
     df = spark.createDataFrame(edges, "a long, b long")
