@@ -1,5 +1,6 @@
 """The ten operators and the pipeline on small fixtures, against brute force."""
 
+import itertools
 import math
 import re
 import struct
@@ -204,6 +205,42 @@ def base_spans(t):
     return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
 
 
+def hit_by_a_mask(n, changed):
+    return any(all(k + i not in changed for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for k in range(n - len(m) + 1))
+
+
+@pytest.mark.parametrize("n", range(13, 27))
+def test_masks_hit_whatever_is_substituted(n):
+    left = next((c for c in itertools.combinations(range(1, n - 1), n // 5) if not hit_by_a_mask(n, c)), None)
+    assert left is None
+    a = np.arange(n, dtype=np.uint64)
+    for c in itertools.islice(itertools.combinations(range(1, n - 1), n // 5), 0, None, 37):
+        b = a.copy()
+        b[list(c)] += np.uint64(1000)
+        assert any(length >= 13 and equal >= 0.8 * length for _, length, equal in decontaminate.overlaps(a, b, 0, 13, 0.8))
+
+
+def test_short_and_substituted_passages(spark):
+    rng = np.random.default_rng(3)
+    items, docs, want = [], [], {}
+    for i, n in enumerate([1, 2, 5, 8, *range(9, 27)] * 10):
+        words = [f"i{i}w{k}" for k in range(n)]
+        said = list(words)
+        if n >= 13:
+            for k in rng.choice(np.arange(1, n - 1), n // 5, replace=False):
+                said[int(k)] = f"x{k}"
+        items.append((i, " ".join(words)))
+        docs.append((i, " ".join(["before", "it", *said, "after", "it"])))
+        want[i, i] = n
+        if n < 13:
+            docs.append((1000 + i, " ".join(["half", *words[: n // 2]])))  # not there whole
+    got = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id): r.length for r in got}
+    assert len(set(want) - set(found)) == 0, f"{len(set(want) - set(found))} of {len(want)} missed"
+    assert set(found) == set(want)
+    assert all(min(want[k], 13) <= n <= want[k] for k, n in found.items())
+
+
 def test_secrets(spark, odd, none):
     rng = np.random.default_rng(5)
     letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
