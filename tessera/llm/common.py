@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,20 @@ def words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+_WORD_HASHES: dict[bytes, int] = {}
+
+
+def word_hashes(many: list[bytes]) -> np.ndarray:
+    """XXH64 (seed 7) of each word as unsigned 64-bit; a memory of up to 200,000 words spares repeats."""
+    known = _WORD_HASHES
+    if len(known) > 200_000:
+        known.clear()
+    for w in many:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w, 7)
+    return np.fromiter(map(known.__getitem__, many), dtype=np.uint64, count=len(many))
+
+
 def texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null is empty."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -46,16 +62,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor and the driver see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{sc.applicationId}")
-
-
 def remove_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -12,11 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts
+from .common import stored, table, texts, word_hashes
 
 #: Masks over a window: 1 picks a position. One of them hits wherever a passage of 13 to 26 tokens is
 #: equal to a share of 0.8, whichever inner tokens are substituted (all cases are gone through in a test).
@@ -27,20 +26,13 @@ LEAST_TOKENS, LEAST_EQUAL = 13, 0.8
 FILTER_BITS = 24
 #: The benchmark's windows are broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST_WINDOWS = 500_000
-_WORD_HASHES: dict[bytes, int] = {}
 _PARTS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
 
 
 def token_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each token; tokens are runs of characters other than ASCII marks and blanks, in lower case."""
     words = (text if text.isascii() else text.decode().lower().encode()).translate(_PARTS).split()
-    if len(_WORD_HASHES) > 200_000:
-        _WORD_HASHES.clear()
-    known = _WORD_HASHES
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w, 7)
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    return word_hashes(words)
 
 
 def mask_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:

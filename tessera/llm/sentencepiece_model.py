@@ -2,12 +2,13 @@
 
 The model file's protobuf is read here, and a tokenizer with the same normaliser, white-space marker,
 pieces, scores and byte fallback is rebuilt on the tokenizers library: a Unigram model for unigram
-files, merges in the order of the merged piece's score for BPE files. The sentencepiece library is
-used only to verify parity.
+files, merges in the order of the merged piece's score for BPE files. All ids come from it; the
+sentencepiece library is used only to verify parity.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
@@ -22,8 +23,8 @@ MARK = "▁"
 #: Fixed values of the format: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Entries of the memory of chunks that a task keeps, beyond which it starts anew; chunks encoded at once.
-MEMORY, AT_ONCE = 250_000, 8192
+#: Entries of the newer half of the memory of chunks that a task keeps; chunks encoded at once; threads that encode them.
+MEMORY, AT_ONCE, THREADS = 250_000, 8192, 2
 _CODECS: dict = {}
 
 
@@ -119,44 +120,65 @@ def chunked(model: dict) -> bool:
 
 
 class Codec:
-    """Encoding, decoding and parity for one model file; a task builds it once."""
+    """Encoding, decoding and parity for one model file; a task builds it once.
 
-    def __init__(self, path: str):
+    `young` and `old` hold the ids of chunks as little-endian 32-bit integers. When `young` is full it
+    becomes `old`; chunks met again move back, so that frequent ones are encoded once.
+    """
+
+    def __init__(self, path: str, threads: int = THREADS):
+        os.environ |= {"RAYON_NUM_THREADS": str(threads), "TOKENIZERS_PARALLELISM": "true"}  # read at the first batch of a process
         import sentencepiece
 
         with open(path, "rb") as f:
             data = f.read()
-        self.model = parse_model(data)
+        self.model, self.threads = parse_model(data), threads
         self.tokenizer = build(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.chunked = chunked(self.model)
-        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
-        self.unlike: set[str] = set()
-        self.lossy: set[str] = set()
-
-    def _encode(self, many: list[str]) -> list[bytes]:
-        """The ids of each text; notes the texts that the libraries encode differently, where
-        sentencepiece's ids stand, and those that the ids do not give back."""
-        out = []
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.unlike: set[str] = set()  # chunks that sentencepiece encodes differently
+        self.lossy: set[str] = set()  # chunks that their ids do not give back
+
+    def _encode(self, many: list[str]) -> Iterator[bytes]:
+        """The rebuilt tokenizer's ids of each text; notes texts without parity and without a round trip."""
         for part in (many[i : i + AT_ONCE] for i in range(0, len(many), AT_ONCE)):
-            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)  # on as many threads as RAYON_NUM_THREADS says
-            want = self.reference.encode(part, num_threads=1)
-            self.unlike.update(m for m, g, w in zip(part, got, want, strict=True) if g.ids != w)
-            self.lossy.update(m for m, d in zip(part, self.decode(want), strict=True) if m != d)
-            out += [np.array(w, dtype="<i4").tobytes() for w in want]
-        return out
+            ids = [g.ids for g in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            want = self.reference.encode(part, num_threads=self.threads)
+            if ids != want:
+                self.unlike.update(m for m, g, w in zip(part, ids, want, strict=True) if g != w)
+            flat = [i for x in ids for i in x]
+            if not self.chunked or self.decode([flat])[0] != " ".join(part):  # chunks decode one after the other
+                self.lossy.update(m for m, d in zip(part, self.decode(ids), strict=True) if m != d)
+            data, at = np.array(flat, dtype="<i4").tobytes(), 0
+            for x in ids:
+                yield data[at : at + 4 * len(x)]
+                at += 4 * len(x)
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Bring the ids of these chunks into `young`."""
+        if len(self.young) > MEMORY:
+            self.young, self.old = {}, self.young
+            self.unlike, self.lossy = ({c for c in x if c in self.old} for x in (self.unlike, self.lossy))
+        fresh = []
+        for c in chunks.difference(self.young):
+            ids = self.old.get(c)
+            if ids is None:
+                fresh.append(c)
+            else:
+                self.young[c] = ids
+        if self.chunked and "" in fresh:  # a blank at the text's end: the marker alone
+            fresh.remove("")
+            self.young[""] = np.array([self.tokenizer.token_to_id(MARK)], dtype="<i4").tobytes()
+        self.young.update(zip(fresh, self._encode(fresh), strict=True))
 
     def encode(self, many: list[str]) -> list[tuple[bytes, bool, bool]]:
-        """Of each text: its ids, whether both libraries give them, and whether they decode to the text."""
-        if len(self.known) > MEMORY:
-            for memory in (self.known, self.unlike, self.lossy):
-                memory.clear()
+        """Of each text: its ids, whether sentencepiece gives them too, and whether they decode to the text."""
         cut = [self._chunks(text) if self.chunked else [text] for text in many]
-        new = [c for c in dict.fromkeys(c for chunks in cut for c in chunks) if c not in self.known]
-        self.known.update(zip(new, self._encode(new), strict=True))
-        if self.chunked and "" in self.known:  # a blank at the text's end: the marker alone
-            self.known[""] = np.array([self.reference.piece_to_id(MARK)], dtype="<i4").tobytes()
-        return [(b"".join(map(self.known.__getitem__, chunks)), self.unlike.isdisjoint(chunks), self.lossy.isdisjoint(chunks)) for chunks in cut]
+        self._learn(set().union(*cut))
+        ids = self.young.__getitem__
+        return [(b"".join(map(ids, chunks)), not self.unlike or self.unlike.isdisjoint(chunks), not self.lossy or self.lossy.isdisjoint(chunks)) for chunks in cut]
 
     def _chunks(self, text: str) -> list[str]:
         """The text cut before each run of blanks, less one blank, for which the prefix marker stands."""
@@ -178,24 +200,25 @@ class Codec:
         return self.tokenizer.decode_batch(many, skip_special_tokens=False)
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, threads: int = THREADS) -> Codec:
     if path not in _CODECS:
-        _CODECS[path] = Codec(path)
+        _CODECS[path] = Codec(path, threads)
     return _CODECS[path]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", batch_bytes: int = 1 << 20, threads: int = THREADS) -> DataFrame:
     """df with ids (array of int), n_tokens, parity and round_trip.
 
-    parity: the rebuilt tokenizer gave sentencepiece's ids for each of the text's chunks. round_trip:
-    its decoder gives the text back from them. Null and empty texts have no ids, parity and round_trip true.
-    Columns of df with those names are replaced; repeated rows are encoded alike; texts of any length
-    are taken whole.
+    ids are the rebuilt tokenizer's. parity: sentencepiece gives the same for each of the text's chunks;
+    where it is false the ids stay as they are. round_trip: the tokenizer's decoder gives the text back
+    from them. Null and empty texts have no ids, parity and round_trip true. Columns of df with those
+    names are replaced; repeated rows are encoded alike; texts of any length are taken whole; an empty
+    table gives no rows. A task encodes on `threads` threads.
     """
     df = df.drop("ids", "n_tokens", "parity", "round_trip")
 
     def run(s: pa.Array) -> pa.Array:
-        c, got = codec(path), []
+        c, got = codec(path, threads), []
         many, start, held = [t or "" for t in s.to_pylist()], 0, 0
         for i, t in enumerate(many):
             held += len(t)

@@ -10,7 +10,6 @@ principle, and that decides which segments are combined into one join key.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +17,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import components, lookup, remove_folder, shared_folder, stored, table, texts
+from .common import components, lookup, stored, table
 
 #: Segments (lane, first bit, width) of one 64-bit lane.
 ONE_LANE = ((0, 0, 23), (0, 23, 23), (0, 46, 18))
@@ -163,205 +161,3 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def op9_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
-
-
-#: Disjoint segments of two lanes, 110 bits, and the number of least shingle hashes that a text has.
-WIDE = ((0, 0, 23), (0, 23, 23), (1, 0, 23), (1, 23, 23), (1, 46, 18))
-_MIXERS = tuple(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(1, len(WIDE) + 1))
-
-
-def _sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """Rows (id, same, lo, hi, least, grams): a digest of the shingle set, two lanes over the distinct words,
-    the set's least hash under each mixer, and the set as sorted 32-bit hashes."""
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, same, lanes, least, grams = b.column(0), [], [], [], []
-            for t in texts(b, "_text"):
-                lanes.append(fingerprint(list(dict.fromkeys(t.lower().split())), (42, 43)))
-                g = np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles(t, words)], dtype=np.uint64))
-                same.append(xxhash.xxh64_intdigest(g.tobytes()) - (1 << 63))
-                mixed = [(g * np.uint64(m)) ^ ((g * np.uint64(m)) >> np.uint64(31)) for m in _MIXERS]
-                least.append([int(x.min()) - (1 << 63) if len(g) else 0 for x in mixed])
-                grams.append(np.unique(g.astype(np.uint32)).view(np.int32))
-            ends = pa.array(np.cumsum([0, *map(len, grams)]), pa.int32())
-            flat = pa.array(np.concatenate([*grams, np.empty(0, dtype=np.int32)]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(same, pa.int64()), *(pa.array([x[i] for x in lanes], pa.int64()) for i in (0, 1)), pa.array(least, pa.list_(pa.int64())), pa.ListArray.from_arrays(ends, flat)], names=["id", "same", "lo", "hi", "least", "grams"])
-
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("_text")).mapInArrow(build, "id long, same long, lo long, hi long, least array<long>, grams array<int>")
-
-
-def _similar(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
-    left = sketches.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    right = sketches.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    fits = F.least(F.size("ga"), F.size("gb")) >= similarity * F.greatest(F.size("ga"), F.size("gb"))
-    return pairs.join(right, "b").join(left, "a").where(fits & (both >= similarity * (F.size("ga") + F.size("gb") - both))).select("a", "b")
-
-
-def near_copy_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 14) -> DataFrame:
-    """One row per row of df: key, component_id, for near copies by the similarity of word shingles.
-
-    A 110-bit fingerprint of the distinct words has five segments without common bits. Two texts within
-    14 bits have a segment with two errors or fewer, and so a Golay key of it in common. A join key is a
-    segment's Golay key with the shingle set's least hash under the segment's own mixer, which
-    similar sets share with a probability of their similarity; so this first search is not complete,
-    and `bits` only says for how many errors the segments must have a Golay key in common.
-    Candidates are verified by the exact Jaccard similarity of the shingle sets.
-
-    Buckets of up to SMALL_BUCKET members are compared pair by pair. In a larger one all are compared
-    with the least, and it is dealt anew by the next mixer's least hash, until it is small or has
-    agreed under all mixers; a bucket that large and alike is then compared with its least member
-    only, so that rows stay in proportion to members.
-
-    What that search leaves apart, an exact join of rare shingles brings together (_rare_shingle_pairs):
-    no two texts of the similarity asked for stay in different components.
-
-    Texts with equal shingle sets, among them those without words (null, empty, blank), are one node.
-    component_id is the least key reached. An empty table gives no rows; null keys are rows without a
-    component unless an equal text has a key; repeated rows keep their own row.
-    """
-    spark, paths = df.sparkSession, []
-
-    def kept(frame: DataFrame, name: str) -> DataFrame:
-        paths.append(shared_folder(spark, name))
-        frame.write.parquet(paths[-1])
-        return spark.read.parquet(paths[-1])
-
-    if bits // 3 >= len(WIDE):
-        raise ValueError("too many bits for these segments")
-    sketches = kept(_sketches(df, key, text, words), "sketches")
-    nodes = kept(sketches.groupBy("same").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "lo", "hi", "least"))).alias("x"), F.count(F.lit(1)).alias("n")).select("same", "n", F.col("x.id").alias("node"), "x.lo", "x.hi", "x.least"), "nodes")
-    known = nodes.where("node is not null")
-    keyed = kept(_segment_keys(known), "golay-keys")
-    prints = known.select("node", "least", "lo", "hi")
-    size = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_ = kept(keyed.join(size(keyed), "key"), "buckets")
-    pairs = None
-    for level in range(len(WIDE)):
-        few, many = open_.where(F.col("n") <= SMALL_BUCKET).select("key", "node"), open_.where(F.col("n") > SMALL_BUCKET)
-        two = few.join(few.withColumnRenamed("node", "b"), "key").where("node < b").select(F.col("node").alias("a"), "b")
-        head = many.groupBy("key").agg(F.min("node").alias("a"))
-        led = many.join(head, "key").where("node > a").select("a", F.col("node").alias("b"))
-        found = two.unionByName(led)
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if level == len(WIDE) - 1 or many.isEmpty():
-            break
-        if "least" not in many.columns:  # joined once; later deals carry it along
-            many = many.join(prints.select("node", "least"), "node")
-        again = many.select(F.xxhash64("key", F.element_at("least", F.col("segment") + F.lit(level + 1) - F.when(F.col("segment") + level + 1 >= len(WIDE), len(WIDE)).otherwise(0) + 1)).alias("key"), "node", "segment", "least")
-        again = kept(again, "dealt")
-        open_ = kept(again.join(size(again), "key"), "buckets")
-    far = F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2")))
-    side = prints.select(F.col("node").alias("a"), "lo", "hi")
-    other = prints.select(F.col("node").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    close = kept(pairs.distinct().join(side, "a").join(other, "b").where(far <= 2 * 128 // 5).select("a", "b"), "candidates")
-    edges = kept(_similar(close, kept(_unique(sketches, close), "sets"), similarity), "links")
-    first = known.select("same", "node").join(components(edges), "node", "left").select("same", "node", F.coalesce("component", "node").alias("comp"))
-    rest = kept(_rare_shingle_pairs(sketches, kept(first, "first"), similarity, kept), "rare-pairs")
-    found = components(edges.unionByName(_similar(rest, kept(_unique(sketches, rest), "rare-sets"), similarity)))
-    named = kept(nodes.join(found, "node", "left").select("same", "n", F.coalesce("component", "node").alias("component_id")), "named")
-    out = stored(lookup(sketches.select(F.col("id").alias(key), "same"), named, "same", "n").select(key, "component_id"), "near-copy-groups")
-    for path in paths:
-        remove_folder(spark, path)
-    return out
-
-
-#: Cells in which shingles are counted, by their leading bits, to put rare ones first; members of a salted part.
-COUNT_BITS, SALT_ROWS = 20, 2000
-
-
-def _rarity(sketches: DataFrame) -> np.ndarray:
-    """For each cell of shingle hashes, a class that grows with the shingles in it: 1 MB at any size.
-
-    Any order of the shingles gives the same pairs; this one keeps common ones out of the prefixes.
-    """
-    size, lines = 1 << COUNT_BITS, 1 << (COUNT_BITS - 12)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(size, dtype=np.int64)
-        for b in batches:
-            cells += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint32) >> (32 - COUNT_BITS), minlength=size)
-        part = cells.reshape(lines, -1)
-        at = np.flatnonzero(part.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([part[i].astype("<i4").tobytes() for i in at], pa.binary())], names=["line", "cells"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, dtype="<i4").astype(np.int64) for c in group["cells"].to_pylist())
-        return pa.table([group["line"][:1], pa.array([(8 * np.log2(1 + total)).astype(np.uint8).tobytes()], pa.binary())], names=["line", "cells"])
-
-    out = np.zeros((lines, size // lines), dtype=np.uint8)
-    for r in sketches.select("grams").mapInArrow(count, "line long, cells binary").groupBy("line").applyInArrow(add, "line long, cells binary").toLocalIterator():
-        out[r.line] = np.frombuffer(r.cells, dtype=np.uint8)
-    return out.ravel()
-
-
-def _prefixes(sketches: DataFrame, similarity: float) -> DataFrame:
-    """Rows (gram, same, size, at): the first shingles of each set, rare ones first, `at` the place.
-
-    A set of n can do without the others: if none of n - ceil(similarity n) + 1 is in another set,
-    less than similarity n are.
-    """
-    rarity = _rarity(sketches)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat, ends = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.cumsum([0, *(len(x or ()) for x in b.column(1))])
-            rank = rarity[flat >> (32 - COUNT_BITS)].astype(np.uint64) << np.uint64(32) | flat
-            sizes = np.diff(ends)
-            takes = [int(n) - math.ceil(similarity * n - 1e-9) + 1 if n else 0 for n in sizes]
-            first = [np.sort(np.partition(rank[a : a + n], k - 1)[:k]) for a, n, k in zip(ends, sizes, takes, strict=False) if k]
-            grams = np.concatenate([*first, np.empty(0, dtype=np.uint64)]).astype(np.uint32).view(np.int32)
-            at = np.concatenate([*map(np.arange, takes), np.empty(0, dtype=np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), takes)), pa.array(np.repeat(sizes.astype(np.int32), takes)), pa.array(at)], names=["gram", "same", "size", "at"])
-
-    return sketches.select("same", "grams").mapInArrow(cut, "gram int, same long, size int, at int")
-
-
-def _rare_shingle_pairs(sketches: DataFrame, nodes: DataFrame, similarity: float, kept) -> DataFrame:
-    """Pairs (a, b) of nodes in different components `comp`, among them all of this similarity or more.
-
-    Sets that are alike share a shingle of their prefixes, and the first that they share leaves enough
-    places behind it in both. Under each shingle the members of its most frequent component, which are
-    linked already, meet the other members only; a shingle of one component makes no pair. Members of
-    frequent shingles are dealt over salted parts, so that no task gets all pairs of one.
-    """
-    rows = _prefixes(sketches, similarity).repartition("gram").dropDuplicates(["gram", "same"])
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n > 1").drop("n")
-    rows = kept(rows.join(nodes, "same"), "prefixes")
-    most = rows.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("gram")
-    most = most.agg(F.max_by("comp", "n").alias("top"), F.count(F.lit(1)).alias("k"), F.ceil(F.sum("n") / SALT_ROWS).cast("int").alias("parts")).where("k > 1").drop("k")
-    open_ = kept(rows.join(most, "gram").select("gram", "node", "size", "at", "comp", "top", "parts"), "open")
-    right = open_.select("gram", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), *(F.col(c).alias(c + "2") for c in ("node", "size", "at", "comp")))
-    left = open_.where("comp <> top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    once = (F.col("comp2") == F.col("top")) | (F.col("node") < F.col("node2"))
-    sizes = F.least("size", "size2") >= similarity * F.greatest("size", "size2") - 1e-9
-    places = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) >= similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - 1e-9
-    met = left.join(right, ["gram", "part"]).where((F.col("comp") != F.col("comp2")) & once & sizes & places)
-    return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-
-
-def _segment_keys(nodes: DataFrame) -> DataFrame:
-    """Rows (key, node, segment) of the nodes' Golay keys with their least hashes."""
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
-                node = b.column(0).to_numpy(zero_copy_only=False)
-                lanes = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (1, 2)]
-                least = np.array(b.column(3).to_pylist(), dtype=np.int64).reshape(b.num_rows, len(WIDE)).view(np.uint64)
-                for s, (lane, first, width) in enumerate(WIDE):
-                    near = segment_keys((lanes[lane] >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1), width)
-                    sizes = [len(x) for x in near]
-                    codes = np.concatenate([*near, np.empty(0, dtype=np.int64)]).astype(np.uint64)
-                    key = (np.repeat(least[:, s], sizes) ^ (codes << np.uint64(3) | np.uint64(s))) * np.uint64(0xD6E8FEB86659FD93)
-                    yield pa.RecordBatch.from_arrays([pa.array((key ^ (key >> np.uint64(32))).view(np.int64)), pa.array(np.repeat(node, sizes), pa.int64()), pa.array(np.full(len(codes), s, dtype=np.int32))], names=["key", "node", "segment"])
-
-    return nodes.select("node", "lo", "hi", "least").mapInArrow(expand, "key long, node long, segment int")
-
-
-def _unique(sketches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Shingle sets of the ids in the pairs, one row each."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return sketches.select("id", "grams").join(ids, "id").dropDuplicates(["id"])

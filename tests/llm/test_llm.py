@@ -13,7 +13,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from tessera.llm import common, decontaminate, lm_score, quality, secrets, sentencepiece_model, simhash, token_counts, toxicity, url_filter, warc
+from tessera.llm import common, decontaminate, lm_score, near_copies, quality, secrets, sentencepiece_model, simhash, token_counts, toxicity, url_filter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Null, empty, blank, long, repeated and odd texts.
@@ -460,12 +460,12 @@ def test_near_copy_groups(spark, odd, none):
     sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
     like = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     want = groups(like, range(len(texts)))
-    got = {r.doc_id: r.component_id for r in simhash.near_copy_groups(df).collect()}
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(df).collect()}
     assert all(want[i] == want[got[i]] for i in got)  # no false link
-    assert sum(got[i] == got[j] for i, j in like) >= 0.98 * len(like)
-    out = simhash.near_copy_groups(odd).collect()
+    assert all(got[i] == got[j] for i, j in like)  # and none lost
+    out = near_copies.near_copy_groups(odd).collect()
     assert len(out) == len(ODD) and {r.component_id for r in out if r.doc_id in (1, 2, 3)} == {1} and {r.component_id for r in out if r.doc_id in (5, 8)} == {5}
-    assert simhash.near_copy_groups(none).count() == 0
+    assert near_copies.near_copy_groups(none).count() == 0
 
 
 def test_near_copies_in_a_template_group(spark):
@@ -482,7 +482,7 @@ def test_near_copies_in_a_template_group(spark):
     like = [(i, 1900 + i) for i in range(100) if len(sets[i] & sets[1900 + i]) >= 0.8 * len(sets[i] | sets[1900 + i])]
     assert len(like) == 100 and len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_copy_groups(df).collect()}
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(df).collect()}
     missed = [(i, j) for i, j in like if got[i] != got[j]]
     assert not missed, f"{len(missed)} of {len(like)} missed"
     assert got == groups(like, range(2000))
@@ -491,14 +491,14 @@ def test_near_copies_in_a_template_group(spark):
 def test_near_copies_with_a_passage_appended(spark):
     """Copies at just 0.8, whose fingerprints differ in more bits than the Golay keys bear."""
     rng = np.random.default_rng(9)
-    bits = [{(lane, b) for b in range(first, first + width)} for lane, first, width in simhash.WIDE]
+    bits = [{(lane, b) for b in range(first, first + width)} for lane, first, width in near_copies.WIDE]
     assert len(set.union(*bits)) == sum(map(len, bits))
     texts = [[f"v{x}" for x in rng.integers(0, 5000, 200)] for _ in range(300)]
     texts += [t + [f"a{i}x{k}" for k in range(48)] for i, t in enumerate(texts)]
     sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
     assert all(len(sets[i] & sets[300 + i]) >= 0.8 * len(sets[i] | sets[300 + i]) for i in range(300))
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.near_copy_groups(df).collect()}
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(df).collect()}
     missed = sum(got[i] != got[300 + i] for i in range(300))
     assert not missed, f"{missed} of 300 missed"
     assert got == {i: i % 300 for i in range(600)}
@@ -508,7 +508,7 @@ def test_null_key_in_a_group_of_copies(spark):
     long = " ".join(f"w{i}" for i in range(100))
     rows = [(None, "a b c"), (1, "a b c"), (2, "a b c"), (None, ""), (3, ""), (4, None), (None, long), (5, long), (6, long + " more"), (None, "alone")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [tuple(r) for r in simhash.near_copy_groups(df).collect()]
+    got = [tuple(r) for r in near_copies.near_copy_groups(df).collect()]
     assert {(i, c) for i, c in got if i} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)}
     assert sorted(str(c) for i, c in got if i is None) == ["1", "3", "5", "None"]
 
