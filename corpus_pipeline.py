@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, stored, table
 from tessera.llm.decontaminate import find_overlaps
+from tessera.llm.near_copies import near_copy_groups
 from tessera.llm.secrets import redact_secrets
 from tessera.llm.sentencepiece_model import encode
-from tessera.llm.simhash import near_copy_groups
 from tessera.llm.toxicity import EVIDENCE, fit_toxicity, labelled, score_toxicity
 
 
