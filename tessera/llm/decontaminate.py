@@ -8,6 +8,7 @@ token by token. The masks are light: chance hits are left to that comparison.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from .common import stored, table, texts, word_hashes
 MASKS = ("1111011", "110000010111", "1100110100001", "1010000011011")
 #: Tokens of a verified overlap at least, and the share of them that must be equal.
 LEAST_TOKENS, LEAST_EQUAL = 13, 0.8
-#: Bits of the filter of benchmark hashes that goes to every task, whatever the benchmark's size.
+#: Bits of each half of the filter of benchmark hashes that goes to every task, whatever the benchmark's size.
 FILTER_BITS = 24
 #: The benchmark's windows are broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST_WINDOWS = 500_000
@@ -48,60 +49,92 @@ def mask_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
-def windows(df: DataFrame, key: str, text: str, masks=MASKS, only: np.ndarray | None = None, whole: int = 0) -> DataFrame:
-    """Rows (id, mask, at, hash) of every window; with `only`, a packed bit array, of those whose hash is in it.
+def _text_windows(tokens: np.ndarray, masks, whole: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(mask number, hashes of all windows). Texts of fewer tokens than `whole` have one window more,
+    their whole, whose mask number is its negative length."""
+    for m, mask in [*masks, *([(-len(tokens), "1" * len(tokens))] if 0 < len(tokens) < whole else [])]:
+        h = mask_hashes(tokens, mask)
+        if len(h):
+            yield m, h
 
-    masks may be a mapping from numbers to masks. With `whole`, texts of fewer tokens than that have
-    one window more, their whole, whose mask number is its negative length.
-    """
-    numbered = list(masks.items() if isinstance(masks, dict) else enumerate(masks))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[tuple] = []
-        bits = None if only is None else np.unpackbits(only, bitorder="little")
 
-        def out() -> pa.RecordBatch:
-            ids, ms, ats, hs = ([x[i] for x in got] for i in range(4))
-            sizes = [len(a) for a in ats]
-            got.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, dtype=np.int64), sizes)), pa.array(np.repeat(np.array(ms, dtype=np.int32), sizes)), pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(hs).view(np.int64))], names=["id", "mask", "at", "hash"])
+def benchmark_windows(benchmark: DataFrame, item: str, text: str, least: int) -> DataFrame:
+    """Rows (item, mask, item_at, hash) of every window of the items; items with a null id have none."""
+    masks = list(enumerate(MASKS))
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), texts(b, "_text"), strict=True):
-                tokens = token_hashes(t)
-                for m, mask in [*numbered, *([(-len(tokens), "1" * len(tokens))] if 0 < len(tokens) < whole else [])]:
-                    h = mask_hashes(tokens, mask)
-                    at = np.arange(len(h)) if bits is None else np.flatnonzero(bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-                    if len(at):
-                        got.append((i, m, at, h[at]))
-            if got:
-                yield out()
+                for m, h in _text_windows(token_hashes(t), masks, least):
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(h), pa.int64()), pa.array(np.full(len(h), m, dtype=np.int32)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h.view(np.int64))], names=["item", "mask", "item_at", "hash"])
 
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(cut, "id long, mask int, at int, hash long")
+    rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).cast("string").alias("_text"))
+    return rows.mapInArrow(cut, "item long, mask int, item_at int, hash long")
+
+
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent places of each hash in the halves of the filter."""
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), ((h >> np.uint64(64 - 2 * FILTER_BITS)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64) + (1 << FILTER_BITS)
+
+
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
 
 
 def hash_filter(bench: DataFrame) -> np.ndarray:
-    """Packed bits, one for each leading FILTER_BITS bits that a benchmark hash has: 2 MB at any size."""
+    """Packed bits, two for each benchmark hash: 4 MB at any size. It lets all of them pass, and few others."""
     size = 1 << (FILTER_BITS - 12)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, dtype=np.uint8)
+        bits = np.zeros(2 << FILTER_BITS, dtype=np.uint8)
         for b in batches:
-            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = 1
+            for at in _places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
+                bits[at] = 1
         part = np.packbits(bits, bitorder="little").reshape(-1, size // 8)
         at = np.flatnonzero(part.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([part[i].tobytes() for i in at], pa.binary())], names=["part", "bits"])
 
     rows = bench.select("hash").mapInArrow(pack, "part long, bits binary").groupBy("part").agg(F.collect_set("bits").alias("all"))
-    out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8).reshape(-1, size // 8)
+    out = np.zeros((2 << FILTER_BITS) // 8, dtype=np.uint8).reshape(-1, size // 8)
     for r in rows.toLocalIterator():
         for one in r["all"]:
             out[r.part] |= np.frombuffer(one, dtype=np.uint8)
     return out.ravel()
 
 
+def _hits(docs: DataFrame, key: str, text: str, masks: dict[int, str], bits: np.ndarray) -> DataFrame:
+    """Rows (doc, id, tokens, hits) of the texts with a window that passes the filter; `doc` names a row by
+    its id, and where that is null by its text."""
+    numbered = list(masks.items())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), texts(b, "_text"), strict=True):
+                tokens = token_hashes(t)
+                found = []
+                for m, h in _text_windows(tokens, numbered, 0):
+                    one, two = _places(h)
+                    at = np.flatnonzero(_has(bits, one))
+                    at = at[_has(bits, two[at]) > 0]
+                    found += [{"mask": m, "at": int(x), "hash": int(v)} for x, v in zip(at, h[at].view(np.int64), strict=True)]
+                if found:
+                    name = hashlib.md5(t).hexdigest() if i is None else str(i)
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int64()), pa.array([tokens.tobytes()], pa.binary()), pa.array([found], pa.list_(pa.struct([("mask", pa.int32()), ("at", pa.int32()), ("hash", pa.int64())])))], names=["doc", "id", "tokens", "hits"])
+
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("_text"))
+    return rows.mapInArrow(cut, "doc string, id long, tokens binary, hits array<struct<mask:int,at:int,hash:long>>")
+
+
+def maximal(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (start, length, equal) those whose span lies in no other's; of equal spans the one with most equal tokens."""
+    out, end = [], -1
+    for start, n, same in sorted(found, key=lambda x: (x[0], -x[1], -x[2])):
+        if start + n > end:
+            out.append((start, n, same))
+            end = start + n
+    return out
+
+
 def _longest_run(same: np.ndarray, least: int, equal: float) -> tuple[int, int] | None:
     """Start and length of the longest run between equal tokens with at least this share of equal ones."""
     if same.sum() < equal * least - 1e-9:
@@ -160,55 +193,67 @@ def overlaps(a: np.ndarray, b: np.ndarray, shift: int, least: int, equal: float)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST_TOKENS, equal: float = LEAST_EQUAL) -> DataFrame:
-    """Rows (key, item, start, length, equal): verified overlaps, in tokens of the document.
-
-    Benchmark items of fewer tokens than `least` must be there whole. Their own hash finds them where
-    all tokens are equal; with substitutions they are found where a mask of their length or less hits.
-    Null texts count as empty; null keys and items find nothing; repeated rows of one key give their
-    overlaps once each. Hits of one document and item are brought down to distinct alignments before
-    the texts are joined, and only documents with hits are shuffled.
+    """Rows (key, digest, item, start, length, equal): verified overlaps, in tokens of the document.
+
+    An overlap that lies within another of the same document and item is left out. Benchmark items of
+    fewer tokens than `least` must be there whole: their own hash finds them where all tokens are
+    equal, and with substitutions they are found where a mask of their length or less hits. Null texts
+    count as empty. Documents with a null key are checked by their text: their rows have the text's
+    MD5 as digest, which is null for others. Items with a null id are left out; an empty benchmark or
+    table gives no rows; repeated rows give their overlaps once. The corpus is read once, and only the
+    tokens of documents with hits are written or shuffled.
     """
-    bench = stored(windows(benchmark, item, item_text, whole=least), "benchmark-windows")
+    bench = stored(benchmark_windows(benchmark, item, item_text, least), "benchmark-windows")
     masks = {r["mask"]: MASKS[r["mask"]] if r["mask"] >= 0 else "1" * -r["mask"] for r in bench.select("mask").distinct().collect()}
-    hits = windows(docs, key, text, masks, hash_filter(bench))
+    hits = stored(_hits(docs, key, text, masks, hash_filter(bench)), "hits")
     small = F.broadcast if bench.count() <= BROADCAST_WINDOWS else (lambda x: x)  # else Spark splits skewed partitions
-    joined = hits.join(small(bench.select(F.col("id").alias("item"), "mask", "hash", F.col("at").alias("item_at"))), ["mask", "hash"])
-    aligned = stored(joined.select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "alignments")
+    aligned = hits.select("doc", F.explode("hits").alias("h")).select("doc", "h.*").join(small(bench), ["mask", "hash"]).select("doc", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     items = benchmark.select(F.col(item).cast("long").alias("item"), F.coalesce(item_text, F.lit("")).alias("_item")).distinct()
-    wanted = aligned.join(items, "item").groupBy("id").agg(F.collect_list(F.struct("item", "shift", "_item")).alias("to"))
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("_text")).join(wanted, "id")
+    shifts = stored(aligned.groupBy("doc", "item").agg(F.collect_list("shift").alias("shifts")), "alignments")
+    wanted = shifts.join(items, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "shifts", "_item")).alias("to"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         for b in batches:
-            for i, t, to in zip(b.column(0).to_pylist(), texts(b, "_text"), b.column(2).to_pylist(), strict=True):
-                a, got, known = token_hashes(t), set(), {}
+            got = []
+            for doc, i, data, to in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                a = np.frombuffer(data, dtype=np.uint64)
                 for x in to:
-                    other = known.get(x["item"])
-                    if other is None:
-                        other = known[x["item"]] = token_hashes(x["_item"].encode())
-                    got |= {(i, x["item"], *o) for o in overlaps(a, other, x["shift"], min(least, len(other)), equal)}
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sorted(got), strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["id", "item", "start", "length", "equal"])
+                    other = token_hashes(x["_item"].encode())
+                    spans = {o for shift in x["shifts"] for o in overlaps(a, other, shift, min(least, len(other)), equal)}
+                    got += [(doc if i is None else None, i, x["item"], *o) for o in maximal(spans)]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)], names=["digest", "id", "item", "start", "length", "equal"])
+
+    found = hits.select("doc", "id", "tokens").join(wanted, "doc").mapInArrow(verify, "digest string, id long, item long, start int, length int, equal int").distinct()
+    return found.select(F.col("id").alias(key), "digest", F.col("item").alias(item), "start", "length", "equal")
+
 
-    found = rows.mapInArrow(verify, "id long, item long, start int, length int, equal int")
-    return found.select(F.col("id").alias(key), F.col("item").alias(item), "start", "length", "equal")
+def _judged(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, **options) -> DataFrame:
+    """docs with _items and _longest, null where there is no overlap."""
+    found = stored(find_overlaps(docs, benchmark, key, text, item, **options), "overlaps")
+    sums = found.groupBy(F.col(key).alias("_key"), F.col("digest").alias("_digest")).agg(F.count_distinct(item).alias("_items"), F.max("length").alias("_longest"))
+    named, other = sums.where("_key is not null").drop("_digest"), sums.where("_key is null").drop("_key")
+    known = docs.where(F.col(key).isNotNull()).join(named, F.col(key) == F.col("_key"), "left").drop("_key")
+    rest = docs.where(F.col(key).isNull()).join(other, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) == F.col("_digest"), "left").drop("_digest")
+    return known.unionByName(rest)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", **options) -> DataFrame:
     """docs with n_items (benchmark items with an overlap), longest (tokens of the longest overlap) and contaminated.
 
-    Columns of docs with those names are replaced. An empty benchmark contaminates nothing.
+    Columns of docs with those names are replaced. An empty benchmark contaminates nothing. Nulls and
+    repeated rows are as find_overlaps says.
     """
-    docs = docs.drop("n_items", "longest", "contaminated")
-    found = find_overlaps(docs, benchmark, key, **options)
-    item = options.get("item", "item_id")
-    sums = found.groupBy(key).agg(F.count_distinct(item).alias("n_items"), F.max("length").alias("longest"))
-    out = docs.join(sums, key, "left")
-    return out.select(*docs.columns, F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("longest", F.lit(0)).alias("longest"), F.col("n_items").isNotNull().alias("contaminated"))
+    out = _judged(docs.drop("n_items", "longest", "contaminated"), benchmark, key, text, item, **options)
+    rest = [c for c in out.columns if c not in ("_items", "_longest")]
+    return out.select(*rest, F.coalesce("_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("_longest", F.lit(0)).alias("longest"), F.col("_items").isNotNull().alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", **options) -> DataFrame:
+    """The rows of docs without an overlap, all columns as they are."""
+    return _judged(docs, benchmark, key, text, item, **options).where("_items is null").select(*docs.columns)
 
 
 def op4_decontaminate(spark, sf_dir):
-    docs, bench = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    found = stored(find_overlaps(docs, bench), "overlaps")
-    sums = found.groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_items"), F.max("length").alias("longest"))
-    return docs.select("doc_id").join(sums, "doc_id", "left").select("doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("longest", F.lit(0)).alias("longest"), F.col("n_items").isNotNull().alias("contaminated"))
+    return decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")

@@ -186,10 +186,13 @@ def test_decontamination(spark, none):
     docs = spark.createDataFrame([*texts.items(), (104, None), (105, ""), (None, texts[100]), (106, texts[100]), (106, texts[100])], "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, "tiny"), (None, "x")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.find_overlaps(docs, bench).collect()}
-    assert set(got) == {(100, 1), (101, 1), (102, 1), (106, 1)}
+    assert set(got) == {(100, 1), (101, 1), (102, 1), (106, 1), (None, 1)}
+    assert all((r.digest is None) == (r.doc_id is not None) for r in got.values())
     assert got[(100, 1)].start == 50 and got[(100, 1)].length == 40 and got[(101, 1)].length >= 35
     out = decontaminate.decontaminate(docs.withColumn("longest", F.lit("x")), bench)
-    assert out.count() == docs.count() and out.where("contaminated").count() == 5
+    assert out.count() == docs.count() and out.where("contaminated").count() == 6
+    kept = decontaminate.drop_contaminated(docs.withColumn("contaminated", F.lit("own")).withColumn("n_items", F.lit(7)), bench)
+    assert kept.count() == docs.count() - 6 and {(r.contaminated, r.n_items) for r in kept.collect()} == {("own", 7)}
     assert decontaminate.find_overlaps(docs, bench.where("1 = 0")).count() == 0
     assert decontaminate.find_overlaps(none, bench).count() == 0
 
@@ -220,6 +223,44 @@ def test_masks_hit_whatever_is_substituted(n):
         assert any(length >= 13 and equal >= 0.8 * length for _, length, equal in decontaminate.overlaps(a, b, 0, 13, 0.8))
 
 
+def test_overlaps_of_repeated_words(spark):
+    """A word said 4,000 times meets an item of 40 of it at every place; one entry is left for each maximal span."""
+    docs = spark.createDataFrame([(1, "go " * 4000), (2, "go " * 20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "go " * 40)], "item_id long, text string")
+    got = decontaminate.find_overlaps(docs, bench).collect()
+    assert len({(r.doc_id, r.start) for r in got}) == len(got) == 3961 + 1
+    assert decontaminate.maximal({(3, 5, 5), (4, 3, 3), (3, 5, 4), (6, 5, 5)}) == [(3, 5, 5), (6, 5, 5)]
+
+
+def test_decontamination_against_all_alignments(spark):
+    """Every document with an alignment of 13 tokens or more, 0.8 of them equal, found by trying all of them."""
+    rng = np.random.default_rng(21)
+    words = [f"t{i}" for i in range(3000)]
+    items = [list(rng.choice(words, int(rng.integers(13, 60)))) for _ in range(30)]
+    docs = []
+    for i in range(120):
+        item = items[i % 30]
+        n = int(rng.integers(13, len(item) + 1))
+        at = int(rng.integers(0, len(item) - n + 1))
+        said = [w if rng.random() > 0.22 * (i % 3) / 2 else "other" for w in item[at : at + n]]
+        docs.append([*rng.choice(words, 30), *said, *rng.choice(words, 30)])
+
+    def alike(doc, item):
+        a, b = (np.array(x) for x in (doc, item))
+        for shift in range(-len(b) + 13, len(a) - 12):
+            lo, hi = max(0, shift), min(len(a), len(b) + shift)
+            same = np.concatenate([[0], np.cumsum(a[lo:hi] == b[lo - shift : hi - shift])])
+            if any((same[n:] - same[:-n] >= 0.8 * n - 1e-9).any() for n in range(13, len(same))):
+                return True
+        return False
+
+    want = {(i, j) for i, d in enumerate(docs) for j, t in enumerate(items) if alike(d, t)}
+    frame = lambda rows, k: spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], f"{k} long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert len(want) > 80 and got <= want
+    assert len(got) >= 0.97 * len(want), f"{len(got)} of {len(want)}"
+
+
 def test_short_and_substituted_passages(spark):
     rng = np.random.default_rng(3)
     items, docs, want = [], [], {}
