@@ -2,12 +2,14 @@
 
 Counts of training n-grams are smoothed with Dirichlet priors: an n-gram hw has probability
 (c(hw) + m P(w|h')) / (c(h) + m), h' being h without its first word. In the automaton a state is a
-context with a count, an arc reads a word that was seen in it, and where none was, a failure arc of
-weight m / (c(h) + m) leads to the state of h'. A text is read once from left to right.
+context with a count, an arc reads a word that was seen in it and weighs log10 P(w|h), and where none
+was, a failure arc of weight log10 m / (c(h) + m) leads to the state of h'. A text is read once from
+left to right: the state is carried from token to token and the weights are added up.
 
 The automaton grows with the corpus and is never brought together. Documents are put into packs; a
 pack sends its distinct n-grams' hashes, by hash range, to the tasks that add up the counts, and gets
-back the totals of its own n-grams, which is the part of the automaton that its texts can reach.
+back the totals of its own n-grams, which is the part of the automaton that its texts can reach. A
+pack sends each range one row at most, and no more rows than it has n-grams.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ ORDER, PRIORS, ADD = 2, (300.0, 30.0, 10.0), 0.5
 #: Bytes of text of a pack, and n-grams that a counting task gets on average.
 PACK_BYTES, KEYS_PER_TASK = 8 << 20, 2_000_000
 END = b""  # no word is empty
+#: Tokens that one lane of a walk reads: texts are walked side by side, long ones in pieces.
+PIECE = 512
 
 
 def held_out(key) -> bool:
@@ -87,6 +91,83 @@ def _task_of(keys: np.ndarray, tasks: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(tasks)) >> np.uint64(32)
 
 
+class Automaton:
+    """States, arcs and failure arcs over the n-grams of a pack, numbered order after order.
+
+    node[n - 1][i] is the number of the n-gram that ends at token i, -1 where its text has fewer tokens.
+    As an arc it leads out of its first n - 1 words' state; arc_weight is -inf where it was not seen,
+    but the empty state has an arc for every word. As a state it stands for the context of its words.
+    State -1 is the empty one, in which texts begin.
+    """
+
+    def __init__(self, pack: Pack, totals: list[np.ndarray], whole: float, priors: tuple[float, ...]):
+        self.order, self.node, self.pack = len(totals), [], pack
+        count, prob, weight, target, fail, fail_weight, depth, at = [], [], [], [], [], [], [], 0
+        for n, distinct, place, _ in pack.grams(self.order):
+            c, number = totals[n - 1].astype(float), np.where(place < 0, -1, place + at)
+            some = np.flatnonzero(place >= 0)
+            last = np.zeros(len(distinct), dtype=np.int64)
+            last[place[some]] = some  # a token at which the n-gram ends
+            if n == 1:
+                suffix = np.full(len(distinct), -1, dtype=np.int64)
+                p = (c + ADD) / whole
+                seen = np.ones(len(distinct), dtype=bool)
+            else:
+                suffix, context = self.node[n - 2][last], self.node[n - 2][last - 1]
+                m, held = priors[n - 2], np.concatenate(count)[context]
+                p = (c + m * np.concatenate(prob)[suffix]) / (held + m)
+                seen = c > 0
+            count.append(c)
+            prob.append(p)
+            weight.append(np.where(seen, np.log10(p), -np.inf))
+            own = np.arange(at, at + len(distinct))
+            target.append(np.where(c > 0, own, -1) if n < self.order else suffix)
+            fail.append(suffix)
+            fail_weight.append(np.log10(priors[n - 1] / (c + priors[n - 1])) if n < self.order else np.zeros(len(distinct)))
+            depth.append(np.full(len(distinct), n))
+            self.node.append(number)
+            at += len(distinct)
+        self.count, self.arc_weight, self.target, self.fail, self.fail_weight, self.depth = (np.concatenate(x) for x in (count, weight, target, fail, fail_weight, depth))
+        if self.order == 1:
+            self.target[:] = -1
+        self.table = np.stack(self.node)
+
+    def walk(self, piece: int = PIECE) -> np.ndarray:
+        """The log10 probability of each text.
+
+        Lanes read one token each at a time. A lane starts order - 1 tokens before its piece, whose
+        weights it does not add: after them it is in the state that a walk from the text's start is in.
+        """
+        p, lead = self.pack, self.order - 1
+        parts = -(-p.lengths // piece)
+        text = np.repeat(np.arange(len(parts)), parts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = p.starts[text] + nth * piece
+        start = np.maximum(begin - lead, p.starts[text])
+        end = np.minimum(begin + piece, p.starts[text] + p.lengths[text])
+        by = np.argsort(start - end, kind="stable")  # the longest first
+        text, begin, start, end = text[by], begin[by], start[by], end[by]
+        state, sums = np.full(len(text), -1, dtype=np.int64), np.zeros(len(text))
+        for step in range(int((end - start).max(initial=0))):
+            live = int(np.searchsorted(start - end, -step, side="left"))
+            at, now = start[:live] + step, state[:live].copy()
+            gain, todo = np.zeros(live), np.arange(live)
+            while len(todo):
+                s = now[todo]
+                level = np.where(s < 0, 0, self.depth[s])
+                arc = self.table[level, at[todo]]
+                w = self.arc_weight[arc]
+                found = w > -np.inf
+                gain[todo[found]] += w[found]
+                now[todo[found]] = self.target[arc[found]]
+                todo, s = todo[~found], s[~found]
+                gain[todo] += self.fail_weight[s]
+                now[todo] = self.fail[s]
+            state[:live] = now
+            sums[:live] += np.where(at >= begin[:live], gain, 0.0)
+        return np.bincount(text, weights=sums, minlength=len(parts))
+
+
 def _packs(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (pack, keys, train, lengths, ids, hashes): documents in packs of about PACK_BYTES."""
 
@@ -181,21 +262,11 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", order: i
         for b in batches:
             for row in b.to_pylist():
                 p, back_ = _open(row), sorted(row["back"], key=lambda r: (r["n"], r["task"]))
-                log = state = None
-                for n, _, place, _ in p.grams(order):
-                    totals = np.concatenate([*(_spread(r["totals"], np.int64) for r in back_ if r["n"] == n), [0]])
-                    seen = totals[place].astype(np.int64)  # a place of -1 is the zero at the end
-                    if n == 1:
-                        prob = (seen + ADD) / whole
-                        base, known = np.log10(prob), seen > 0
-                    else:  # the state before the token is its context; without a count the failure arc weighs nothing
-                        context = np.concatenate([[0], state[:-1]])
-                        context[place < 0] = 0
-                        prob = (seen + priors[n - 2] * prob) / (context + priors[n - 2])
-                    state = seen
-                log = np.log10(prob)
-                sums = [np.add.reduceat(x, p.starts) for x in (known.astype(np.int64), base, log)]
-                yield pa.RecordBatch.from_arrays([pa.array(row["keys"], pa.int64()), pa.array(~p.train), pa.array(p.lengths), pa.array(sums[0]), pa.array(np.full(len(p.lengths), total, dtype=np.int64)), pa.array(sums[1].round(6)), pa.array(sums[2].round(6))], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                totals = [np.concatenate([np.empty(0, dtype=np.int64), *(_spread(r["totals"], np.int64) for r in back_ if r["n"] == n)]) for n in range(1, order + 1)]
+                model = Automaton(p, totals, whole, priors)
+                known, base = (model.count > 0).astype(np.int64), np.log10((model.count + ADD) / whole)
+                sums = [np.add.reduceat(x[model.node[0]], p.starts) for x in (known, base)]
+                yield pa.RecordBatch.from_arrays([pa.array(row["keys"], pa.int64()), pa.array(~p.train), pa.array(p.lengths), pa.array(sums[0]), pa.array(np.full(len(p.lengths), total, dtype=np.int64)), pa.array(sums[1].round(6)), pa.array(model.walk().round(6))], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return packs.join(back, "pack").mapInArrow(score, f"`{key}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -117,15 +117,33 @@ def test_lm_against_brute_force(spark, odd, order):
 
 
 def test_lm_probabilities_add_up(spark):
-    docs = spark.createDataFrame([(0, "a b a c"), (2, "b a b")], "doc_id long, text string").where("doc_id >= 0")
-    words = ["a", "b", "c", "zzz"]
-    ask = spark.createDataFrame([(100 + i, f"a {w}") for i, w in enumerate(words)], "doc_id long, text string")
-    keys = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 1][: len(words) + 1]
-    ask = spark.createDataFrame([(k, f"a {w}".strip()) for k, w in zip(keys, [*words, ""], strict=True)], "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_score.score_texts(docs.unionByName(ask)).collect()}
-    assert all(got[k].held_out for k in keys) and got[keys[0]].train_tokens == 9
-    one = {w: 10 ** (got[k].score - got[k].base_score) for k, w in zip(keys, [*words, ""], strict=True)}
-    assert all(v > 0 for v in one.values())
+    """P(w | a) over the known words, one unknown and the end is 1; each is had from whole texts' scores."""
+    free = iter(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1)
+    train = [(next(free), t) for t in ("a b a c", "b a b", "c c a b")]
+    keys = iter(i for i in range(100, 300) if zlib.crc32(str(i).encode()) % 5 == 1)
+    ask = {t: next(keys) for w in ("a", "b", "c", "zzz") for t in (w, f"a {w}")}
+    got = {r.doc_id: r for r in lm_score.score_texts(spark.createDataFrame([*train, *((k, t) for t, k in ask.items())], "doc_id long, text string")).collect()}
+    count = Counter(w for _, t in train for w in [*t.split(), ""])
+    whole = sum(count.values()) + 0.5 * (len(count) + 1)
+    first = lambda w: math.log10((count[w] + 0.5) / whole)
+    score = lambda t: got[ask[t]].score
+    after_a = [10 ** (score(f"a {w}") - first("a") - (score(w) - first(w))) for w in ("a", "b", "c", "zzz")] + [10 ** (score("a") - first("a"))]
+    assert all(x > 0 for x in after_a) and sum(after_a) == pytest.approx(1, abs=1e-4)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_walk_in_pieces(order):
+    """However a text is cut into pieces, the carried state gives what a walk of the whole gives."""
+    rng = np.random.default_rng(order)
+    lengths = np.array([1, 400, 3, 57])
+    ids = np.concatenate([np.append(rng.integers(1, 6, n - 1), 0) for n in lengths]).astype(np.uint32)
+    pack = lm_score.Pack(ids, rng.integers(1, 1 << 62, 6).astype(np.uint64), lengths, np.array([False, True, True, False]))
+    totals = [counts for *_, counts in pack.grams(order)]
+    model = lm_score.Automaton(pack, totals, totals[0].sum() + 0.5 * 7, (3.0, 2.0, 1.0))
+    assert (model.fail_weight <= 0).all() and set(model.fail[model.depth == 1]) == {-1}
+    whole = model.walk(10_000)
+    for piece in (1, 2, 7, 64):
+        assert model.walk(piece) == pytest.approx(whole, abs=1e-9)
 
 
 def test_lm_empty(none):
