@@ -1,21 +1,55 @@
-"""Byte-pair encoding of a corpus: training on the table of distinct words, encoding each distinct word once."""
+"""Byte-pair encoding of a corpus: training on the table of distinct words, encoding where the texts are read."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordinal import checkpointed
 
+#: The special tokens, in the order of their ids.
 SPECIALS = ("<pad>", "<s>", "</s>", "<mask>", "<sep>", "<unk>", "<cls>")
+#: Fixed value: the public pattern of byte-level pre-tokens, each with the blank before it.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Words whose pieces a task keeps.
+MEMORY = 200_000
 
 
-def words(df: DataFrame, text: str) -> DataFrame:
-    """Rows (word, n) of blank-separated words over the whole corpus."""
-    w = df.select(F.explode(F.filter(F.split(text, r"\s+"), lambda t: t != "")).alias("word"))
+def byte_symbols() -> list[str]:
+    """A visible character for each byte: printable Latin-1 ones stand for themselves, the others for those from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, spare = [], 256
+    for b in range(256):
+        out.append(chr(b) if b in plain else chr(spare))
+        spare += b not in plain
+    return out
+
+
+def blank_words(text: Column) -> Column:
+    """Pre-tokens without blanks, as they are."""
+    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+
+
+def byte_words(text: Column) -> Column:
+    """Byte-level pre-tokens: every byte is one character of byte_symbols, blanks too."""
+    symbols = F.array(*[F.lit(s) for s in byte_symbols()])
+
+    def spelt(word: Column) -> Column:
+        hexed = F.hex(F.encode(word, "UTF-8"))
+        return F.array_join(F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda i: F.get(symbols, F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))), "")
+
+    return F.transform(F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0)), spelt)
+
+
+def words(df: DataFrame, text: str, cut=blank_words) -> DataFrame:
+    """Rows (word, n) of the pre-tokens of the whole corpus; spelling is done once for each distinct one."""
+    if cut is byte_words:
+        raw = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(PRE_TOKEN), F.lit(0))).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+        return raw.select(F.array_join(byte_words(F.col("raw")), "").alias("word"), "n")
+    w = df.select(F.explode(cut(F.col(text))).alias("word"))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -24,52 +58,86 @@ def _pairs(parts: DataFrame) -> DataFrame:
     return parts.where(F.size("parts") > 1).select("n", F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
 
 
+def merged(p: list[str], x: str, y: str) -> list[str]:
+    """The symbols with each pair (x, y) merged, from left to right."""
+    i, q = 0, []
+    while i < len(p):
+        if i + 1 < len(p) and p[i] == x and p[i + 1] == y:
+            q.append(x + y)
+            i += 2
+        else:
+            q.append(p[i])
+            i += 1
+    return q
+
+
 def _apply(parts: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
-    """Merge the pairs, in order, from left to right in each word."""
+    """Merge the pairs, in order, in each distinct word; words without any of them are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for p in b.column(2).to_pylist():
                 for x, y in merges:
-                    i, q = 0, []
-                    while i < len(p):
-                        if i + 1 < len(p) and p[i] == x and p[i + 1] == y:
-                            q.append(x + y)
-                            i += 2
-                        else:
-                            q.append(p[i])
-                            i += 1
-                    p = q
+                    if x in p and y in p:
+                        p = merged(p, x, y)
                 out.append(p)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], names=["word", "n", "parts"])
 
     return parts.select("word", "n", "parts").mapInArrow(run, "word string, n long, parts array<string>")
 
 
+def _sure(top: list[tuple[str, str, int]], rest: int, most: int) -> list[tuple[str, str]]:
+    """The first pairs of `top` that come next whatever their predecessors' merges make: see train.
+
+    rest: a bound on the count of each pair that is not in `top`.
+    """
+    taken: list[tuple[str, str, int]] = []
+    bound = 0
+    for a, b, n in top:
+        if taken and (len(taken) == most or {a, b} & {s for x, y, _ in taken for s in (x, y, x + y)} or n <= bound):
+            break
+        taken.append((a, b, n))
+        made = a + b
+        near = max([m for x, y, m in top if (x == b or y == a) and (x, y) != (a, b)] + [rest])
+        held = max([m for x, y, m in top if made in (x, y)] + [rest])
+        bound = max(bound, near + held if a != b else n + held)
+    return [(a, b) for a, b, _ in taken]
+
+
 def train(word_counts: DataFrame, merges: int, least: int = 2, batch: int = 1) -> list[tuple[str, str]]:
     """Merges in order, each the most frequent pair (ties: first by text) with a count of at least `least`.
 
-    A round counts pairs over the distinct words and takes up to `batch` pairs that share no symbol,
-    so that taking them at once changes none of their counts. The driver sees only those pairs.
+    A round counts pairs over the distinct words and takes up to `batch` pairs whose order is certain:
+    they share no symbol with those before them, and their count is above what any pair that these
+    make can have: a new pair (ab, y) is no more frequent than (b, y), plus what (ab, y) had already.
+    So every `batch` gives the merges of one by one. The driver sees only the most frequent pairs.
     """
     parts = checkpointed(word_counts.withColumn("parts", F.filter(F.split("word", ""), lambda c: c != "")).select("word", "n", "parts"))
     done: list[tuple[str, str]] = []
     while len(done) < merges:
-        top = _pairs(parts).where(F.col("n") >= least).orderBy(F.desc("n"), "a", "b").limit(4 * batch).collect()
-        taken, used = [], set()
-        for r in top:
-            if len(taken) == min(batch, merges - len(done)) or {r.a, r.b} & used:
-                break
-            taken.append((r.a, r.b))
-            used |= {r.a, r.b}
-        if not taken:
+        limit = 1 if batch == 1 else 64 * batch
+        top = [tuple(r) for r in _pairs(parts).where(F.col("n") >= least).orderBy(F.desc("n"), "a", "b").limit(limit).collect()]
+        if not top:
             break
+        rest = top[-1][2] if len(top) == limit else least - 1
+        taken = _sure(top, rest, min(batch, merges - len(done)))
         done += taken
         parts = checkpointed(_apply(parts, taken))
     return done
 
 
+def train_vocabulary(df: DataFrame, text: str, size: int, least: int = 2, batch: int = 16) -> list[tuple[str, str]]:
+    """Byte-level merges for a vocabulary of `size`: special tokens, 256 bytes, then one token a merge."""
+    return train(words(df, text, byte_words), max(0, size - len(SPECIALS) - 256), least, batch)
+
+
+def vocabulary(merges: Sequence[tuple[str, str]]) -> dict[str, int]:
+    """Ids of the special tokens, then of the bytes in the order of their symbols, then of the merges."""
+    names = [*SPECIALS, *sorted(byte_symbols()), *(a + b for a, b in merges)]
+    return {n: i for i, n in enumerate(dict.fromkeys(names))}
+
+
 def segment(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     """A word's pieces: the pair of least rank is merged everywhere, until none is left."""
     p = list(word)
@@ -77,32 +145,40 @@ def segment(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
         best = min(zip(p, p[1:], strict=False), key=lambda x: ranks.get(x, len(ranks)))
         if best not in ranks:
             break
-        i, q = 0, []
-        while i < len(p):
-            if i + 1 < len(p) and (p[i], p[i + 1]) == best:
-                q.append(p[i] + p[i + 1])
-                i += 2
-            else:
-                q.append(p[i])
-                i += 1
-        p = q
+        p = merged(p, *best)
     return p
 
 
-def encode(df: DataFrame, key: str, text: str, merges: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows (key, pieces): each distinct word is cut once, and its pieces joined back to the words' places."""
+def encode(df: DataFrame, key: str, text: str, merges: Sequence[tuple[str, str]], cut=blank_words) -> DataFrame:
+    """Rows (key, pieces): the pieces of a text's pre-tokens in order; a task cuts a frequent word once. Null texts have none."""
     ranks = {m: i for i, m in enumerate(merges)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[str]] = {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([segment(w, ranks) for w in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["word", "pieces"])
+            out = []
+            for many in b.column(1).to_pylist():
+                pieces = []
+                for w in many:
+                    if w not in known:
+                        if len(known) >= MEMORY:
+                            known.clear()
+                        known[w] = segment(w, ranks)
+                    pieces += known[w]
+                out.append(pieces)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=[key, "pieces"])
 
-    long = df.select(key, F.posexplode(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")).alias("at", "word"))
-    cut = long.select("word").distinct().mapInArrow(run, "word string, pieces array<string>")
-    rows = long.join(cut, "word").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "pieces"))).alias("_x"))
-    return df.select(key).join(rows, key, "left").select(key, F.coalesce(F.flatten(F.transform("_x", lambda x: x["pieces"])), F.array().cast("array<string>")).alias("pieces"))
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, cut(F.coalesce(F.col(text), F.lit(""))).alias("_w")).mapInArrow(run, f"`{key}` {kind}, pieces array<string>")
 
 
 def decode(df: DataFrame, key: str, pieces: str = "pieces") -> DataFrame:
     """Rows (key, text): pieces without their words' borders, joined."""
     return df.select(key, F.array_join(pieces, "").alias("text"))
+
+
+def decode_bytes(df: DataFrame, key: str, pieces: str = "pieces") -> DataFrame:
+    """Rows (key, text) of byte-level pieces: their characters back as bytes, blanks and all."""
+    value = F.create_map(*[x for i, s in enumerate(byte_symbols()) for x in (F.lit(s), F.lit(f"{i:02X}"))])
+    chars = F.filter(F.split(F.array_join(pieces, ""), ""), lambda c: c != "")
+    return df.select(key, F.decode(F.unhex(F.array_join(F.transform(chars, lambda c: F.try_element_at(value, c)), "")), "UTF-8").alias("text"))

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Labels that a filter may have in a lattice, whose grid is broadcast.
+MOST_LABELS = 1000
 Clauses = Sequence[Sequence[tuple[str, str]]]
 
 
@@ -122,11 +124,15 @@ def funnel(df: DataFrame, clauses: Clauses) -> DataFrame:
 def lattice(df: DataFrame, filters: Sequence[str], most: int = 2) -> DataFrame:
     """Rows (labels..., n): the size of every intersection of groups of up to `most` filters, zeros too.
 
-    One aggregation by grouping sets; the grid of labels, a few per filter, supplies the zeros.
+    One aggregation by grouping sets; the grid of labels supplies the zeros. A filter with more than
+    MOST_LABELS labels is an error: its grid would grow with the square of their number.
     """
     names = [f"label_{f}" for f in filters]
     sets = [s for k in range(1, most + 1) for s in itertools.combinations(names, k)]
     counted = df.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(F.count(F.lit(1)).alias("n"), *[F.grouping(c).alias(f"g_{c}") for c in names])
+    sizes = df.agg(*[F.count_distinct(c).alias(c) for c in names]).first()
+    if any(sizes[c] > MOST_LABELS for c in names):
+        raise ValueError(f"a lattice takes filters of up to {MOST_LABELS} labels")
     grids = []
     for s in sets:
         grid = None
@@ -145,6 +151,28 @@ def pair_overlap(df: DataFrame, pairs: Sequence[tuple[tuple[str, str], tuple[str
     return sums.select(F.inline(F.array(*[F.struct(F.lit(":".join(a)).alias("a"), F.lit(":".join(b)).alias("b"), F.col(f"c{i}").alias("n")) for i, (a, b) in enumerate(pairs)])))
 
 
+def label_length(df: DataFrame, lengths: DataFrame, key: str, limit: int, name: str = "length") -> DataFrame:
+    """df with label_<name> by a table (key, length): belowOrEqualThreshold or aboveThreshold, failedTokenize where
+    the length is null or missing; rows with a null key get no label."""
+    once = lengths.groupBy(key).agg(F.max("length").alias("_length"))
+    label = F.when(F.col("_length") <= limit, f"belowOrEqualThreshold{limit}").when(F.col("_length") > limit, f"aboveThreshold{limit}").otherwise("failedTokenize")
+    return df.join(once, key, "left").withColumn(f"label_{name}", F.when(F.col(key).isNotNull(), label)).drop("_length")
+
+
+def group_sizes(df: DataFrame, filters: Sequence[str], key: str) -> DataFrame:
+    """Rows (filter, label, n, distinct_keys, consistent): the size of each group, and whether its rows are as many
+    as its keys; rows without a label are in no group."""
+    cells = F.array(*[F.struct(F.lit(f).alias("filter"), F.col(f"label_{f}").alias("label")) for f in filters])
+    out = df.select(key, F.explode(cells).alias("c")).where("c.label is not null").groupBy("c.filter", "c.label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("distinct_keys"))
+    return out.withColumn("consistent", F.col("n") == F.col("distinct_keys"))
+
+
+def dedup_report(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Rows (by[0], accepted, rejected): how many of its rows keep_first keeps and drops."""
+    runs = df.groupBy(*by).agg(F.count(order).alias("_n"))
+    return runs.groupBy(by[0]).agg(F.count(F.lit(1)).alias("accepted"), F.sum(F.col("_n") - 1).alias("rejected"))
+
+
 def keep_first(df: DataFrame, by: Sequence[str | Column], order: str) -> DataFrame:
     """Of rows with equal `by` (nulls are equal) the one with the least `order`."""
     w = Window.partitionBy(*by).orderBy(order)

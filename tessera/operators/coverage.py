@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Groups that a report may have; they are broadcast.
+MOST_GROUPS = 10_000
+
+
 def key_flags(runs: DataFrame, key: str, ok: Column, traced: Column, canonical: Column) -> DataFrame:
     """One row per key with booleans: any_ok, all_ok, any_traced, all_traced (ok and traced), and the same over canonical runs."""
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -33,13 +37,16 @@ def in_all_groups(df: DataFrame, key: str, group: str, strict: bool = True) -> D
 def coverage_gaps(df: DataFrame, key: str, group: str, errors: str) -> DataFrame:
     """Rows (key, group, status) for the keys that some group lacks or failed: ok, not found, error n or multiple.
 
-    The grid is those keys by the groups present, whose number the filter design fixes.
+    The grid is those keys by the groups present, at most MOST_GROUPS, else an error.
     """
+    groups = df.select(group).distinct()
+    if groups.limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"a coverage report takes up to {MOST_GROUPS} groups")
     cells = df.groupBy(key, group).agg(F.count(F.lit(1)).alias("_n"), F.max(errors).alias("_e"))
     total = df.agg(F.count_distinct(group).alias("_total"))
     good = cells.groupBy(key).agg(F.count_if((F.col("_n") == 1) & (F.col("_e") == 0)).alias("_ok"))
     failing = good.join(F.broadcast(total)).where("_ok < _total").select(key)
-    grid = failing.join(F.broadcast(df.select(group).distinct()))
+    grid = failing.join(F.broadcast(groups))
     status = F.when(F.col("_n").isNull(), "not found").when(F.col("_n") > 1, "multiple").when(F.col("_e") > 0, F.concat(F.lit("error "), F.col("_e").cast("string"))).otherwise("ok")
     return grid.join(cells, [key, group], "left").select(key, group, status.alias("status"))
 

@@ -57,6 +57,29 @@ def first_pass(passes: Column, kind: str) -> Column:
     return F.try_element_at(F.filter(passes, lambda p: p["type"] == kind), F.lit(1))
 
 
+def passes_of(passes: Column, kind: str) -> Column:
+    """All passes of one kind, in order; null for null."""
+    return F.filter(passes, lambda p: p["type"] == kind)
+
+
+def channels(docs: DataFrame, id: str, passes: Column) -> DataFrame:
+    """Rows (id, pass_no, channel, src, ctype) of the inputs of every pass."""
+    each = docs.select(id, F.posexplode(passes).alias("pass_no", "_p"))
+    return each.select(id, "pass_no", F.explode("_p.inputs").alias("i")).select(id, "pass_no", "i.channel", "i.src", "i.ctype")
+
+
+def media_list(inputs: DataFrame, rules: Mapping[str, Sequence[str]] = MEDIA) -> DataFrame:
+    """Rows (src, ctype, problem, n): each source once, of the types that have media or are unknown, and what is wrong with it."""
+    return check_suffix(inputs, "src", F.col("ctype"), rules).groupBy("src", "ctype", "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def node_runs(runs: DataFrame, environments: DataFrame, shaders: DataFrame, node: str, cycles: int, trials: int, blacklist: DataFrame) -> DataFrame:
+    """Runs of a node at fixed counts with their program, without the listed programs; runs without a program go."""
+    env = environments.where(F.col("node") == node).select(F.col("id").alias("environment"))
+    good = runs.where((F.col("num_cycles") == cycles) & (F.col("num_trials") == trials) & (F.col("errors") == NONE)).join(env, "environment")
+    return not_listed(good.join(shaders.select(F.col("id").alias("shader"), "shader_id"), "shader"), "shader_id", blacklist)
+
+
 def check_suffix(df: DataFrame, source: str, kind: Column, rules: Mapping[str, Sequence[str]]) -> DataFrame:
     """df with kind and problem: `unknown type`, `bad suffix` or null, by the suffixes that a type allows."""
     fits = F.lit(None).cast("boolean")

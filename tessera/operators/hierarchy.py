@@ -43,20 +43,25 @@ def levels(nodes: DataFrame, id: str = "id", parent: str = "parent") -> DataFram
     return out.unionByName(lost.select(F.col("_id").alias(id), F.lit(None).cast("int").alias("level"), F.lit("cycle").alias("problem")))
 
 
-def descendants(nodes: DataFrame, roots: DataFrame, id: str = "id", parent: str = "parent", cap: int | None = None) -> DataFrame:
+def descendants(nodes: DataFrame, roots: DataFrame, id: str = "id", parent: str = "parent", cap: int | None = None, most: int = 1000) -> DataFrame:
     """Rows (root, id, depth, place): each root's tree in the order of (depth, id), the root first.
 
-    Only nodes of `nodes` are walked. `cap` keeps the first so many, the root counted.
+    Only nodes of `nodes` are walked. `cap` keeps the first so many, the root counted: what lies past
+    it is not walked. A walk of over `most` levels is a cycle, and an error.
     """
     down = nodes.select(F.col(id).alias("_id"), F.col(parent).alias("_parent"))
-    front = checkpointed(roots.select(F.col(id).alias("root"), F.col(id).alias(id), F.lit(0).alias("depth")))
-    out, depth = front, 0
-    while not front.isEmpty():
-        depth += 1
-        front = checkpointed(front.join(down, F.col(id) == F.col("_parent")).select("root", F.col("_id").alias(id), F.lit(depth).alias("depth")))
+    front = checkpointed(roots.select(F.col(id).alias("root"), F.col(id).alias(id), F.lit(0).alias("depth"), F.lit(1).alias("place")))
+    out = front
+    for depth in range(1, most + 1):
+        taken = front.groupBy("root").agg(F.max("place").alias("_taken"))
+        below = front.select("root", F.col(id).alias("_above")).join(down, F.col("_above") == F.col("_parent")).join(taken, "root")
+        place = F.col("_taken") + F.row_number().over(Window.partitionBy("root").orderBy("_id"))
+        below = below.select("root", F.col("_id").alias(id), F.lit(depth).alias("depth"), place.alias("place"))
+        front = checkpointed(below if cap is None else below.where(F.col("place") <= cap))
+        if front.isEmpty():
+            return out if cap is None else out.where(F.col("place") <= cap)
         out = out.unionByName(front)
-    ranked = out.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("depth", id)))
-    return ranked if cap is None else ranked.where(F.col("place") <= cap)
+    raise ValueError("the parents form a cycle")
 
 
 def with_parent(nodes: DataFrame, columns: list[str], id: str = "id", parent: str = "parent") -> DataFrame:
@@ -65,17 +70,32 @@ def with_parent(nodes: DataFrame, columns: list[str], id: str = "id", parent: st
     return nodes.join(above, F.col(parent) == F.col("_id")).drop("_id")
 
 
-def root_ancestor(nodes: DataFrame, id: str = "id", parent: str = "parent") -> DataFrame:
-    """Rows (id, root, distance): the farthest ancestor of each node."""
-    return ancestors(nodes, id, parent).groupBy(id).agg(F.max_by("ancestor", "distance").alias("root"), F.max("distance").alias("distance"))
+def root_ancestor(nodes: DataFrame, id: str = "id", parent: str = "parent", most: int = 1_000_000) -> DataFrame:
+    """Rows (id, root, distance): the farthest ancestor of each node.
+
+    Every node jumps to its parent, then by two, four, ... steps at once: one row a node, and as many
+    rounds as the depth has binary digits. A distance of over `most` is a cycle, and an error.
+    """
+    known = nodes.select(F.col(id).alias("_known"))
+    up = nodes.select(F.col(id).alias(id), F.col(parent).alias("_parent")).join(known, F.col("_parent") == F.col("_known"), "left")
+    jumps = checkpointed(up.select(id, F.coalesce("_known", id).alias("root"), F.col("_known").isNotNull().cast("int").alias("distance")))
+    while True:
+        step = jumps.select(F.col(id).alias("_at"), F.col("root").alias("_to"), F.col("distance").alias("_by"))
+        after = checkpointed(jumps.join(step, F.col("root") == F.col("_at")).select(id, F.col("_to").alias("root"), (F.col("distance") + F.col("_by")).alias("distance"), F.col("_by").alias("_moved")))
+        moved = after.agg(F.max("_moved").alias("m"), F.max("distance").alias("d")).first()
+        jumps = after.drop("_moved")
+        if not moved.m:
+            return jumps
+        if moved.d > most:
+            raise ValueError("the parents form a cycle")
 
 
 def nearest_with(nodes: DataFrame, has: Column, step: str, id: str = "id", parent: str = "parent") -> DataFrame:
     """Rows (id, nearest, steps): the nearest proper ancestor that fulfils `has`, and the chain of `step` values
-    from below it down to the node; nodes without such an ancestor are left out."""
-    walk = ancestors(nodes, id, parent)
+    from below it down to the node; nodes without such an ancestor are left out. Walks end at the first hit."""
+    walk = ancestors(nodes, id, parent, stop=has)
     above = nodes.select(F.col(id).alias("ancestor"), F.col(step).alias("_step"), F.coalesce(has, F.lit(False)).alias("_has"))
-    on = walk.join(above, "ancestor")
-    found = on.where("_has and distance > 0").groupBy(id).agg(F.min_by("ancestor", "distance").alias("nearest"), F.min("distance").alias("_d"))
-    chain = on.join(found, id).where("distance < _d").groupBy(id, "nearest").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("_step").alias("s")))).alias("_c"))
-    return chain.select(id, "nearest", F.transform("_c", lambda x: x["s"]).alias("steps"))
+    part = F.struct((-F.col("distance")).alias("d"), F.col("ancestor").alias("a"), F.col("_step").alias("s"), (F.col("_has") & (F.col("distance") > 0)).alias("hit"))
+    chain = walk.join(above, "ancestor").groupBy(id).agg(F.sort_array(F.collect_list(part)).alias("_c"))
+    first = F.get("_c", F.lit(0))  # the farthest that was reached
+    return chain.where(first["hit"]).select(id, first["a"].alias("nearest"), F.transform(F.slice("_c", F.lit(2), F.size("_c")), lambda x: x["s"]).alias("steps"))

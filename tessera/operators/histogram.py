@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stats import exact_percentiles
+
 
 def edge_bin(value: Column, edges: Sequence[float]) -> Column:
     """0-based bin [a, b) of the edges, the last [a, b]; null outside and for null."""
@@ -34,9 +36,10 @@ def equal_bin(value: Column, low: Column, high: Column, bins: Column | int) -> C
 def equal_histogram(df: DataFrame, col: str, bins: int, upper_share: float | None = None, density: bool = False) -> DataFrame:
     """Rows (bin, low, high, n[, density]) of equal bins over the column's range, or over [0, percentile]."""
     c = F.col(col)
-    top = F.percentile(c, upper_share) if upper_share is not None else F.max(c)
-    low = F.lit(0.0) if upper_share is not None else F.min(c).cast("double")
-    span = df.agg(low.alias("_lo"), top.cast("double").alias("_hi"))
+    if upper_share is not None:
+        span = exact_percentiles(df, col, [upper_share]).select(F.lit(0.0).alias("_lo"), F.get("v", F.lit(0)).alias("_hi"))
+    else:
+        span = df.agg(F.min(c).cast("double").alias("_lo"), F.max(c).cast("double").alias("_hi"))
     binned = df.join(F.broadcast(span)).select("_lo", "_hi", equal_bin(c, F.col("_lo"), F.col("_hi"), bins).alias("bin")).where("bin is not null")
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     grid = span.select("_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
@@ -50,7 +53,7 @@ def equal_histogram(df: DataFrame, col: str, bins: int, upper_share: float | Non
 
 def auto_bins(df: DataFrame, col: str) -> DataFrame:
     """One row `bins`: the greater of Sturges' number and Freedman and Diaconis'."""
-    s = df.agg(F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"), F.percentile(col, [0.25, 0.75]).alias("q"))
+    s = df.agg(F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).join(F.broadcast(exact_percentiles(df, col, [0.25, 0.75]).withColumnRenamed("v", "q")))  # one row each
     span = F.col("hi") - F.col("lo")
     sturges = F.ceil(F.log2("n") + 1)
     wide = 2 * (F.col("q")[1] - F.col("q")[0]) / F.cbrt(F.col("n"))

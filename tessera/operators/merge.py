@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordinal import global_rank
+from .ordinal import checkpointed, global_rank
 
 
 def _same(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> Column:
@@ -43,11 +43,20 @@ def conflicting(a: DataFrame, b: DataFrame, id: str, cols: Sequence[str]) -> Dat
     return x.join(y, id).where("_a <> _b").select(id)
 
 
+def one_each(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """Rows (key, cols...), one for each key: equal rows count once, and different rows of one key fail the job."""
+    row = F.struct(*cols)
+    both = df.groupBy(key).agg(F.min(row).alias("_a"), F.max(row).alias("_z"))
+    safe = F.when(F.col("_a").eqNullSafe(F.col("_z")), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("different rows of one key: "), F.col(key).cast("string"))).cast(df.schema[key].dataType))
+    return both.select(safe.alias(key), *[F.col("_a")[c].alias(c) for c in cols])
+
+
 def remap(facts: DataFrame, maps: Mapping[str, DataFrame]) -> DataFrame:
     """facts with each key column replaced through its (old_id, new_id) map; null stays null and a key
-    without a new id becomes null."""
+    without a new id becomes null. Repeated rows of a map count once; two new ids for one old id fail the job."""
     for col, m in maps.items():
-        facts = facts.join(m.select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new")), F.col(col) == F.col("_old"), "left").withColumn(col, F.col("_new")).drop("_old", "_new")
+        ids = one_each(m.select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new")), "_old", ["_new"])
+        facts = facts.join(ids, F.col(col) == F.col("_old"), "left").withColumn(col, F.col("_new")).drop("_old", "_new")
     return facts
 
 
@@ -70,15 +79,18 @@ def missing_keys(online: DataFrame, offline: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(target: DataFrame, updates: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """target with the columns that an update has (not null) replaced, by key."""
-    new = updates.select(key, *[F.col(c).alias(f"_{c}") for c in cols])
+    """target with the columns that an update has (not null) replaced, by key; different updates of one key fail the job."""
+    new = one_each(updates.select(key, *[F.col(c).alias(f"_{c}") for c in cols]), key, [f"_{c}" for c in cols])
     out = target.join(new, key, "left")
     return out.select(*[F.coalesce(f"_{c}", c).alias(c) if c in cols else F.col(c) for c in target.columns])
 
 
 def attach(runs: DataFrame, traces: DataFrame, key: str, value: str, hash_col: str) -> DataFrame:
-    """runs with the trace's value and hash_mismatch: whether the trace run's hash differs; null without a trace."""
-    t = traces.select(key, F.col(value).alias(value), F.col(hash_col).alias("_h"))
+    """runs with the trace's value and hash_mismatch: whether the trace run's hash differs; null without a trace.
+
+    Different traces of one key fail the job.
+    """
+    t = one_each(traces.select(key, F.col(value).alias(value), F.col(hash_col).alias("_h")), key, [value, "_h"])
     return runs.drop(value).join(t, key, "left").withColumn("hash_mismatch", F.col("_h") != F.col(hash_col)).drop("_h")
 
 
@@ -92,6 +104,33 @@ def sync_children(facts: DataFrame, tree: DataFrame, natural: Sequence[str], id:
     return tree.join(facts.select(F.col(id).alias(parent)), parent, "left_semi").join(have, same, "left_anti")
 
 
+def sync_tree(facts: DataFrame, tree: DataFrame, root_key: str, natural: Sequence[str], kind: str, kinds: Sequence, depth: int, status: int, id: str = "id", parent: str = "parent") -> DataFrame:
+    """Rows (tree_id, id, parent, natural..., status) to insert so that facts has the tree, level by level.
+
+    A tree root stands for the one fact root of its `root_key`; with no match or several, its tree is
+    left out. On each level down to `depth`, a child of one of the kinds is there already if the fact
+    below its mapped parent has equal `natural` columns (null equals null); else it is inserted with
+    the next id, in the order of tree ids. Children of what is left out are not walked.
+    """
+    f = facts.select(F.col(id).alias("_fid"), F.col(parent).alias("_fparent"), *[F.col(c).alias(f"_{c}") for c in natural])
+    heads = facts.where(F.col(parent).isNull()).groupBy(root_key).agg(F.min(id).alias("_fact"), F.count(F.lit(1)).alias("_n")).where("_n = 1")
+    mapped = checkpointed(tree.where(F.col(parent).isNull()).join(heads, root_key).select(F.col(id).alias("_above"), "_fact"))
+    top, fresh = facts.agg(F.coalesce(F.max(id), F.lit(0)).alias("top")).first().top, None
+    for _ in range(depth):
+        children = tree.where(F.col(kind).isin(list(kinds))).join(mapped, F.col(parent) == F.col("_above")).select(F.col(id).alias("tree_id"), F.col("_fact").alias("_under"), *natural)
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in natural], F.col("_under") == F.col("_fparent"))
+        there = children.join(f, same, "left").groupBy("tree_id", "_under", *natural).agg(F.min("_fid").alias("_fact"))
+        there = checkpointed(there)
+        new = global_rank(there.where("_fact is null"), "tree_id", name="_r").select("tree_id", (F.col("_r") + top).alias(id), F.col("_under").alias(parent), *natural, F.lit(status).alias("status"))
+        new = checkpointed(new)
+        top += new.count()
+        fresh = new if fresh is None else fresh.unionByName(new)
+        mapped = checkpointed(there.where("_fact is not null").select(F.col("tree_id").alias("_above"), "_fact").unionByName(new.select(F.col("tree_id").alias("_above"), F.col(id).alias("_fact"))))
+        if mapped.isEmpty():
+            break
+    return fresh
+
+
 def candidate_steps(nodes: DataFrame, taken: DataFrame, steps: Sequence[str], excluded: Sequence[str], seed: int, n: int, id: str = "id", parent: str = "parent", step: str = "step") -> DataFrame:
     """Rows (id, step): n steps of each node, in seeded order, among those neither excluded nor taken by a child."""
     from pyspark.sql import Window

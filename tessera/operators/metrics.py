@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordinal import global_rank
+from .ordinal import global_rank, running_total
 
 #: The ranges of the measured value, half open; values elsewhere are in none.
 RANGES = ((0.0, 1e-4), (1e-4, 1e-3), (1e-3, 1e-2), (1e-2, 1e-1), (1e-1, 1e10))
@@ -46,12 +46,12 @@ def metric_matrix(df: DataFrame, row: str, columns: Sequence[str], values: Seque
 def average_ranks(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
     """Rows (by..., value, name): the average rank of each distinct value within `by`.
 
-    Ranks are sums over counts of distinct values: one row for each, and not a sort of the rows.
+    Ranks are running totals over counts of distinct values, by ranges: one row for each value, and
+    no task that sorts a group.
     """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    below = F.sum("_n").over(w) - F.col("_n")
-    return counts.select(*by, value, (below + (F.col("_n") + 1) / 2).alias(name))
+    upto = running_total(counts, by, value, "_n", "_upto")
+    return upto.select(*by, value, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, by: Sequence[str], real: str, pred: str) -> DataFrame:
@@ -65,13 +65,13 @@ def relative_squared_error(real: str, pred: str) -> Column:
     return F.avg(F.try_divide(d * d, F.col(real)))
 
 
-def both_domains(df: DataFrame, real: str, pred: str) -> DataFrame:
-    """One row: mse, mae, mape of the values and of their inverses (zeros left out)."""
+def both_domains(df: DataFrame, real: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+    """A row for each of `by`: mse, mae, mape of the values and of their inverses (zeros left out)."""
     out = []
     for name, r, p in (("time", F.col(real), F.col(pred)), ("rate", F.try_divide(F.lit(1.0), F.col(real)), F.try_divide(F.lit(1.0), F.col(pred)))):
         d = p - r
         out += [F.avg(d * d).alias(f"{name}_mse"), F.avg(F.abs(d)).alias(f"{name}_mae"), F.avg(F.try_divide(F.abs(d), F.abs(r))).alias(f"{name}_mape")]
-    return df.agg(*out)
+    return df.groupBy(*by).agg(*out)
 
 
 def without_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage through spark.checkpoint.dir, or a folder of our own where that is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{sc.applicationId}")
+    """df cut from its lineage through spark.checkpoint.dir, a folder that the driver and all executors share."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and df.sparkSession.sparkContext.getCheckpointDir() is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return df.checkpoint()
 
 
@@ -19,6 +21,22 @@ def seeded(seed: int | str, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]).cast("binary"))
 
 
+def running_total(df: DataFrame, by: Sequence[str], order: str, amount: str, name: str) -> DataFrame:
+    """df with `name`, the sum of `amount` up to and with the row, in the order of `order` within `by`.
+
+    Rows are dealt by ranges of (by, order); the sums of each range and group, a few rows a range, give
+    the offsets that are added to the sums within a range. So no task sorts a whole group.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(df.repartitionByRange(n, *by, order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy("_part", *by).agg(F.sum(amount).alias("_s"))
+    w = Window.partitionBy(*by).orderBy("_part") if by else Window.orderBy("_part")
+    before = sums.select("_part", *[F.col(c).alias(f"_by_{c}") for c in by], (F.sum("_s").over(w) - F.col("_s")).alias("_before"))
+    local = F.sum(amount).over(Window.partitionBy("_part", *by).orderBy(order))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], dealt["_part"] == before["_part"])
+    return dealt.withColumn("_local", local).join(before, same).select(*df.columns, (F.col("_before") + F.col("_local")).alias(name))
+
+
 def global_rank(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """df with 1-based `name`, its place in `order` over the whole table.
 

@@ -45,9 +45,11 @@ def decode_binaries(df: DataFrame, key: str, binary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string())
         for b in batches:
-            for i, data in enumerate(b.column(1).to_pylist()):
-                rows = decode_words(data or b"")
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(rows))), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[key, "func_no", "block_id", "inst_no", "opcode", "words", "problem"])
+            many = [decode_words(data or b"") for data in b.column(1).to_pylist()]
+            rows = [r for one in many for r in one]
+            if rows:
+                at = np.repeat(np.arange(len(many)), [len(one) for one in many])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[key, "func_no", "block_id", "inst_no", "opcode", "words", "problem"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, F.col(binary).cast("binary")).mapInArrow(run, f"`{key}` {kind}, {INSTRUCTION}")
@@ -83,12 +85,13 @@ def weighted_counts(insts: DataFrame, dim: DataFrame, blocks: DataFrame | None,
 
     Blocks that the trace lacks count 0.
     """
-    named = insts.join(dim.select(on, by) if by != on else dim.select(on), on)
+    cells = [key, on] if blocks is None else [key, "block_id", on]
+    small = insts.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))  # before any join: a row for each opcode of a block
+    named = small.join(dim.select(on, by) if by != on else dim.select(on), on)
     if blocks is None:
-        return named.groupBy(key, by).agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("n"))
-    small = named.groupBy(key, "block_id", by).agg(F.count(F.lit(1)).alias("_n"))
+        return named.groupBy(key, by).agg(F.sum("_n").cast("decimal(38,0)").alias("n"))
     times = F.coalesce("times", F.lit(0)).cast("decimal(20,0)")
-    return small.join(blocks, [key, "block_id"], "left").groupBy(key, by).agg(F.sum((F.col("_n") * times).cast("decimal(38,0)")).alias("n"))
+    return named.join(blocks, [key, "block_id"], "left").groupBy(key, by).agg(F.sum((F.col("_n") * times).cast("decimal(38,0)")).alias("n"))
 
 
 def unmapped_blocks(insts: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
@@ -118,21 +121,40 @@ def opcode_stream(insts: DataFrame, key: str) -> DataFrame:
 OPCODE_BEGIN, ID_BEGIN, RELATIVE_ZERO, LITERAL_BEGIN, ID_END = 2000, 20000, 30000, 256, 40000
 
 
-def instruction_tokens(opcode: Column, ids: Column, literal: Column | None = None) -> Column:
-    """Opcode, ids and a literal's bytes as tokens."""
-    out = F.concat(F.array(opcode + OPCODE_BEGIN), F.transform(ids, lambda i: (i + ID_BEGIN).cast("int")))
-    if literal is None:
-        return out
-    hexed = F.hex(literal)
+def literal_tokens(literal: Column) -> Column:
+    """The bytes of a literal as tokens; none for null and empty."""
+    hexed = F.coalesce(F.hex(literal), F.lit(""))
     some = F.transform(F.sequence(F.lit(1), F.greatest((F.length(hexed) / 2).cast("int"), F.lit(1))), lambda i: F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + LITERAL_BEGIN)
-    return F.concat(out, F.when(F.length(hexed) > 0, some).otherwise(F.array().cast("array<int>")))
+    return F.when(F.length(hexed) > 0, some).otherwise(F.array().cast("array<int>"))
 
 
-def program_tokens(insts: DataFrame, key: str, order: Sequence[str], tokens: str, times: str) -> DataFrame:
-    """Rows (key, input_ids, trace): a program's tokens in order; an opcode has its block's executions, operands 0."""
-    part = F.struct(*order, F.col(tokens).alias("_t"), F.concat(F.array(F.coalesce(times, F.lit(0)).cast("decimal(20,0)")), F.array_repeat(F.lit(0).cast("decimal(20,0)"), F.size(tokens) - 1)).alias("_c"))
-    rows = insts.groupBy(key).agg(F.sort_array(F.collect_list(part)).alias("_x"))
-    return rows.select(key, F.flatten(F.transform("_x", lambda x: x["_t"])).alias("input_ids"), F.flatten(F.transform("_x", lambda x: x["_c"])).alias("trace"))
+def instruction_tokens(opcode: Column, operands: Column) -> Column:
+    """An opcode and its operands as tokens: arrays of structs (kind, number, bytes).
+
+    kind `id` is the id's number, `literal` its bytes, `enum` the number itself. An id past the range
+    makes the instruction's tokens null, which fails its program as token_lengths reports.
+    """
+    one = lambda o: F.when(o["kind"] == "id", F.array((o["number"] + ID_BEGIN).cast("int"))).when(o["kind"] == "literal", literal_tokens(o["bytes"])).otherwise(F.array(o["number"].cast("int")))
+    past = F.exists(operands, lambda o: (o["kind"] == "id") & (o["number"] + ID_BEGIN >= ID_END))
+    return F.when(~past, F.concat(F.array((opcode + OPCODE_BEGIN).cast("int")), F.flatten(F.transform(operands, one))))
+
+
+def program_tokens(insts: DataFrame, key: str, entry: DataFrame, order: Sequence[str], tokens: str, times: str) -> DataFrame:
+    """Rows (key, input_ids, trace): a program's tokens; an opcode has its block's executions, operands 0.
+
+    The instructions before any function (types, constants) come first, with trace 0; then the entry
+    function of `entry` (key, func_no); then the other functions in their order. A program with an
+    instruction without tokens has null arrays.
+    """
+    rows = insts.join(entry.select(key, F.col("func_no").alias("_entry")), key, "left")
+    section = F.when(F.col("func_no").isNull(), 0).when(F.col("func_no") == F.col("_entry"), 1).otherwise(2)
+    count = F.when(section == 0, F.lit(0)).otherwise(F.coalesce(F.col(times), F.lit(0))).cast("decimal(20,0)")
+    part = F.struct(section.alias("_s"), F.coalesce("func_no", F.lit(-1)).alias("_f"), *order, F.col(tokens).alias("_t"), count.alias("_c"))
+    got = rows.groupBy(key).agg(F.sort_array(F.collect_list(part)).alias("_x"), F.count_if(F.col(tokens).isNull()).alias("_bad"))
+    zero = F.lit(0).cast("decimal(20,0)")
+    trace = F.flatten(F.transform("_x", lambda x: F.concat(F.array(x["_c"]), F.array_repeat(zero, F.size(x["_t"]) - 1))))
+    good = F.col("_bad") == 0
+    return got.select(key, F.when(good, F.flatten(F.transform("_x", lambda x: x["_t"]))).alias("input_ids"), F.when(good, trace).alias("trace"))
 
 
 def relative_ids(uses: DataFrame, definitions: DataFrame, key: str, id: str, position: str) -> DataFrame:
@@ -141,10 +163,27 @@ def relative_ids(uses: DataFrame, definitions: DataFrame, key: str, id: str, pos
     return uses.join(d, [key, id], "left").withColumn("relative", F.greatest(F.least(RELATIVE_ZERO + F.col("_d") - F.col(position), F.lit(ID_END)), F.lit(ID_BEGIN))).drop("_d")
 
 
-def token_lengths(tokens: DataFrame, known: DataFrame | None, key: str, ids: str, most_id: int = ID_END) -> DataFrame:
-    """Rows (key, length) of the programs that `known` lacks: tokens + 1, null if an id is past the range."""
+def token_lengths(tokens: DataFrame, known: DataFrame | None, key: str, ids: str) -> DataFrame:
+    """Rows (key, length) of the programs that `known` lacks: tokens + 1, null where there are no tokens."""
     new = tokens if known is None else tokens.join(known.select(key), key, "left_anti")
-    return new.select(key, F.when(~F.exists(ids, lambda i: i >= most_id), F.size(ids) + 1).alias("length"))
+    return new.select(key, (F.size(F.col(ids)) + 1).alias("length"))  # the size of null is null
+
+
+def store_lengths(lengths: DataFrame, path: str, key: str) -> None:
+    """Write a table of lengths, and beside it the fingerprint of the programs that it is of."""
+    lengths.write.parquet(f"{path}/lengths")
+    lengths.sparkSession.read.parquet(f"{path}/lengths").agg(*_fingerprint(key)).write.parquet(f"{path}/fingerprint")
+
+
+def _fingerprint(key: str) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("digest")]
+
+
+def stored_lengths(programs: DataFrame, path: str, key: str) -> DataFrame | None:
+    """The stored lengths if they are of just these programs (by number and keys), else None."""
+    spark = programs.sparkSession
+    then, now = spark.read.parquet(f"{path}/fingerprint").first(), programs.agg(*_fingerprint(key)).first()
+    return spark.read.parquet(f"{path}/lengths") if tuple(then) == tuple(now) else None
 
 
 def step_table(pairs: DataFrame, opcodes: str, parent_opcodes: str) -> DataFrame:
@@ -192,3 +231,37 @@ def padded_batches(df: DataFrame, key: str, ids: str, size: int, multiple: int =
     return ranked.join(longest, "batch").withColumn("length", round_up(F.col("_most"), multiple)).drop("_size", "_r", "_most")
 
 
+def trace_embedding(trace: Column, length: Column, method: str, dim: int) -> Column:
+    """Left-padded counters as vectors: `onehot-base2` the bits less one half, `value` the counter alone, `none` null."""
+    from tessera.functions.scalar import base2_digits
+
+    if method == "none":
+        return F.lit(None).cast("array<array<double>>")
+    one = {"onehot-base2": lambda c: F.transform(base2_digits(c.cast("long"), dim), lambda b: b.cast("double") - 0.5), "value": lambda c: F.array(c.cast("double"))}[method]
+    vectors = F.transform(trace, one)
+    return F.concat(F.array_repeat(one(F.lit(0)), F.greatest(length - F.size(trace), F.lit(0))), vectors)
+
+
+def assemble_batches(df: DataFrame, key: str, ids: str, size: int, label: str | None = None, trace: str | None = None, method: str = "none", dim: int = 32, multiple: int = 8) -> DataFrame:
+    """Rows (key, batch, input_ids, attention_mask, position_ids, labels, trace_embeddings) for training.
+
+    Batches are padded_batches; ids, masks, positions and counters are padded on the left. `label`,
+    whatever its name, is given as labels. A null counter array is all padding.
+    """
+    from tessera.functions import scalar
+
+    b = padded_batches(df, key, ids, size, multiple)
+    t = trace_embedding(F.coalesce(trace, F.array().cast("array<long>")), F.col("length"), method if trace else "none", dim)
+    return b.select(key, "batch", scalar.pad_left(F.col(ids), F.col("length")).alias("input_ids"), scalar.attention_mask(F.col(ids), F.col("length")).alias("attention_mask"), scalar.positions(F.col(ids), F.col("length")).alias("position_ids"), (F.col(label) if label else F.lit(None).cast("double")).alias("labels"), t.alias("trace_embeddings"))
+
+
+def pair_batches(df: DataFrame, key: str, left: str, right: str, size: int, label: str | None = None, multiple: int = 8) -> DataFrame:
+    """Rows (key, batch, feature_q, feature_k, labels): pairs in batches by the left part's size, each side padded to
+    its own longest. Where a batch's first pair has no right part, all its feature_k are null and labels are given."""
+    b = padded_batches(df, key, left, size, multiple).withColumnRenamed("length", "_l")
+    both = b.groupBy("batch").agg(F.max(F.size(right)).alias("_most"), F.min_by(F.col(right).isNull(), F.struct(F.size(left), key)).alias("_alone"))
+    from tessera.functions.scalar import pad_left, round_up
+
+    rows = b.join(both, "batch")
+    k = F.when(~F.col("_alone"), pad_left(F.coalesce(right, F.array().cast("array<int>")), round_up(F.greatest("_most", F.lit(0)), multiple)))
+    return rows.select(key, "batch", pad_left(F.col(left), F.col("_l")).alias("feature_q"), k.alias("feature_k"), F.when(F.col("_alone"), F.col(label) if label else F.lit(None)).alias("labels"))

@@ -12,7 +12,7 @@ from tessera.functions import normalise, scalar
 from tessera.sources import store
 
 from . import cohorts, filters, hierarchy, metrics, splits
-from .ordinal import seeded
+from .ordinal import global_rank, seeded
 
 
 def successful_runs(runs: DataFrame) -> DataFrame:
@@ -98,6 +98,11 @@ def flat_counters(df: DataFrame, counters: str) -> DataFrame:
     return c.agg(F.count("c").alias("n"), F.max("c").alias("greatest"), F.min("c").alias("least"))
 
 
+def sorted_counters(df: DataFrame, counters: str) -> DataFrame:
+    """Rows (counter, place): all counters of all arrays in order, by ranges."""
+    return global_rank(df.select(F.explode(counters).alias("counter")).where("counter is not null"), "counter", name="place")
+
+
 def regression_grid(data: DataFrame, features: Mapping[str, Sequence[str]], weights: Mapping[str, Column | None], real: str, split: str, key: str) -> DataFrame:
     """Rows (features, weight, split, n, rmse, mae, mape): every feature set with every weight, fitted on `train`.
 
@@ -126,9 +131,10 @@ def read_coefficients(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 class Catalog:
-    """Named data sets and tokenisers: a name gives a function of the session, or of a DataFrame."""
+    """Named data sets, tokenisers and maps: a name gives a function of the session, or of a DataFrame."""
 
     def __init__(self):
+        self.maps: dict[str, Callable[[DataFrame], DataFrame]] = {}
         self.datasets: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.tokenisers: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -138,6 +144,13 @@ class Catalog:
     def add_tokeniser(self, name: str, f: Callable[[DataFrame], DataFrame]) -> None:
         self._add(self.tokenisers, name, f)
 
+    def add_map(self, name: str, f: Callable[[DataFrame], DataFrame]) -> None:
+        self._add(self.maps, name, f)
+
+    def mapped(self, df: DataFrame, *names: str) -> DataFrame:
+        """df after the named maps, one after the other."""
+        return reduce(lambda d, n: d.transform(self.maps[n]), names, df)
+
     @staticmethod
     def _add(where: dict, name: str, f) -> None:
         if name in where:
@@ -151,7 +164,12 @@ class Catalog:
         return self.tokenisers[name](df)
 
 
-def epoch_sample(df: DataFrame, key: str, seed: int, epoch: int, times: int) -> DataFrame:
-    """Rows of an epoch with replacement: each row 0, 1 or more times, `times` a row on average, by hashes."""
-    draws = F.transform(F.sequence(F.lit(1), F.lit(2 * times)), lambda i: F.substring(seeded(seed, F.col(key), F.lit(epoch), i), 1, 1) < "8")
-    return df.select("*", F.explode(F.filter(F.transform(draws, lambda d, i: F.when(d, i)), lambda x: x.isNotNull())).alias("draw"))
+def epoch_sample(df: DataFrame, key: str, seed: int, epoch: int, size: int) -> DataFrame:
+    """`size` rows drawn with replacement, with `draw` from 1: draw i takes the row whose place, by key, is a hash's
+    remainder. The same draws on every cluster; none if df has no rows."""
+    ranked = global_rank(df, key, name="_place")
+    total = ranked.agg(F.count(F.lit(1)).alias("_t"))
+    number = lambda i: F.conv(F.substring(seeded(seed, F.lit(epoch), i), 1, 15), 16, 10).cast("long")
+    draws = df.sparkSession.range(1, size + 1).withColumnRenamed("id", "draw").join(F.broadcast(total.where("_t > 0")))  # one row
+    draws = draws.select("draw", (number(F.col("draw")) % F.col("_t") + 1).alias("_place"))
+    return ranked.join(draws, "_place").drop("_place")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordinal import running_total
+
 
 def array_mean(a: Column) -> Column:
     """Mean of an array; null for null or empty."""
@@ -36,10 +39,34 @@ def trial_arrays(runs: DataFrame, key: str, trial: str) -> DataFrame:
     return runs.groupBy(key).agg(F.sort_array(F.collect_list(trial)).alias("trials"))
 
 
+def exact_percentiles(df: DataFrame, col: str, points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Rows (by..., v): an array of linear percentiles of the column, nulls left out; null if there is no value.
+
+    Values are counted, and running totals over the counts, by ranges, tell which values have the two
+    ranks about each point: no buffer holds a column's or a group's values.
+    """
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_total(counts, by, col, "_n", "_upto")
+    total = upto.groupBy(*by).agg(F.max("_upto").alias("_t"))
+    if by:
+        total = total.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_t")
+        rows = upto.join(total, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]))
+    else:
+        rows = upto.join(F.broadcast(total))  # one row
+    found = []
+    for i, p in enumerate(points):
+        place = (F.col("_t") - 1) * float(p)
+        for name, k in ((f"lo{i}", F.floor(place)), (f"hi{i}", F.ceil(place))):
+            found.append(F.max(F.when((F.col("_upto") > k) & (F.col("_upto") - F.col("_n") <= k), F.col(col).cast("double"))).alias(name))
+    sums = rows.groupBy(*by).agg(F.max("_t").alias("_t"), *found)
+    part = lambda p: (F.col("_t") - 1) * float(p) - F.floor((F.col("_t") - 1) * float(p))
+    return sums.select(*by, F.array(*[F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * part(p) for i, p in enumerate(points)]).alias("v"))
+
+
 def percentiles(df: DataFrame, col: str, points: Sequence[float], exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """Rows (point, value): linear percentiles, or approximate ones for columns too large to sort."""
-    f = F.percentile(col, [float(p) for p in points]) if exact else F.percentile_approx(col, [float(p) for p in points], accuracy)
-    return df.agg(f.alias("v")).select(F.inline(F.arrays_zip(F.array(*[F.lit(float(p)) for p in points]).alias("point"), F.col("v").alias("value"))))
+    """Rows (point, value): linear percentiles, or approximate ones in one pass, right to a share of 1/accuracy of the ranks."""
+    v = exact_percentiles(df, col, points) if exact else df.agg(F.percentile_approx(col, [float(p) for p in points], accuracy).alias("v"))
+    return v.select(F.inline(F.arrays_zip(F.array(*[F.lit(float(p)) for p in points]).alias("point"), F.col("v").alias("value"))))
 
 
 def share_up_to(df: DataFrame, col: str, cuts: Sequence[float]) -> DataFrame:
@@ -104,5 +131,6 @@ def first_per_key(df: DataFrame, key: str, order: str, columns: Sequence[str]) -
 
 def groups_by_median(df: DataFrame, group: str, metric: str) -> DataFrame:
     """Rows (group, median, place): groups by the median of a metric; place from 1, nulls last."""
-    out = df.groupBy(group).agg(F.median(metric).alias("median"))
+    values = df.select(group).distinct().join(exact_percentiles(df, metric, [0.5], by=[group]).withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")), "left")
+    out = values.select(group, F.get("v", F.lit(0)).alias("median"))
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("median").asc_nulls_last(), group)))  # one row a group

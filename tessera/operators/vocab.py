@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,24 +51,74 @@ def merge_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("symbol").agg(F.sum("count").alias("count"))
 
 
+#: A vocabulary of up to so many symbols goes to every task; a larger one is joined.
+SMALL_VOCAB = 500_000
+
+
+def _small(vocab: DataFrame) -> list[tuple[str, int]] | None:
+    """(symbol, index) of a vocabulary, or None if it has more than SMALL_VOCAB symbols."""
+    rows = vocab.select("symbol", "index").where("symbol is not null and index is not null").limit(SMALL_VOCAB + 1).collect()
+    return [tuple(r) for r in rows] if len(rows) <= SMALL_VOCAB else None
+
+
 def encode_lines(of_lines: DataFrame, vocab: DataFrame, key: Sequence[str], line: str = "line", unk: str = "<unk>", eos: str | None = "</s>", reverse: bool = False) -> DataFrame:
-    """Rows (key..., ids): each line's symbol indexes, unknown ones that of `unk`; the end symbol stays last."""
-    tokens = line_tokens(F.col(line))
+    """Rows (key..., ids): each line's symbol indexes, unknown ones that of `unk`; the end symbol stays last.
+
+    A vocabulary of up to SMALL_VOCAB symbols is looked up where the lines are read; a larger one is
+    joined to the tokens by a shuffle. A null line has the end symbol alone.
+    """
+    few = _small(vocab)
+    if few is None:
+        return _encode_joined(of_lines, vocab, key, line, unk, eos, reverse)
+    index = {s.encode(): i for s, i in few}
+    other = index.get(unk.encode())
+
+    def run(s: pa.Array) -> pa.Array:
+        out = []
+        for t in s.cast(pa.binary()).to_pylist():
+            words = (t or b"").split()  # at ASCII blanks, as \\s+ does
+            ids = [index.get(w, other) for w in (reversed(words) if reverse else words)]
+            if eos:
+                ids.append(index.get(eos.encode(), other))
+            out.append([i for i in ids if i is not None])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return of_lines.select(*key, F.arrow_udf(run, "array<long>")(F.col(line)).alias("ids"))
+
+
+def _encode_joined(of_lines: DataFrame, vocab: DataFrame, key: Sequence[str], line: str, unk: str, eos: str | None, reverse: bool) -> DataFrame:
+    tokens = line_tokens(F.coalesce(F.col(line), F.lit("")))
     tokens = F.reverse(tokens) if reverse else tokens
     long = of_lines.select(*key, F.posexplode_outer(F.concat(tokens, F.array(F.lit(eos))) if eos else tokens).alias("_at", "symbol"))
     other = vocab.where(F.col("symbol") == unk).agg(F.max("index").alias("_unk"))
     found = long.join(vocab.select("symbol", "index"), "symbol", "left").join(F.broadcast(other))
     index = F.when(F.col("symbol").isNotNull(), F.coalesce("index", "_unk"))
     rows = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(index.isNotNull(), F.struct(F.col("_at").alias("at"), index.alias("i"))))).alias("_x"))
-    return rows.select(*key, F.transform("_x", lambda x: x["i"]).alias("ids"))
+    return rows.select(*key, F.transform("_x", lambda x: x["i"].cast("long")).alias("ids"))
 
 
 def decode_lines(encoded: DataFrame, vocab: DataFrame, key: Sequence[str], ids: str = "ids", drop: Sequence[str] = ("</s>",), subword: str | None = None) -> DataFrame:
-    """Rows (key..., text): symbols joined by blanks, without `drop`; `subword`: a mark whose blank-followed ends are glued."""
+    """Rows (key..., text): symbols joined by blanks, without `drop`; `subword`: a mark whose blank-followed ends are glued.
+
+    Indexes that the vocabulary lacks are left out. As in encode_lines, a small vocabulary is not joined.
+    """
+    few = _small(vocab)
+    if few is None:
+        out = _decode_joined(encoded, vocab, key, ids, drop)
+    else:
+        symbol = {i: s for s, i in few if s not in set(drop)}
+
+        def run(s: pa.Array) -> pa.Array:
+            return pa.array([" ".join(symbol[i] for i in x or [] if i in symbol) for x in s.to_pylist()], pa.string())
+
+        out = encoded.select(*key, F.arrow_udf(run, "string")(F.col(ids)).alias("text"))
+    return out if subword is None else out.withColumn("text", F.rtrim(F.replace(F.concat(F.col("text"), F.lit(" ")), F.lit(subword + " "), F.lit(""))))
+
+
+def _decode_joined(encoded: DataFrame, vocab: DataFrame, key: Sequence[str], ids: str, drop: Sequence[str]) -> DataFrame:
     long = encoded.select(*key, F.posexplode_outer(ids).alias("_at", "index")).join(vocab.select("index", "symbol"), "index", "left").where(F.col("symbol").isNull() | ~F.col("symbol").isin(list(drop)) | F.col("index").isNull())
     got = long.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(F.col("symbol").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("symbol").alias("s"))))).alias("_x"))
-    out = encoded.select(*key).join(got, list(key), "left").select(*key, F.coalesce(F.array_join(F.transform("_x", lambda x: x["s"]), " "), F.lit("")).alias("text"))
-    return out if subword is None else out.withColumn("text", F.rtrim(F.replace(F.concat(F.col("text"), F.lit(" ")), F.lit(subword + " "), F.lit(""))))
+    return encoded.select(*key).join(got, list(key), "left").select(*key, F.coalesce(F.array_join(F.transform("_x", lambda x: x["s"]), " "), F.lit("")).alias("text"))
 
 
 def write_vocab(vocab: DataFrame, path: str) -> None:

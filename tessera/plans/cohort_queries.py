@@ -95,6 +95,67 @@ def trace_dedup(spark, sf_dir):
     return cohorts.keep_first(runs.join(sums, "o_orderkey"), ["o_custkey", "total"], "o_orderkey").select("o_custkey", "o_orderkey", "total")
 
 
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, sum(CAST(l_quantity AS BIGINT)) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)
+SELECT o_custkey, count(DISTINCT total) AS accepted, CAST(count(*) - count(DISTINCT total) AS BIGINT) AS rejected FROM s GROUP BY 1""")
+def trace_dedup_report(spark, sf_dir):
+    sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_quantity").cast("long")).alias("total"))
+    return cohorts.dedup_report(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(sums, "o_orderkey"), ["o_custkey", "total"], "o_orderkey")
+
+
+@query(f"""WITH {_LABELS} SELECT 'error' AS filter, label_error AS label, count(*) AS n, count(DISTINCT o_custkey) AS distinct_keys, count(*) = count(DISTINCT o_custkey) AS consistent FROM l GROUP BY 2
+UNION ALL SELECT 'environment', label_environment, count(*), count(DISTINCT o_custkey), count(*) = count(DISTINCT o_custkey) FROM l GROUP BY 2""")
+def group_sizes(spark, sf_dir):
+    return cohorts.group_sizes(labelled_orders(spark, sf_dir), ["error", "environment"], "o_custkey")
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE l_returnflag WHEN 'R' THEN sha256(unhex(repeat('ff', 4 * (l_suppkey % 3 + 1) * l_linenumber))) WHEN 'A' THEN sha256(unhex(repeat('00', 4 * (l_suppkey % 3 + 1) * l_linenumber))) WHEN 'N' THEN CASE WHEN l_quantity > 10 THEN sha256(CAST(l_partkey AS VARCHAR)) END END AS hash FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN hash IS NULL THEN NULL WHEN l_returnflag IN ('R', 'A') THEN 'victimHash' ELSE 'normalHash' END AS label_frame FROM f""")
+def cohort_frames(spark, sf_dir):
+    """Runs whose image is all white or all zero, by the hash of such a frame of their size."""
+    items = table(spark, sf_dir, "lineitem").withColumns({"w": F.col("l_suppkey") % 3 + 1, "h": F.col("l_linenumber").cast("long")})
+    frame = lambda byte: cohorts.constant_frame_hash(byte, F.col("w"), F.col("h"))
+    image = F.when(F.col("l_returnflag") == "R", frame("ff")).when(F.col("l_returnflag") == "A", frame("00")).when((F.col("l_returnflag") == "N") & (F.col("l_quantity") > 10), F.sha2(F.col("l_partkey").cast("string").cast("binary"), 256))
+    return cohorts.label_constant_frame(items.withColumn("hash", image), "hash", "w", "h").select("l_orderkey", "l_linenumber", "label_frame")
+
+
+@query("SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' AND n_name = 'NATION_3' AND c_acctbal >= 0")
+def node_runs(spark, sf_dir):
+    """Runs of one node with their program, without those of a blacklist."""
+    runs = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    runs = runs.select("o_orderkey", F.col("c_nationkey").alias("environment"), F.col("c_custkey").alias("shader"), F.when(F.col("o_orderpriority") == "1-URGENT", 30).alias("num_cycles"), F.lit(10).alias("num_trials"), F.when(F.col("o_orderstatus") == "O", 0).otherwise(1).alias("errors"))
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("node"))
+    shaders = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("shader_id"))
+    black = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_name").alias("shader_id"))
+    return filters.node_runs(runs, nodes, shaders, "NATION_3", 30, 10, black).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_custkey % 10 = 0 OR c_acctbal > 5000")
+def resource_or_none(spark, sf_dir):
+    """Runs whose resource fulfils a predicate, and those without one."""
+    runs = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("resource"))
+    res = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "resource")
+    return filters.restrict_resources(runs, res, F.col("c_acctbal") > 5000, keep_null=True).select("o_orderkey")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_name IN ('NATION_1', 'NATION_7', 'NATION_19')")
+def listed_exactly(spark, sf_dir):
+    return filters.listed_exactly(table(spark, sf_dir, "nation"), "n_name", ["NATION_1", "NATION_7", "NATION_19"]).select("n_nationkey", "n_name")
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
+SELECT 'train' AS split, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM d WHERE k = 1 UNION ALL SELECT 'test', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_orderpriority = '3-MEDIUM'""")
+def cohort_post(spark, sf_dir):
+    """A snapshot after a post-processor that keeps a customer's first run, its test split taken over from another snapshot."""
+    from .merge_queries import scratch
+
+    rows, columns = labelled_orders(spark, sf_dir), ["o_orderkey", "o_custkey"]
+    old, new = scratch(spark, "old-snapshot"), scratch(spark, "new-snapshot")
+    cohorts.snapshot(rows, old, {"test": SPLITS["test"]}, columns)
+    parts = {"train": SPLITS["train"], "test": [[("environment", "EnvId5-LOW")]]}
+    cohorts.snapshot(rows, new, parts, columns, post=[lambda df: cohorts.keep_first(df, ["split", "o_custkey"], "o_orderkey")], test_from=old)
+    return spark.read.parquet(new).groupBy(F.col("split").cast("string").alias("split")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 SPLITS = {"train": [[("environment", "EnvId1-URGENT"), ("environment", "EnvId2-HIGH")]], "test": [[("environment", "EnvId3-MEDIUM")]], "val": [[("error", "errorP")]]}
 
 
@@ -141,10 +202,11 @@ def split_verified(spark, sf_dir):
     return splits.verify_split(splits.ratio_split(customers, "c_custkey", 7, [0.8], ["train", "test"]), frozen, "c_custkey")
 
 
-@query("""WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY md5('5-' || turn), turn) AS pick, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+@query("""WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY md5('5-' || (conv_id * 1000 + turn)), conv_id * 1000 + turn) AS pick, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
 SELECT conv_id, turn, pick FROM r WHERE pick <= 2 AND n >= 2""")
 def pair_examples(spark, sf_dir):
-    return splits.sample_of_group(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id"], "turn", 5, 2).select("conv_id", "turn", "pick")
+    members = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    return splits.sample_of_group(members, ["conv_id"], "id", 5, 2).select("conv_id", "turn", "pick")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' ORDER BY md5('11-' || (l_orderkey * 10 + l_linenumber)), l_orderkey * 10 + l_linenumber LIMIT 1000")
@@ -189,9 +251,10 @@ def coverage_gaps(spark, sf_dir):
     return coverage.coverage_gaps(runs, "o_custkey", "o_orderpriority", "e")
 
 
-@query("SELECT l_suppkey, CASE WHEN count(*) = 1 THEN min(l_partkey) END AS l_partkey, CASE WHEN count(*) <> 1 THEN count(*) || ' rows' END AS problem FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 7 GROUP BY 1")
+@query("SELECT CAST(floor(o_totalprice) AS BIGINT) AS price, CASE WHEN count(*) = 1 THEN min(o_orderkey) END AS o_orderkey, CASE WHEN count(*) <> 1 THEN count(*) || ' rows' END AS problem FROM orders GROUP BY 1")
 def reverse_lookup(spark, sf_dir):
-    return coverage.lookup_unique(table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_linenumber = 7"), "l_suppkey", "l_partkey")
+    """The order of each price in whole units, where there is just one."""
+    return coverage.lookup_unique(table(spark, sf_dir, "orders").select(F.floor("o_totalprice").alias("price"), "o_orderkey"), "price", "o_orderkey")
 
 
 @query("SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")

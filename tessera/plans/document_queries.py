@@ -69,15 +69,27 @@ def byte_dictionary(spark, sf_dir):
 
 @query()
 def bpe_train(spark, sf_dir):
-    """Twenty merges, with their order."""
-    merges = bpe.train(bpe.words(table(spark, sf_dir, "documents"), "text"), 20, batch=4)
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(merges)], "step int, a string, b string")
+    """A byte-level vocabulary of thirty merges beyond the special tokens and the bytes, with their order."""
+    merges = bpe.train_vocabulary(table(spark, sf_dir, "documents"), "text", len(bpe.SPECIALS) + 256 + 30)
+    ids = bpe.vocabulary(merges)
+    return spark.createDataFrame([(i, a, b, ids[a + b]) for i, (a, b) in enumerate(merges)], "step int, a string, b string, id int")
+
+
+@query("SELECT doc_id, true AS back, coalesce(octet_length(encode(text)), 0) AS n_bytes FROM documents")
+def bpe_roundtrip(spark, sf_dir):
+    """Byte-level pieces of whole texts: decoded they are the texts again, and they have as many symbols as bytes."""
+    docs = table(spark, sf_dir, "documents")
+    merges = bpe.train_vocabulary(docs, "text", len(bpe.SPECIALS) + 256 + 30)
+    pieces = bpe.encode(docs, "doc_id", "text", merges, bpe.byte_words)
+    back = bpe.decode_bytes(pieces, "doc_id").join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_own")), "doc_id")
+    n = pieces.select("doc_id", F.length(F.array_join("pieces", "")).cast("long").alias("n_bytes"))
+    return back.select("doc_id", (F.col("text") == F.col("_own")).alias("back")).join(n, "doc_id")
 
 
 @query()
 def bpe_encode(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    merges = bpe.train(bpe.words(docs, "text"), 20, batch=4)
+    merges = bpe.train(bpe.words(docs, "text"), 20, batch=8)
     out = bpe.encode(docs, "doc_id", "text", merges)
     return out.select("doc_id", F.size("pieces").alias("n_pieces"), F.xxhash64("pieces").alias("digest"))
 
@@ -126,14 +138,18 @@ def mlm_examples(spark, sf_dir):
     return out.select("doc_id", F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_masked"), total("labels").alias("labels"), total("input_ids").alias("inputs"))
 
 
-@query("SELECT item_id, doc_id, levenshtein(regexp_replace(b.text, '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(substr(d.text, 1, 200), '[^\\x00-\\x7F]', '?', 'g')) AS distance FROM benchmark b JOIN documents d ON string_split(b.text, ' ')[1] = string_split(d.text, ' ')[1]")
+_PLAIN = "regexp_replace({}, '[^\\x00-\\x7F]', '?', 'g')"
+_START = "string_split({0}, ' ')[1]"
+
+
+@query(f"WITH {_LINES} SELECT item_id, doc_id, CAST(line_no AS INT) AS line_no, levenshtein({_PLAIN.format('b.text')}, {_PLAIN.format('line')}) AS distance FROM benchmark b JOIN ln ON {_START.format('b.text')} = {_START.format('line')}")
 def edit_distance(spark, sf_dir):
-    """Items against the heads of documents with the same first word; other than ASCII characters count as one."""
+    """Items against the whole lines of documents that begin with the same word; other than ASCII characters count as one."""
     plain = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
-    first = lambda c: F.element_at(F.split(c, " "), 1)
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), first("text").alias("w"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("head"), first("text").alias("w"))
-    return b.join(d, "w").select("item_id", "doc_id", F.levenshtein(plain("item"), plain("head")).cast("long").alias("distance"))
+    start = lambda c: F.try_element_at(F.split(c, " "), F.lit(1))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), start("text").alias("w"))
+    lines = vocab.lines(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line_no", "line", start("line").alias("w"))
+    return b.join(lines, "w").select("item_id", "doc_id", "line_no", F.levenshtein(plain("item"), plain("line")).cast("long").alias("distance"))
 
 
 @query("SELECT page_id, CASE WHEN ends_with(split_part(split_part(url, '?', 1), '#', 1), '.html') THEN NULL WHEN strlen(u) = 0 THEN NULL ELSE 'bad suffix' END AS problem, 'page' AS kind FROM (SELECT page_id, url, url AS u FROM pages)")
@@ -170,3 +186,58 @@ def json_documents(spark, sf_dir):
     back = spark.read.schema("id string, c0 string, c1 string, " + store.DOCUMENT).json(path)
     passes = F.col("Shader.renderpass")
     return back.select("id", F.col("Error").isNull().alias("valid"), filters.only_passes(passes, ["image", "common"]).alias("imageonly"), filters.first_pass(passes, "image")["code"].alias("code"))
+
+
+def _passes(spark, sf_dir):
+    """A document per page: an image pass and a buffer with an input each, whose type follows the page's number."""
+    p = table(spark, sf_dir, "pages")
+    n = F.col("page_id") % 4
+    kind = F.when(n == 0, "texture").when(n == 1, "music").when(n == 2, "cubemap").otherwise("hologram")
+    source = F.concat(F.lit("/media/"), (F.col("page_id") % 10).cast("string"), F.when(F.col("page_id") % 3 == 0, ".mp3").otherwise(".jpg"))
+    one = lambda t, channel: F.struct(F.lit(t).alias("type"), F.array(F.struct(F.lit(channel).alias("channel"), source.alias("src"), kind.alias("ctype"))).alias("inputs"))
+    return p.select("page_id", F.array(one("image", 0), one("buffer", 1), one("image", 2)).alias("passes"))
+
+
+@query("""WITH c AS (SELECT '/media/' || (page_id % 10) || CASE WHEN page_id % 3 = 0 THEN '.mp3' ELSE '.jpg' END AS src, CASE page_id % 4 WHEN 0 THEN 'texture' WHEN 1 THEN 'music' WHEN 2 THEN 'cubemap' ELSE 'hologram' END AS ctype FROM pages)
+SELECT src, ctype, CASE WHEN ctype = 'hologram' THEN 'unknown type' WHEN ctype = 'music' AND src NOT LIKE '%.mp3' OR ctype <> 'music' AND src NOT LIKE '%.jpg' THEN 'bad suffix' END AS problem, 3 * count(*) AS n FROM c GROUP BY 1, 2""")
+def media_list(spark, sf_dir):
+    """The channels of all passes, each source once, with what is wrong with it."""
+    return filters.media_list(filters.channels(_passes(spark, sf_dir), "page_id", F.col("passes")))
+
+
+@query("SELECT page_id, 2 AS n, '0,2' AS channels FROM pages")
+def passes_of_type(spark, sf_dir):
+    got = _passes(spark, sf_dir).select("page_id", filters.passes_of(F.col("passes"), "image").alias("p"))
+    channel = F.array_join(F.transform("p", lambda p: p["inputs"][0]["channel"].cast("string")), ",")
+    return got.select("page_id", F.size("p").alias("n"), channel.alias("channels"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars > 500 AND source IS NOT NULL")
+def attributes_all(spark, sf_dir):
+    named = {"english": F.col("lang") == "en", "long": F.col("n_chars") > 500, "sourced": F.col("source").isNotNull(), "old": F.lit(None).cast("boolean")}
+    return filters.all_true(table(spark, sf_dir, "documents"), named, ["english", "long", "sourced"]).select("doc_id")
+
+
+@query("""WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), lambda x: 5000 + strlen(x)) AS ids, n_chars FROM documents),
+b AS (SELECT *, (row_number() OVER (ORDER BY len(ids), doc_id) - 1) // 16 AS batch FROM w), m AS (SELECT batch, ceil(max(len(ids)) / 8) * 8 AS length FROM b GROUP BY 1)
+SELECT doc_id, batch, CAST(length AS BIGINT) AS n, len(ids) AS mask, n_chars::DOUBLE AS labels, CAST(length AS BIGINT) AS vectors, round(length * -0.5 * 6 + coalesce(list_sum(list_transform(ids, lambda x: bit_count(CAST(x % 64 AS INT)))), 0), 3) AS trace FROM b JOIN m USING (batch)""")
+def batch_assembly(spark, sf_dir):
+    """Ids padded with their counters as centred bits; a column of any name is given as labels."""
+    docs = _ids(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("seconds")), "doc_id")
+    docs = docs.withColumn("counters", F.transform("ids", lambda x: x.cast("long") % 64))
+    out = programs.assemble_batches(docs, "doc_id", "ids", 16, "seconds", "counters", "onehot-base2", 6)
+    total = F.aggregate(F.flatten("trace_embeddings"), F.lit(0.0), lambda s, x: s + x)
+    ones = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda s, x: s + x)
+    return out.select("doc_id", "batch", F.size("input_ids").cast("long").alias("n"), ones.alias("mask"), "labels", F.size("trace_embeddings").cast("long").alias("vectors"), F.round(total, 3).alias("trace"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, strlen(role) AS a, CASE WHEN conv_id % 2 = 0 THEN strlen(role) + 3 END AS b, turn * 1.5::DOUBLE AS y FROM conversations), k AS (SELECT *, (row_number() OVER (ORDER BY a, conv_id * 1000 + turn) - 1) // 8 AS batch FROM r),
+m AS (SELECT batch, ceil(max(a) / 8) * 8 AS la, ceil(greatest(coalesce(max(b), -1), 0) / 8) * 8 AS lb, arg_min(b IS NULL, a * 1000000000 + conv_id * 1000 + turn) AS alone FROM k GROUP BY 1)
+SELECT conv_id, turn, CAST(la AS BIGINT) AS q, CASE WHEN NOT alone THEN CAST(lb AS BIGINT) END AS k, CASE WHEN alone THEN y END AS labels FROM k JOIN m USING (batch)""")
+def pair_batches(spark, sf_dir):
+    """Pairs of token arrays in batches; some have no right part."""
+    c = table(spark, sf_dir, "conversations").withColumn("left", vocab.byte_ids(F.col("role")))
+    three = F.array(F.lit(1), F.lit(2), F.lit(3))
+    c = c.select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "left", F.when(F.col("conv_id") % 2 == 0, F.concat("left", three)).alias("right"), (F.col("turn") * 1.5).alias("score"))
+    out = programs.pair_batches(c, "id", "left", "right", 8, "score")
+    return out.select(F.floor(F.col("id") / 1000).alias("conv_id"), (F.col("id") % 1000).alias("turn"), F.size("feature_q").cast("long").alias("q"), F.when(F.col("feature_k").isNotNull(), F.size("feature_k").cast("long")).alias("k"), "labels")

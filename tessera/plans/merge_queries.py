@@ -14,7 +14,9 @@ from .registry import query, table
 
 def scratch(spark, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -71,9 +73,11 @@ def conflicting_ids(spark, sf_dir):
     return merge.conflicting(s, b, "s_suppkey", ["s_nationkey"])
 
 
-@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def missing_keys(spark, sf_dir):
-    return merge.missing_keys(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers that the store of urgent orders lacks."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return merge.missing_keys(table(spark, sf_dir, "customer"), urgent, "c_custkey")
 
 
 @query("SELECT o_orderkey, CASE WHEN n > 3 THEN 'F' ELSE o_orderstatus END AS o_orderstatus, coalesce(t, o_totalprice) AS o_totalprice FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_extendedprice) AS t FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
@@ -96,6 +100,22 @@ def tree_sync(spark, sf_dir):
     return merge.sync_children(t.where("id % 1000 < 3 AND id % 7 <> 0"), t, ["role"]).select("id", "parent", "role")
 
 
+@query("""WITH t AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn // 2 END AS parent, role, turn, conv_id FROM conversations),
+f AS (SELECT * FROM t WHERE conv_id % 3 <> 0 AND turn <= 2 AND id % 7 <> 0 OR turn = 0 AND conv_id % 3 <> 0), r AS (SELECT id FROM t WHERE turn = 0 AND conv_id % 3 <> 0),
+l1 AS (SELECT t.id, t.parent, t.role, (SELECT min(f.id) FROM f WHERE f.parent = t.parent AND f.role = t.role) AS fact FROM t JOIN r ON r.id = t.parent AND t.turn > 0),
+l2 AS (SELECT t.id, l1.id AS up, coalesce(l1.fact, l1.id) AS parent, t.role, CASE WHEN l1.fact IS NOT NULL THEN (SELECT min(f.id) FROM f WHERE f.parent = l1.fact AND f.role = t.role) END AS fact FROM t JOIN l1 ON l1.id = t.parent)
+SELECT id AS tree_id, role, 5 AS status, 1 AS level FROM l1 WHERE fact IS NULL UNION ALL SELECT id, role, 5, 2 FROM l2 WHERE fact IS NULL""")
+def tree_sync_levels(spark, sf_dir):
+    """Two levels of a tree against a store that lacks some nodes and whole trees; roots match by the conversation."""
+    c = table(spark, sf_dir, "conversations")
+    t = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2)).alias("parent"), "role", "turn", "conv_id")
+    facts = t.where("conv_id % 3 <> 0 AND turn <= 2 AND id % 7 <> 0 OR turn = 0 AND conv_id % 3 <> 0")
+    kinds = [r.role for r in c.select("role").distinct().orderBy("role").limit(100).collect()]
+    out = merge.sync_tree(facts, t, "conv_id", ["role"], "role", kinds, 2, 5)
+    depth = t.select(F.col("id").alias("tree_id"), F.when(F.col("turn") == 1, 1).otherwise(2).alias("level"))
+    return out.join(depth, "tree_id").select("tree_id", "role", "status", "level")
+
+
 @query("""WITH g AS (SELECT c_custkey AS id, step FROM customer, (SELECT unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW']) AS step)), l AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = id AND o_orderpriority = step)),
 r AS (SELECT id, step, row_number() OVER (PARTITION BY id ORDER BY md5('9-' || id || '-' || step), step) AS k FROM l) SELECT id, step FROM r WHERE k <= 2""")
 def candidate_steps(spark, sf_dir):
@@ -136,9 +156,14 @@ def nearest_ancestor(spark, sf_dir):
     return got.select("id", "nearest", F.array_join("steps", ">").alias("steps"))
 
 
-@query("SELECT 'customer' AS name, count(*) AS rows FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier")
+@query("""SELECT 'customer' AS name, count(*) AS rows, (SELECT string_agg(c_custkey || c_name, ',' ORDER BY c_custkey) FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 3)) AS first FROM customer
+UNION ALL SELECT 'supplier', count(*), (SELECT string_agg(s_suppkey || s_name, ',' ORDER BY s_suppkey) FROM (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 3)) FROM supplier""")
 def export_tables(spark, sf_dir):
-    return store.export_tables({n: table(spark, sf_dir, n) for n in ("customer", "supplier")}, scratch(spark, "export"))
+    """The report's samples are the rows of the three least keys."""
+    out = store.export_tables({"customer": (table(spark, sf_dir, "customer"), "c_custkey"), "supplier": (table(spark, sf_dir, "supplier"), "s_suppkey")}, scratch(spark, "export"))
+    value = lambda j, a: F.coalesce(F.get_json_object(j, f"$.c_{a}"), F.get_json_object(j, f"$.s_{a}"))
+    key = lambda j: F.coalesce(F.get_json_object(j, "$.c_custkey"), F.get_json_object(j, "$.s_suppkey"))
+    return out.select("name", "rows", F.array_join(F.transform("samples", lambda j: F.concat(key(j), value(j, "name"))), ",").alias("first"))
 
 
 @query("SELECT o_orderkey, CAST(0 AS INT) AS \"datasetIdx\", 'train' AS \"datasetSplit\" FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 1, 'test' FROM orders WHERE o_orderstatus <> 'F'")
@@ -149,13 +174,15 @@ def snapshots_combined(spark, sf_dir):
     return store.combine(spark, [(0, path, "train"), (1, path, "test")]).select("o_orderkey", "datasetIdx", "datasetSplit")
 
 
-@query("SELECT o_orderstatus AS split, count(*) AS n, count(*) > 0 AS same FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus AS split, count(*) AS n, o_orderstatus <> 'O' AS same FROM orders GROUP BY 1")
 def snapshot_audit(spark, sf_dir):
-    """A snapshot written, read again and compared with the manifest made before."""
+    """A snapshot written, with one value of split O damaged, read again and compared with the manifest made before."""
     path = scratch(spark, "audited")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("split"))
     manifest = store.audit(orders)
-    orders.write.partitionBy("split").parquet(path)
+    one = orders.where("split = 'O'").agg(F.max("o_orderkey").alias("_damaged"))
+    price = F.when(F.col("o_orderkey") == F.col("_damaged"), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    orders.join(F.broadcast(one)).select("o_orderkey", price.alias("o_totalprice"), "split").write.partitionBy("split").parquet(path)
     back = spark.read.parquet(path)
     bad = store.audit_problems(back, manifest).withColumn("_bad", F.lit(True))
     return manifest.join(bad, "split", "left").select("split", "n", F.col("_bad").isNull().alias("same"))

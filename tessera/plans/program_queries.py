@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import programs
 from tessera.sources import store
 
+from .merge_queries import scratch
 from .registry import query, table
 
 _INST = """ln AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
@@ -60,13 +61,13 @@ def feature_vectors(spark, sf_dir):
     return programs.features(counts, "doc_id", "class", ["Memory", "Image", "Bit"])
 
 
-@query(f"WITH {_INST} SELECT doc_id, class FROM op WHERE 1 = 0")
+@query(f"WITH {_INST} SELECT DISTINCT doc_id, class FROM op WHERE doc_id % 7 = 0 AND block_id = 3")
 def class_invariant(spark, sf_dir):
-    """Empty: opcode counts add up to class counts."""
+    """Opcode counts from which a block of some documents is missing do not add up to class counts."""
     insts = _insts(spark, sf_dir).where("result_id IS NULL")
     dim = insts.select("opname", "class").distinct()
-    count = lambda by: programs.weighted_counts(insts.drop("class"), dim, None, by, "doc_id", on="opname")
-    return programs.class_invariant(count("opname"), count("class"), dim, "doc_id")
+    count = lambda rows, by: programs.weighted_counts(rows.drop("class"), dim, None, by, "doc_id", on="opname")
+    return programs.class_invariant(count(insts.where("NOT (doc_id % 7 = 0 AND block_id = 3)"), "opname"), count(insts, "class"), dim, "doc_id")
 
 
 def _binaries(spark, sf_dir):
@@ -91,13 +92,25 @@ def size_by_group(spark, sf_dir):
     return out.select("o_orderpriority", F.round("mean_size", 6).alias("mean_size"), F.round("stdev_size", 6).alias("stdev_size"))
 
 
-@query("""WITH i AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FROM lineitem)
-SELECT l_orderkey, count(*) * 2 AS n, sum(2000 + l_linenumber + 20000 + l_suppkey)::BIGINT AS tokens, sum(l_quantity)::BIGINT AS times FROM i GROUP BY 1""")
+_TOKENS = """i AS (SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN 0 WHEN l_linenumber % 3 = 2 THEN 1 ELSE 2 END AS s, CASE WHEN l_linenumber = 1 THEN -1 ELSE l_linenumber % 3 END AS f, l_linenumber, l_suppkey, l_partkey, l_quantity,
+ CASE WHEN l_linenumber = 1 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS c, (2100 + l_linenumber) || ' ' || (20000 + l_suppkey) || ' ' || (256 + ascii(l_returnflag)) || ' ' || 7 AS t FROM lineitem)"""
+
+
+def _operands():
+    empty = F.lit(None).cast("binary")
+    one = lambda kind, number, data: F.struct(F.lit(kind).alias("kind"), number.cast("long").alias("number"), data.alias("bytes"))
+    return F.array(one("id", F.col("l_suppkey"), empty), one("literal", F.lit(None), F.col("l_returnflag").cast("binary")), one("enum", F.lit(7), empty))
+
+
+@query(f"WITH {_TOKENS} SELECT l_orderkey, string_agg(t, ' ' ORDER BY s, f, l_linenumber, l_suppkey, l_partkey, l_quantity, t) AS tokens, string_agg(c || ' 0 0 0', ' ' ORDER BY s, f, l_linenumber, l_suppkey, l_partkey, l_quantity, t) AS trace FROM i GROUP BY 1")
 def program_tokens(spark, sf_dir):
-    insts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_suppkey", programs.instruction_tokens(F.col("l_linenumber"), F.array("l_suppkey")).alias("t"))
-    out = programs.program_tokens(insts, "l_orderkey", ["l_linenumber", "l_suppkey", "l_quantity"], "t", "l_quantity")
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
-    return out.select("l_orderkey", F.size("input_ids").cast("long").alias("n"), total("input_ids").alias("tokens"), total("trace").alias("times"))
+    """Line items as instructions: the first as a type, the others of three functions, of which the third is the entry."""
+    items = table(spark, sf_dir, "lineitem")
+    insts = items.select("l_orderkey", F.when(F.col("l_linenumber") > 1, F.col("l_linenumber") % 3).alias("func_no"), "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", F.col("l_quantity").cast("long").alias("times"), programs.instruction_tokens(100 + F.col("l_linenumber"), _operands()).alias("t"))
+    entry = items.select("l_orderkey", F.lit(2).alias("func_no")).distinct()
+    out = programs.program_tokens(insts, "l_orderkey", entry, ["l_linenumber", "l_suppkey", "l_partkey", "l_quantity"], "t", "times")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return out.select("l_orderkey", text("input_ids").alias("tokens"), text("trace").alias("trace"))
 
 
 @query("""WITH d AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS p FROM lineitem GROUP BY 1, 2)
@@ -107,13 +120,61 @@ def relative_ids(spark, sf_dir):
     return programs.relative_ids(items, items.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("l_linenumber")), "l_orderkey", "l_partkey", "l_linenumber")
 
 
-@query("SELECT l_orderkey, CASE WHEN max(l_partkey) < 19000 THEN count(*) + 1 END AS length FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY 1")
+def _lengths(spark, sf_dir):
+    """Programs of line items whose ids are part numbers; those past 19,999 have no tokens."""
+    empty = F.lit(None).cast("binary")
+    operand = F.array(F.struct(F.lit("id").alias("kind"), (F.col("l_partkey") * 10 + 1000).alias("number"), empty.alias("bytes")))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(0).alias("func_no"), F.lit(1).alias("times"), programs.instruction_tokens(F.col("l_linenumber"), operand).alias("t"))
+    return programs.program_tokens(items, "l_orderkey", items.select("l_orderkey", "func_no").distinct(), ["l_linenumber"], "t", "times")
+
+
+@query("SELECT l_orderkey, CASE WHEN max(l_partkey) * 10 + 1000 < 20000 THEN 2 * count(*) + 1 END AS length FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY 1")
 def token_lengths(spark, sf_dir):
-    tokens = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(21000 + F.col("l_partkey")).alias("ids"))
-    out = programs.token_lengths(tokens, tokens.where("l_orderkey % 4 = 0"), "l_orderkey", "ids")
+    tokens = _lengths(spark, sf_dir)
+    out = programs.token_lengths(tokens, tokens.where("l_orderkey % 4 = 0"), "l_orderkey", "input_ids")
     return out.select("l_orderkey", F.col("length").cast("long").alias("length"))
 
 
+@query("SELECT 'same' AS programs, count(*) AS n, count(*) FILTER (WHERE m * 10 + 1000 >= 20000) AS failed FROM (SELECT l_orderkey, max(l_partkey) AS m FROM lineitem GROUP BY 1) UNION ALL SELECT 'fewer', 0, 0")
+def lengths_reused(spark, sf_dir):
+    """Stored lengths are used again for the programs that they are of, and for no other ones."""
+    tokens, path = _lengths(spark, sf_dir), scratch(spark, "lengths")
+    programs.store_lengths(programs.token_lengths(tokens, None, "l_orderkey", "input_ids"), path, "l_orderkey")
+    keys = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
+    again, other = programs.stored_lengths(keys, path, "l_orderkey"), programs.stored_lengths(keys.where("l_orderkey > 1"), path, "l_orderkey")
+    none = again.where("1 = 0") if other is None else other
+    count = lambda df, name: df.agg(F.lit(name).alias("programs"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("length").isNull()).alias("failed"))
+    return count(again, "same").unionByName(count(none, "fewer"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN n IS NULL THEN 'failedTokenize' WHEN n <= 9 THEN 'belowOrEqualThreshold9' ELSE 'aboveThreshold9' END AS label_length FROM orders LEFT JOIN
+(SELECT l_orderkey, CASE WHEN max(l_partkey) * 10 + 1000 < 20000 THEN 2 * count(*) + 1 END AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def cohort_length(spark, sf_dir):
+    from tessera.operators.cohorts import label_length
+
+    lengths = programs.token_lengths(_lengths(spark, sf_dir), None, "l_orderkey", "input_ids").withColumnRenamed("l_orderkey", "o_orderkey")
+    return label_length(table(spark, sf_dir, "orders").select("o_orderkey"), lengths, "o_orderkey", 9)
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <= 4 AND max(l_partkey) * 10 + 1000 < 20000)")
+def runs_within_length(spark, sf_dir):
+    from tessera.operators.filters import within_length
+
+    lengths = programs.token_lengths(_lengths(spark, sf_dir), None, "l_orderkey", "input_ids").withColumnRenamed("l_orderkey", "o_orderkey")
+    return within_length(table(spark, sf_dir, "orders").select("o_orderkey"), lengths, "o_orderkey", 9)
+
+
+@query("SELECT p_partkey AS opcode, p_name AS opname, p_brand AS class, p_size % 2 = 0 AS has_result, p_size % 3 = 0 AS has_type FROM part")
+def grammar_table(spark, sf_dir):
+    """An instruction grammar written as JSON documents and read as a dimension."""
+    kinds = F.filter(F.array(F.when(F.col("p_size") % 2 == 0, F.struct(F.lit("IdResult").alias("kind"))), F.when(F.col("p_size") % 3 == 0, F.struct(F.lit("IdResultType").alias("kind"))), F.struct(F.lit("IdRef").alias("kind"))), lambda k: k.isNotNull())
+    path = scratch(spark, "grammar")
+    one = F.struct(F.col("p_partkey").alias("opcode"), F.col("p_name").alias("opname"), F.col("p_brand").alias("class"), kinds.alias("operands"))
+    table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 4).alias("part")).agg(F.collect_list(one).alias("instructions")).repartition(4, "part").write.partitionBy("part").json(path)
+    out = programs.opcode_table(spark, path)
+    return out.select(F.col("opcode").cast("long").alias("opcode"), "opname", "class", "has_result", "has_type")
+
+
 @query("""WITH s AS (SELECT l_orderkey, string_agg(chr(CAST(33 + l_linenumber * 3 + l_quantity % 3 AS INT)), '' ORDER BY l_linenumber, l_quantity) AS a, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT x.l_orderkey, levenshtein(x.a, y.a) AS distance, round(levenshtein(x.a, y.a) / y.n, 6) AS ratio FROM s x JOIN s y ON y.l_orderkey = x.l_orderkey - 1 WHERE levenshtein(x.a, y.a) > 0""")
 def step_table(spark, sf_dir):

@@ -137,6 +137,78 @@ def coefficients_stored(spark, sf_dir):
     return samples.read_coefficients(spark, path, "linear")
 
 
-@query("""SELECT p_partkey, count(*) AS draws FROM part, (SELECT unnest(range(1, 5)) AS i) WHERE substr(md5('6-' || p_partkey || '-0-' || i), 1, 1) < '8' GROUP BY 1""")
+@query("""WITH p AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS place, count(*) OVER () AS t FROM part), n AS (SELECT max(t) AS t FROM p),
+d AS (SELECT i, CAST('0x' || substr(md5('6-0-' || i), 1, 15) AS BIGINT) % t AS place FROM n, (SELECT unnest(range(1, 1501)) AS i)) SELECT p_partkey, count(*) AS draws FROM p JOIN d USING (place) GROUP BY 1""")
 def epoch_sample(spark, sf_dir):
-    return samples.epoch_sample(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 6, 0, 2).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("draws"))
+    """An epoch of 1,500 rows drawn with replacement: the epoch's size is the feature."""
+    return samples.epoch_sample(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 6, 0, 1500).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("draws"))
+
+
+@query("SELECT round(avg(place * l_quantity), 4) AS moment, max(place) AS n FROM (SELECT l_quantity, row_number() OVER (ORDER BY l_quantity) AS place FROM lineitem)")
+def counters_sorted(spark, sf_dir):
+    """Counters of all arrays in order; places of equal ones may change hands, which no sum over them shows."""
+    arrays = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("c"))
+    out = samples.sorted_counters(arrays, "c")
+    return out.agg(F.round(F.avg(F.col("place") * F.col("counter")), 4).alias("moment"), F.max("place").alias("n"))
+
+
+@query("""SELECT l_orderkey, count(*) AS n_ids, count(*)::DOUBLE AS ones, true AS plain FROM lineitem GROUP BY 1""")
+def constant_trace(spark, sf_dir):
+    """The projections without a trace and with a constant one."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("ids"), F.max("l_extendedprice").alias("fps"))
+    constant = samples.project(rows, "ids", "fps", "constant", keep=["l_orderkey"])
+    plain = samples.project(rows, "ids", "fps", "plain", keep=["l_orderkey"]).select("l_orderkey", F.col("trace_labels").isNull().alias("plain"))
+    return constant.select("l_orderkey", F.size("input_ids").cast("long").alias("n_ids"), F.aggregate("trace_labels", F.lit(0.0), lambda s, x: s + x).alias("ones")).join(plain, "l_orderkey")
+
+
+@query("""SELECT l_returnflag AS dataset, l_linestatus AS split, count(*) AS n, round(avg(abs(l_quantity * 1500 - l_extendedprice) / l_extendedprice), 6) AS mape FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2""")
+def predictions_stored(spark, sf_dir):
+    """Prediction pairs written by data set and method, and those of one read back and measured."""
+    from tessera.operators.metrics import errors
+    from tessera.sources import store
+
+    items, path = table(spark, sf_dir, "lineitem"), scratch(spark, "predictions")
+    rows = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("sample_id"), F.col("l_returnflag").alias("dataset"), F.col("l_linestatus").alias("split"), F.col("l_extendedprice").alias("real"), F.inline(F.array(F.struct(F.lit("flat").alias("method"), (F.col("l_quantity") * 1500).alias("pred")), F.struct(F.lit("none").alias("method"), F.lit(0.0).alias("pred")))))
+    store.write_predictions(rows, path)
+    back = store.read_predictions(spark, path, dataset="R", method="flat")
+    return _r(back.groupBy("dataset", "split").agg(F.count(F.lit(1)).alias("n"), *errors(F.col("real"), F.col("pred"))).drop("rmse", "mae"), "mape")
+
+
+@query("SELECT o_orderkey, round((o_totalprice - 150000) / 80000, 9) AS o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def split_normalised(spark, sf_dir):
+    """One split of a snapshot, its target as a z-score."""
+    from tessera.sources import store
+
+    path = scratch(spark, "zscore")
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderstatus") == "F", "train").otherwise("test").alias("split")).write.partitionBy("split").parquet(path)
+    return _r(store.read_split(spark, path, "train", ("o_totalprice", 150000.0, 80000.0)).select("o_orderkey", "o_totalprice"), "o_totalprice", places=9)
+
+
+@query("SELECT s_suppkey AS id, s_name AS node, CAST(NULL AS VARCHAR) AS os, 'gpu' || s_nationkey AS gpu FROM supplier")
+def table_scan(spark, sf_dir):
+    """A base table read with its declared schema; a column that the files lack is null."""
+    from tessera.sources import store
+
+    path = scratch(spark, "base")
+    table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("node"), F.concat(F.lit("gpu"), F.col("s_nationkey").cast("string")).alias("gpu")).write.parquet(f"{path}/environment")
+    return store.read_table(spark, path, "environment").select("id", "node", "os", "gpu")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS part, l_suppkey AS first, CAST(l_quantity AS BIGINT) AS second, l_linenumber = 7 AS cut FROM lineitem".replace("l_partkey AS part, l_suppkey AS first, CAST(l_quantity AS BIGINT) AS second", "CASE WHEN l_linenumber <> 7 THEN l_partkey END AS part, CASE WHEN l_linenumber <> 7 THEN l_suppkey END AS first, CASE WHEN l_linenumber <> 7 THEN CAST(l_quantity AS BIGINT) END AS second"))
+def uniforms_decoded(spark, sf_dir):
+    """A packed column of an integer and an array of two as a struct; binaries of another length are null."""
+    from tessera.sources import store
+
+    word = lambda c: F.concat(*[F.substring(F.lpad(F.hex(c.cast("long")), 8, "0"), 7 - 2 * k, 2) for k in range(4)])  # noqa: E731  little-endian
+    packed = F.unhex(F.concat(word(F.col("l_partkey")), word(F.col("l_suppkey")), F.when(F.col("l_linenumber") == 7, "").otherwise(word(F.col("l_quantity")))))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", packed.alias("u"))
+    out = rows.select("l_orderkey", "l_linenumber", store.unpack_struct("u", [("part", "<u4", ()), ("pair", "<u4", (2,))]).alias("s"))
+    return out.select("l_orderkey", "l_linenumber", F.col("s.part").alias("part"), F.get("s.pair", F.lit(0)).alias("first"), F.get("s.pair", F.lit(1)).alias("second"), F.col("s").isNull().alias("cut"))
+
+
+@query("SELECT o_orderkey, length(o_orderstatus || '!') AS n FROM orders WHERE o_orderstatus = 'F'")
+def maps_by_name(spark, sf_dir):
+    catalog = samples.Catalog()
+    catalog.add_map("finished", lambda df: df.where("o_orderstatus = 'F'"))
+    catalog.add_map("marked", lambda df: df.withColumn("n", F.length(F.concat("o_orderstatus", F.lit("!"))).cast("long")))
+    return catalog.mapped(table(spark, sf_dir, "orders"), "finished", "marked").select("o_orderkey", "n")

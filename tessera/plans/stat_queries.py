@@ -99,35 +99,35 @@ def relative_squared_error(spark, sf_dir):
     return _r(_predictions(spark, sf_dir).groupBy("method").agg(metrics.relative_squared_error("real", "pred").alias("rse")), "rse", places=8)
 
 
-@query(f"""WITH {_PRED} SELECT round(avg((pred - real) ** 2), 9) AS time_mse, round(avg(abs(pred - real)), 8) AS time_mae, round(avg(abs(pred - real) / real), 6) AS time_mape,
- round(avg((1 / pred - 1 / real) ** 2), 4) AS rate_mse, round(avg(abs(1 / pred - 1 / real)), 5) AS rate_mae, round(avg(abs(1 / pred - 1 / real) / (1 / real)), 6) AS rate_mape FROM p WHERE method = 'retail'""")
+@query(f"""WITH {_PRED} SELECT method, round(avg((pred - real) ** 2), 9) AS time_mse, round(avg(abs(pred - real)), 8) AS time_mae, round(avg(abs(pred - real) / real), 6) AS time_mape,
+ round(avg((1 / pred - 1 / real) ** 2), 4) AS rate_mse, round(avg(abs(1 / pred - 1 / real)), 5) AS rate_mae, round(avg(abs(1 / pred - 1 / real) / (1 / real)), 6) AS rate_mape FROM p GROUP BY 1""")
 def both_domains(spark, sf_dir):
-    out = metrics.both_domains(_predictions(spark, sf_dir).where("method = 'retail'"), "real", "pred")
+    out = metrics.both_domains(_predictions(spark, sf_dir), "real", "pred", by=["method"])
     for places, cols in ((9, ["time_mse"]), (8, ["time_mae"]), (6, ["time_mape", "rate_mape"]), (4, ["rate_mse"]), (5, ["rate_mae"])):
         out = _r(out, *cols, places=places)
     return out
 
 
-@query(f"WITH {_PRED} SELECT {_E} FROM p WHERE method = 'flat' AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+@query(f"WITH {_PRED} SELECT method, {_E} FROM p WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1")
 def metrics_excluding(spark, sf_dir):
     listed = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    kept = metrics.without_keys(_predictions(spark, sf_dir).where("method = 'flat'"), listed, "l_orderkey")
-    return _r(_r(kept.agg(*metrics.errors(F.col("real"), F.col("pred"))), "rmse", "mae", places=8), "mape")
+    kept = metrics.without_keys(_predictions(spark, sf_dir), listed, "l_orderkey")
+    return _r(_r(kept.groupBy("method").agg(*metrics.errors(F.col("real"), F.col("pred"))), "rmse", "mae", places=8), "mape")
 
 
-@query(f"""WITH {_PRED}, w AS (SELECT l_orderkey * 10 + l_linenumber AS id, real, max(pred) FILTER (WHERE method = 'retail') AS retail, max(pred) FILTER (WHERE method = 'flat') AS flat FROM p WHERE l_linenumber = 1 GROUP BY 1, 2)
+@query(f"""WITH {_PRED}, w AS (SELECT l_orderkey * 10 + l_linenumber AS id, real, max(pred) FILTER (WHERE method = 'retail') AS retail, max(pred) FILTER (WHERE method = 'flat') AS flat FROM p GROUP BY 1, 2)
 SELECT id, round(real, 8) AS real, round((retail - real) * 100 / real, 4) AS retail_pct, round((flat - real) * 100 / real, 4) AS flat_pct, row_number() OVER (ORDER BY real, id) AS ordinal FROM w""")
 def deviation_report(spark, sf_dir):
-    p = _predictions(spark, sf_dir).where("l_linenumber = 1").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    p = _predictions(spark, sf_dir).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     wide = p.groupBy("id", "real").pivot("method", ["retail", "flat"]).agg(F.max("pred"))
     out = metrics.deviation_report(wide, "id", "real", ["retail", "flat"]).drop("retail", "flat")
     return _r(_r(out, "real", places=8), "retail_pct", "flat_pct", places=4)
 
 
-@query(f"""WITH {_PRED}, l AS (SELECT log10(real) AS x, log10(pred) AS y FROM p WHERE method = 'retail' AND real > 0 AND pred > 0), s AS (SELECT greatest(min(x), min(y)) AS lo, least(max(x), max(y)) AS hi FROM l)
+@query(f"""WITH {_PRED}, l AS (SELECT log10(real) AS x, log10(pred) AS y FROM p WHERE real > 0 AND pred > 0), s AS (SELECT greatest(min(x), min(y)) AS lo, least(max(x), max(y)) AS hi FROM l)
 SELECT CAST(least(floor((x - lo) * 50 / (hi - lo)), 49) AS INT) AS bx, CAST(least(floor((y - lo) * 50 / (hi - lo)), 49) AS INT) AS by, count(*) AS n FROM l, s WHERE x BETWEEN lo AND hi AND y BETWEEN lo AND hi GROUP BY 1, 2""")
 def hist_2d_log(spark, sf_dir):
-    return histogram.log_histogram_2d(_predictions(spark, sf_dir).where("method = 'retail' AND real > 0 AND pred > 0"), "real", "pred")
+    return histogram.log_histogram_2d(_predictions(spark, sf_dir).where("real > 0 AND pred > 0"), "real", "pred")
 
 
 @query("SELECT point, quantile_cont(n_chars, point) AS value FROM documents, (SELECT unnest([0.5, 0.85, 0.95, 0.99]::DOUBLE[]) AS point) GROUP BY point".replace("quantile_cont(n_chars, point)", "CASE point WHEN 0.5 THEN quantile_cont(n_chars, 0.5) WHEN 0.85 THEN quantile_cont(n_chars, 0.85) WHEN 0.95 THEN quantile_cont(n_chars, 0.95) ELSE quantile_cont(n_chars, 0.99) END"))
@@ -140,7 +140,17 @@ def coverage_cut(spark, sf_dir):
     return stats.share_up_to(table(spark, sf_dir, "documents"), "n_chars", [1000.0, 4096.0])
 
 
-@query()
+def _poly(coefficients, x, last=None):
+    out = repr(coefficients[0]) + "::DOUBLE"
+    for c in [*coefficients[1:], *([last] if last is not None else [])]:
+        out = f"(({out}) * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+@query(f"""WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) - 1 AS i, count(value) OVER (PARTITION BY user_id) AS n, avg(value) OVER (PARTITION BY user_id) AS m, stddev_pop(value) OVER (PARTITION BY user_id) AS s FROM events),
+p AS (SELECT *, i / n AS p FROM s), q AS (SELECT *, sqrt(-2 * ln(CASE WHEN p > 0 THEN least(p, 1 - p) END)) AS q, (p - 0.5) * (p - 0.5) AS r FROM p)
+SELECT user_id, CAST(i AS INT) AS i, value, round(m + s * CASE WHEN p > 0 AND p < 0.02425 THEN {_poly(stats.ACKLAM_C, "q")} / {_poly(stats.ACKLAM_D, "q", 1.0)} WHEN p > 0.97575 AND p < 1 THEN -({_poly(stats.ACKLAM_C, "q")} / {_poly(stats.ACKLAM_D, "q", 1.0)})
+ WHEN p >= 0.02425 AND p <= 0.97575 THEN {_poly(stats.ACKLAM_A, "r")} * (p - 0.5) / {_poly(stats.ACKLAM_B, "r", 1.0)} END, 6) AS expected FROM q""")
 def qq_normal(spark, sf_dir):
     return _r(stats.qq_normal(table(spark, sf_dir, "events"), "user_id", "value", "event_id"), "expected")
 
@@ -233,6 +243,24 @@ def ols_features(spark, sf_dir):
     return _r(regress.coefficient_table(spark, regress.ols(wide, names, "label")), "coef", places=8)
 
 
+def _residuals(names) -> str:
+    """SQL of least-squares coefficients of three features: each is the slope on what the other two leave of it."""
+    parts = []
+    for j in range(3):
+        x, p, q = names[j], names[(j + 1) % 3], names[(j + 2) % 3]
+        parts.append(f"""SELECT '{x}' AS feature, regr_slope(y, e) AS coef FROM (SELECT y, u - (SELECT regr_slope(u, v) FROM (SELECT {x} - (SELECT regr_slope({x}, {p}) FROM d) * {p} AS u, {q} - (SELECT regr_slope({q}, {p}) FROM d) * {p} AS v FROM d)) * v AS e
+ FROM (SELECT y, {x} - (SELECT regr_slope({x}, {p}) FROM d) * {p} AS u, {q} - (SELECT regr_slope({q}, {p}) FROM d) * {p} AS v FROM d))""")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"""WITH d AS (SELECT l_quantity, l_discount, l_tax, l_extendedprice AS y FROM lineitem), c AS ({_residuals(["l_quantity", "l_discount", "l_tax"])})
+SELECT feature, round(coef, 2) AS coef FROM c UNION ALL SELECT '(intercept)', round((SELECT avg(y) FROM d) - sum(coef * CASE feature WHEN 'l_quantity' THEN (SELECT avg(l_quantity) FROM d) WHEN 'l_discount' THEN (SELECT avg(l_discount) FROM d) ELSE (SELECT avg(l_tax) FROM d) END), 2) FROM c""")
+def ols_three(spark, sf_dir):
+    """Least squares of prices on three features."""
+    out = regress.coefficient_table(spark, regress.ols(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"))
+    return _r(out, "coef", places=2)
+
+
 @query("SELECT p_partkey, round(2.5::DOUBLE * p_size - 0.1::DOUBLE * p_retailprice + 7, 6) AS pred FROM part")
 def score_by_coef(spark, sf_dir):
     coef = regress.coefficient_table(spark, [("p_size", 2.5), ("p_retailprice", -0.1), ("(intercept)", 7.0)])

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +30,17 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
 
 
-def export_tables(tables: Mapping[str, DataFrame], path: str) -> DataFrame:
-    """Write each table below path; rows (name, rows) of what was written."""
+def export_tables(tables: Mapping[str, tuple[DataFrame, str]], path: str, samples: int = 3) -> DataFrame:
+    """Write each table (a frame and its key) below path; rows (name, rows, samples) of what was written.
+
+    samples: the rows of least key as JSON, the feature of the report.
+    """
     found = []
-    for name, df in tables.items():
+    for name, (df, key) in tables.items():
         df.write.parquet(f"{path}/{name}")
-        spark = df.sparkSession
-        found.append(spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows")))
+        back = df.sparkSession.read.parquet(f"{path}/{name}")
+        few = back.orderBy(key).limit(samples).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.to_json(F.struct(*sorted(back.columns))).alias("j")))), lambda x: x["j"]).alias("samples"))
+        found.append(back.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows")).join(F.broadcast(few)))  # one row each
     return reduce(DataFrame.unionByName, found)
 
 
@@ -89,20 +94,33 @@ def write_predictions(df: DataFrame, path: str) -> None:
     df.write.partitionBy("dataset", "method").parquet(path)
 
 
+def read_predictions(spark: SparkSession, path: str, dataset: str | None = None, method: str | None = None, split: str | None = None) -> DataFrame:
+    """Stored prediction pairs, optionally of one data set, method or split; other folders are not read."""
+    out = spark.read.parquet(path).withColumns({c: F.col(c).cast("string") for c in ("dataset", "method")})
+    for col, value in (("dataset", dataset), ("method", method), ("split", split)):
+        out = out if value is None else out.where(F.col(col) == value)
+    return out
+
+
 def unpack_struct(col: str, layout=UNIFORMS) -> Column:
     """A packed binary column as a struct of floats, ints and arrays; null if its length does not fit."""
     kind = np.dtype([(n, t, s) for n, t, s in layout])
     sql = {"f": "float", "i": "int", "u": "long"}
     fields = ", ".join(f"{n}: {'array<' if s else ''}{sql[np.dtype(t).kind]}{'>' if s else ''}" for n, t, s in layout)
 
+    native = {"f": "<f4", "i": "<i4", "u": "<i8"}
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            ok = [x is not None and len(x) == kind.itemsize for x in b.to_pylist()]
-            rows = [np.frombuffer(x, dtype=kind)[0] if good else None for x, good in zip(b.to_pylist(), ok, strict=True)]
-            value = lambda r, n, s: r[n].tolist() if s else r[n].item()
-            arrays = {"f": pa.float32(), "i": pa.int32(), "u": pa.int64()}
-            cols = [pa.array([None if r is None else value(r, n, s) for r in rows], pa.list_(arrays[np.dtype(t).kind]) if s else arrays[np.dtype(t).kind]) for n, t, s in layout]
-            yield pa.StructArray.from_arrays(cols, names=[n for n, _, _ in layout], mask=pa.array([not g for g in ok]))
+            fits = pc.fill_null(pc.equal(pc.binary_length(b), kind.itemsize), False)
+            blank = pa.scalar(bytes(kind.itemsize), b.type)
+            rows = np.frombuffer(b"".join(pc.if_else(fits, b, blank).to_pylist()), dtype=kind)  # one buffer for all rows
+            cols = []
+            for n, t, s in layout:
+                flat = pa.array(np.ascontiguousarray(rows[n]).astype(native[np.dtype(t).kind]).ravel())
+                size = int(np.prod(s)) if s else 1
+                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(0, size * (len(rows) + 1), size, dtype=np.int32)), flat) if s else flat)
+            yield pa.StructArray.from_arrays(cols, names=[n for n, _, _ in layout], mask=pc.invert(fits))
 
     return F.arrow_udf(run, f"struct<{fields}>")(F.col(col))
 

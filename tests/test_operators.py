@@ -1,6 +1,8 @@
 """Operators on small fixtures with values worked out by hand."""
 
+import random
 import struct
+import types
 
 import pytest
 from pyspark.sql import functions as F
@@ -291,3 +293,134 @@ def test_empty_tables(spark):
     assert global_rank(none, "id").count() == 0
     assert stats.fit_normaliser(none, "v").first().mean == 0.0
     assert bpe.train(bpe.words(none, "t"), 3) == []
+
+
+def brute_merges(words, n_merges):
+    parts, out = {w: list(w) for w in words}, []
+    for _ in range(n_merges):
+        pairs = {}
+        for w, p in parts.items():
+            for x in zip(p, p[1:], strict=False):
+                pairs[x] = pairs.get(x, 0) + words[w]
+        best = min(pairs, key=lambda x: (-pairs[x], x), default=None)
+        if best is None or pairs[best] < 2:
+            break
+        out.append(best)
+        parts = {w: bpe.merged(p, *best) for w, p in parts.items()}
+    return out
+
+
+@pytest.mark.parametrize("words", [{"azx": 8, "az": 2, "cd": 8}, {"aaab": 5, "aab": 4, "bab": 3, "abab": 6}, {"low": 40, "lower": 31, "newest": 30, "widest": 25, "xyz": 90, "qrs": 70, "mnop": 50}])
+def test_bpe_batches_give_the_merges_of_one_by_one(spark, words):
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    want = brute_merges(words, 8)
+    assert bpe.train(df, 8, batch=1) == want
+    assert bpe.train(df, 8, batch=4) == want
+
+
+def test_certain_pairs():
+    rng = random.Random(5)
+    for _ in range(300):
+        words = {"".join(rng.choice("abcd") for _ in range(rng.randint(2, 6))): rng.randint(1, 60) for _ in range(6)}
+        pairs = {}
+        for w, n in words.items():
+            for x in zip(w, w[1:], strict=False):
+                pairs[x] = pairs.get(x, 0) + n
+        top = sorted(((a, b, n) for (a, b), n in pairs.items() if n >= 2), key=lambda r: (-r[2], r[0], r[1]))
+        if top:
+            sure = bpe._sure(top, 1, 4)
+            assert sure == brute_merges(words, len(sure))
+
+
+def test_byte_level_pieces(spark):
+    texts = ["Hello  world's été\n\tx", "", None, "naïve 日本 don't  ", "\x00\x7f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    merges = bpe.train_vocabulary(df, "t", len(bpe.SPECIALS) + 256 + 5)
+    got = bpe.encode(df, "id", "t", merges, bpe.byte_words)
+    assert [r.text for r in bpe.decode_bytes(got, "id").orderBy("id").collect()] == [t or "" for t in texts]
+    ids = bpe.vocabulary(merges)
+    assert len(set(bpe.byte_symbols())) == 256 and ids["<pad>"] == 0 and ids["<cls>"] == 6 and len(ids) == 263 + len(merges)
+
+
+def test_cycles_end(spark):
+    nodes = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "id long, parent long")
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy.descendants(nodes, nodes.where("id = 1"), most=6)
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy.root_ancestor(nodes, most=100)
+
+
+def test_repeated_rows_on_the_right(spark):
+    facts = spark.createDataFrame([(1, 10), (2, None)], "id long, k long")
+    same = spark.createDataFrame([(10, 5), (10, 5)], "old_id long, new_id long")
+    assert rows(merge.remap(facts, {"k": same}), "id", "k") == [(1, 5), (2, None)]
+    with pytest.raises(Exception, match="different rows of one key"):
+        merge.remap(facts, {"k": same.unionByName(spark.createDataFrame([(10, 6)], "old_id long, new_id long"))}).collect()
+    updates = spark.createDataFrame([(1, 7), (1, 7)], "id long, k long")
+    assert rows(merge.upsert(facts, updates, "id", ["k"]), "id", "k") == [(1, 7), (2, None)]
+
+
+def test_percentiles_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = [(g, float(v)) for g in "ab" for v in rng.integers(0, 40, 101 if g == "a" else 20)] + [("c", None), ("d", 3.0), (None, 8.0)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: r.v for r in stats.exact_percentiles(df, "v", [0.0, 0.3, 0.85, 1.0], by=["g"]).collect()}
+    for g in ("a", "b", "d", None):
+        assert got[g] == pytest.approx(np.percentile([v for k, v in data if k == g], [0, 30, 85, 100]))
+    five = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4, 10)], "v double")
+    assert [r.value for r in stats.percentiles(five, "v", [0.85, 0.95]).orderBy("point").collect()] == pytest.approx([6.4, 8.8])
+    assert rows(stats.percentiles(five.where("v > 99"), "v", [0.5]), "point", "value") == [(0.5, None)]
+    place = {r.g: (r.median, r.place) for r in stats.groups_by_median(df.where("g is not null"), "g", "v").collect()}
+    assert place["c"] == (None, 4)
+
+
+def test_average_ranks(spark):
+    df = spark.createDataFrame([("m", float(x)) for x in (1, 2, 2, 5)], "g string, v double")
+    assert rows(metrics.average_ranks(df, "v", ["g"], "r"), "v", "r") == [(1.0, 1.0), (2.0, 2.5), (5.0, 4.0)]
+
+
+def test_large_vocabularies_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b  zz a"), (2, ""), (3, None)], "id long, t string")
+    words = spark.createDataFrame([("a", 4), ("b", 5), ("</s>", 2), ("<unk>", 3)], "symbol string, index long")
+    for reverse in (False, True):
+        small = rows(vocab.encode_lines(df, words, ["id"], "t", reverse=reverse), "id", "ids")
+        monkeypatch.setattr(vocab, "SMALL_VOCAB", 1)
+        assert rows(vocab.encode_lines(df, words, ["id"], "t", reverse=reverse), "id", "ids") == small
+        monkeypatch.undo()
+    coded = vocab.encode_lines(df, words, ["id"], "t")
+    assert rows(vocab.decode_lines(coded, words, ["id"]), "id", "text") == [(1, "a b <unk> a"), (2, ""), (3, "")]
+    monkeypatch.setattr(vocab, "SMALL_VOCAB", 1)
+    assert rows(vocab.decode_lines(coded, words, ["id"]), "id", "text") == [(1, "a b <unk> a"), (2, ""), (3, "")]
+
+
+def test_lengths_are_reused_for_their_programs_only(spark, tmp_path):
+    tokens = spark.createDataFrame([(1, [1, 2]), (2, None)], "id long, ids array<int>")
+    lengths = programs.token_lengths(tokens, None, "id", "ids")
+    assert rows(lengths, "id", "length") == [(1, 3), (2, None)]
+    programs.store_lengths(lengths, f"{tmp_path}/x", "id")
+    assert rows(programs.stored_lengths(tokens, f"{tmp_path}/x", "id"), "id", "length") == [(1, 3), (2, None)]
+    assert programs.stored_lengths(tokens.where("id = 1"), f"{tmp_path}/x", "id") is None
+
+
+def test_sync_tree(spark):
+    schema = "id long, parent long, name string, kind int, note string"
+    facts = spark.createDataFrame([(1, None, "r", 0, None), (2, 1, None, 7, None), (9, None, "two", 0, None), (10, None, "two", 0, None)], schema)
+    tree = spark.createDataFrame([(100, None, "r", 0, None), (101, 100, None, 7, None), (102, 100, None, 7, "x"), (103, 101, None, 7, None), (104, 103, None, 7, None), (105, 100, None, 8, None), (200, None, "two", 0, None), (201, 200, None, 7, None)], schema)
+    out = merge.sync_tree(facts, tree, "name", ["kind", "note"], "kind", [7], 2, 5)
+    assert rows(out, "tree_id", "id", "parent", "note", "status") == [(102, 11, 1, "x", 5), (103, 12, 2, None, 5)]
+
+
+def test_instruction_tokens(spark):
+    one = "array(named_struct('kind', 'id', 'number', {}L, 'bytes', cast(null as binary)), named_struct('kind', 'literal', 'number', cast(null as bigint), 'bytes', x'00FF'))"
+    df = spark.range(1).select(programs.instruction_tokens(F.lit(61), F.expr(one.format(5))).alias("a"), programs.instruction_tokens(F.lit(61), F.expr(one.format(20000))).alias("b"))
+    assert tuple(df.first()) == ([2061, 20005, 256, 511], None)
+
+
+def test_a_checkpoint_folder_is_required():
+    from tessera.plans.merge_queries import scratch
+
+    unset = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda name, default=None: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(unset, "x")
