@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, lm_score, quality, secrets, sentencepiece_model, simhash, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_sentencepiece": sentencepiece_model.op1_sentencepiece,
     "op2_lm_score": lm_score.op2_lm_score,
     "op3_toxicity": toxicity.op3_toxicity,
