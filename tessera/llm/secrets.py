@@ -4,6 +4,12 @@ All of it is DataFrame expressions. A candidate token's encoding is inferred fro
 Three tests ask whether it departs from uniform random characters of that encoding: chi-squared on
 the alphabet, runs about the alphabet's middle, and serial correlation. Benjamini-Hochberg within
 each length class decides which candidates do; the others are reported as random.
+
+What that level bounds is the share of random tokens among those set aside as structured, so it
+bounds the secrets that are missed. It does not bound the share of structured tokens among those that
+are reported: short ones, on which the tests have little power, are reported rather than missed. That
+share is measured by length class in a test. Work grows with the length of a text, not with its
+square: sums over many spans are taken in blocks.
 """
 
 from __future__ import annotations
@@ -31,19 +37,43 @@ def _spans(text: Column, pattern: str, rank: int, measured: int, least: int, may
 
     The parts between matches give the starts: a match begins after all parts and matches before it.
     """
-    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = found if measured == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(measured))
     kind = "array<struct<start:int,rank:int,end:int,text:string>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    rows = F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("part"), found.alias("hit"), groups.alias("group"))
+
+    def placed(x: Column) -> Column:
+        lengths = F.zip_with(F.slice(x["parts"], F.lit(1), F.size(x["hits"])), x["hits"], lambda p, h: F.length(p) + F.length(h))
+        rows = F.arrays_zip(x["hits"].alias("hit"), x["groups"].alias("group"), running(lengths, lambda a, b: a + b).alias("end"))
+        span = lambda r: F.struct((r["end"] - F.length(r["hit"])).alias("start"), F.lit(rank).alias("rank"), r["end"].alias("end"), r["hit"].alias("text"))
+        return F.transform(F.filter(rows, lambda r: F.length(r["group"]) >= least), span)
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    groups = found if measured == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(measured))
+    once = F.struct(F.split(text, pattern, -1).alias("parts"), found.alias("hits"), groups.alias("groups"))
+    return F.when(maybe, _let(once, placed)).otherwise(F.array().cast(kind))
+
+
+#: Elements of a block in running(), and pieces of a text that are cut from one part of it.
+BLOCK = 128
+
+
+def _in_blocks(a: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda b: F.slice(a, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def running(a: Column, add) -> Column:
+    """Running totals of an array of non-negative integers by `add`, a sum or a maximum, first in blocks and then over them."""
+    begin = F.struct(F.lit(0).alias("t"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["part"])
-        end = start + F.length(x["hit"])
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["hit"].alias("text")))
-        return F.struct(end.alias("at"), F.when(F.length(x["group"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return _let(add(acc["t"], x), lambda t: F.struct(t.alias("t"), F.concat(acc["out"], F.array(t)).alias("out")))
+
+    def over(acc: Column, block: Column) -> Column:
+        return F.struct(add(acc["t"], block["t"]).alias("t"), F.concat(acc["out"], F.array(acc["t"])).alias("out"))
 
-    return F.when(maybe, F.aggregate(rows, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    def joined(blocks: Column) -> Column:
+        before = F.aggregate(blocks, begin, over, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, before, lambda b, t: F.transform(b["out"], lambda v: add(t, v))))
+
+    return F.when(F.size(a) > 0, _let(F.transform(_in_blocks(a), lambda b: F.aggregate(b, begin, step)), joined)).otherwise(F.array().cast("array<int>"))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -130,7 +160,18 @@ def find_spans(df: DataFrame, text: str = "text", keep: bool = False) -> DataFra
     out = out.withColumn("_h", _spans(t, "[0-9a-f]{%d,}" % LEAST["hex"], 2, 0, LEAST["hex"], t.rlike("[0-9a-f]{%d,}" % LEAST["hex"])))
     out = out.withColumn("_c", _spans(t, CANDIDATE, 3, 0, 0, t.rlike(CANDIDATE)))
     out = out.withColumn("_base", F.array_sort(F.transform(F.concat("_a", "_k", "_h"), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))))
-    fresh = F.filter(F.col("_c"), lambda c: ~F.exists(F.col("_base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    # In the order of their starts, bases first, a candidate is free if no base before it ends past its start and the
+    # next one is no base that begins before its end: candidates do not overlap each other.
+    mark = lambda a, cand: F.transform(a, lambda x: F.struct(x["start"].alias("start"), F.lit(cand).alias("cand"), x["end"].alias("end"), (x["text"] if cand else F.lit(None).cast("string")).alias("text")))
+    out = out.withColumn("_o", F.when(F.size("_c") > 0, F.array_sort(F.concat(mark(F.col("_base"), 0), mark(F.col("_c"), 1)))).otherwise(F.array().cast("array<struct<start:int,cand:int,end:int,text:string>>")))
+    out = out.withColumn("_m", running(F.transform("_o", lambda x: F.when(x["cand"] == 0, x["end"]).otherwise(0)), F.greatest))
+
+    def free(x: Column, i: Column) -> Column:
+        after = F.get(F.col("_o"), i + 1)
+        clear = (F.coalesce(F.get(F.col("_m"), i - 1), F.lit(0)) <= x["start"]) & ~F.coalesce((after["cand"] == 0) & (after["start"] < x["end"]), F.lit(False))
+        return F.when((x["cand"] == 1) & clear, x)
+
+    fresh = F.filter(F.transform("_o", free), lambda x: x.isNotNull())
     tested = F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), randomness(c["text"]).alias("test")))
     return out.withColumn("_cands", F.filter(tested, lambda c: c["test"].isNotNull())).select(*rest, "_base", "_cands")
 
@@ -179,20 +220,28 @@ def _decide(found: DataFrame, levels: dict[int, int]) -> DataFrame:
 def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with each secret in its text replaced by `mark`; spans that overlap share one.
 
-    Null texts stay null and texts without secrets stay as they are. The texts are scanned twice, for
-    the tests' levels and for the spans, so that no text is shuffled.
+    Null texts stay null and texts without secrets stay as they are; all other columns, whatever their
+    names, are given back as they were. Repeated rows are changed alike and an empty table gives no
+    rows. The texts are scanned twice, for the tests' levels and for the spans, so that no text is
+    shuffled.
     """
-    levels = rejection_levels(stored(find_spans(df.select(text), text), "secret-spans"))
-    found = _decide(find_spans(df, text, keep=True), levels)
-    t = F.col(text)
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
-
-    clean = F.aggregate("secrets", begin, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(t)).select(*df.columns)
+    levels = rejection_levels(stored(find_spans(df.select(F.col(text).alias("_text")), "_text"), "secret-spans"))
+    found = _decide(find_spans(df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_text")), "_text", keep=True), levels)
+    # Kept pieces lie between the ends so far and the next start that is past them; the last one goes to the text's end.
+    found = found.withColumn("_m", running(F.transform("secrets", lambda s: s["end"]), F.greatest))
+    piece = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    before = lambda i: F.coalesce(F.get(F.col("_m"), i - 1), F.lit(0))
+    between = F.filter(F.transform("secrets", lambda s, i: F.when(s["start"] >= before(i), piece(before(i), s["start"]))), lambda p: p.isNotNull())
+    found = found.withColumn("_p", F.concat(between, F.array(piece(before(F.size("_m")), F.length("_text")))))
+
+    def cut(block: Column) -> Column:
+        first = F.get(block, F.lit(0))["a"]
+        part = F.substring(F.col("_text"), first + 1, F.element_at(block, F.lit(-1))["b"] - first)
+        return _let(part, lambda x: F.transform(block, lambda p: F.substring(x, p["a"] - first + 1, p["b"] - p["a"])))
+
+    clean = F.array_join(F.flatten(F.transform(_in_blocks(F.col("_p")), cut)), mark)
+    new = F.when(F.size("secrets") > 0, clean).otherwise(F.col("_text"))
+    return found.select(*[(new if c == text else F.col("_row")[c]).alias(c) for c in df.columns])
 
 
 def _joined(spans: Column) -> Column:

@@ -1,19 +1,21 @@
 """Token counts through a digest cache.
 
-A text's content digest and a tokenizer version's digest find a stored count. Only distinct texts
-that the cache lacks are encoded, and their counts are appended to it.
+The digest of a text's normalised content and a tokenizer version's digest find a stored count. Only
+distinct contents that the cache lacks are encoded, and their counts are appended to it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table, texts
+from .common import lookup, shared_folder, stored, table, texts
 
 #: Entries of the memory of pieces that a task keeps; beyond it the memory starts anew.
 MEMORY = 400_000
@@ -50,8 +52,6 @@ def counter(path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         count = lambda many: [len(x) for x in sp.encode([t.decode() for t in many], num_threads=1)]
     else:
-        import json
-
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
@@ -75,21 +75,47 @@ def counter(path: str):
     return count
 
 
-def content_digest(text: Column) -> Column:
-    """SHA-256 of the text in UTF-8, null as empty. No other normalisation: the tokenizer has its own."""
-    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+def normal_form(path: str):
+    """A column function that gives texts of equal count one form, as far as the tokenizer's own normaliser allows.
+
+    Where that lower-cases and no token spans blanks, ASCII texts are lower-cased and blanks at the
+    ends of all texts are dropped; a text with an added token's string in any case stays as it is, as
+    the library looks for those first. For other tokenizers every text is its own form. Null is empty.
+    """
+    own = lambda text: F.coalesce(text, F.lit(""))
+    if not path.endswith(".json"):
+        return own
+    with open(path) as f:
+        spec = json.load(f)
+    if not _splits_at_blanks(spec) or not any(n.get("type") == "Lowercase" for n in spec["normalizer"]["normalizers"]):
+        return own
+    added = [t["content"].lower() for t in spec.get("added_tokens", [])]
+
+    def form(text: Column) -> Column:
+        t = own(text)
+        low = F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(t)
+        special = reduce(lambda a, b: a | b, [F.lower(t).contains(a) for a in added], F.lit(False))
+        return F.when(special, t).otherwise(F.trim(low, F.lit(" \t\n\x0b\f\r")))
+
+    return form
+
+
+def content_digest(content: Column) -> Column:
+    """SHA-256 of a content in UTF-8."""
+    return F.unhex(F.sha2(content.cast("binary"), 256))
 
 
 def count_tokens(df: DataFrame, path: str, cache_path: str, text: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """df with n_bytes, n_tokens; appends counts of texts not yet in the Parquet cache at cache_path.
 
-    Null texts count as empty (0 bytes, 0 tokens). Equal texts are encoded once and their rows share
-    the stored count; the narrow digest rows, not the texts, meet the counts. Columns of df named
-    n_bytes or n_tokens are replaced. A task that is run again gives the same counts; a count that two
-    runs append twice is read once.
+    Null texts count as empty (0 bytes, 0 tokens). Texts of one normal form are encoded once and their
+    rows share the stored count. Digests meet the cache first: where it has all of them, no text is
+    shuffled, and else only those of the misses are. Columns of df named n_bytes or n_tokens are
+    replaced; repeated rows count alike; an empty table gives no rows. A task that is run again gives
+    the same counts; a count that two runs append twice is read once.
     """
-    spark, version = df.sparkSession, tokenizer_digest(path)
-    df = df.drop("n_bytes", "n_tokens").withColumn("_digest", content_digest(F.col(text)))
+    spark, version, form = df.sparkSession, tokenizer_digest(path), normal_form(path)
+    df = df.drop("n_bytes", "n_tokens").withColumn("_digest", content_digest(form(F.col(text))))
 
     def cache() -> DataFrame:
         jvm = spark.sparkContext._jvm
@@ -109,15 +135,22 @@ def count_tokens(df: DataFrame, path: str, cache_path: str, text: str = "text",
                     start, held = i + 1, 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(got), pa.string()), pa.array(got, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
-    distinct = df.groupBy("_digest").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    misses = distinct.join(cache(), F.col("_digest") == F.col("content_digest"), "left_anti").select("_digest", "_text")
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    digests = stored(df.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")), "digests")
+    misses = digests.join(cache(), F.col("_digest") == F.col("content_digest"), "left_anti").select("_digest")
+    missing = misses.count()
+    if missing:
+        # all rows of a first run are misses, and need no look-up among them
+        rows = df if missing == digests.count() else df.join(misses, "_digest", "left_semi")
+        texts_ = rows.groupBy("_digest").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+        texts_.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    counts = stored(digests.join(cache(), F.col("_digest") == F.col("content_digest")).select("_digest", "_n", "n_tokens"), "counts")
     bytes_ = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
     rest = [c for c in df.columns if c != "_digest"]
-    return df.withColumn("n_bytes", bytes_).join(cache(), F.col("_digest") == F.col("content_digest"), "left").select(*rest, "n_bytes", "n_tokens")
+    return lookup(df.withColumn("n_bytes", bytes_), counts, "_digest", "_n").select(*rest, "n_bytes", "n_tokens")
 
 
 def op10_token_counts(spark, sf_dir):
+    """From an empty cache, so that a run's figures do not hang on the runs before it."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

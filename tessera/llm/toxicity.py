@@ -2,7 +2,7 @@
 
 P(grade > k) = sigmoid(w.x - theta_k): one weight vector for all thresholds, thetas in order. The
 features are words and word beginnings whose presence parts the grades; expected severity is the sum
-of P(grade > k) over k.
+of P(grade > k) over k. Grades are those of the labels: with 0 and 1 alone there is one threshold.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, table, texts
@@ -92,30 +92,24 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, n_grades: int, ridge: float = 0.00
     return w[1:], theta - w[0]
 
 
-def fit_words(x: np.ndarray, y: np.ndarray, names: list[bytes], n_grades: int, evidence: tuple[int, ...] = ()) -> tuple[dict[bytes, float], list[float]]:
+def fit_words(x: np.ndarray, y: np.ndarray, names: list[bytes], n_grades: int) -> tuple[dict[bytes, float], list[float]]:
     """Weights of the features and the thresholds; x[i, j]: whether document i has feature j, strongest first.
 
-    A feature whose documents all have a stronger one of the same sign that is as pure gets no weight.
-    Given `evidence`, labels are only 0 and 1, and a text labelled 1 has grade 1 plus the number of
-    these limits that its count of positive features reaches.
+    A feature whose documents all have a stronger one of the same sign that is as pure gets no weight
+    where there are two grades; more grades need all features to tell the upper ones apart.
     """
     if not len(y):
         return {}, [math.inf] * (n_grades - 1)
     share, kept = (y > 0).mean(), []
     rate = [(y[x[:, j]] > 0).mean() - share if x[:, j].any() else 0.0 for j in range(len(names))]
     for j in range(len(names)):
-        if not any((x[:, j] <= x[:, k]).all() for k in kept if rate[k] * rate[j] > 0 and abs(rate[k]) >= abs(rate[j]) - 0.02):
+        if n_grades > 2 or not any((x[:, j] <= x[:, k]).all() for k in kept if rate[k] * rate[j] > 0 and abs(rate[k]) >= abs(rate[j]) - 0.02):
             kept.append(j)
-    m = x[:, kept].astype(float)
-    if evidence:
-        n = m @ np.array([float(rate[j] > 0) for j in kept])
-        y = np.where(y > 0, 1 + sum((n >= e).astype(int) for e in evidence), 0)
-        n_grades = 2 + len(evidence)
-    w, theta = fit_ordinal(m, y, n_grades)
+    w, theta = fit_ordinal(x[:, kept].astype(float), y, n_grades)
     return {names[j]: float(v) for j, v in zip(kept, w, strict=True)}, [float(t) for t in theta]
 
 
-def fit_toxicity(labelled: DataFrame, grade: str = "grade", text: str = "text", key: str = "doc_id", n_grades: int = 2, sample: int = SAMPLE, evidence: tuple[int, ...] = ()) -> tuple[dict[bytes, float], list[float]]:
+def fit_toxicity(labelled: DataFrame, grade: str = "grade", text: str = "text", key: str = "doc_id", n_grades: int = 2, sample: int = SAMPLE) -> tuple[dict[bytes, float], list[float]]:
     """Fit on at most `sample` rows; null grades are left out, null texts are empty.
 
     The rows are those with the least xxhash64 of the key; equal texts of one grade count once, so
@@ -150,7 +144,7 @@ def fit_toxicity(labelled: DataFrame, grade: str = "grade", text: str = "text",
         x = np.zeros((len(docs), len(names)), dtype=bool)
         for i, (_, at) in enumerate(docs):
             x[i, at] = True
-        w, theta = fit_words(x, np.array([g for g, _ in docs], dtype=int), names, n_grades, evidence)
+        w, theta = fit_words(x, np.array([g for g, _ in docs], dtype=int), names, n_grades)
         out = sorted(w.items()) + [(None, t) for t in theta]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([v for _, v in out], pa.float64())], names=["word", "weight"])
 
@@ -164,8 +158,17 @@ def score_toxicity(df: DataFrame, model: tuple[dict[bytes, float], list[float]],
     Columns of df with those names are replaced. Null and empty texts have no words: their score is
     the thresholds' alone. Repeated rows score alike.
     """
-    weights, theta = model[0], np.array(model[1])
     df = df.drop("p_toxic", "expected_severity", "grade", "rejected")
+    return df.withColumn("_s", _scores(text, model)).select(*df.columns, "_s.*").withColumn("rejected", F.col("p_toxic") >= cut)
+
+
+def drop_toxic(df: DataFrame, model: tuple[dict[bytes, float], list[float]], text: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of df that score_toxicity does not reject, all columns as they are."""
+    return df.withColumn("_s", _scores(text, model)).where(F.col("_s.p_toxic") < cut).select(*df.columns)
+
+
+def _scores(text: str, model: tuple[dict[bytes, float], list[float]]) -> Column:
+    weights, theta = model[0], np.array(model[1])
     fields = "p_toxic double, expected_severity double, grade int"
 
     def score(s: pa.Array) -> pa.Array:
@@ -174,22 +177,17 @@ def score_toxicity(df: DataFrame, model: tuple[dict[bytes, float], list[float]],
         likely = (p[:, :-1] - p[:, 1:]).argmax(axis=1).astype(np.int32)
         return pa.StructArray.from_arrays([pa.array(p[:, 1].round(6)), pa.array(p[:, 1:-1].sum(axis=1).round(6)), pa.array(likely)], names=["p_toxic", "expected_severity", "grade"])
 
-    udf = F.arrow_udf(score, fields)
-    return df.withColumn("_s", udf(F.col(text).cast("string"))).select(*df.columns, "_s.*").withColumn("rejected", F.col("p_toxic") >= cut)
+    return F.arrow_udf(score, fields)(F.col(text).cast("string"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The texts of at most `sample` labelled documents, with their grade: toxic, 0 or 1."""
-    one = labels.select("doc_id", F.col("toxic").cast("int").alias("grade")).dropna().groupBy("doc_id").agg(F.max("grade").alias("grade"))
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade: str = "toxic") -> DataFrame:
+    """The texts of at most `sample` labelled documents, with their grade, the greatest of a document's labels."""
+    one = labels.select("doc_id", F.col(grade).cast("int").alias("grade")).dropna().groupBy("doc_id").agg(F.max("grade").alias("grade"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-#: Limits of the count of distinct signs of toxicity that part grades 1, 2 and 3.
-EVIDENCE = (2, 4)
-
-
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_toxicity(labelled(docs, table(spark, sf_dir, "labels")), evidence=EVIDENCE)
+    model = fit_toxicity(labelled(docs, table(spark, sf_dir, "labels")))
     return score_toxicity(docs, model).drop("text")
