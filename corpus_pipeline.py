@@ -10,13 +10,12 @@ from tessera.llm.decontaminate import drop_contaminated
 from tessera.llm.near_copies import near_copy_groups
 from tessera.llm.secrets import redact_secrets
 from tessera.llm.sentencepiece_model import encode
-from tessera.llm.toxicity import EVIDENCE, fit_toxicity, labelled, score_toxicity
+from tessera.llm.toxicity import drop_toxic, fit_toxicity, labelled
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model does not reject; rows with null text have no words and stay."""
-    model = fit_toxicity(labelled(docs, table(spark, sf_dir, "labels")), evidence=EVIDENCE)
-    return score_toxicity(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    return drop_toxic(docs, fit_toxicity(labelled(docs, table(spark, sf_dir, "labels"))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
