@@ -25,7 +25,7 @@ from .simhash import segment_keys
 #: Disjoint segments (lane, first bit, width) of two lanes, 110 bits.
 WIDE = ((0, 0, 23), (0, 23, 23), (1, 0, 23), (1, 23, 23), (1, 46, 18))
 _MIXERS = tuple(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in range(1, len(WIDE) + 1))
-#: Candidates of a text that are verified after the search by fingerprints, the nearest first.
+#: Candidates of a text that are verified after each search by fingerprints, those with most keys in common first.
 NEAREST = 2
 #: Texts that one call compares with one text; wanted texts up to which their ids are broadcast.
 PART_TEXTS, BROADCAST_IDS = 64, 2_000_000
@@ -106,26 +106,25 @@ def _golay_keys(cells: DataFrame) -> DataFrame:
     return cells.select("segment", "bits", "least", "node").mapInArrow(expand, "key long, node long")
 
 
-def _fingerprint_pairs(nodes: DataFrame, kept) -> DataFrame:
-    """Candidates (a, b), a < b: each node with the least nodes that it shares keys with, the nearest NEAREST.
+def _nearest(met: DataFrame) -> DataFrame:
+    """Rows (b, a): for each b the NEAREST that it meets most often, ties to the lesser."""
+    counts = met.where("a < b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "a"))), 1, NEAREST).alias("x"))
+    return best.select("b", F.explode("x.a").alias("a"))
 
-    Nodes with a segment and its least hash in common are one cell, named by its least node; the cells
-    are keyed, and those that share a Golay key meet the least of them. Rows stay in proportion to the
-    nodes, however large a bucket.
-    """
+
+def _segment_pairs(nodes: DataFrame, kept) -> DataFrame:
+    """Candidates of nodes that have a whole segment and its least hash in common: each with the least such nodes."""
     rows = kept(_segments(nodes), "segments")
-    cells = kept(rows.groupBy("segment", "bits", "least").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")), "cells")
-    shared = cells.where("n > 1").select("segment", "bits", "least", F.col("node").alias("a"))
-    first = rows.join(shared, ["segment", "bits", "least"]).where("a < node").select("a", F.col("node").alias("b"))
-    keyed = kept(_golay_keys(cells), "golay-keys")
+    cells = rows.groupBy("segment", "bits", "least").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
+    return _nearest(rows.join(cells, ["segment", "bits", "least"]).select("a", F.col("node").alias("b")))
+
+
+def _golay_pairs(nodes: DataFrame, kept) -> DataFrame:
+    """Candidates of nodes that have a Golay key in common: each with the least node of its buckets."""
+    keyed = kept(_golay_keys(_segments(nodes)), "golay-keys")
     heads = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
-    second = keyed.join(heads, "key").where("a < node").select("a", F.col("node").alias("b"))
-    side = nodes.select(F.col("node").alias("a"), "lo", "hi")
-    other = nodes.select(F.col("node").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    far = F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2")))
-    met = first.unionByName(second).distinct().join(side, "a").join(other, "b")
-    best = met.groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct(far.alias("far"), "a"))), 1, NEAREST).alias("x"))
-    return best.select("b", F.explode("x.a").alias("a"))
+    return _nearest(keyed.join(heads, "key").select("a", F.col("node").alias("b")))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, repeats: bool, kept) -> DataFrame:
@@ -161,10 +160,14 @@ def near_copy_groups(df: DataFrame, key: str = "doc_id", text: str = "text", wor
     """One row per row of df: key, component_id, for near copies by the similarity of word shingles.
 
     Texts are alike if the Jaccard similarity of their sets of `words`-word shingles (64-bit hashes) is
-    at least `similarity`. Candidates of the fingerprints' Golay keys are verified on the whole texts
-    (_fingerprint_pairs); then sets in different components that share one of their rarest shingles
-    are verified too (_rare_shingle_pairs), which is exact: no two texts that are alike stay in
-    different components.
+    at least `similarity`. Candidates are verified on the whole texts. Texts with a whole segment in
+    common are linked first, so that of a large group of copies one text is left; the Golay keys of
+    those that are left are joined and link nearly all others. Then sets in different components that
+    share one of their rarest shingles are verified too (_rare_shingle_pairs), which is exact: no two
+    texts that are alike stay in different components.
+
+    A text meets only the least members of its buckets, so rows stay in proportion to the texts,
+    however large a bucket; what that leaves apart, the exact join finds.
 
     Texts with equal shingle sets, among them those without words (null, empty, blank), are one node.
     component_id is the least key reached. An empty table gives no rows; null keys are rows without a
@@ -185,8 +188,10 @@ def near_copy_groups(df: DataFrame, key: str = "doc_id", text: str = "text", wor
     nodes = kept(sketches.groupBy("same").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "lo", "hi", "least"))).alias("x"), F.count(F.lit(1)).alias("n")).select("same", "n", F.col("x.id").alias("node"), "x.lo", "x.hi", "x.least"), "nodes")
     named = nodes.where("node is not null").select("same", "node", "lo", "hi", "least")
     alike = lambda pairs: _verified(kept(pairs, "candidates"), docs, words, similarity, repeats, kept)
-    edges = alike(_fingerprint_pairs(named, kept))
     comp = lambda found: F.coalesce("component", "node").alias(found)
+    edges = alike(_segment_pairs(named, kept))
+    heads = named.join(components(edges), "node", "left").where("component is null or component = node").select(*named.columns)
+    edges = edges.unionByName(alike(_golay_pairs(kept(heads, "heads"), kept)))
     first = kept(named.select("same", "node").join(components(edges), "node", "left").select("same", "node", comp("comp")), "first")
     edges = edges.unionByName(alike(_rare_shingle_pairs(docs, first, words, similarity, kept)))
     last = kept(nodes.select("same", "n", "node").join(components(edges), "node", "left").select("same", "n", comp("component_id")), "named")

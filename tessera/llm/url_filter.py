@@ -95,21 +95,27 @@ def filter_urls(df: DataFrame, url: str = "url", host_rules=HOST_RULES, pattern_
 
     The verdict is the longest fitting exact rule's; else block if a pattern rule fits and no
     exception does; else allow. Null URLs, those without `://` and empty tables go the same way.
-    Columns of df with those names are replaced. Verdicts are found once per distinct URL, so a URL
-    that many rows share is matched once; its rows then meet a narrow row in the join.
+    Columns of df with those names are replaced; a pattern rule that is given twice counts once.
+    Verdicts are found once per distinct URL, so a URL that many rows share is matched once; its rows
+    then meet a narrow row in the join. Rules without a token are candidates of every URL; they are
+    tried on its row, without a row for each.
     """
+    pattern_rules = list(dict.fromkeys(pattern_rules))
     df = df.drop("host", "path", "rule", "verdict", "pattern_rule", "n_candidates")
     urls = df.select(F.col(url).alias("_url")).where(F.col(url).isNotNull()).distinct()
     index = index_rules(urls, pattern_rules, "_url")
     small = F.broadcast if len(pattern_rules) <= BROADCAST_RULES else (lambda x: x)
     tokens = urls.select("_url", F.explode(url_tokens(F.col("_url"))).alias("token"))
     found = tokens.join(small(index.where("token is not null")), "token").select("_url", "rule", "regex", "exception")
-    loose = [r for r in pattern_rules if not pattern_tokens(r)]
-    if loose:  # rules without a token are candidates for every URL
-        every = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(pattern_regex(r)).alias("regex"), F.lit(r.startswith("@@")).alias("exception")) for r in loose]))
-        found = found.unionByName(urls.select("_url", every.alias("x")).select("_url", "x.*"))
-    hit = F.expr("regexp_like(translate(_url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), regex)")
+    low = lower_ascii(F.col("_url"))
+    hit = F.call_function("regexp_like", low, F.col("regex"))
     judged = found.withColumn("hit", hit).groupBy("_url").agg(F.count(F.lit(1)).alias("n_candidates"), F.min(F.when(F.col("hit") & ~F.col("exception"), F.col("rule"))).alias("_block"), F.min(F.when(F.col("hit") & F.col("exception"), F.col("rule"))).alias("_except"))
+    loose = [r for r in pattern_rules if not pattern_tokens(r)]
+    if loose:
+        every = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(pattern_regex(r)).alias("regex"), F.lit(r.startswith("@@")).alias("exception")) for r in loose])
+        hits = urls.select("_url", F.filter(every, lambda r: F.call_function("regexp_like", low, r["regex"])).alias("_l"))
+        least = lambda own, exception: F.least(own, F.array_min(F.transform(F.filter("_l", lambda r: r["exception"] == exception), lambda r: r["rule"])))
+        judged = hits.join(judged, "_url", "left").select("_url", (F.coalesce("n_candidates", F.lit(0)) + len(loose)).alias("n_candidates"), least(F.col("_block"), False).alias("_block"), least(F.col("_except"), True).alias("_except"))
     host, path = url_parts(F.col(url))
     out = df.join(judged, F.col(url) == F.col("_url"), "left").withColumn("host", host).withColumn("path", path)
     out = out.withColumn("_r", host_rule(F.col("host"), F.col("path"), host_rules))

@@ -132,7 +132,11 @@ def train_dictionary(pages: DataFrame, key: str = "page_id", payload: str = "htm
 
 
 def find_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Rows (key, refers_to): pages whose payload equals that of a page with a smaller id."""
+    """Rows (key, refers_to): pages whose payload equals that of a page with a smaller id.
+
+    A null payload counts as empty; a null key refers to nothing and is referred to by none; a page
+    that is there twice is one row. No pages give no rows. Only digests are shuffled.
+    """
     text = F.coalesce(F.col(payload), F.lit(""))
     narrow = stored(pages.where(F.octet_length(text) >= least_bytes).select(key, F.unhex(F.sha1(text.cast("binary"))).alias("_digest")), "payload-digests")
     first = narrow.groupBy("_digest").agg(F.min(key).alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -253,7 +253,9 @@ def test_ordinal_gradient():
 # Decontamination
 
 
-def test_decontamination(spark, none):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_decontamination(spark, none, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
     rng = np.random.default_rng(3)
     words = [f"t{i}" for i in range(4000)]
     item = list(rng.choice(words, 40))
@@ -602,6 +604,16 @@ def test_index_finds_what_all_patterns_find(spark, sf_dir):
         assert got[page.page_id] == ("block" if block and not free else "allow", free or block)
 
 
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_many_rules_and_repeated_rules(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
+    urls = ["http://a.org/x-bets.y", "http://docs.a.org/login/", "http://q.org/zzz", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [*url_filter.PATTERN_RULES, "-bets.", "*zz*", "*zz*"]
+    got = {r.page_id: (r.verdict, r.pattern_rule, r.n_candidates) for r in url_filter.filter_urls(df, host_rules=[], pattern_rules=rules).collect()}
+    assert got == {0: ("block", "-bets.", 3), 1: ("allow", "@@||docs.", 3), 2: ("block", "*zz*", 1), 3: ("allow", None, 0)}
+
+
 # SimHash
 
 
@@ -661,7 +673,9 @@ def test_links_in_large_buckets(spark):
     assert got == groups([(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2], range(len(fps)))
 
 
-def test_near_copy_groups(spark, odd, none):
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_near_copy_groups(spark, odd, none, monkeypatch, most):
+    monkeypatch.setattr(near_copies, "BROADCAST_IDS", most)
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(2000)]
     texts = [list(rng.choice(words, int(rng.integers(40, 300)))) for _ in range(60)]
