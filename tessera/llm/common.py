@@ -26,9 +26,9 @@ _WORD_HASHES: dict[bytes, int] = {}
 
 
 def word_hashes(many: list[bytes]) -> np.ndarray:
-    """XXH64 (seed 7) of each word as unsigned 64-bit; a memory of up to 200,000 words spares repeats."""
+    """XXH64 (seed 7) of each word as unsigned 64-bit; a memory of up to 100,000 words spares repeats."""
     known = _WORD_HASHES
-    if len(known) > 200_000:
+    if len(known) > 100_000:
         known.clear()
     for w in many:
         if w not in known:

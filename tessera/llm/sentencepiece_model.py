@@ -24,7 +24,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Entries of the newer half of the memory of chunks that a task keeps; chunks encoded at once; threads that encode them.
-MEMORY, AT_ONCE, THREADS = 250_000, 8192, 2
+MEMORY, AT_ONCE, THREADS = 160_000, 8192, 2
 _CODECS: dict = {}
 
 
