@@ -837,3 +837,28 @@ def test_pipeline_stages(spark, sf_dir):
     bench = [x.text for x in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     assert not any(b in (r.text or "") for r in got.values() for b in bench)
     assert all(not base_spans(r.text or "") for r in got.values()) and all(r.parity and r.round_trip for r in got.values())
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf_dir):
+    """Empty tables, repeated rows, null ids, and columns that bear the operators' own names."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, grade string, secrets int, n_items string, component_id string, _text string"
+    own = ("g", 4, "n", "c", "t")
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    plain = "some words of a clean text that nobody minds at all " * 3
+    rows = [(1, plain, "en", "s", 5, *own), (1, plain, "en", "s", 5, *own), (None, plain, None, None, None, *own), (2, plain, "en", "s", 5, *own), (None, "lead " + item, None, None, None, *own), (3, "lead " + item, "en", "s", 5, *own), (4, None, None, None, None, *own), (5, "pw password=hunter2222", "en", "s", 22, *own)]
+    docs = common.stored(spark.createDataFrame(rows, schema), "odd-docs")
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("1 = 0"), sf_dir).count() == 0
+        got = stage(spark, docs, sf_dir)
+        if name != "sentencepiece":
+            assert got.columns == docs.columns
+        out[name] = [tuple(r) for r in got.collect()]
+        assert all(r[5:10] == own for r in out[name])
+    ids = lambda name: sorted(str(r[0]) for r in out[name])
+    assert ids("toxicity") == ids("secrets") == ids("sentencepiece") == sorted(str(r[0]) for r in rows)
+    assert ids("near_duplicates") == ["1", "1", "3", "4", "5", "None", "None"]  # rows without an id stay
+    assert ids("decontamination") == ["1", "1", "2", "4", "5", "None"]
+    assert [r[1:5:3] for r in out["secrets"] if r[0] == 5] == [("pw [SECRET]", 11)]
