@@ -31,7 +31,7 @@ from .common import stored, table
 #: n of the longest n-grams, pseudo-counts m of the orders from 2 on, and what the unigrams add to each count.
 ORDER, PRIORS, ADD = 2, (300.0, 30.0, 10.0), 0.5
 #: Bytes of text of a pack, and n-grams that a counting task gets on average.
-PACK_BYTES, KEYS_PER_TASK = 8 << 20, 2_000_000
+PACK_BYTES, KEYS_PER_TASK = 6 << 20, 2_000_000
 END = b""  # no word is empty
 #: Tokens that one lane of a walk reads: texts are walked side by side, long ones in pieces.
 PIECE = 512
@@ -102,32 +102,26 @@ class Automaton:
 
     def __init__(self, pack: Pack, totals: list[np.ndarray], whole: float, priors: tuple[float, ...]):
         self.order, self.node, self.pack = len(totals), [], pack
-        count, prob, weight, target, fail, fail_weight, depth, at = [], [], [], [], [], [], [], 0
+        parts, prob, before, at = [], None, 0, 0  # before, at: where the numbers of the last order and of this one begin
         for n, distinct, place, _ in pack.grams(self.order):
-            c, number = totals[n - 1].astype(float), np.where(place < 0, -1, place + at)
-            some = np.flatnonzero(place >= 0)
+            c, some = totals[n - 1].astype(float), np.flatnonzero(place >= 0)
             last = np.zeros(len(distinct), dtype=np.int64)
             last[place[some]] = some  # a token at which the n-gram ends
             if n == 1:
-                suffix = np.full(len(distinct), -1, dtype=np.int64)
+                suffix = np.full(len(distinct), -1, dtype=np.int32)
                 p = (c + ADD) / whole
                 seen = np.ones(len(distinct), dtype=bool)
             else:
                 suffix, context = self.node[n - 2][last], self.node[n - 2][last - 1]
-                m, held = priors[n - 2], np.concatenate(count)[context]
-                p = (c + m * np.concatenate(prob)[suffix]) / (held + m)
+                m = priors[n - 2]
+                p = (c + m * prob[suffix - before]) / (held[context - before] + m)
                 seen = c > 0
-            count.append(c)
-            prob.append(p)
-            weight.append(np.where(seen, np.log10(p), -np.inf))
-            own = np.arange(at, at + len(distinct))
-            target.append(np.where(c > 0, own, -1) if n < self.order else suffix)
-            fail.append(suffix)
-            fail_weight.append(np.log10(priors[n - 1] / (c + priors[n - 1])) if n < self.order else np.zeros(len(distinct)))
-            depth.append(np.full(len(distinct), n))
-            self.node.append(number)
-            at += len(distinct)
-        self.count, self.arc_weight, self.target, self.fail, self.fail_weight, self.depth = (np.concatenate(x) for x in (count, weight, target, fail, fail_weight, depth))
+            own, inner = np.arange(at, at + len(distinct), dtype=np.int32), n < self.order
+            back = np.log10(priors[n - 1] / (c + priors[n - 1])) if inner else np.zeros(len(distinct))
+            parts.append((c, np.where(seen, np.log10(p), -np.inf), np.where(c > 0, own, np.int32(-1)) if inner else suffix, suffix, back, np.full(len(distinct), n, dtype=np.int8)))
+            self.node.append(np.where(place < 0, -1, place + at).astype(np.int32))
+            prob, held, before, at = p, c, at, at + len(distinct)
+        self.count, self.arc_weight, self.target, self.fail, self.fail_weight, self.depth = (np.concatenate(x) for x in zip(*parts, strict=True))
         if self.order == 1:
             self.target[:] = -1
         self.table = np.stack(self.node)
