@@ -95,10 +95,12 @@ def bpe_encode(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), lambda x: 5000 + strlen(x)) AS ids FROM documents)
-SELECT doc_id, len(ids) + 1 AS n, 1001 AS first, list_sum(ids)::BIGINT + 1001 AS total FROM w""")
+SELECT doc_id, len(ids) + 1 AS n, 1001 AS first, list_sum(ids)::BIGINT + 1001 AS total, 2 * len(ids) + 3 AS pair_n, 1002 AS last, 2 * list_sum(ids)::BIGINT + 3005 AS pair_total FROM w""")
 def special_tokens(spark, sf_dir):
-    out = _ids(spark, sf_dir).select("doc_id", scalar.with_special(F.col("ids")).alias("ids"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    """One sequence with its mark, and the pair of a sequence with itself."""
+    out = _ids(spark, sf_dir).select("doc_id", scalar.with_special(F.col("ids")).alias("one"), scalar.with_special(F.col("ids"), F.col("ids")).alias("pair"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    return out.select("doc_id", F.size("one").cast("long").alias("n"), F.get("one", F.lit(0)).alias("first"), total("one").alias("total"), F.size("pair").cast("long").alias("pair_n"), F.element_at("pair", F.lit(-1)).alias("last"), total("pair").alias("pair_total"))
 
 
 def _ids(spark, sf_dir):
