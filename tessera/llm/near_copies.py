@@ -28,7 +28,7 @@ _MIXERS = tuple(0x9E3779B97F4A7C15 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF for k in r
 #: Candidates of a text that are verified after each search by fingerprints, those with most keys in common first.
 NEAREST = 2
 #: Texts that one call compares with one text; wanted texts up to which their ids are broadcast.
-PART_TEXTS, BROADCAST_IDS = 64, 2_000_000
+PART_TEXTS, BROADCAST_IDS = 64, 1_000_000
 #: Cells in which shingles are counted, by their leading bits, to put rare ones first; members of a salted part.
 CELL_BITS, SALT_ROWS = 22, 2000
 
