@@ -39,13 +39,20 @@ def trial_arrays(runs: DataFrame, key: str, trial: str) -> DataFrame:
     return runs.groupBy(key).agg(F.sort_array(F.collect_list(trial)).alias("trials"))
 
 
+#: Distinct values whose percentiles are taken in one buffer.
+SMALL_COUNTS = 1_000_000
+
+
 def exact_percentiles(df: DataFrame, col: str, points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Rows (by..., v): an array of linear percentiles of the column, nulls left out; null if there is no value.
 
-    Values are counted, and running totals over the counts, by ranges, tell which values have the two
-    ranks about each point: no buffer holds a column's or a group's values.
+    Values are counted. Up to SMALL_COUNTS distinct ones are put in order in a buffer; beyond, running
+    totals over the counts, by ranges, tell which values have the two ranks about each point, so that
+    no buffer holds a large column's or group's values.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
+    if counts.limit(SMALL_COUNTS + 1).count() <= SMALL_COUNTS:
+        return counts.groupBy(*by).agg(F.percentile(F.col(col).cast("double"), [float(p) for p in points], F.col("_n")).alias("v"))
     upto = running_total(counts, by, col, "_n", "_upto")
     total = upto.groupBy(*by).agg(F.max("_upto").alias("_t"))
     if by:
