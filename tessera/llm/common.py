@@ -121,6 +121,8 @@ def lookup(big: DataFrame, small: DataFrame, key: str, n: str, share: int = 1000
     """
     total = small.agg(F.sum(n)).first()[0] or 0
     hot = F.col(n) > total / share
+    if small.where(hot).isEmpty():
+        return big.join(small.drop(n), key)
     often = F.broadcast(small.where(hot).drop(n))
     rare = small.where(~hot).drop(n)
     return big.join(often, key).unionByName(big.join(often.select(key), key, "left_anti").join(rare, key))

@@ -79,8 +79,8 @@ def normal_form(path: str):
     """A column function that gives texts of equal count one form, as far as the tokenizer's own normaliser allows.
 
     Where that lower-cases and no token spans blanks, ASCII texts are lower-cased and blanks at the
-    ends of all texts are dropped; a text with an added token's string in any case stays as it is, as
-    the library looks for those first. For other tokenizers every text is its own form. Null is empty.
+    ends of all texts are dropped; an ASCII text with an added token's string in any case stays as it
+    is, as the library looks for those first. For other tokenizers every text is its own form. Null is empty.
     """
     own = lambda text: F.coalesce(text, F.lit(""))
     if not path.endswith(".json"):
@@ -94,7 +94,7 @@ def normal_form(path: str):
     def form(text: Column) -> Column:
         t = own(text)
         low = F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(t)
-        special = reduce(lambda a, b: a | b, [F.lower(t).contains(a) for a in added], F.lit(False))
+        special = reduce(lambda a, b: a | b, [low.contains(a) for a in added], F.lit(False))
         return F.when(special, t).otherwise(F.trim(low, F.lit(" \t\n\x0b\f\r")))
 
     return form
