@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors share.
+
+    Where it is unset, a folder of our own if Spark runs in one process (local masters), else an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return base.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage through spark.checkpoint.dir, a folder that the driver and all executors share."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and df.sparkSession.sparkContext.getCheckpointDir() is None:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    """df cut from its lineage through a checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.operators import hierarchy, merge
+from tessera.operators.ordinal import shared_base
 from tessera.sources import store
 
 from .registry import query, table
@@ -14,10 +15,7 @@ from .registry import query, table
 
 def scratch(spark, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _stores(spark, sf_dir):

@@ -424,6 +424,11 @@ def test_instruction_tokens(spark):
 def test_a_checkpoint_folder_is_required():
     from tessera.plans.merge_queries import scratch
 
-    unset = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda name, default=None: default))
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch(unset, "x")
+    def unset(master):
+        context = types.SimpleNamespace(master=master, applicationId="app")
+        return types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda name, default=None: default), sparkContext=context)
+
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch(unset(master), "x")
+    assert scratch(unset("local[8]"), "x").startswith("file:///tmp/checkpoints/app/x-")
