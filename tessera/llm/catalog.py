@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, quality, secrets, sentencepiece_model, simhash, token_counts, toxicity, url_filter, warc
+from . import decontaminate, lm_score, periodic_runs, quality, secrets, sentencepiece_model, simhash, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_model.op1_sentencepiece,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_simhash": simhash.op9_simhash,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 ORACLES = {
     "op2_lm_score": lm_score.SQL,
     "op5_secrets": secrets.SQL,
     "op7_warc": warc.SQL,
     "op8_url_filter": url_filter.SQL,
+    "op12_periodic_runs": periodic_runs.SQL,
 }

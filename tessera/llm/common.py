@@ -125,3 +125,11 @@ def lookup(big: DataFrame, small: DataFrame, key: str, n: str, share: int = 1000
     often = F.broadcast(small.where(hot).drop(n))
     rare = small.where(~hot).drop(n)
     return big.join(often, key).unionByName(big.join(often.select(key), key, "left_anti").join(rare, key))
+
+
+def crc32_sql(k: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of the ASCII text in column k."""
+    codes = f"list_transform(range(strlen({k})), lambda i: CAST(ascii(substr({k}, 1 + i, 1)) AS BIGINT))"
+    step = "lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END"
+    byte = f"lambda c, x: list_reduce(list_prepend(xor(c, x), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), {step})"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {byte}), CAST(4294967295 AS BIGINT))"

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import crc32_sql, stored, table
 
 #: n of the longest n-grams, pseudo-counts m of the orders from 2 on, and what the unigrams add to each count.
 ORDER, PRIORS, ADD = 2, (300.0, 30.0, 10.0), 0.5
@@ -269,10 +269,9 @@ def op2_lm_score(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"))
 
 
-_CRC = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(strlen(k)), lambda i: CAST(ascii(substr(k, 1 + i, 1)) AS BIGINT))), lambda c, x: list_reduce(list_prepend(xor(c, x), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END))"
 SQL = f"""
 WITH k AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS k, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
-d AS (SELECT doc_id, xor({_CRC}, CAST(4294967295 AS BIGINT)) % 5 = 1 AS held_out, list_append(words, '') AS toks FROM k),
+d AS (SELECT doc_id, {crc32_sql('k')} % 5 = 1 AS held_out, list_append(words, '') AS toks FROM k),
 t AS (SELECT doc_id, held_out, unnest(toks) AS w, unnest(list_prepend(NULL, toks[:-2])) AS h FROM d),
 c1 AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
 c2 AS (SELECT h, w, count(*) AS c FROM t WHERE NOT held_out AND h IS NOT NULL GROUP BY h, w),
