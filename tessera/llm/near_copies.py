@@ -106,7 +106,7 @@ def _golay_keys(cells: DataFrame) -> DataFrame:
     return cells.select("segment", "bits", "least", "node").mapInArrow(expand, "key long, node long")
 
 
-def _nearest(met: DataFrame) -> DataFrame:
+def nearest(met: DataFrame) -> DataFrame:
     """Rows (b, a): for each b the NEAREST that it meets most often, ties to the lesser."""
     counts = met.where("a < b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("b").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "a"))), 1, NEAREST).alias("x"))
@@ -117,17 +117,17 @@ def _segment_pairs(nodes: DataFrame, kept) -> DataFrame:
     """Candidates of nodes that have a whole segment and its least hash in common: each with the least such nodes."""
     rows = kept(_segments(nodes), "segments")
     cells = rows.groupBy("segment", "bits", "least").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
-    return _nearest(rows.join(cells, ["segment", "bits", "least"]).select("a", F.col("node").alias("b")))
+    return nearest(rows.join(cells, ["segment", "bits", "least"]).select("a", F.col("node").alias("b")))
 
 
 def _golay_pairs(nodes: DataFrame, kept) -> DataFrame:
     """Candidates of nodes that have a Golay key in common: each with the least node of its buckets."""
     keyed = kept(_golay_keys(_segments(nodes)), "golay-keys")
     heads = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
-    return _nearest(keyed.join(heads, "key").select("a", F.col("node").alias("b")))
+    return nearest(keyed.join(heads, "key").select("a", F.col("node").alias("b")))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, repeats: bool, kept) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float, repeats: bool, kept) -> DataFrame:
     """The pairs (a, b) whose texts' shingle sets have at least this Jaccard similarity.
 
     A text is sent with its partners in parts of about PART_TEXTS, so that no task gets all partners
@@ -187,7 +187,7 @@ def near_copy_groups(df: DataFrame, key: str = "doc_id", text: str = "text", wor
     repeats = not known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     nodes = kept(sketches.groupBy("same").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "lo", "hi", "least"))).alias("x"), F.count(F.lit(1)).alias("n")).select("same", "n", F.col("x.id").alias("node"), "x.lo", "x.hi", "x.least"), "nodes")
     named = nodes.where("node is not null").select("same", "node", "lo", "hi", "least")
-    alike = lambda pairs: _verified(kept(pairs, "candidates"), docs, words, similarity, repeats, kept)
+    alike = lambda pairs: verified(kept(pairs, "candidates"), docs, words, similarity, repeats, kept)
     comp = lambda found: F.coalesce("component", "node").alias(found)
     edges = alike(_segment_pairs(named, kept))
     heads = named.join(components(edges), "node", "left").where("component is null or component = node").select(*named.columns)
