@@ -1,8 +1,17 @@
-"""Byte-pair encoding of a corpus: training on the table of distinct words, encoding where the texts are read."""
+"""Byte-pair encoding of a corpus: training on the table of distinct words, encoding where the texts are read.
+
+Training goes in phases. A phase looks at the most frequent pairs only and cuts the distinct words
+into the stretches in which those stand; equal stretches are one, with the sum of their words' counts.
+A bounded number of them holds all that is needed to merge, one by one, until the count falls to that
+of the pairs left out: an index from pair to stretches keeps the counts by differences, so that a merge
+touches the stretches that hold its pair. The merges of a phase are then applied to the words by tasks.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import heapq
+from collections import Counter, defaultdict
+from collections.abc import Collection, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,16 +20,16 @@ from pyspark.sql import functions as F
 from .ordinal import checkpointed
 
 #: The special tokens, in the order of their ids.
-SPECIALS = ("<pad>", "<s>", "</s>", "<mask>", "<sep>", "<unk>", "<cls>")
+SPECIALS = ("[BOS]", "[EOS]", "[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]")
 #: Fixed value: the public pattern of byte-level pre-tokens, each with the blank before it.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose pieces a task keeps.
-MEMORY = 200_000
+#: Words whose pieces a task keeps, stretches that the driver takes for a phase, pairs that a phase looks at first and at most.
+MEMORY, STRETCHES, FIRST_PAIRS, MOST_PAIRS = 200_000, 200_000, 256, 8192
 
 
 def byte_symbols() -> list[str]:
     """A visible character for each byte: printable Latin-1 ones stand for themselves, the others for those from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: the printable characters of Latin-1
     out, spare = [], 256
     for b in range(256):
         out.append(chr(b) if b in plain else chr(spare))
@@ -33,29 +42,57 @@ def blank_words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
-def byte_words(text: Column) -> Column:
-    """Byte-level pre-tokens: every byte is one character of byte_symbols, blanks too."""
-    symbols = F.array(*[F.lit(s) for s in byte_symbols()])
+def _respelt() -> tuple[str, str]:
+    """The characters of Latin-1 that byte_symbols replaces, and those that stand for them, in one order."""
+    other = [(chr(b), c) for b, c in enumerate(byte_symbols()) if c != chr(b)]
+    return "".join(x for x, _ in other), "".join(c for _, c in other)
+
+
+def spelt(word: Column) -> Column:
+    """A word with a character of byte_symbols for each byte; time in proportion to its length."""
+    return F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), *_respelt())
+
+
+def byte_words(text: Column, prefix_blank: bool = True) -> Column:
+    """Byte-level pre-tokens: every byte is one character of byte_symbols, blanks too.
+
+    With prefix_blank a text that begins with another character than a blank gets one before it, so
+    that its first word is as those within; empty texts stay empty.
+    """
+    return F.transform(F.regexp_extract_all(led(text, prefix_blank), F.lit(PRE_TOKEN), F.lit(0)), spelt)
 
-    def spelt(word: Column) -> Column:
-        hexed = F.hex(F.encode(word, "UTF-8"))
-        return F.array_join(F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda i: F.get(symbols, F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))), "")
 
-    return F.transform(F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0)), spelt)
+def led(text: Column, prefix_blank: bool = True) -> Column:
+    """The text with a blank before it, where it is not empty and begins with none."""
+    return F.when((text != "") & ~F.startswith(text, F.lit(" ")), F.concat(F.lit(" "), text)).otherwise(text) if prefix_blank else text
 
 
 def words(df: DataFrame, text: str, cut=blank_words) -> DataFrame:
     """Rows (word, n) of the pre-tokens of the whole corpus; spelling is done once for each distinct one."""
     if cut is byte_words:
-        raw = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(PRE_TOKEN), F.lit(0))).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
-        return raw.select(F.array_join(byte_words(F.col("raw")), "").alias("word"), "n")
+        raw = df.select(F.explode(F.regexp_extract_all(led(F.col(text)), F.lit(PRE_TOKEN), F.lit(0))).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+        return raw.select(spelt(F.col("raw")).alias("word"), "n")
     w = df.select(F.explode(cut(F.col(text))).alias("word"))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pairs(parts: DataFrame) -> DataFrame:
-    both = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.struct(F.get("parts", i - 1).alias("a"), F.get("parts", i).alias("b")))
-    return parts.where(F.size("parts") > 1).select("n", F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
+def _summed(df: DataFrame, sums, schema: str) -> DataFrame:
+    """The sums that each task makes of its rows (parts, n), added up: sums(parts, n) gives keys, each counted n times."""
+    key = schema.split()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        kind = pa.list_(pa.string())
+        for b in batches:
+            for p, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for x in sums(p):
+                    total[x] += n
+            if len(total) >= MEMORY:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), kind), pa.array(list(total.values()), pa.int64())], names=[key, "n"])
+                total.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), kind), pa.array(list(total.values()), pa.int64())], names=[key, "n"])
+
+    return df.select("parts", "n").mapInArrow(run, schema).groupBy(key).agg(F.sum("n").alias("n"))
 
 
 def merged(p: list[str], x: str, y: str) -> list[str]:
@@ -71,65 +108,153 @@ def merged(p: list[str], x: str, y: str) -> list[str]:
     return q
 
 
+def in_order(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The parts after the merges one after the other, by rank: one that is passed does not come back."""
+    last = -1
+    while len(parts) > 1:
+        best = min((r for p in zip(parts, parts[1:], strict=False) if (r := ranks.get(p, -1)) > last), default=None)
+        if best is None:
+            break
+        last = best
+        x, y = next(p for p in zip(parts, parts[1:], strict=False) if ranks.get(p) == best)
+        parts = merged(parts, x, y)
+    return parts
+
+
 def _apply(parts: DataFrame, merges: Sequence[tuple[str, str]]) -> DataFrame:
-    """Merge the pairs, in order, in each distinct word; words without any of them are passed on."""
+    """The words with these merges applied in order."""
+    ranks = {m: i for i, m in enumerate(merges)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for p in b.column(2).to_pylist():
-                for x, y in merges:
-                    if x in p and y in p:
-                        p = merged(p, x, y)
-                out.append(p)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.string()))], names=["word", "n", "parts"])
+            out = [in_order(p, ranks) for p in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), b.column(1)], names=["parts", "n"])
 
-    return parts.select("word", "n", "parts").mapInArrow(run, "word string, n long, parts array<string>")
+    return parts.select("parts", "n").mapInArrow(run, "parts array<string>, n long")
 
 
-def _sure(top: list[tuple[str, str, int]], rest: int, most: int) -> list[tuple[str, str]]:
-    """The first pairs of `top` that come next whatever their predecessors' merges make: see train.
+def stretches(parts: list[str], pairs: Collection[tuple[str, str]], symbols: set[str]) -> Iterator[tuple[str, ...]]:
+    """The stretches of a word in which these pairs stand, with the symbols beside them.
 
-    rest: a bound on the count of each pair that is not in `top`.
+    Two neighbours stay together if they are one of the pairs, if they stand beside one, or if one of
+    them is among `symbols`.
+    """
+    edges = [p in pairs for p in zip(parts, parts[1:], strict=False)]
+    start = 0
+    for i in range(len(edges) + 1):
+        if i == len(edges) or not (any(edges[max(0, i - 1) : i + 2]) or parts[i] in symbols or parts[i + 1] in symbols):
+            if i > start:
+                yield tuple(parts[start : i + 1])
+            start = i + 1
+
+
+class _Index:
+    """Counts of the pairs of weighted stretches, kept by differences; where each pair stands."""
+
+    def __init__(self, rows: list[tuple[list[str], int]]):
+        self.parts, self.weights = [list(p) for p, _ in rows], [n for _, n in rows]
+        self.count: Counter = Counter()
+        self.where: dict[tuple[str, str], set[int]] = defaultdict(set)
+        for i, p in enumerate(self.parts):
+            self._add(i, p, 1)
+        self.heap = [(-n, *p) for p, n in self.count.items()]
+        heapq.heapify(self.heap)
+
+    def _add(self, i: int, parts: list[str], sign: int) -> set[tuple[str, str]]:
+        seen = set()
+        for p in zip(parts, parts[1:], strict=False):
+            self.count[p] += sign * self.weights[i]
+            if sign > 0:
+                self.where[p].add(i)
+            seen.add(p)
+        return seen
+
+    def best(self) -> tuple[int, str, str] | None:
+        """Count and symbols of the most frequent pair, on ties the first by text."""
+        while self.heap:
+            n, x, y = self.heap[0]
+            if self.count[x, y] == -n and n:
+                return -n, x, y
+            heapq.heappop(self.heap)
+            if self.count[x, y] > 0 and self.count[x, y] < -n:
+                heapq.heappush(self.heap, (-self.count[x, y], x, y))
+        return None
+
+    def merge(self, x: str, y: str) -> None:
+        changed = set()
+        for i in self.where.pop((x, y), ()):
+            new = merged(self.parts[i], x, y)
+            if len(new) < len(self.parts[i]):
+                changed |= self._add(i, self.parts[i], -1)
+                changed |= self._add(i, new, 1)
+                self.parts[i] = new
+        for p in changed:
+            if self.count[p] > 0:
+                heapq.heappush(self.heap, (-self.count[p], *p))
+
+
+def _phase(rows: list[tuple[list[str], int]], pairs: dict[tuple[str, str], int], floor: int, symbols: set[str], most: int, least: int) -> list[tuple[str, str]]:
+    """The merges that are certain from the stretches of `pairs`; those left out have counts of `floor` at most
+    and come after the pairs of that count.
+
+    A merge of one of `pairs` shows all that it makes, as its neighbours are there. One of a pair that
+    the phase has made itself may make pairs that were cut off. Such a new pair has a count of floor
+    at most: so from then on nothing with that count is sure. A symbol that is there already, made anew
+    in another way, is sure if both ways show all.
     """
-    taken: list[tuple[str, str, int]] = []
-    bound = 0
-    for a, b, n in top:
-        if taken and (len(taken) == most or {a, b} & {s for x, y, _ in taken for s in (x, y, x + y)} or n <= bound):
+    index, done, deep, made = _Index(rows), [], False, {}
+    while len(done) < most:
+        best = index.best()
+        if best is None or best[0] < max(least, floor):
             break
-        taken.append((a, b, n))
-        made = a + b
-        near = max([m for x, y, m in top if (x == b or y == a) and (x, y) != (a, b)] + [rest])
-        held = max([m for x, y, m in top if made in (x, y)] + [rest])
-        bound = max(bound, near + held if a != b else n + held)
-    return [(a, b) for a, b, _ in taken]
+        n, x, y = best
+        shown = (x, y) in pairs
+        again = x + y in symbols or x + y in made
+        if (x, y) in done or (n == floor and (deep or pairs.get((x, y)) != n)) or (again and not (shown and made.get(x + y, True))):
+            break
+        index.merge(x, y)
+        done.append((x, y))
+        made[x + y] = made.get(x + y, True) and shown
+        deep |= not shown
+    return done
 
 
-def train(word_counts: DataFrame, merges: int, least: int = 2, batch: int = 1) -> list[tuple[str, str]]:
+def train(word_counts: DataFrame, merges: int, least: int = 2, most_pairs: int = FIRST_PAIRS) -> list[tuple[str, str]]:
     """Merges in order, each the most frequent pair (ties: first by text) with a count of at least `least`.
 
-    A round counts pairs over the distinct words and takes up to `batch` pairs whose order is certain:
-    they share no symbol with those before them, and their count is above what any pair that these
-    make can have: a new pair (ab, y) is no more frequent than (b, y), plus what (ab, y) had already.
-    So every `batch` gives the merges of one by one. The driver sees only the most frequent pairs.
+    The same merges as by counting all pairs anew after each one, whatever `most_pairs`, the pairs that
+    the first phase looks at; later phases look at more or fewer, as their stretches are few or too
+    many for the driver (STRETCHES). No words give no merges.
     """
-    parts = checkpointed(word_counts.withColumn("parts", F.filter(F.split("word", ""), lambda c: c != "")).select("word", "n", "parts"))
+    parts = checkpointed(word_counts.select(F.filter(F.split("word", ""), lambda c: c != "").alias("parts"), "n").where(F.size("parts") > 1))
     done: list[tuple[str, str]] = []
+    symbols: set[str] = set()
     while len(done) < merges:
-        limit = 1 if batch == 1 else 64 * batch
-        top = [tuple(r) for r in _pairs(parts).where(F.col("n") >= least).orderBy(F.desc("n"), "a", "b").limit(limit).collect()]
+        both = _summed(parts, lambda p: zip(p, p[1:], strict=False), "pair array<string>, n long").select(F.get("pair", F.lit(0)).alias("a"), F.get("pair", F.lit(1)).alias("b"), "n")
+        top = [tuple(r) for r in both.where(F.col("n") >= least).orderBy(F.desc("n"), "a", "b").limit(most_pairs + 1).collect()]
         if not top:
             break
-        rest = top[-1][2] if len(top) == limit else least - 1
-        taken = _sure(top, rest, min(batch, merges - len(done)))
-        done += taken
-        parts = checkpointed(_apply(parts, taken))
+        while True:
+            pairs = {(a, b): n for a, b, n in top[:most_pairs]}
+            floor = top[most_pairs][2] if len(top) > most_pairs else 0
+            known = {a + b for a, b in pairs if a + b in symbols}
+            cut = _summed(parts, lambda p, pairs=pairs, known=known: stretches(p, pairs, known), "parts array<string>, n long")
+            rows = [(r.parts, r.n) for r in cut.limit(STRETCHES + 1).collect()]
+            if len(rows) <= STRETCHES or most_pairs == 1:
+                break
+            most_pairs = max(1, most_pairs // 4)
+        new = _phase(rows, pairs, floor, symbols, merges - len(done), least) or [top[0][:2]]
+        done += new
+        symbols |= {a + b for a, b in new}
+        if 4 * len(rows) < STRETCHES:
+            most_pairs = min(MOST_PAIRS, 2 * most_pairs)
+        parts = checkpointed(_apply(parts, new).where(F.size("parts") > 1))
     return done
 
 
-def train_vocabulary(df: DataFrame, text: str, size: int, least: int = 2, batch: int = 16) -> list[tuple[str, str]]:
+def train_vocabulary(df: DataFrame, text: str, size: int, least: int = 2) -> list[tuple[str, str]]:
     """Byte-level merges for a vocabulary of `size`: special tokens, 256 bytes, then one token a merge."""
-    return train(words(df, text, byte_words), max(0, size - len(SPECIALS) - 256), least, batch)
+    return train(words(df, text, byte_words), max(0, size - len(SPECIALS) - 256), least)
 
 
 def vocabulary(merges: Sequence[tuple[str, str]]) -> dict[str, int]:
@@ -178,7 +303,8 @@ def decode(df: DataFrame, key: str, pieces: str = "pieces") -> DataFrame:
 
 
 def decode_bytes(df: DataFrame, key: str, pieces: str = "pieces") -> DataFrame:
-    """Rows (key, text) of byte-level pieces: their characters back as bytes, blanks and all."""
-    value = F.create_map(*[x for i, s in enumerate(byte_symbols()) for x in (F.lit(s), F.lit(f"{i:02X}"))])
-    chars = F.filter(F.split(F.array_join(pieces, ""), ""), lambda c: c != "")
-    return df.select(key, F.decode(F.unhex(F.array_join(F.transform(chars, lambda c: F.try_element_at(value, c)), "")), "UTF-8").alias("text"))
+    """Rows (key, text) of byte-level pieces: their characters back as bytes, blanks and all, the one before the text too."""
+    plain, symbols = _respelt()
+    zero = symbols[0]  # the symbol of byte 0, which translate would drop
+    latin = F.replace(F.translate(F.array_join(pieces, ""), symbols[1:], plain[1:]), F.lit(zero), F.lit("\x00"))
+    return df.select(key, F.decode(F.encode(latin, "ISO-8859-1"), "UTF-8").alias("text"))

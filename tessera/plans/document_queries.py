@@ -67,7 +67,28 @@ def byte_dictionary(spark, sf_dir):
     return ids.select("p_partkey", vocab.bytes_text(F.col("ids")).alias("back"), F.size("ids").alias("n"), F.get("ids", F.lit(0)).alias("first"))
 
 
-@query()
+#: SQL has no look-ahead: a mark before the last of several blanks, where a word follows, does what `\\s+(?!\\S)` does.
+_BLANK, _MARK = "[ \\t\\n\\x0B\\f\\r]", "\ue000"
+_BYTE_WORDS = f"""led AS (SELECT doc_id, CASE WHEN text <> '' AND NOT starts_with(text, ' ') THEN ' ' || text ELSE coalesce(text, '') END AS t FROM documents),
+spelt(s) AS (SELECT list(CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 THEN chr(b::INT) ELSE chr(256 + k::INT) END ORDER BY b) FROM (SELECT b, sum(CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 THEN 0 ELSE 1 END) OVER (ORDER BY b) - 1 AS k FROM range(256) r(b))),
+raw AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '({_BLANK}+)({_BLANK})([^ \\t\\n\\x0B\\f\\r])', '\\1{_MARK}\\2\\3', 'g'), '''s|''t|''re|''ve|''m|''ll|''d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^ \\t\\n\\x0B\\f\\r\\p{{L}}\\p{{N}}{_MARK}]+|{_BLANK}+')) AS w FROM led),
+counted AS MATERIALIZED (SELECT w, count(*) AS n, array_to_string(list_transform(range(octet_length(encode(w))), lambda i: '{_MARK}' || s[1 + ('0x' || substr(hex(encode(w)), (1 + 2 * i)::INT, 2))::INT] || '{_MARK}'), '') AS parts FROM raw, spelt GROUP BY w, s)"""
+
+
+def _merges_sql(counted: str, steps: int) -> str:
+    """CTEs m0, m1, ...: the most frequent pair (a, b) of each step, and w0, w1, ...: words (w, n, parts) after it."""
+    out = [f"w0 AS (SELECT w, n, parts FROM {counted})"]
+    for k in range(steps):
+        pairs = f"SELECT n, unnest(list_zip(l[:-2], l[2:])) AS p FROM (SELECT n, string_split(substr(parts, 2, length(parts) - 2), '{_MARK}{_MARK}') AS l FROM w{k})"
+        out.append(f"m{k} AS MATERIALIZED (SELECT {k} AS step, p[1] AS a, p[2] AS b FROM ({pairs}) WHERE p[2] IS NOT NULL GROUP BY p HAVING sum(n) >= 2 ORDER BY sum(n) DESC, a, b LIMIT 1)")
+        out.append(f"w{k + 1} AS MATERIALIZED (SELECT w, n, replace(parts, '{_MARK}' || a || '{_MARK}{_MARK}' || b || '{_MARK}', '{_MARK}' || a || b || '{_MARK}') AS parts FROM w{k}, m{k})")
+    return ",\n".join(out)
+
+
+_ALL_MERGES = " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(30))
+
+
+@query(f"WITH {_BYTE_WORDS},\n{_merges_sql('counted', 30)}\nSELECT step::INT AS step, a, b, (263 + step)::INT AS id FROM ({_ALL_MERGES})")
 def bpe_train(spark, sf_dir):
     """A byte-level vocabulary of thirty merges beyond the special tokens and the bytes, with their order."""
     merges = bpe.train_vocabulary(table(spark, sf_dir, "documents"), "text", len(bpe.SPECIALS) + 256 + 30)
@@ -75,23 +96,41 @@ def bpe_train(spark, sf_dir):
     return spark.createDataFrame([(i, a, b, ids[a + b]) for i, (a, b) in enumerate(merges)], "step int, a string, b string, id int")
 
 
-@query("SELECT doc_id, true AS back, coalesce(octet_length(encode(text)), 0) AS n_bytes FROM documents")
+@query()
+def bpe_vocabulary(spark, sf_dir):
+    """Two thousand merges: too many steps for SQL; the first thirty are those of bpe_train."""
+    merges = bpe.train_vocabulary(table(spark, sf_dir, "documents"), "text", len(bpe.SPECIALS) + 256 + 2000)
+    ids = bpe.vocabulary(merges)
+    return spark.createDataFrame([(i, a, b, ids[a + b]) for i, (a, b) in enumerate(merges)], "step int, a string, b string, id int")
+
+
+@query(f"""WITH {_BYTE_WORDS},
+{_merges_sql('counted', 30)},
+p AS (SELECT doc_id, sum((length(parts) - length(replace(parts, '{_MARK}', ''))) // 2)::BIGINT AS n_pieces FROM raw JOIN w30 USING (w) GROUP BY doc_id)
+SELECT doc_id, true AS back, octet_length(encode(t)) AS n_bytes, coalesce(n_pieces, 0) AS n_pieces FROM led LEFT JOIN p USING (doc_id)""")
 def bpe_roundtrip(spark, sf_dir):
-    """Byte-level pieces of whole texts: decoded they are the texts again, and they have as many symbols as bytes."""
+    """Byte-level pieces of whole texts: how many the merges leave; decoded they are the texts again, with as many symbols as bytes."""
     docs = table(spark, sf_dir, "documents")
     merges = bpe.train_vocabulary(docs, "text", len(bpe.SPECIALS) + 256 + 30)
     pieces = bpe.encode(docs, "doc_id", "text", merges, bpe.byte_words)
-    back = bpe.decode_bytes(pieces, "doc_id").join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_own")), "doc_id")
-    n = pieces.select("doc_id", F.length(F.array_join("pieces", "")).cast("long").alias("n_bytes"))
+    back = bpe.decode_bytes(pieces, "doc_id").join(docs.select("doc_id", bpe.led(F.coalesce("text", F.lit(""))).alias("_own")), "doc_id")
+    n = pieces.select("doc_id", F.length(F.array_join("pieces", "")).cast("long").alias("n_bytes"), F.size("pieces").cast("long").alias("n_pieces"))
     return back.select("doc_id", (F.col("text") == F.col("_own")).alias("back")).join(n, "doc_id")
 
 
-@query()
+@query(f"""WITH raw AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda x: x <> '')) AS w FROM documents),
+counted AS MATERIALIZED (SELECT w, count(*) AS n, array_to_string(list_transform(string_split(w, ''), lambda c: '{_MARK}' || c || '{_MARK}'), '') AS parts FROM raw GROUP BY w),
+{_merges_sql('counted', 20)},
+p AS (SELECT doc_id, sum((length(parts) - length(replace(parts, '{_MARK}', ''))) // 2)::BIGINT AS n_pieces, sum((strpos(parts, '{_MARK}{_MARK}') = 0)::INT)::BIGINT AS n_whole FROM raw JOIN w20 USING (w) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_pieces, 0) AS n_pieces, coalesce(n_whole, 0) AS n_whole FROM documents LEFT JOIN p USING (doc_id)""")
 def bpe_encode(spark, sf_dir):
+    """Pieces of each text under twenty merges, and those of its words that are one piece."""
     docs = table(spark, sf_dir, "documents")
-    merges = bpe.train(bpe.words(docs, "text"), 20, batch=8)
-    out = bpe.encode(docs, "doc_id", "text", merges)
-    return out.select("doc_id", F.size("pieces").alias("n_pieces"), F.xxhash64("pieces").alias("digest"))
+    merges = bpe.train(bpe.words(docs, "text"), 20)
+    n = bpe.encode(docs, "doc_id", "text", merges).select("doc_id", F.size("pieces").cast("long").alias("n_pieces"))
+    made = {a + b for a, b in merges}
+    whole = F.filter(bpe.blank_words(F.coalesce("text", F.lit(""))), lambda w: (F.length(w) == 1) | w.isin(sorted(made)))
+    return n.join(docs.select("doc_id", F.size(whole).cast("long").alias("n_whole")), "doc_id")
 
 
 @query("""WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), lambda x: 5000 + strlen(x)) AS ids FROM documents)

@@ -3,6 +3,7 @@
 import random
 import struct
 import types
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -311,25 +312,44 @@ def brute_merges(words, n_merges):
 
 
 @pytest.mark.parametrize("words", [{"azx": 8, "az": 2, "cd": 8}, {"aaab": 5, "aab": 4, "bab": 3, "abab": 6}, {"low": 40, "lower": 31, "newest": 30, "widest": 25, "xyz": 90, "qrs": 70, "mnop": 50}])
-def test_bpe_batches_give_the_merges_of_one_by_one(spark, words):
+def test_bpe_phases_give_the_merges_of_one_by_one(spark, monkeypatch, words):
     df = spark.createDataFrame(list(words.items()), "word string, n long")
     want = brute_merges(words, 8)
-    assert bpe.train(df, 8, batch=1) == want
-    assert bpe.train(df, 8, batch=4) == want
-
-
-def test_certain_pairs():
-    rng = random.Random(5)
-    for _ in range(300):
-        words = {"".join(rng.choice("abcd") for _ in range(rng.randint(2, 6))): rng.randint(1, 60) for _ in range(6)}
-        pairs = {}
-        for w, n in words.items():
-            for x in zip(w, w[1:], strict=False):
-                pairs[x] = pairs.get(x, 0) + n
-        top = sorted(((a, b, n) for (a, b), n in pairs.items() if n >= 2), key=lambda r: (-r[2], r[0], r[1]))
-        if top:
-            sure = bpe._sure(top, 1, 4)
-            assert sure == brute_merges(words, len(sure))
+    assert bpe.train(df, 8) == want
+    assert bpe.train(df, 8, most_pairs=2) == want
+    monkeypatch.setattr(bpe, "STRETCHES", 1)
+    assert bpe.train(df, 8) == want
+
+
+def test_certain_merges():
+    """A phase's merges are those of counting anew each time, whatever pairs it looks at; most need few phases."""
+    rng, phases, total = random.Random(5), 0, 0
+    for k in range(1500):
+        words = {"".join(rng.choice("abcde"[: rng.randint(1, 5)]) for _ in range(rng.randint(2, 9))): rng.choice([1, 2, 2, 3, 5, 8, 20, 60]) for _ in range(rng.randint(1, 14))}
+        want, done, symbols, parts = brute_merges(words, 40), [], set(), {w: list(w) for w in words}
+        most = rng.choice([1, 2, 3, 6, 1000])
+        while True:
+            pairs = Counter()
+            for w, p in parts.items():
+                for x in zip(p, p[1:], strict=False):
+                    pairs[x] += words[w]
+            top = sorted(((n, x) for x, n in pairs.items() if n >= 2), key=lambda t: (-t[0], t[1]))
+            if not top or len(done) == 40:
+                break
+            chosen = {x: n for n, x in top[:most]}
+            floor = top[most][0] if len(top) > most else 0
+            known = {a + b for a, b in chosen if a + b in symbols}
+            cut = Counter()
+            for w, p in parts.items():
+                for st in bpe.stretches(p, chosen, known):
+                    cut[st] += words[w]
+            new = bpe._phase([(list(st), n) for st, n in cut.items()], chosen, floor, symbols, 40 - len(done), 2) or [top[0][1]]
+            done += new
+            phases, total = phases + (most == 1000), total + len(new) * (most == 1000)
+            symbols |= {a + b for a, b in new}
+            parts = {w: bpe.in_order(p, {m: i for i, m in enumerate(new)}) for w, p in parts.items()}
+        assert done == want, (words, most)
+    assert total > 5 * phases
 
 
 def test_byte_level_pieces(spark):
@@ -337,9 +357,11 @@ def test_byte_level_pieces(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
     merges = bpe.train_vocabulary(df, "t", len(bpe.SPECIALS) + 256 + 5)
     got = bpe.encode(df, "id", "t", merges, bpe.byte_words)
-    assert [r.text for r in bpe.decode_bytes(got, "id").orderBy("id").collect()] == [t or "" for t in texts]
+    assert [r.text for r in bpe.decode_bytes(got, "id").orderBy("id").collect()] == [" " + t if t and t[0] != " " else t or "" for t in texts]
+    plain = bpe.encode(df, "id", "t", merges, lambda t: bpe.byte_words(t, prefix_blank=False))
+    assert [r.text for r in bpe.decode_bytes(plain, "id").orderBy("id").collect()] == [t or "" for t in texts]
     ids = bpe.vocabulary(merges)
-    assert len(set(bpe.byte_symbols())) == 256 and ids["<pad>"] == 0 and ids["<cls>"] == 6 and len(ids) == 263 + len(merges)
+    assert len(set(bpe.byte_symbols())) == 256 and ids["[BOS]"] == 0 and ids["[MASK]"] == 6 and len(ids) == 263 + len(merges)
 
 
 def test_cycles_end(spark):
