@@ -90,12 +90,26 @@ def root_ancestor(nodes: DataFrame, id: str = "id", parent: str = "parent", most
             raise ValueError("the parents form a cycle")
 
 
-def nearest_with(nodes: DataFrame, has: Column, step: str, id: str = "id", parent: str = "parent") -> DataFrame:
+def nearest_with(nodes: DataFrame, has: Column, step: str, id: str = "id", parent: str = "parent", most: int = 1_000_000) -> DataFrame:
     """Rows (id, nearest, steps): the nearest proper ancestor that fulfils `has`, and the chain of `step` values
-    from below it down to the node; nodes without such an ancestor are left out. Walks end at the first hit."""
-    walk = ancestors(nodes, id, parent, stop=has)
-    above = nodes.select(F.col(id).alias("ancestor"), F.col(step).alias("_step"), F.coalesce(has, F.lit(False)).alias("_has"))
-    part = F.struct((-F.col("distance")).alias("d"), F.col("ancestor").alias("a"), F.col("_step").alias("s"), (F.col("_has") & (F.col("distance") > 0)).alias("hit"))
-    chain = walk.join(above, "ancestor").groupBy(id).agg(F.sort_array(F.collect_list(part)).alias("_c"))
-    first = F.get("_c", F.lit(0))  # the farthest that was reached
-    return chain.where(first["hit"]).select(id, first["a"].alias("nearest"), F.transform(F.slice("_c", F.lit(2), F.size("_c")), lambda x: x["s"]).alias("steps"))
+    from below it down to the node; nodes without such an ancestor are left out.
+
+    Every node points to its parent and then, as long as it points to no node that fulfils `has`, to
+    where that one points, with both chains joined: one row a node, and as many rounds as the depth has
+    binary digits. A parent that is not there ends a chain. A chain of over `most` steps is a cycle, and
+    an error.
+    """
+    own = nodes.select(F.col(id).alias("_known"), F.coalesce(has, F.lit(False)).alias("_hit"))
+    up = nodes.select(F.col(id).alias("_id"), F.col(parent).alias("_at"), F.array(F.col(step)).alias("_steps"))
+    start = up.join(own, F.col("_at") == F.col("_known")).select("_id", "_at", "_steps", "_hit")
+    walks = checkpointed(start)
+    done = walks.where("_hit")
+    open_ = walks.where("not _hit")
+    while not open_.isEmpty():
+        if open_.agg(F.max(F.size("_steps"))).first()[0] > most:
+            raise ValueError("the parents form a cycle")
+        further = walks.select(F.col("_id").alias("_at"), F.col("_at").alias("_to"), F.col("_steps").alias("_above"), F.col("_hit").alias("_end"))
+        moved = checkpointed(open_.join(further, "_at").select("_id", F.col("_to").alias("_at"), F.concat("_above", "_steps").alias("_steps"), F.col("_end").alias("_hit")))
+        done, open_ = done.unionByName(moved.where("_hit")), moved.where("not _hit")
+        walks = open_.unionByName(done)
+    return done.select(F.col("_id").alias(id), F.col("_at").alias("nearest"), F.col("_steps").alias("steps"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +74,34 @@ def log_histogram_2d(df: DataFrame, x: str, y: str, bins: int = 50, inner: bool
     return logs.join(F.broadcast(span)).select(cell("x").alias("bx"), cell("y").alias("by")).where("bx is not null and by is not null").groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n"))
 
 
+def kernel_density(df: DataFrame, group: str, metric: str, points: int = 100, cut: float = 2.0, cells: int = 1 << 14) -> DataFrame:
+    """Rows (group, place, x, density): a Gaussian kernel density at `points` places from `cut` widths below
+    the least value of a group to as many above its greatest.
+
+    The width is Scott's, the sample deviation times n to the power of -1/5. Values are dealt linearly to
+    the two cells beside them, of `cells` in a group; a cell then adds its kernel to the places within
+    nine widths of it. So after one pass over the values there are at most cells * points small rows a
+    group. Nulls are left out, and groups of fewer than two different values have no density.
+    """
+    v = df.select(F.col(group).alias("group"), F.col(metric).cast("double").alias("v")).where("v is not null")
+    s = v.groupBy("group").agg(F.count(F.lit(1)).cast("double").alias("n"), F.stddev_samp("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("hi > lo")
+    s = s.withColumn("h", F.col("s") * F.pow("n", F.lit(-0.2))).select("group", "n", "h", (F.col("lo") - cut * F.col("h")).alias("lo"), (F.col("hi") + cut * F.col("h")).alias("hi"))
+    place = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells
+    cell = F.least(F.floor(place), F.lit(cells - 1))
+    two = F.array(F.struct(cell.alias("cell"), (1 - (place - cell)).alias("w")), F.struct((cell + 1).alias("cell"), (place - cell).alias("w")))
+    dealt = v.join(s, "group").select("group", F.explode(two).alias("x")).groupBy("group", "x.cell").agg(F.sum("x.w").alias("w"))
+    at = F.col("lo") + F.col("cell") * ((F.col("hi") - F.col("lo")) / cells)
+    gap = (F.col("hi") - F.col("lo")) / (points - 1)
+    first, last = (F.greatest(F.lit(0), F.ceil((at - 9 * F.col("h") - F.col("lo")) / gap)), F.least(F.lit(points - 1), F.floor((at + 9 * F.col("h") - F.col("lo")) / gap)))
+    near = dealt.join(s, "group").withColumn("place", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    x = F.col("lo") + F.col("place") * gap
+    kernel = F.exp(F.pow((x - at) / F.col("h"), F.lit(2.0)) * -0.5) * F.col("w") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
+    sums = near.groupBy("group", "place").agg(F.sum(kernel).alias("density"))
+    grid = s.select("group", "lo", gap.alias("gap"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("place"))
+    out = grid.join(sums, ["group", "place"], "left")
+    return out.select(F.col("group").alias(group), "place", (F.col("lo") + F.col("place") * F.col("gap")).alias("x"), F.coalesce("density", F.lit(0.0)).alias("density"))
+
+
 def log_density(df: DataFrame, group: str, metric: str, per_decade: int = 4, shift: float = 1e-15, most: float = 10.0) -> DataFrame:
     """Rows (group, bin, n, density): bins of 1/per_decade in log10(metric + shift), for metrics up to `most`."""
     kept = df.where(F.col(metric) <= most).select(group, F.floor(F.round(F.log10(F.col(metric) + shift) * per_decade, 9)).cast("int").alias("bin")).where("bin is not null")

@@ -36,6 +36,52 @@ def seeded(seed: int | str, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]).cast("binary"))
 
 
+#: Hexadecimal digits by which a selection looks closer, and rows of a cell that the driver may order itself.
+DIGITS, CELL_ROWS = 4, 20_000
+
+
+def cell_counts(df: DataFrame, hashed: str) -> dict[str, int]:
+    """Rows by the leading DIGITS of a hexadecimal hash, 65,536 counts at most."""
+    cell = F.substring(hashed, 1, DIGITS).alias("cell")
+    return {r.cell: r.n for r in df.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def kth(df: DataFrame, hashed: str, key: str, ranks: Sequence[int], cells: dict[str, int] | None = None) -> list[tuple]:
+    """For each 1-based rank the (hash, key) that stands there in the order of a hexadecimal hash and the key.
+
+    Counts of leading digits tell in which cell a rank lies; that cell alone is counted by further
+    digits, until it is small. No row is sorted or shuffled for it but the few of the last cells. Ranks
+    are between 1 and the number of rows. `cells` are the first counts, where they are known.
+    """
+    cells = cell_counts(df, hashed) if cells is None else cells
+    places = {}
+    for rank in set(ranks):
+        places[rank] = _cell_of(cells, rank)
+    digits = DIGITS
+    while any(n > CELL_ROWS for _, _, n in places.values()) and digits < 32:
+        digits += DIGITS
+        wide = sorted({c for c, _, n in places.values() if n > CELL_ROWS})
+        inner = df.where(F.substring(hashed, 1, len(wide[0])).isin(wide)).groupBy(F.substring(hashed, 1, digits).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        counts: dict[str, dict[str, int]] = {c: {} for c in wide}
+        for r in inner.collect():
+            counts[r.cell[: len(wide[0])]][r.cell] = r.n
+        places = {k: (_cell_of(counts[c], left) if n > CELL_ROWS else (c, left, n)) for k, (c, left, n) in places.items()}
+    last = sorted({c for c, _, _ in places.values()})
+    here = reduce(lambda a, b: a | b, [F.startswith(F.col(hashed), F.lit(c)) for c in last]) if last else F.lit(False)
+    rows = sorted((r[0], r[1]) for r in df.where(here).select(hashed, key).collect())
+    inside = {c: [r for r in rows if r[0].startswith(c)] for c in last}
+    return [inside[places[k][0]][places[k][1] - 1] for k in ranks]
+
+
+def _cell_of(cells: dict[str, int], rank: int) -> tuple[str, int, int]:
+    """The cell that holds a rank, the rank within it, and its rows."""
+    for cell in sorted(cells):
+        if rank <= cells[cell]:
+            return cell, rank, cells[cell]
+        rank -= cells[cell]
+    raise ValueError("the rank is past the last row")
+
+
 def running_total(df: DataFrame, by: Sequence[str], order: str, amount: str, name: str) -> DataFrame:
     """df with `name`, the sum of `amount` up to and with the row, in the order of `order` within `by`.
 

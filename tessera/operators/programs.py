@@ -17,39 +17,68 @@ CLASSES = ("Arithmetic", "Control-Flow", "Miscellaneous", "Debug", "Annotation",
 INSTRUCTION = "func_no int, block_id long, inst_no int, opcode int, words array<long>, problem string"
 
 
-def decode_words(binary: bytes) -> list[tuple]:
-    """(func_no, block_id, inst_no, opcode, operand words, problem) of one binary; a damaged one ends in a problem."""
-    n = len(binary) // 4
-    order = "<" if n and struct.unpack("<I", binary[:4])[0] == MAGIC else ">"
-    w = np.frombuffer(binary[: 4 * n], dtype=f"{order}u4").astype(np.int64)
-    if n < HEADER_WORDS or w[0] != MAGIC:
-        return [(None, None, None, None, None, "no header")]
-    out, i, func, block = [], HEADER_WORDS, -1, None
-    while i < n:
-        size, opcode = int(w[i]) >> 16, int(w[i]) & 0xFFFF
-        if size == 0 or i + size > n:
-            out.append((None, None, None, None, None, "an instruction is cut short"))
-            break
-        if opcode == OP_FUNCTION:
-            func, block = func + 1, None
-        elif opcode == OP_LABEL:
-            block = int(w[i + 1]) if size > 1 else None
-        out.append((func if func >= 0 else None, block, len(out), opcode, w[i + 1 : i + size].tolist(), None))
-        i += size
-    return out
+def instruction_starts(words: np.ndarray) -> tuple[list[int], str | None]:
+    """Where the instructions of a binary's words begin, after its header, and what is wrong at its end."""
+    if len(words) < HEADER_WORDS or words[0] != MAGIC:
+        return [], "no header"
+    sizes, starts, i = (words >> 16).tolist(), [], HEADER_WORDS
+    while i < len(sizes):
+        starts.append(i)
+        if sizes[i] == 0 or i + sizes[i] > len(sizes):
+            return starts[:-1], "an instruction is cut short"
+        i += sizes[i]
+    return starts, None
 
 
 def decode_binaries(df: DataFrame, key: str, binary: str) -> DataFrame:
-    """Rows (key, func_no, block_id, inst_no, opcode, words, problem): the instruction table of a table of binaries."""
+    """Rows (key, func_no, block_id, inst_no, opcode, words, problem): the instruction table of a table of binaries.
+
+    Words are in the byte order of the magic number. A binary without header has one row with a problem,
+    a damaged one its instructions up to the damage and such a row. Null and empty ones have no header.
+    All instructions of a batch are sliced at once.
+    """
+    names = [key, "func_no", "block_id", "inst_no", "opcode", "words", "problem"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string())
         for b in batches:
-            many = [decode_words(data or b"") for data in b.column(1).to_pylist()]
-            rows = [r for one in many for r in one]
-            if rows:
-                at = np.repeat(np.arange(len(many)), [len(one) for one in many])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[key, "func_no", "block_id", "inst_no", "opcode", "words", "problem"])
+            many, starts, texts, problems = [], [], [], []
+            for data in b.column(1).to_pylist():
+                data = (data or b"")[: len(data or b"") // 4 * 4]
+                order = "<" if data[:4] == struct.pack("<I", MAGIC) else ">"
+                many.append(np.frombuffer(data, dtype=f"{order}u4").astype(np.int64))
+                at, problem = instruction_starts(many[-1])
+                starts.append(np.array(at, dtype=np.int64))
+                problems.append(problem)
+            if not many:
+                continue
+            base = np.cumsum([0, *map(len, many)])
+            flat, at = np.concatenate(many), np.concatenate([s + o for s, o in zip(starts, base, strict=False)])
+            of = np.repeat(np.arange(len(many)), [len(s) for s in starts])
+            size, opcode = flat[at] >> 16, flat[at] & 0xFFFF
+            first = np.searchsorted(of, np.arange(len(many)))
+            n = np.arange(len(at))
+            number = n - first[of]
+            functions = np.cumsum(opcode == OP_FUNCTION)
+            func = functions - (functions - (opcode == OP_FUNCTION))[first[of]] if len(at) else functions
+            opens = (opcode == OP_FUNCTION) | (opcode == OP_LABEL)
+            last = np.maximum.accumulate(np.where(opens | (number == 0), n, -1)) if len(at) else n
+            label = (opcode[last] == OP_LABEL) & (size[last] > 1)
+            block = np.where(label, flat[np.minimum(at[last] + 1, len(flat) - 1)], 0)
+            inside = np.ones(len(flat), dtype=bool)
+            inside[at] = False
+            inside &= np.repeat(np.array([bool(len(s)) for s in starts]), np.diff(base))
+            for s, o, end in zip(starts, base, base[1:], strict=False):  # not the header, nor what is damaged
+                if len(s):
+                    inside[o : o + HEADER_WORDS] = False
+                    inside[o + s[-1] + (flat[o + s[-1]] >> 16) : end] = False
+            offsets = np.concatenate([[0], np.cumsum(size - 1)]).astype(np.int32)
+            none = [i for i, x in enumerate(problems) if x]
+            words = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[inside]))
+            columns = [pa.array((func - 1).astype(np.int32), mask=func == 0), pa.array(block, mask=~label), pa.array(number.astype(np.int32)), pa.array(opcode.astype(np.int32)), words]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), *columns, pa.nulls(len(at), pa.string())], names=names)
+            if none:
+                blank = [pa.nulls(len(none), c.type) for c in columns]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(none)), *blank, pa.array([problems[i] for i in none])], names=names)
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, F.col(binary).cast("binary")).mapInArrow(run, f"`{key}` {kind}, {INSTRUCTION}")
@@ -67,9 +96,9 @@ def parse_text(df: DataFrame, key: str, text: str, comment: str = ";") -> DataFr
     return words.select(key, "line_no", F.when(named, F.get("_w", F.lit(0))).alias("result_id"), F.get("_w", first).alias("opname"), F.slice("_w", first + 2, F.size("_w")).alias("operands"))
 
 
-def opcode_table(spark, path: str) -> DataFrame:
-    """Rows (opcode, opname, class, has_result, has_type) of a grammar document's instruction list."""
-    doc = spark.read.option("multiLine", True).schema("instructions array<struct<opcode:int,opname:string,class:string,operands:array<struct<kind:string>>>>").json(path)
+def opcode_table(spark, path: str, lines: bool = False) -> DataFrame:
+    """Rows (opcode, opname, class, has_result, has_type) of the instruction lists of grammar documents, a file or a line each."""
+    doc = spark.read.option("multiLine", not lines).schema("instructions array<struct<opcode:int,opname:string,class:string,operands:array<struct<kind:string>>>>").json(path)
     has = lambda kind: F.coalesce(F.exists("i.operands", lambda o: o["kind"] == kind), F.lit(False))
     return doc.select(F.explode("instructions").alias("i")).select("i.opcode", "i.opname", "i.class", has("IdResult").alias("has_result"), has("IdResultType").alias("has_type"))
 
@@ -80,14 +109,15 @@ def block_counts(traces: DataFrame, key: str, map_col: str, counters: str) -> Da
     return pairs.select(key, "block_id", F.get(counters, F.col("_i")).alias("times"))
 
 
-def weighted_counts(insts: DataFrame, dim: DataFrame, blocks: DataFrame | None, by: str, key: str, on: str = "opcode") -> DataFrame:
+def weighted_counts(insts: DataFrame, dim: DataFrame | None, blocks: DataFrame | None, by: str, key: str, on: str = "opcode") -> DataFrame:
     """Rows (key, by, n): instructions by class or name, each times its block's executions; without blocks, once.
 
-    Blocks that the trace lacks count 0.
+    Blocks that the trace lacks count 0. Without `dim`, `by` is a column of the instructions themselves.
     """
+    on = by if dim is None else on
     cells = [key, on] if blocks is None else [key, "block_id", on]
     small = insts.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))  # before any join: a row for each opcode of a block
-    named = small.join(dim.select(on, by) if by != on else dim.select(on), on)
+    named = small if dim is None else small.join(dim.select(on, by) if by != on else dim.select(on), on)
     if blocks is None:
         return named.groupBy(key, by).agg(F.sum("_n").cast("decimal(38,0)").alias("n"))
     times = F.coalesce("times", F.lit(0)).cast("decimal(20,0)")
@@ -123,9 +153,9 @@ OPCODE_BEGIN, ID_BEGIN, RELATIVE_ZERO, LITERAL_BEGIN, ID_END = 2000, 20000, 3000
 
 def literal_tokens(literal: Column) -> Column:
     """The bytes of a literal as tokens; none for null and empty."""
-    hexed = F.coalesce(F.hex(literal), F.lit(""))
-    some = F.transform(F.sequence(F.lit(1), F.greatest((F.length(hexed) / 2).cast("int"), F.lit(1))), lambda i: F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + LITERAL_BEGIN)
-    return F.when(F.length(hexed) > 0, some).otherwise(F.array().cast("array<int>"))
+    from tessera.functions.scalar import byte_values
+
+    return F.coalesce(F.transform(byte_values(literal), lambda b: b + LITERAL_BEGIN), F.array().cast("array<int>"))
 
 
 def instruction_tokens(opcode: Column, operands: Column) -> Column:

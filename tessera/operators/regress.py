@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,110 @@ def ols(df: DataFrame, features: Sequence[str], y: str, weight: Column | None =
     return [*zip(features, (float(c) for c in m.coefficients), strict=True), ("(intercept)", float(m.intercept))]
 
 
+#: Features of a sparse fit at most, rows and columns of a block of its moments, blocks that a task holds.
+MOST_FEATURES, BLOCK, HELD = 8192, 512, 64
+
+
+def feature_numbers(long: DataFrame, feature: str = "feature") -> dict[str, int]:
+    """The distinct features of (key, feature, value) rows by text, numbered; over MOST_FEATURES are an error."""
+    names = [r[0] for r in long.select(feature).where(F.col(feature).isNotNull()).distinct().limit(MOST_FEATURES + 1).collect()]
+    if len(names) > MOST_FEATURES:
+        raise ValueError("too many features for a fit by moments")
+    return {n: i for i, n in enumerate(sorted(names))}
+
+
+def _moments(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted moments of sparse rows (at, value, y, w): X'WX and X'Wy, of which the last feature is the constant 1.
+
+    Tasks add up blocks of BLOCK features by BLOCK and send those that have values; a group adds up the
+    blocks of one place. The driver gets one block a place.
+    """
+    size = n + 1
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+
+        def sent() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([k[i] for k in held], pa.int32()) for i in (0, 1)] + [pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["i", "j", "cells"])
+            held.clear()
+            return out
+
+        for b in batches:
+            for at, value, y, w in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                at, value = np.array([*at, n]), np.array([*value, 1.0])
+                order = np.argsort(at)
+                at, value = at[order], value[order]
+                cuts = np.flatnonzero(np.diff(at // BLOCK)) + 1
+                pieces = list(zip(np.split(at, cuts), np.split(value, cuts), strict=True))
+                for k, (p, u) in enumerate(pieces):
+                    for q, v in pieces[k:]:
+                        block = held.setdefault((p[0] // BLOCK, q[0] // BLOCK), np.zeros((BLOCK, BLOCK)))
+                        block[np.ix_(p % BLOCK, q % BLOCK)] += w * np.outer(u, v)
+                    target = held.setdefault((p[0] // BLOCK, -1), np.zeros(BLOCK))
+                    target[p % BLOCK] += w * y * u
+                if len(held) > HELD:
+                    yield sent()
+        yield sent()
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for b in batches:
+            for c in b.column("cells").to_pylist():
+                total = total + np.frombuffer(c)
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([total.tobytes()], pa.binary())], names=["i", "j", "cells"])
+
+    schema = "i int, j int, cells binary"
+    whole, target = np.zeros((-(-size // BLOCK) * BLOCK,) * 2), np.zeros(-(-size // BLOCK) * BLOCK)
+    for r in rows.mapInArrow(part, schema).groupBy("i", "j").applyInArrow(add, schema).toLocalIterator():
+        cells = np.frombuffer(r.cells)
+        if r.j < 0:
+            target[r.i * BLOCK : (r.i + 1) * BLOCK] = cells
+        else:
+            square = cells.reshape(BLOCK, BLOCK)
+            whole[r.i * BLOCK : (r.i + 1) * BLOCK, r.j * BLOCK : (r.j + 1) * BLOCK] = square
+            if r.i != r.j:
+                whole[r.j * BLOCK : (r.j + 1) * BLOCK, r.i * BLOCK : (r.i + 1) * BLOCK] = square.T
+    return whole[:size, :size], target[:size]
+
+
+def sparse_ols(long: DataFrame, targets: DataFrame, key: str, y: str, weight: Column | None = None) -> list[tuple[str, float]]:
+    """(feature, coefficient) of least squares on sparse rows (key, feature, value), the intercept last.
+
+    `targets` has a row a key with y; a feature that a key lacks is 0 there, and values of one feature
+    that a key has twice are added. Rows with a null in any of these are left out. The fit is by
+    moments, of MOST_FEATURES features at most; where features depend on each other, the coefficients
+    are those of least norm about the means. No rows give an intercept of 0.
+    """
+    numbers = feature_numbers(long)
+    place = F.broadcast(long.sparkSession.createDataFrame(list(numbers.items()), "feature string, at int"))
+    cells = long.where(F.col("value").isNotNull()).join(place, "feature").groupBy(key, "at").agg(F.sum(F.col("value").cast("double")).alias("value"))
+    lists = cells.groupBy(key).agg(F.collect_list(F.struct("at", "value")).alias("x"))
+    w = (F.lit(1.0) if weight is None else weight).cast("double").alias("_w")
+    rows = targets.select(key, F.col(y).cast("double").alias("_y"), w).dropna().join(lists, key, "left")
+    none = F.array().cast("array<struct<at: int, value: double>>")
+    n = len(numbers)
+    both, target = _moments(rows.select(F.coalesce("x", none).alias("x"), "_y", "_w").select("x.at", "x.value", "_y", "_w"), n)
+    total = both[n, n]
+    if total <= 0:
+        return [*((f, 0.0) for f in numbers), ("(intercept)", 0.0)]
+    mean, mean_y = both[:n, n] / total, target[n] / total
+    centred, right = both[:n, :n] - total * np.outer(mean, mean), target[:n] - total * mean * mean_y
+    scale = np.sqrt(np.maximum(np.diag(centred), 0))
+    flat = scale <= 1e-9 * np.sqrt(np.maximum(np.diag(both)[:n], 1e-300))  # features that do not vary
+    scale[flat] = 1.0
+    scaled = centred / np.outer(scale, scale)
+    scaled[flat], scaled[:, flat] = 0.0, 0.0
+    right = np.where(flat, 0.0, right)
+    values, vectors = np.linalg.eigh(scaled)
+    if len(values) and values[0] > 1e-10 * values[-1]:
+        coef = vectors @ (vectors.T @ (right / scale) / values) / scale
+    else:  # of least norm in the features' own units
+        keep = ~flat
+        coef = np.zeros(n)
+        coef[keep] = np.linalg.pinv(centred[np.ix_(keep, keep)], rcond=1e-11, hermitian=True) @ right[keep]
+    return [*zip(numbers, map(float, coef), strict=True), ("(intercept)", float(mean_y - mean @ coef))]
+
+
 def coefficient_table(spark, coefficients: Sequence[tuple[str, float]]) -> DataFrame:
     return spark.createDataFrame(list(coefficients), "feature string, coef double")
 

@@ -12,7 +12,10 @@ from tessera.functions import normalise, scalar
 from tessera.sources import store
 
 from . import cohorts, filters, hierarchy, metrics, splits
-from .ordinal import global_rank, seeded
+from .ordinal import global_rank, running_total, seeded
+
+#: Places of one counter that a task spreads out.
+RUN = 100_000
 
 
 def successful_runs(runs: DataFrame) -> DataFrame:
@@ -99,8 +102,19 @@ def flat_counters(df: DataFrame, counters: str) -> DataFrame:
 
 
 def sorted_counters(df: DataFrame, counters: str) -> DataFrame:
-    """Rows (counter, place): all counters of all arrays in order, by ranges."""
-    return global_rank(df.select(F.explode(counters).alias("counter")).where("counter is not null"), "counter", name="place")
+    """Rows (counter, place): all counters of all arrays in order.
+
+    Distinct counters are ranked by ranges, with the number of their occurrences; each is then dealt
+    over parts of RUN places and spread out there, so that no task holds all rows of a frequent one.
+    """
+    counts = df.select(F.explode(counters).alias("counter")).where("counter is not null").groupBy("counter").agg(F.count(F.lit(1)).alias("_n"))
+    ends = running_total(counts, [], "counter", "_n", "_end")
+    first = F.col("_end") - F.col("_n") + 1
+    parts = ends.select("counter", first.alias("_first"), "_end", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))).alias("_part"))
+    begin = F.col("_first") + F.col("_part") * RUN
+    dealt = parts.select("counter", begin.alias("_from"), F.least("_end", begin + RUN - 1).alias("_upto"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "_from").select("counter", F.explode(F.sequence("_from", "_upto")).alias("place"))
 
 
 def regression_grid(data: DataFrame, features: Mapping[str, Sequence[str]], weights: Mapping[str, Column | None], real: str, split: str, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordinal import running_total
+from .ordinal import checkpointed, running_total
 
 
 def array_mean(a: Column) -> Column:
@@ -50,7 +50,7 @@ def exact_percentiles(df: DataFrame, col: str, points: Sequence[float], by: Sequ
     totals over the counts, by ranges, tell which values have the two ranks about each point, so that
     no buffer holds a large column's or group's values.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
+    counts = checkpointed(df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n")))  # once, for both ways
     if counts.limit(SMALL_COUNTS + 1).count() <= SMALL_COUNTS:
         return counts.groupBy(*by).agg(F.percentile(F.col(col).cast("double"), [float(p) for p in points], F.col("_n")).alias("v"))
     upto = running_total(counts, by, col, "_n", "_upto")

@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordinal import global_rank
+from tessera.functions.scalar import byte_values
+
+from .ordinal import checkpointed, global_rank
 
 #: Special symbols in their order, and the padding symbol's pattern.
 SPECIALS = ("<s>", "<pad>", "</s>", "<unk>")
@@ -32,7 +34,7 @@ def count_symbols(of_lines: DataFrame, line: str = "line", eos: str = "</s>") ->
 
 def finalise(counts: DataFrame, threshold: int = 1, nwords: int | None = None, multiple: int = 1, specials: Sequence[str] = SPECIALS) -> DataFrame:
     """Rows (symbol, count, index): specials first, then by count and symbol; filled up to a multiple."""
-    spark = counts.sparkSession
+    spark, counts = counts.sparkSession, checkpointed(counts)  # the corpus is counted once
     special = spark.createDataFrame([(s, i) for i, s in enumerate(specials)], "symbol string, index long")
     first = special.join(counts, "symbol", "left").select("symbol", F.coalesce("count", F.lit(0)).alias("count"), "index")
     rest = counts.where(~F.col("symbol").isin(list(specials)) & (F.col("count") >= threshold))
@@ -55,13 +57,21 @@ def merge_counts(a: DataFrame, b: DataFrame) -> DataFrame:
 SMALL_VOCAB = 500_000
 
 
-def _small(vocab: DataFrame) -> list[tuple[str, int]] | None:
+def held(vocab: DataFrame) -> DataFrame | list[tuple[str, int]]:
+    """The (symbol, index) of a vocabulary of up to SMALL_VOCAB symbols, to be used more than once; a larger one as it is."""
+    few = _small(vocab)
+    return vocab if few is None else few
+
+
+def _small(vocab: DataFrame | list[tuple[str, int]]) -> list[tuple[str, int]] | None:
     """(symbol, index) of a vocabulary, or None if it has more than SMALL_VOCAB symbols."""
+    if isinstance(vocab, list):
+        return vocab
     rows = vocab.select("symbol", "index").where("symbol is not null and index is not null").limit(SMALL_VOCAB + 1).collect()
     return [tuple(r) for r in rows] if len(rows) <= SMALL_VOCAB else None
 
 
-def encode_lines(of_lines: DataFrame, vocab: DataFrame, key: Sequence[str], line: str = "line", unk: str = "<unk>", eos: str | None = "</s>", reverse: bool = False) -> DataFrame:
+def encode_lines(of_lines: DataFrame, vocab: DataFrame | list[tuple[str, int]], key: Sequence[str], line: str = "line", unk: str = "<unk>", eos: str | None = "</s>", reverse: bool = False) -> DataFrame:
     """Rows (key..., ids): each line's symbol indexes, unknown ones that of `unk`; the end symbol stays last.
 
     A vocabulary of up to SMALL_VOCAB symbols is looked up where the lines are read; a larger one is
@@ -97,7 +107,7 @@ def _encode_joined(of_lines: DataFrame, vocab: DataFrame, key: Sequence[str], li
     return rows.select(*key, F.transform("_x", lambda x: x["i"].cast("long")).alias("ids"))
 
 
-def decode_lines(encoded: DataFrame, vocab: DataFrame, key: Sequence[str], ids: str = "ids", drop: Sequence[str] = ("</s>",), subword: str | None = None) -> DataFrame:
+def decode_lines(encoded: DataFrame, vocab: DataFrame | list[tuple[str, int]], key: Sequence[str], ids: str = "ids", drop: Sequence[str] = ("</s>",), subword: str | None = None) -> DataFrame:
     """Rows (key..., text): symbols joined by blanks, without `drop`; `subword`: a mark whose blank-followed ends are glued.
 
     Indexes that the vocabulary lacks are left out. As in encode_lines, a small vocabulary is not joined.
@@ -137,8 +147,7 @@ def read_vocab(spark, path: str) -> DataFrame:
 
 def byte_ids(text: Column) -> Column:
     """The UTF-8 bytes of a text as integers."""
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    return F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda i: F.conv(F.substring(hexed, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
+    return byte_values(F.encode(text, "UTF-8"))
 
 
 def bytes_text(ids: Column) -> Column:

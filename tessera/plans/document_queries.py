@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
-from tessera.operators import bpe, filters, programs, vocab
+from tessera.operators import bpe, filters, merge, programs, vocab
 from tessera.sources import store
 
 from .merge_queries import scratch
@@ -42,7 +42,7 @@ def vocab_encode(spark, sf_dir):
 def vocab_roundtrip(spark, sf_dir):
     """All symbols kept: decoding what was encoded gives the lines with single blanks."""
     lines = vocab.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
-    words = vocab.finalise(_counts(spark, sf_dir))
+    words = vocab.held(vocab.finalise(_counts(spark, sf_dir)))
     return vocab.decode_lines(vocab.encode_lines(lines, words, ["doc_id", "line_no"]), words, ["doc_id", "line_no"])
 
 
@@ -190,7 +190,7 @@ def edit_distance(spark, sf_dir):
     start = lambda c: F.try_element_at(F.split(c, " "), F.lit(1))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), start("text").alias("w"))
     lines = vocab.lines(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line_no", "line", start("line").alias("w"))
-    return b.join(lines, "w").select("item_id", "doc_id", "line_no", F.levenshtein(plain("item"), plain("line")).cast("long").alias("distance"))
+    return merge.salted_join(lines, b, "w", "line").select("item_id", "doc_id", "line_no", F.levenshtein(plain("item"), plain("line")).cast("long").alias("distance"))
 
 
 @query("SELECT page_id, CASE WHEN ends_with(split_part(split_part(url, '?', 1), '#', 1), '.html') THEN NULL WHEN strlen(u) = 0 THEN NULL ELSE 'bad suffix' END AS problem, 'page' AS kind FROM (SELECT page_id, url, url AS u FROM pages)")
@@ -215,6 +215,33 @@ def title_slug(spark, sf_dir):
     return p.select("p_partkey", scalar.slug(F.col("p_name")).alias("slug"), scalar.name_to_flag(name, ["ECONOMY", "SMALL"]).alias("flag"), name.alias("name"))
 
 
+_NAMED = "SELECT (p_partkey % 97) || 'k' || p_partkey{suffix} AS id, p_name AS name, p_size AS passes FROM part"
+
+
+def _named(spark, sf_dir, suffix):
+    """Parts as documents in files named by their ids, read again."""
+    from tessera.sources import named, store
+
+    path = scratch(spark, "named-documents")
+    info = F.struct(F.col("p_name").alias("name"), F.col("p_brand").alias("username"))
+    passes = F.transform(F.sequence(F.lit(1), "p_size"), lambda i: F.struct(i.cast("string").alias("code")))
+    docs = table(spark, sf_dir, "part").select(F.concat((F.col("p_partkey") % 97).cast("string"), F.lit("k"), F.col("p_partkey").cast("string")).alias("id"), F.struct(F.struct(info.alias("info"), passes.alias("renderpass")).alias("Shader")).alias("document"))
+    named.write_named(docs, path, suffix)
+    return store.read_documents(spark, path, legacy=suffix is not None).select("id", F.col("document.Shader.info.name").alias("name"), F.size("document.Shader.renderpass").alias("passes"))
+
+
+@query(_NAMED.format(suffix=""))
+def documents_nested(spark, sf_dir):
+    """A tree of documents: `<first character>/<second>/<id>.json`."""
+    return _named(spark, sf_dir, None)
+
+
+@query(_NAMED.format(suffix=""))
+def documents_flat(spark, sf_dir):
+    """A flat folder of documents: `<id>-<suffix>.json`."""
+    return _named(spark, sf_dir, "v1")
+
+
 @query("SELECT doc_id::VARCHAR AS id, NOT (doc_id % 3 = 0) AS valid, doc_id % 2 = 0 AS imageonly, 'code ' || lang AS code FROM documents")
 def json_documents(spark, sf_dir):
     """Documents written as nested JSON by id, read again with the declared schema, and their attributes."""

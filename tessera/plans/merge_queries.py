@@ -98,19 +98,24 @@ def tree_sync(spark, sf_dir):
     return merge.sync_children(t.where("id % 1000 < 3 AND id % 7 <> 0"), t, ["role"]).select("id", "parent", "role")
 
 
-@query("""WITH t AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn // 2 END AS parent, role, turn, conv_id FROM conversations),
-f AS (SELECT * FROM t WHERE conv_id % 3 <> 0 AND turn <= 2 AND id % 7 <> 0 OR turn = 0 AND conv_id % 3 <> 0), r AS (SELECT id FROM t WHERE turn = 0 AND conv_id % 3 <> 0),
-l1 AS (SELECT t.id, t.parent, t.role, (SELECT min(f.id) FROM f WHERE f.parent = t.parent AND f.role = t.role) AS fact FROM t JOIN r ON r.id = t.parent AND t.turn > 0),
-l2 AS (SELECT t.id, l1.id AS up, coalesce(l1.fact, l1.id) AS parent, t.role, CASE WHEN l1.fact IS NOT NULL THEN (SELECT min(f.id) FROM f WHERE f.parent = l1.fact AND f.role = t.role) END AS fact FROM t JOIN l1 ON l1.id = t.parent)
-SELECT id AS tree_id, role, 5 AS status, 1 AS level FROM l1 WHERE fact IS NULL UNION ALL SELECT id, role, 5, 2 FROM l2 WHERE fact IS NULL""")
+@query("""WITH t AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + turn // 3 END AS parent, role, turn, conv_id FROM conversations),
+f AS (SELECT * FROM t WHERE conv_id % 3 <> 0 AND (turn = 0 OR turn <= 3 AND (conv_id + turn) % 3 <> 0)),
+l1 AS (SELECT t.id, t.role, t.parent AS up, (SELECT min(f.id) FROM f WHERE f.parent = t.parent AND f.role = t.role) AS fact FROM t JOIN f r ON r.turn = 0 AND r.id = t.parent WHERE t.turn > 0),
+m1 AS (SELECT *, CASE WHEN fact IS NULL THEN min(id) OVER (PARTITION BY up, role) END AS made FROM l1),
+l2 AS (SELECT t.id, t.role, m1.fact AS up, m1.made, CASE WHEN m1.fact IS NOT NULL THEN (SELECT min(f.id) FROM f WHERE f.parent = m1.fact AND f.role = t.role) END AS fact FROM t JOIN m1 ON m1.id = t.parent WHERE t.role <> 'user'),
+m2 AS (SELECT *, min(id) OVER (PARTITION BY up, made, role) AS first FROM l2)
+SELECT id AS tree_id, role, 5 AS status, 1 AS level FROM m1 WHERE made = id UNION ALL SELECT id, role, 5, 2 FROM m2 WHERE fact IS NULL AND first = id""")
 def tree_sync_levels(spark, sf_dir):
-    """Two levels of a tree against a store that lacks some nodes and whole trees; roots match by the conversation."""
+    """Two levels of a tree against a store that lacks some nodes and whole trees; roots match by the conversation.
+
+    Children of one node with one role are twins, and on the second level users' turns are left out.
+    """
     c = table(spark, sf_dir, "conversations")
-    t = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2)).alias("parent"), "role", "turn", "conv_id")
-    facts = t.where("conv_id % 3 <> 0 AND turn <= 2 AND id % 7 <> 0 OR turn = 0 AND conv_id % 3 <> 0")
-    kinds = [r.role for r in c.select("role").distinct().orderBy("role").limit(100).collect()]
-    out = merge.sync_tree(facts, t, "conv_id", ["role"], "role", kinds, 2, 5)
-    depth = t.select(F.col("id").alias("tree_id"), F.when(F.col("turn") == 1, 1).otherwise(2).alias("level"))
+    t = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.floor(F.col("turn") / 3)).alias("parent"), "role", "turn", "conv_id")
+    facts = t.where("conv_id % 3 <> 0 AND (turn = 0 OR turn <= 3 AND (conv_id + turn) % 3 <> 0)")
+    kind = t.withColumn("other", F.col("role") != "user")
+    out = merge.sync_tree(facts, kind, "conv_id", ["role"], "other", {2: [True]}, 2, 5)
+    depth = t.select(F.col("id").alias("tree_id"), F.when(F.col("turn") <= 2, 1).otherwise(2).alias("level"))
     return out.join(depth, "tree_id").select("tree_id", "role", "status", "level")
 
 

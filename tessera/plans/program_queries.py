@@ -44,8 +44,7 @@ _BLOCKS = "bl AS (SELECT doc_id, (q + 1) * CASE b WHEN 0 THEN 1 WHEN 1 THEN 10 E
 @query(f"WITH {_INST}, {_BLOCKS} SELECT op.doc_id, class, sum(coalesce(times, 0))::BIGINT AS n FROM op LEFT JOIN bl ON bl.doc_id = op.doc_id AND bl.block_id = op.block_id GROUP BY 1, 2")
 def inst_stats_weighted(spark, sf_dir):
     insts = _insts(spark, sf_dir).where("result_id IS NULL")
-    dim = insts.select("opname", "class").distinct()
-    out = programs.weighted_counts(insts.drop("class"), dim, _blocks(spark, sf_dir), "class", "doc_id", on="opname")
+    out = programs.weighted_counts(insts, None, _blocks(spark, sf_dir), "class", "doc_id")
     return out.select("doc_id", "class", F.col("n").cast("long").alias("n"))
 
 
@@ -57,7 +56,7 @@ def unmapped_blocks(spark, sf_dir):
 @query(f"""WITH {_INST} SELECT doc_id, count(*)::DOUBLE AS total, count(*) FILTER (WHERE class = 'Memory')::DOUBLE AS "Memory", count(*) FILTER (WHERE class = 'Image')::DOUBLE AS "Image", count(*) FILTER (WHERE class = 'Bit')::DOUBLE AS "Bit" FROM op GROUP BY 1""")
 def feature_vectors(spark, sf_dir):
     insts = _insts(spark, sf_dir).where("result_id IS NULL")
-    counts = programs.weighted_counts(insts.drop("class"), insts.select("opname", "class").distinct(), None, "class", "doc_id", on="opname")
+    counts = programs.weighted_counts(insts, None, None, "class", "doc_id")
     return programs.features(counts, "doc_id", "class", ["Memory", "Image", "Bit"])
 
 
@@ -65,9 +64,9 @@ def feature_vectors(spark, sf_dir):
 def class_invariant(spark, sf_dir):
     """Opcode counts from which a block of some documents is missing do not add up to class counts."""
     insts = _insts(spark, sf_dir).where("result_id IS NULL")
-    dim = insts.select("opname", "class").distinct()
-    count = lambda rows, by: programs.weighted_counts(rows.drop("class"), dim, None, by, "doc_id", on="opname")
-    return programs.class_invariant(count(insts.where("NOT (doc_id % 7 = 0 AND block_id = 3)"), "opname"), count(insts, "class"), dim, "doc_id")
+    dim = store.written(insts.select("opname", "class").distinct(), scratch(spark, "instruction-names"))
+    by_op = programs.weighted_counts(insts.where("NOT (doc_id % 7 = 0 AND block_id = 3)"), None, None, "opname", "doc_id")
+    return programs.class_invariant(by_op, programs.weighted_counts(insts, None, None, "class", "doc_id"), dim, "doc_id")
 
 
 def _binaries(spark, sf_dir):
@@ -92,6 +91,82 @@ def size_by_group(spark, sf_dir):
     return out.select("o_orderpriority", F.round("mean_size", 6).alias("mean_size"), F.round("stdev_size", 6).alias("stdev_size"))
 
 
+def _word(c):
+    """A 32-bit word in little-endian hex."""
+    return F.regexp_replace(F.lpad(F.hex(c.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0"), "(..)(..)(..)(..)", "$4$3$2$1")
+
+
+def _instruction(opcode, *operands):
+    return F.concat(_word(F.lit((len(operands) + 1) << 16 | opcode)), *[_word(o if not isinstance(o, int) else F.lit(o)) for o in operands])
+
+
+def _text(c):
+    """A string's words in hex, with one zero byte at least."""
+    h = F.hex(F.encode(c, "UTF-8"))
+    return F.rpad(h, (8 * F.floor(F.length(h) / 8) + 8).cast("int"), "0")
+
+
+#: The kinds of the instructions that `_modules` writes, as a grammar document has them; 3000 is one with a string.
+_GRAMMAR = [
+    (1, "OpUndef", "Miscellaneous", "IdResultType IdResult"), (15, "OpEntryPoint", "Mode-Setting", "ExecutionModel IdRef LiteralString IdRef*"), (21, "OpTypeInt", "Type-Declaration", "IdResult LiteralInteger LiteralInteger"), (22, "OpTypeFloat", "Type-Declaration", "IdResult LiteralInteger"),
+    (43, "OpConstant", "Constant-Creation", "IdResultType IdResult LiteralContextDependentNumber"), (54, "OpFunction", "Function", "IdResultType IdResult FunctionControl IdRef"), (56, "OpFunctionEnd", "Function", ""), (61, "OpLoad", "Memory", "IdResultType IdResult IdRef MemoryAccess?"),
+    (248, "OpLabel", "Control-Flow", "IdResult"), (251, "OpSwitch", "Control-Flow", "IdRef IdRef PairLiteralIntegerIdRef*"), (3000, "OpNote", "Debug", "LiteralString"),
+]
+_KINDS = [("Id", k, [], []) for k in ("IdRef", "IdResult", "IdResultType")] + [("Literal", k, [], []) for k in ("LiteralInteger", "LiteralString", "LiteralContextDependentNumber")] + [("Composite", "PairLiteralIntegerIdRef", ["LiteralInteger", "IdRef"], []), ("ValueEnum", "ExecutionModel", [], []), ("BitEnum", "FunctionControl", [], []), ("BitEnum", "MemoryAccess", [], [("0x0002", [("LiteralInteger",)])])]
+
+
+def _grammar(spark):
+    from tessera.operators import operands
+
+    path = scratch(spark, "operand-grammar")
+    kinds = lambda text: [(k.rstrip("?*"), k[-1] if k[-1] in "?*" else None) for k in text.split()]
+    row = ([(o, n, c, kinds(k)) for o, n, c, k in _GRAMMAR], _KINDS)
+    schema = "instructions array<struct<opcode: int, opname: string, class: string, operands: array<struct<kind: string, quantifier: string>>>>, operand_kinds array<struct<category: string, kind: string, bases: array<string>, enumerants: array<struct<value: string, parameters: array<struct<kind: string>>>>>>"
+    spark.createDataFrame([row], schema).write.json(path)
+    return operands.read_grammar(spark, path)
+
+
+def _modules(spark, sf_dir):
+    """A module per order: types, three constants a line item, a function that loads, selects and notes; each seventh is cut short."""
+    n = F.col("l_linenumber").cast("long")
+    i = 100 + 3 * n
+    constants = F.concat(_instruction(43, 1, i, F.col("l_quantity").cast("long") - 25), _instruction(43, 2, i + 1, F.col("l_partkey"), n), _instruction(43, 3, i + 2, F.when(n % 2 == 1, 0x3FC00000).otherwise(0xC0000000)))
+    load = F.when(n % 2 == 1, _instruction(61, 1, 2000 + n, i, 2, F.col("l_suppkey"))).otherwise(_instruction(61, 1, 2000 + n, i))
+    note = _text(F.concat("l_linestatus", F.lit(" "), F.col("l_linenumber").cast("string")))
+    code = F.concat(load, _instruction(251, 2000 + n, 9000, F.col("l_quantity").cast("long") - 25, 9000), _word(((F.length(note) / 8 + 1) * 65536 + 3000).cast("long")), note)
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(n.alias("n"), "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", constants.alias("constants"), code.alias("code")).alias("x"))
+    all_ = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    name = _text(F.concat(F.lit("order"), F.col("l_orderkey").cast("string")))
+    entry = F.concat(_word(((F.length(name) / 8 + 3) * 65536 + 15).cast("long")), _word(F.lit(0)), _word(F.lit(4)), name)
+    types = [_instruction(21, 1, 32, 1), _instruction(21, 2, 64, 0), _instruction(22, 3, 32)]
+    joined = lambda field: F.array_join(F.transform("x", lambda x: x[field]), "")
+    head = [_word(F.lit(programs.MAGIC)), *[_word(F.lit(0))] * 4]
+    whole = F.concat(*head, entry, *types, joined("constants"), _instruction(54, 5, 4, 0, 6), _instruction(248, 9000), joined("code"), _instruction(56))
+    return all_.select("l_orderkey", F.unhex(F.when(F.col("l_orderkey") % 7 == 0, F.substr(whole, F.lit(1), F.length(whole) - 12)).otherwise(whole)).alias("binary"))
+
+
+_LITERAL = lambda t: f"array_to_string(list_transform(string_split({t}, ''), lambda c: 256 + ascii(c)), ' ')"
+
+
+@query(f"""WITH i AS (SELECT l_orderkey, l_linenumber AS n, l_partkey, l_suppkey, l_quantity, l_linestatus,
+  '2043 20001 ' || (20100 + 3 * l_linenumber) || ' ' || {_LITERAL("CAST(CAST(l_quantity AS BIGINT) - 25 AS VARCHAR)")} || ' 2043 20002 ' || (20101 + 3 * l_linenumber) || ' ' || {_LITERAL("CAST(l_partkey + l_linenumber * 4294967296 AS VARCHAR)")}
+    || ' 2043 20003 ' || (20102 + 3 * l_linenumber) || ' ' || {_LITERAL("CASE WHEN l_linenumber % 2 = 1 THEN '1.500000' ELSE '-2.000000' END")} AS a,
+  '2061 20001 ' || (22000 + l_linenumber) || ' ' || (20100 + 3 * l_linenumber) || CASE WHEN l_linenumber % 2 = 1 THEN ' 306 ' || {_LITERAL("CAST(l_suppkey AS VARCHAR)")} ELSE '' END
+    || ' 2251 ' || (22000 + l_linenumber) || ' 29000 ' || {_LITERAL("CAST(CAST(l_quantity AS BIGINT) - 25 AS VARCHAR)")} || ' 29000 5000 ' || {_LITERAL("l_linestatus || ' ' || l_linenumber")} AS b FROM lineitem),
+p AS (SELECT l_orderkey, count(*) AS n, '2021 20001 ' || {_LITERAL("'32'")} || ' 305 2021 20002 ' || {_LITERAL("'64'")} || ' 304 2022 20003 ' || {_LITERAL("'32'")} || ' ' || string_agg(a, ' ' ORDER BY n, l_partkey, l_suppkey, l_quantity, l_linestatus) || ' 2248 29000 ' || string_agg(b, ' ' ORDER BY n, l_partkey, l_suppkey, l_quantity, l_linestatus) AS tokens FROM i GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN l_orderkey % 7 <> 0 THEN tokens END AS tokens, CASE WHEN l_orderkey % 7 <> 0 THEN len(string_split(tokens, ' ')) END AS n_trace,
+  CASE WHEN l_orderkey % 7 <> 0 THEN n * (1 + 3 * n) END AS executed, CASE WHEN l_orderkey % 7 = 0 THEN 'an instruction is cut short' END AS problem FROM p""")
+def binary_tokens(spark, sf_dir):
+    """Modules tokenised from their binaries by a grammar document, with the executions of their block."""
+    from tessera.operators import operands
+
+    blocks = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("times")).withColumn("block_id", F.lit(9000).cast("long"))
+    out = operands.tokenise_binaries(_modules(spark, sf_dir), "l_orderkey", "binary", _grammar(spark), blocks)
+    text = F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ")
+    total = F.aggregate("trace", F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x).cast("decimal(38,0)"))
+    return out.select("l_orderkey", text.alias("tokens"), F.size("trace").cast("long").alias("n_trace"), total.cast("long").alias("executed"), "problem")
+
+
 _TOKENS = """i AS (SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN 0 WHEN l_linenumber % 3 = 2 THEN 1 ELSE 2 END AS s, CASE WHEN l_linenumber = 1 THEN -1 ELSE l_linenumber % 3 END AS f, l_linenumber, l_suppkey, l_partkey, l_quantity,
  CASE WHEN l_linenumber = 1 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS c, (2100 + l_linenumber) || ' ' || (20000 + l_suppkey) || ' ' || (256 + ascii(l_returnflag)) || ' ' || 7 AS t FROM lineitem)"""
 
@@ -170,8 +245,8 @@ def grammar_table(spark, sf_dir):
     kinds = F.filter(F.array(F.when(F.col("p_size") % 2 == 0, F.struct(F.lit("IdResult").alias("kind"))), F.when(F.col("p_size") % 3 == 0, F.struct(F.lit("IdResultType").alias("kind"))), F.struct(F.lit("IdRef").alias("kind"))), lambda k: k.isNotNull())
     path = scratch(spark, "grammar")
     one = F.struct(F.col("p_partkey").alias("opcode"), F.col("p_name").alias("opname"), F.col("p_brand").alias("class"), kinds.alias("operands"))
-    table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 4).alias("part")).agg(F.collect_list(one).alias("instructions")).repartition(4, "part").write.partitionBy("part").json(path)
-    out = programs.opcode_table(spark, path)
+    table(spark, sf_dir, "part").select(F.array(one).alias("instructions")).write.json(path)
+    out = programs.opcode_table(spark, path, lines=True)
     return out.select(F.col("opcode").cast("long").alias("opcode"), "opname", "class", "has_result", "has_type")
 
 

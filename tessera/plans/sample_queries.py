@@ -108,6 +108,24 @@ def regression_grid(spark, sf_dir):
     return _r(grid, "rmse", "mae", "mape", places=4)
 
 
+@query("""WITH t AS (SELECT *, 1 / (l_extendedprice + 1e-6) AS w FROM lineitem WHERE l_orderkey % 5 <> 0),
+c AS (SELECT weight, feature, sum(CASE weight WHEN 'plain' THEN 1 ELSE w END * CASE feature WHEN 'l_quantity' THEN l_quantity WHEN 'l_discount' THEN l_discount WHEN 'l_tax' THEN l_tax ELSE 1 END * l_extendedprice) AS m
+  FROM t, (SELECT unnest(['plain', 'relative']) AS weight), (SELECT unnest(['l_quantity', 'l_discount', 'l_tax', '(intercept)']) AS feature) GROUP BY 1, 2)
+SELECT 'three' AS features, weight, feature, round(m, CASE weight WHEN 'plain' THEN 0 ELSE 4 END) AS moment FROM c UNION ALL SELECT 'one', weight, feature, round(m, CASE weight WHEN 'plain' THEN 0 ELSE 4 END) FROM c WHERE feature IN ('l_quantity', '(intercept)')""")
+def regression_moments(spark, sf_dir):
+    """The fits of a grid of features and weights, by the moments of what they fit on `train`."""
+    from .stat_queries import _fitted_moments
+
+    train = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 <> 0").select(*[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")])
+    out = []
+    for name, cols in (("one", ["l_quantity"]), ("three", ["l_quantity", "l_discount", "l_tax"])):
+        for weight, w in (("plain", None), ("relative", regress.inverse_weight(F.col("l_extendedprice")))):
+            fit = regress.ols(train, cols, "l_extendedprice", w)
+            m = _fitted_moments(train, cols, fit, w).select(F.lit(name).alias("features"), F.lit(weight).alias("weight"), "feature", F.round("moment", 0 if weight == "plain" else 4).alias("moment"))
+            out.append(m)
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @query("""WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem WHERE l_orderkey % 5 <> 0)
 SELECT CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, round(sqrt(avg((a * l_quantity + b - l_extendedprice) ** 2)), 3) AS rmse, round(avg(abs(a * l_quantity + b - l_extendedprice) / l_extendedprice), 6) AS mape FROM lineitem, m GROUP BY 1""")
 def regression_heuristic(spark, sf_dir):

@@ -234,13 +234,62 @@ def ols_weighted(spark, sf_dir):
     return _r(_r(out, "slope", places=3), "intercept", places=2)
 
 
-@query()
+def _fitted_moments(wide, names, coefficients, weight=None):
+    """Rows (feature, moment): sums of weight * feature * fitted value; least squares makes them those of the real values."""
+    coef, w = dict(coefficients), F.lit(1.0) if weight is None else weight
+    fitted = sum((F.col(n) * F.lit(coef[n]) for n in names), F.lit(coef["(intercept)"]))
+    sums = wide.agg(*[F.sum(w * (F.col(n) if n in coef and n != "(intercept)" else F.lit(1.0)) * fitted).alias(n) for n in [*names, "(intercept)"]])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("moment")) for n in [*names, "(intercept)"]])))
+
+
+_DIMENSIONS = " UNION ALL ".join([f"SELECT 'x{i:02d}' AS feature, round(sum(embedding[{i + 1}]::DOUBLE * label), 4) AS moment FROM embeddings" for i in range(64)] + ["SELECT '(intercept)', round(sum(label)::DOUBLE, 4) FROM embeddings"])
+
+
+@query(_DIMENSIONS)
 def ols_features(spark, sf_dir):
-    """Least squares of the label on the 64 dimensions of each embedding, as coefficients."""
+    """Least squares of the label on the 64 dimensions of each embedding: the moments of what it fits are those of the labels."""
     e = table(spark, sf_dir, "embeddings")
     names = [f"x{i:02d}" for i in range(64)]
-    wide = e.select(F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)])
-    return _r(regress.coefficient_table(spark, regress.ols(wide, names, "label")), "coef", places=8)
+    wide = e.select(F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return _r(_fitted_moments(wide, names, regress.ols(wide, names, "label")), "moment", places=4)
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice AS y, 1 / (o_totalprice + 1e-6) AS w FROM orders), x AS (SELECT l_orderkey, 's' || l_suppkey AS feature, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
+SELECT feature, round(sum(w * v * y), 4) AS moment FROM x JOIN o ON o_orderkey = l_orderkey GROUP BY 1 UNION ALL SELECT '(intercept)', round(sum(w * y), 4) FROM o""")
+def ols_sparse(spark, sf_dir):
+    """Weighted least squares of an order's price on the quantities that it has of each supplier."""
+    long = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("feature"), F.col("l_quantity").cast("double").alias("value"))
+    y = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("y"))
+    weight = regress.inverse_weight(F.col("y"))
+    coef = regress.coefficient_table(spark, regress.sparse_ols(long, y, "l_orderkey", "y", weight))
+    none = y.select("l_orderkey", F.lit("no supplier").alias("feature"), F.lit(0.0).alias("value"))
+    fitted = regress.score(long.unionByName(none), coef, "l_orderkey").join(y, "l_orderkey").select("l_orderkey", (F.col("pred") * weight).alias("wp"))
+    moments = long.join(fitted, "l_orderkey").groupBy("feature").agg(F.sum(F.col("value") * F.col("wp")).alias("moment"))
+    return _r(moments.unionByName(fitted.agg(F.lit("(intercept)").alias("feature"), F.sum("wp").alias("moment"))), "moment", places=4)
+
+
+@query("SELECT p_name AS feature, round(coef, 6) AS coef FROM (SELECT DISTINCT p_name, p_brand FROM part) JOIN (SELECT p_brand, avg(p_size) AS coef FROM part GROUP BY 1) USING (p_brand) UNION ALL SELECT '(intercept)', round(avg(p_retailprice), 6) FROM part")
+def coefficients_projected(spark, sf_dir):
+    """Coefficients of classes as those of the instructions of each class."""
+    p = table(spark, sf_dir, "part")
+    classes = p.groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_size").alias("coef")).unionByName(p.agg(F.lit("(intercept)").alias("feature"), F.avg("p_retailprice").alias("coef")))
+    return _r(regress.project_classes(classes, p.select(F.col("p_name").alias("opname"), F.col("p_brand").alias("class")).distinct()), "coef")
+
+
+_CELLS = 1 << 14
+
+
+@query(f"""WITH v AS (SELECT l_returnflag AS g, l_extendedprice::DOUBLE AS v FROM lineitem WHERE l_extendedprice IS NOT NULL),
+s AS (SELECT g, n, h, lo - 2 * h AS lo, hi + 2 * h AS hi FROM (SELECT g, count(*)::DOUBLE AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * pow(count(*)::DOUBLE, -0.2) AS h FROM v GROUP BY 1)),
+p AS (SELECT g, (v - lo) / (hi - lo) * {_CELLS} AS place FROM v JOIN s USING (g)), q AS (SELECT g, place, least(floor(place), {_CELLS - 1}) AS cell FROM p),
+c AS (SELECT g, cell, sum(w) AS w FROM (SELECT g, cell, 1 - (place - cell) AS w FROM q UNION ALL SELECT g, cell + 1, place - cell FROM q) GROUP BY 1, 2),
+x AS (SELECT *, unnest(range(100)) AS place FROM s), y AS (SELECT *, lo + place * ((hi - lo) / 99) AS x FROM x)
+SELECT g AS l_returnflag, place::INT AS place, round(any_value(y.x), 4) AS x, round(sum(w * exp(-0.5 * ((y.x - (lo + cell * ((hi - lo) / {_CELLS}))) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 11) AS density
+FROM y JOIN c USING (g) GROUP BY g, place""")
+def kernel_density(spark, sf_dir):
+    """The density of prices by return flag, at a hundred places."""
+    out = histogram.kernel_density(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
+    return _r(_r(out, "x", places=4), "density", places=11)
 
 
 def _residuals(names) -> str:

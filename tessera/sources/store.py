@@ -25,6 +25,12 @@ DOCUMENT = "Error string, Shader struct<info:struct<name:string,username:string>
 UNIFORMS = [("iResolution", "<f4", (3,)), ("iTime", "<f4", ()), ("iChannelTime", "<f4", (4,)), ("iMouse", "<f4", (4,)), ("iDate", "<f4", (4,)), ("iSampleRate", "<f4", ()), ("iChannelResolution", "<f4", (16,)), ("iFrame", "<i4", ()), ("iTimeDelta", "<f4", ()), ("iFrameRate", "<f4", ())]
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df written as Parquet and read again, for what is used more than once; Spark then knows its size."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A base table with its declared schema."""
     return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
@@ -127,10 +133,9 @@ def unpack_struct(col: str, layout=UNIFORMS) -> Column:
 
 def unpack_counters(col: Column, width: int = 8) -> Column:
     """Packed little-endian unsigned counters of 4 or 8 bytes as decimals; bytes left over are dropped."""
-    hexed = F.hex(col)
-    n = F.floor(F.length(hexed) / (2 * width)).cast("int")
-    one = lambda i: F.array_join(F.transform(F.sequence(F.lit(width - 1), F.lit(0)), lambda k: F.substring(hexed, (2 * width * i + 2 * k + 1).cast("int"), F.lit(2))), "")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(one(i), 16, 10).cast("decimal(20,0)"))).when(n == 0, F.array().cast("array<decimal(20,0)>"))
+    cells = F.regexp_extract_all(F.hex(col), F.lit(f"[0-9A-F]{{{2 * width}}}"), F.lit(0))  # cut once, in one pass
+    swapped = lambda c: F.concat(*[F.substring(c, 2 * k + 1, 2) for k in reversed(range(width))])
+    return F.transform(cells, lambda c: F.conv(swapped(c), 16, 10).cast("decimal(20,0)"))
 
 
 def parse_trials(results: Column) -> Column:

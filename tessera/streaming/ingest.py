@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.operators.filters import error_number
 
@@ -24,16 +25,29 @@ def ingest(runs: DataFrame, path: str, dimensions: dict[str, Sequence[str]], che
     """Start a query that appends runs, with a status, and the dimension rows that they bring.
 
     A batch is written to a folder of its number, so that a batch that is tried again replaces what
-    it left. Dimension rows have content ids; a reader takes distinct ones.
+    it left. Dimension rows have content ids, and a batch writes those that no other batch has
+    written (get or create): each is there once, however many batches bring it. A batch and its
+    de-duplication run once, for all tables.
     """
+    spark = runs.sparkSession
+    for name, cols in dimensions.items():  # what is read before the first batch
+        kind = StructType([StructField(f"{name}_id", StringType()), *(runs.schema[c] for c in cols)])
+        spark.createDataFrame([], kind).write.mode("ignore").parquet(f"{path}/{name}/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
         out = batch.withColumn("status", error_number(F.col(message)))
         for name, cols in dimensions.items():
             out = out.withColumn(f"{name}_id", content_id(*cols))
-            out.select(f"{name}_id", *cols).distinct().write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        drop = [c for cols in dimensions.values() for c in cols]
-        out.drop(*drop, message).write.mode("overwrite").parquet(f"{path}/run/batch={number}")
+        out = out.persist()
+        try:
+            for name, cols in dimensions.items():
+                known = batch.sparkSession.read.parquet(f"{path}/{name}").where(F.col("batch") != number).select(f"{name}_id")
+                new = out.select(f"{name}_id", *cols).distinct().join(known, f"{name}_id", "left_anti")
+                new.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+            drop = [c for cols in dimensions.values() for c in cols]
+            out.drop(*drop, message).write.mode("overwrite").parquet(f"{path}/run/batch={number}")
+        finally:
+            out.unpersist()
 
     return runs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,6 +1,7 @@
 """Operators on small fixtures with values worked out by hand."""
 
 import random
+import re
 import struct
 import types
 from collections import Counter
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import normalise, scalar
-from tessera.operators import bpe, cohorts, coverage, filters, hierarchy, histogram, merge, metrics, programs, regress, splits, stats, vocab
+from tessera.operators import bpe, cohorts, coverage, filters, hierarchy, histogram, merge, metrics, programs, regress, samples, splits, stats, vocab
 from tessera.operators.ordinal import global_rank
 from tessera.sources import store
 
@@ -433,8 +434,71 @@ def test_sync_tree(spark):
     schema = "id long, parent long, name string, kind int, note string"
     facts = spark.createDataFrame([(1, None, "r", 0, None), (2, 1, None, 7, None), (9, None, "two", 0, None), (10, None, "two", 0, None)], schema)
     tree = spark.createDataFrame([(100, None, "r", 0, None), (101, 100, None, 7, None), (102, 100, None, 7, "x"), (103, 101, None, 7, None), (104, 103, None, 7, None), (105, 100, None, 8, None), (200, None, "two", 0, None), (201, 200, None, 7, None)], schema)
-    out = merge.sync_tree(facts, tree, "name", ["kind", "note"], "kind", [7], 2, 5)
+    out = merge.sync_tree(facts, tree, "name", ["kind", "note"], "kind", {1: [7], 2: [7]}, 2, 5)
     assert rows(out, "tree_id", "id", "parent", "note", "status") == [(102, 11, 1, "x", 5), (103, 12, 2, None, 5)]
+    only = merge.sync_tree(facts, tree, "name", ["kind", "note"], "kind", {2: [8]}, 2, 5)  # the first level takes all kinds
+    assert rows(only, "tree_id", "id", "parent", "kind") == [(102, 11, 1, 7), (105, 12, 1, 8)]
+
+
+def test_twins_of_a_tree_are_one_row(spark):
+    schema = "id long, parent long, name string, kind int, note string"
+    facts = spark.createDataFrame([(1, None, "r", 0, None)], schema)
+    tree = spark.createDataFrame([(10, None, "r", 0, None), (11, 10, None, 5, None), (12, 10, None, 5, None), (13, 12, None, 6, "x"), (14, 11, None, 6, "x"), (15, 11, None, 6, "y")], schema)
+    out = merge.sync_tree(facts, tree, "name", ["kind", "note"], "kind", {}, 2, 5)
+    assert rows(out, "tree_id", "id", "parent", "kind", "note") == [(11, 2, 1, 5, None), (13, 3, 2, 6, "x"), (15, 4, 2, 6, "y")]
+
+
+def test_stores_are_compared_by_ranges(spark, monkeypatch):
+    a = spark.range(40_000).selectExpr("id", "id % 7 AS v", "cast(id AS string) AS t")
+    b = a.where("id % 9001 <> 5").withColumn("v", F.when(F.col("id") % 9000 == 3, -1).otherwise(F.col("v"))).unionByName(spark.createDataFrame([(50_000, 1, "n"), (None, 1, "n")], "id long, v long, t string"))
+    a = a.unionByName(spark.createDataFrame([(None, 1, "n")], "id long, v long, t string"))
+    ranges = merge.differing_ranges(a, b, "id", ["v", "t"])
+    changed = {5, 9006, 18007, 27008, 36009} | {3, 9003, 18003, 27003, 36003} | {50_000}
+    assert len(changed) - 1 <= ranges.count() <= len(changed)
+    got = merge.table_diff(a, b, "id", ["v", "t"]).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s")).collect()
+    by = {r.status: (r.n, r.s) for r in got}
+    assert by["added"] == (2, 50_000) and by["removed"] == (6, 90_035) and by["changed"] == (5, 90_015) and by["same"][0] == 40_000 - 10
+    joined = merge._in_ranges(a, ranges, "id", "left_semi")
+    assert joined.count() < 400
+    assert merge.table_diff(a, a, "id", ["v", "t"]).where("status = 'changed'").count() == 0
+    assert all(sorted(r.id for r in merge.missing_keys(a, b, "id", distinct=d).collect()) == [5, 9006, 18007, 27008, 36009] for d in (True, False))
+    monkeypatch.setattr(merge, "BROADCAST_RANGES", 1)
+    assert merge.table_diff(a, b, "id", ["v", "t"]).where("status = 'changed'").count() == 5
+    none = a.where("1 = 0")
+    assert merge.table_diff(none, none, "id", ["v"]).count() == 0 and merge.table_diff(none, b.where("id < 3"), "id", ["v"]).where("status = 'added'").count() == 3
+
+
+def test_a_repeated_source_row_counts_once(spark):
+    target = spark.createDataFrame([(1, "x")], "id long, k string")
+    merged, ids = merge.merge_dimension(target, spark.createDataFrame([(5, "y"), (5, "y"), (6, "x")], "id long, k string"), ["k"])
+    assert rows(merged, "id", "k") == [(1, "x"), (2, "y")] and rows(ids, "old_id", "new_id") == [(5, 2), (6, 1)]
+    with pytest.raises(Exception, match="different rows"):
+        merge.merge_dimension(target, spark.createDataFrame([(5, "y"), (5, "z")], "id long, k string"), ["k"])[0].collect()
+
+
+def test_dimension_rows_are_created_once(spark, tmp_path):
+    """Two batches share a dimension row, a third is the second again: each row is there once."""
+    from tessera.streaming import ingest
+
+    schema = "run_id long, ts timestamp, kind string, message string"
+    feed = f"file://{tmp_path}/in"
+    batch = lambda rows_: spark.createDataFrame(rows_, "run_id long, kind string, message string").selectExpr("run_id", "timestamp'2024-01-01 00:00:00' AS ts", "kind", "message").coalesce(1).write.mode("append").parquet(feed)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(feed)
+        ingest.ingest(ingest.once(stream, "run_id", "ts", "1 hour"), f"file://{tmp_path}/out", {"kind": ["kind"]}, f"file://{tmp_path}/check").awaitTermination()
+
+    batch([(1, "a", None), (2, "b", None)])
+    run()
+    batch([(2, "b", None), (3, "b", None), (4, "c", None)])
+    run()
+    last = max((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for f in (last, last.parent / f".{last.name}.crc"):
+        f.unlink(missing_ok=True)
+    run()  # the last batch was not committed: it runs again
+    kinds = spark.read.parquet(f"file://{tmp_path}/out/kind")
+    assert rows(kinds, "kind") == [("a",), ("b",), ("c",)]
+    assert rows(spark.read.parquet(f"file://{tmp_path}/out/run").join(kinds, "kind_id"), "run_id", "kind") == [(1, "a"), (2, "b"), (3, "b"), (4, "c")]
 
 
 def test_instruction_tokens(spark):
@@ -454,3 +518,257 @@ def test_a_checkpoint_folder_is_required():
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             scratch(unset(master), "x")
     assert scratch(unset("local[8]"), "x").startswith("file:///tmp/checkpoints/app/x-")
+
+
+def test_decoded_batches_of_odd_binaries(spark):
+    """Against a walk word by word: several functions, labels without ids, damage, both byte orders."""
+    rng = random.Random(8)
+    binaries = [None, b"", b"\x03\x02#\x07", struct.pack("<5I", programs.MAGIC, 0, 0, 0, 0)]
+    for _ in range(60):
+        words = [programs.MAGIC, 0, 0, 9, 0]
+        for _ in range(rng.randint(0, 12)):
+            op, n = rng.choice([54, 248, 56, 61, 43, 5]), rng.randint(1, 4)
+            words += [n << 16 | op, *(rng.randrange(99) for _ in range(n - 1))]
+        if rng.random() < 0.2:
+            words.append(rng.choice([0, 7 << 16 | 1]))
+        data = struct.pack(f"{rng.choice('<>')}{len(words)}I", *words)
+        binaries.append(data[: len(data) - rng.choice([0, 0, 2, 4])])
+
+    def walk(data):
+        data = (data or b"")[: len(data or b"") // 4 * 4]
+        order = "<" if data[:4] == struct.pack("<I", programs.MAGIC) else ">"
+        w = struct.unpack(f"{order}{len(data) // 4}I", data)
+        if len(w) < 5 or w[0] != programs.MAGIC:
+            return [(None,) * 5 + ("no header",)]
+        out, i, func, block = [], 5, -1, None
+        while i < len(w):
+            n, op = w[i] >> 16, w[i] & 0xFFFF
+            if n == 0 or i + n > len(w):
+                return [*out, (None,) * 5 + ("an instruction is cut short",)]
+            if op == 54:
+                func, block = func + 1, None
+            elif op == 248:
+                block = w[i + 1] if n > 1 else None
+            out.append((func if func >= 0 else None, block, len(out), op, list(w[i + 1 : i + n]), None))
+            i += n
+        return out
+
+    df = spark.createDataFrame(list(enumerate(binaries)), "id long, b binary").repartition(3)
+    got = [tuple(r) for r in programs.decode_binaries(df, "id", "b").collect()]
+    want = [(i, *r) for i, b in enumerate(binaries) for r in walk(b)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+KINDS = {k: ("Id", [], {}) for k in ("IdRef", "IdResult", "IdResultType")} | {k: ("Literal", [], {}) for k in ("LiteralInteger", "LiteralString", "LiteralContextDependentNumber", "LiteralSpecConstantOpInteger")} | {"PairIdRefIdRef": ("Composite", ["IdRef", "IdRef"], {}), "PairLiteralIntegerIdRef": ("Composite", ["LiteralInteger", "IdRef"], {}), "Mode": ("ValueEnum", [], {7: ["LiteralInteger", "LiteralString"]}), "Mask": ("BitEnum", [], {2: ["LiteralInteger"], 4: ["IdRef", "IdRef"]})}
+
+
+def test_operands_by_kind():
+    from tessera.operators import operands
+
+    grammar = operands.Grammar({1: [("IdResultType", ""), ("IdResult", ""), ("LiteralContextDependentNumber", "")], 2: [("Mask", "?")], 3: [("Mode", ""), ("IdRef", "*")], 4: [("LiteralString", ""), ("LiteralInteger", "?")], 5: [("PairIdRefIdRef", "*")], 6: [("IdResultType", ""), ("IdResult", ""), ("LiteralSpecConstantOpInteger", "")], 251: [("IdRef", ""), ("IdRef", ""), ("PairLiteralIntegerIdRef", "*")]}, frozenset(), KINDS)
+    read = lambda op, words, sort=None, width=None: operands._Reader(grammar, op, words, sort, width).read()
+    lit = lambda t: [256 + b for b in t.encode()]
+    f = lambda x, kind: list(struct.unpack(f"<{len(struct.pack(kind, x)) // 4}I", struct.pack(kind, x)))
+    text = lambda t: list(struct.unpack(f"<{len(t) // 4 + 1}I", t.ljust(len(t) // 4 * 4 + 4, b"\0")))
+    assert read(1, [5, 6, *f(-3, "<i")], "signed", 32) == [20005, 20006, *lit("-3")]
+    assert read(1, [5, 6, *f(-3, "<i")], "unsigned", 32) == [20005, 20006, *lit("4294967293")]
+    assert read(1, [5, 6, *f(-(2**40), "<q")], "signed", 64) == [20005, 20006, *lit(str(-(2**40)))]
+    assert read(1, [5, 6, *f(0.1, "<f")], "float", 32) == [20005, 20006, *lit("0.100000")]
+    assert read(1, [5, 6, *f(1e10, "<d")], "float", 64) == [20005, 20006, *lit("10000000000.000000")]
+    assert read(2, []) == [] and read(2, [6, 16, 1, 2]) == [*lit("6"), *lit("16"), 20001, 20002]
+    assert read(3, [7, 9, *text(b"abcd"), 4, 5]) == [*lit("7"), *lit("9"), *lit("abcd"), 20004, 20005]
+    assert read(4, text(b"")) == [] and read(4, [*text("né".encode()), 8]) == [*lit("né"), *lit("8")]
+    assert read(5, [1, 2, 3, 4]) == [20001, 20002, 20003, 20004]
+    assert read(6, [1, 2, 5, 8, 9]) == [20001, 20002, *lit("5"), 20008, 20009]
+    assert read(251, [1, 2, *f(-1, "<q"), 3], "signed", 64) == [20001, 20002, *lit("-1"), 20003]
+    for bad in ((1, [5, 6, 7], None, None), (1, [5, 6, 7], "float", 16), (1, [5, 6], "signed", 32), (2, [2]), (4, [0x41414141]), (5, [1]), (9, []), (2, [0, 1]), (5, [1, 20000])):
+        with pytest.raises(ValueError):
+            read(*bad)
+
+
+def test_modules_to_tokens(spark, tmp_path):
+    """Two functions of which the second is the entry; a type of the switch found through a load; each kind of damage."""
+    import json
+
+    from tessera.operators import operands
+
+    ops = [(15, "Mode-Setting", "Model IdRef LiteralString"), (21, "Type-Declaration", "IdResult LiteralInteger LiteralInteger"), (43, "Constant-Creation", "IdResultType IdResult LiteralContextDependentNumber"), (54, "Function", "IdResultType IdResult Mask IdRef"), (55, "Function", "IdResultType IdResult"), (56, "Function", ""), (61, "Memory", "IdResultType IdResult IdRef"), (248, "Control-Flow", "IdResult"), (251, "Control-Flow", "IdRef IdRef PairLiteralIntegerIdRef*"), (71, "Annotation", "IdRef")]
+    doc = {"instructions": [{"opcode": o, "opname": f"Op{o}", "class": c, "operands": [{"kind": k.rstrip("*")} | ({"quantifier": "*"} if k[-1] == "*" else {}) for k in kinds.split()]} for o, c, kinds in ops]}
+    doc["operand_kinds"] = [{"category": c, "kind": k, "bases": b, "enumerants": [{"value": f"0x{v:x}", "parameters": [{"kind": p} for p in ps]} for v, ps in e.items()]} for k, (c, b, e) in KINDS.items()] + [{"category": "ValueEnum", "kind": "Model"}]
+    (tmp_path / "g.json").write_text(json.dumps(doc, indent=1))
+    grammar = operands.read_grammar(spark, f"file://{tmp_path}/g.json")
+    inst = lambda op, *w: [(len(w) + 1) << 16 | op, *w]
+    head, name = [programs.MAGIC, 0, 0, 99, 0], [0x6E69616D, 0]
+    body = inst(71, 1) + inst(21, 1, 64, 1) + inst(43, 1, 2, 5, 0) + inst(54, 1, 10, 0, 9) + inst(55, 1, 11) + inst(248, 12) + inst(61, 1, 13, 2) + inst(56) + inst(54, 1, 20, 0, 9) + inst(248, 21) + inst(61, 1, 22, 2) + inst(251, 22, 21, 0xFFFFFFFF, 0xFFFFFFFF, 21) + inst(56)
+    entry = inst(15, 0, 20, *name)
+    pack = lambda w: struct.pack(f"<{len(w)}I", *w)
+    rows = [(1, pack(head + entry + body)), (2, pack(head + body)), (3, pack(head + entry + entry + body)), (4, pack(head + inst(15, 0, 77, *name) + body)), (5, pack(head + entry + body)[:-6]), (6, None), (7, pack(head + entry + body + inst(248, 99) + inst(999))), (8, pack(head + entry + body + inst(248, 30) + inst(61, 1, 21000, 2)))]
+    blocks = spark.createDataFrame([(1, 21, 6), (1, 12, 4)], "id long, block_id long, times long")
+    got = {r.id: r for r in operands.tokenise_binaries(spark.createDataFrame(rows, "id long, b binary"), "id", "b", grammar, blocks).collect()}
+    lit = lambda t: [256 + b for b in t.encode()]
+    types = [2021, 20001, *lit("64"), *lit("1"), 2043, 20001, 20002, *lit("5")]
+    main = [2248, 20021, 2061, 20001, 20022, 20002, 2251, 20022, 20021, *lit("-1"), 20021]
+    assert got[1].input_ids == types + main + [2248, 20012, 2061, 20001, 20013, 20002]
+    assert [int(x) for x in got[1].trace] == [0] * len(types) + [6, 0, 6, 0, 0, 0, 6, 0, 0, 0, 0, 0] + [4, 0, 4, 0, 0, 0]
+    assert {i: r.problem for i, r in got.items()} == {1: None, 2: "not one entry point", 3: "not one entry point", 4: "the entry point is no function", 5: "an instruction is cut short", 6: "no header", 7: "opcode 999 is not in the grammar", 8: "id 21000 is past the range"}
+    assert all(r.input_ids is None and r.trace is None for i, r in got.items() if i > 1)
+    assert operands.tokenise_binaries(spark.createDataFrame([], "id long, b binary"), "id", "b", grammar).count() == 0
+
+
+def test_bytes_of_columns(spark):
+    df = spark.createDataFrame([(1, bytes(range(256))), (2, b""), (3, None)], "id long, b binary")
+    got = {r.id: r for r in df.select("id", scalar.byte_values(F.col("b")).alias("v"), store.unpack_counters(F.col("b"), 4).alias("c")).collect()}
+    assert got[1].v == list(range(256)) and got[2].v == [] and got[3].v is None
+    assert [int(x) for x in got[1].c] == list(struct.unpack("<64I", bytes(range(256)))) and got[2].c == [] and got[3].c is None
+
+
+def ordered(seed, keys):
+    import hashlib
+
+    return sorted(keys, key=lambda k: (hashlib.md5(f"{seed}-{k}".encode()).hexdigest(), k))
+
+
+@pytest.mark.parametrize("digits, most", [(4, 20_000), (1, 3)])
+def test_splits_by_selection(spark, monkeypatch, digits, most):
+    """The same rows as by sorting; no sort and no checkpoint in the plan."""
+    from tessera.operators import ordinal
+
+    monkeypatch.setattr(ordinal, "DIGITS", digits)
+    monkeypatch.setattr(ordinal, "CELL_ROWS", most)
+    keys = [*range(57), *range(40)]
+    df = spark.createDataFrame([(k, "x") for k in [*keys, None]], "id long, v string")
+    order = ordered(9, range(57))
+    for shares, ceil, sizes in (([0.8], False, [45, 12]), ([0.8], True, [46, 11]), ([0.5, 0.25], False, [28, 14, 15]), ([0.0, 1.0], False, [0, 57, 0]), ([0.9, 0.9], True, [52, 5, 0])):
+        names = ["a", "b", "c"][: len(shares) + 1]
+        out = splits.ratio_split(df, "id", 9, shares, names, ceil)
+        got, at = {r.id: r.split for r in out.collect()}, 0
+        for name, n in zip(names, sizes, strict=True):
+            assert all(got[k] == name for k in order[at : at + n])
+            at += n
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Sort|rangepartitioning|Window|Join", plan)
+    for n in (0, 1, 30, 56, 57, 90):
+        unique = df.where("id is not null").distinct()
+        assert sorted(r.id for r in splits.sample_rows(unique, "id", 9, n).collect()) == sorted(order[:n])
+    twice = spark.createDataFrame([(k,) for k in range(10) for _ in range(3)], "id long")
+    assert splits.sample_rows(twice, "id", 9, 5).groupBy("id").count().collect() and sorted(splits.sample_rows(twice, "id", 9, 5).collect()) == sorted([(ordered(9, range(10))[0],)] * 3 + [(ordered(9, range(10))[1],)] * 2)
+    assert splits.ratio_split(df.where("1 = 0"), "id", 9, [0.5], ["a", "b"]).count() == 0
+
+
+def test_first_rows_of_a_hot_group_are_taken_before_the_shuffle(spark):
+    df = spark.range(3000).withColumn("g", F.when(F.col("id") < 2900, 0).otherwise(F.col("id")))
+    out = splits.sample_of_group(df, ["g"], "id", 4, 2)
+    assert rows(out, "g", "id", "pick") == [(0, k, i + 1) for i, k in sorted(enumerate(ordered(4, range(2900))[:2]), key=lambda x: x[1])]
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_ancestors_of_a_deep_tree(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(hierarchy, "checkpointed", lambda df, f=hierarchy.checkpointed: calls.append(1) or f(df))
+    n = 600
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, i in (0, 300, 301)) for i in range(n)] + [(1000, 999, False), (1001, 1000, False), (1002, None, False), (1003, 1002, True), (1004, 1003, None)], "id long, parent long, has boolean")
+    got = {r.id: (r.nearest, r.steps) for r in hierarchy.nearest_with(nodes, F.col("has"), "id").collect()}
+    want = {i: max(m for m in (0, 300, 301) if m < i) for i in range(1, n)}
+    assert got == {i: (m, list(range(m + 1, i + 1))) for i, m in want.items()} | {1004: (1003, [1004])}
+    assert len(calls) <= 12
+    loop = spark.createDataFrame([(1, 2, False), (2, 1, False)], "id long, parent long, has boolean")
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy.nearest_with(loop, F.col("has"), "id", most=50)
+
+
+def test_equal_counters_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(samples, "RUN", 1000)
+    df = spark.range(400).select(F.array_repeat(F.lit(7).cast("decimal(20,0)"), 50).alias("c")).unionByName(spark.createDataFrame([([1, None, 9, 9],), (None,), ([],)], "c array<long>").select(F.col("c").cast("array<decimal(20,0)>")))
+    out = samples.sorted_counters(df, "c")
+    got = out.withColumn("p", F.spark_partition_id()).collect()
+    by = sorted((r.place, int(r.counter)) for r in got)
+    assert by == [(1, 1), *((i, 7) for i in range(2, 20_002)), (20_002, 9), (20_003, 9)]
+    sizes = Counter(r.p for r in got)
+    assert len(sizes) == 4 and max(sizes.values()) < 12_000
+
+
+def test_documents_are_named_by_their_ids(spark, tmp_path):
+    from tessera.sources import named
+
+    docs = spark.createDataFrame([("ab1", "x"), ("ab2", "é"), ("c", "one"), ("-q", "dash")], "id string, name string").select("id", F.struct(F.struct(F.struct("name").alias("info")).alias("Shader")).alias("document"))
+    path = f"file://{tmp_path}/tree"
+    named.write_named(docs.where("id <> '-q'"), path)
+    assert sorted(str(p.relative_to(tmp_path / "tree")) for p in (tmp_path / "tree").rglob("*.json")) == ["a/b/ab1.json", "a/b/ab2.json", "c/c.json"]
+    assert (tmp_path / "tree" / "_SUCCESS").read_text() == "3"
+    back = lambda p, legacy=False: sorted((r.id, r.name) for r in store.read_documents(spark, p, legacy).select("id", "document.Shader.info.name").collect())
+    assert back(path) == [("ab1", "x"), ("ab2", "é"), ("c", "one")]
+    named.write_named(docs.where("id = 'ab1'"), path)  # again: the file is replaced
+    assert back(path) == [("ab1", "x"), ("ab2", "é"), ("c", "one")]
+    flat = f"file://{tmp_path}/flat"
+    named.write_named(docs.where("id <> '-q'"), flat, suffix="v2")
+    assert sorted(p.name for p in (tmp_path / "flat").glob("*.json")) == ["ab1-v2.json", "ab2-v2.json", "c-v2.json"] and back(flat, True) == back(path)
+    named.write_named(docs.where("id = 'c'"), flat, suffix="v3")
+    with pytest.raises(Exception, match="twice"):
+        back(flat, True)
+    for bad in (docs.unionByName(docs.where("id = 'c'")), docs.select(F.lit("a/b").alias("id"), "document"), docs.select(F.lit(None).cast("string").alias("id"), "document")):
+        with pytest.raises(Exception):  # noqa: B017
+            named.write_named(bad, f"file://{tmp_path}/bad")
+    named.write_named(docs.where("1 = 0"), f"file://{tmp_path}/none")
+    assert (tmp_path / "none" / "_SUCCESS").read_text() == "0"
+
+
+def test_kernel_density_against_a_direct_sum(spark):
+    import math
+    import statistics
+
+    rng = random.Random(3)
+    data = [("a", rng.gauss(5, 2)) for _ in range(300)] + [("b", rng.expovariate(1)) for _ in range(80)] + [("c", 1.0), ("c", 1.0), ("d", 2.0), ("e", None), ("f", 1.0), ("f", 2.0)]
+    got = {}
+    for r in histogram.kernel_density(spark.createDataFrame(data, "g string, v double"), "g", "v", points=40).collect():
+        got.setdefault(r.g, {})[r.place] = (r.x, r.density)
+    assert set(got) == {"a", "b", "f"} and all(sorted(x) == list(range(40)) for x in got.values())
+    for g, places in got.items():
+        v = [x for h, x in data if h == g]
+        h = statistics.stdev(v) * len(v) ** -0.2
+        assert places[0][0] == pytest.approx(min(v) - 2 * h) and places[39][0] == pytest.approx(max(v) + 2 * h)
+        for x, d in places.values():
+            assert d == pytest.approx(sum(math.exp(-0.5 * ((x - y) / h) ** 2) for y in v) / (len(v) * h * math.sqrt(2 * math.pi)), abs=1e-6)
+    assert histogram.kernel_density(spark.createDataFrame([], "g string, v double"), "g", "v").count() == 0
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_sparse_least_squares(spark, monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(regress, "BLOCK", block)
+    monkeypatch.setattr(regress, "HELD", 3)
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((60, 20)) < 0.3, rng.integers(1, 9, (60, 20)), 0).astype(float)
+    x[:, 7], x[:, 11] = 4.0, x[:, 3]  # one feature that does not vary, and one that is there twice
+    y, w = x @ rng.normal(size=20) + rng.normal(size=60), rng.random(60) + 0.1
+    long = spark.createDataFrame([(i, f"f{j:02d}", float(x[i, j])) for i in range(60) for j in range(20) if x[i, j]] + [(0, None, 1.0), (1, "f00", None), (999, "f00", 3.0)], "id long, feature string, value double")
+    targets = spark.createDataFrame([(i, float(y[i]), float(w[i])) for i in range(60)] + [(70, None, 1.0)], "id long, y double, w double")
+    for weight, ws in ((None, np.ones(60)), (F.col("w"), w)):
+        got = dict(regress.sparse_ols(long, targets, "id", "y", weight))
+        mean, mean_y = np.average(x, axis=0, weights=ws), np.average(y, weights=ws)
+        root = np.sqrt(ws)[:, None]
+        want = np.linalg.lstsq((x - mean) * root, (y - mean_y) * root[:, 0], rcond=1e-10)[0]
+        assert [got[f"f{j:02d}"] for j in range(20)] == pytest.approx(list(want), abs=1e-6)
+        assert got["(intercept)"] == pytest.approx(mean_y - mean @ want, abs=1e-6)
+    assert regress.sparse_ols(long.where("1 = 0"), targets.where("1 = 0"), "id", "y") == [("(intercept)", 0.0)]
+    assert regress.sparse_ols(long.where("1 = 0"), targets, "id", "y") == [("(intercept)", pytest.approx(float(np.mean(y))))]
+    monkeypatch.setattr(regress, "MOST_FEATURES", 19)
+    with pytest.raises(ValueError):
+        regress.sparse_ols(long, targets, "id", "y")
+
+
+def test_thousands_of_features(spark):
+    """A design of 3,000 features, each in two rows: the fit gives the values back."""
+    n = 3000
+    long = spark.range(2 * n).selectExpr("id", "concat('f', id % 3000) AS feature", "cast(1 + id div 3000 AS double) AS value")
+    targets = spark.range(2 * n).selectExpr("id", "cast((id % 3000 % 11) * (1 + id div 3000) + 5 AS double) AS y")
+    got = dict(regress.sparse_ols(long, targets, "id", "y"))
+    assert len(got) == n + 1 and got["(intercept)"] == pytest.approx(5, abs=1e-6)
+    assert all(got[f"f{i}"] == pytest.approx(i % 11, abs=1e-6) for i in range(0, n, 37))
+
+
+def test_a_hot_value_is_dealt_over_tasks(spark):
+    big = spark.range(500).selectExpr("id", "if(id < 450, 'hot', cast(id AS string)) AS w")
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("460", 3)], "w string, item int")
+    got = merge.salted_join(big, small, "w", "id", salts=4)
+    assert sorted((r.id, r.item) for r in got.collect()) == [(i, k) for i in range(450) for k in (1, 2)] + [(460, 3)]
