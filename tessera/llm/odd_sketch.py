@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, lookup, remove_folder, shared_folder, table, texts, word_hashes
@@ -23,10 +23,10 @@ from .near_copies import nearest, shingle_set, verified
 #: Two sets of similarity 0.8 share none of 64 bands of 7 with probability 3e-7; one of 0.4 shares one with 0.1.
 BANDS, ROWS = 64, 7
 SAMPLES, BITS = BANDS * ROWS, 1024
-#: Standard deviations by which a sketch may be wrong; members of a block that is compared with another.
-SURE, BLOCK = 5, 1000
-#: Pairs of two components that are confirmed before all others are; sets that a task knows again.
-FIRST, KNOWN = 4, 200_000
+#: Standard deviations by which a sketch may be wrong; members of a block of sketches, and of one of texts, that is compared with another.
+SURE, BLOCK, TEXT_BLOCK = 5, 1000, 256
+#: Sets that a task knows again.
+KNOWN = 200_000
 _ODD = np.random.default_rng(13).integers(1 << 31, size=(3, SAMPLES), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -116,39 +116,106 @@ def _close(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return both.where(F.arrow_udf(judge, "int")("sketch_a", "sketch_b") <= most).select("a", "b")
 
 
-def _across(nodes: DataFrame, most: int, kept) -> DataFrame:
-    """Rows (a, b, bits): the pairs of nodes in different components `comp` that share a band and are close.
+class _Joined:
+    """Sets of numbers that are joined one pair at a time."""
 
-    In each bucket the members of its most frequent component, which are linked already, meet the others
-    only; a bucket of one component makes nothing. Members are dealt over blocks, of which pairs are
-    compared: a task holds two blocks of sketches, and only pairs that are close leave it.
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        path = []
+        while (up := self.root.get(x, x)) != x:
+            path.append(x)
+            x = up
+        self.root.update(dict.fromkeys(path, x))
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart before."""
+        x, y = self.find(x), self.find(y)
+        self.root[x] = y
+        return x != y
+
+
+def _blocks(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """Rows (by, i, j, side, ...) of rows (by, node, comp, ...): the pairs of blocks in which the members of each
+    group meet all others that are in another component.
+
+    The members of a group's most frequent component are joined already, and meet the others only.
+    """
+    counts = rows.groupBy(by, "comp").agg(F.count(F.lit(1)).alias("n")).groupBy(by).agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps"))
+    parts = lambda n: F.ceil(n / size).cast("int")
+    counts = counts.where("comps > 1").select(by, F.col("top.comp").alias("top"), parts(F.col("n") - F.col("top.n")).alias("lefts"), parts(F.col("n")).alias("rights"))
+    dealt, block = rows.join(counts, by), lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = dealt.where("comp <> top").withColumn("j", every("rights")).withColumn("i", block("lefts")).withColumn("side", F.lit(0))
+    right = dealt.withColumn("i", every("lefts")).withColumn("j", block("rights")).withColumn("side", F.lit(1))
+    return left.unionByName(right.select(*left.columns)).drop("lefts", "rights")
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, ...]:
+    """node, comp, the places of the left and of the right members, and whether two of these may be compared."""
+    side, node, comp, top = (group[c].to_numpy() for c in ("side", "node", "comp", "top"))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    meets = lambda x: (comp[right] != comp[x]) & ((comp[right] == top[right]) | (node[x] < node[right]))
+    return node, comp, left, right, meets
+
+
+def _clumps(nodes: DataFrame, most: int, kept) -> DataFrame:
+    """Rows (clump, node, comp): nodes that are close to nodes of other components `comp`, directly or through others.
+
+    Nodes that share a band are compared by their sketches. Of the pairs that are close a task gives a
+    forest only, so that rows stay in proportion to the nodes, however many pairs are close.
     """
     rows = nodes.select("node", "comp", F.explode("bands").alias("key"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
     rows = kept(rows.join(mixed, "key"), "mixed")
-    by = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"))
-    by = by.select("key", F.col("top.comp").alias("top"), *(F.ceil(x / BLOCK).cast("int").alias(c) for c, x in (("lefts", F.col("n") - F.col("top.n")), ("rights", F.col("n")))))
-    rows = rows.join(by, "key").join(nodes.select("node", "sketch").dropDuplicates(["node"]), "node")
-    block = lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = rows.where("comp <> top").withColumn("j", every("rights")).withColumn("i", block("lefts")).withColumn("side", F.lit(0))
-    right = rows.withColumn("i", every("lefts")).withColumn("j", block("rights")).withColumn("side", F.lit(1))
-    columns = ["key", "i", "j", "side", "node", "comp", "top", "sketch"]
+    dealt = _blocks(rows, "key", BLOCK).join(nodes.select("node", "sketch").dropDuplicates(["node"]), "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, _, left, right, meets = _sides(group)
+        sketch, seen, out = _longs(group["sketch"]), _Joined(), []
+        for x in left:
+            hit = right[meets(x) & (_differing(sketch[right], sketch[x]) <= most)]
+            out += [(int(node[x]), int(node[y])) for y in hit if seen.join(int(node[x]), int(node[y]))]
+        a, b = np.array(out, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
+
+    edges = kept(dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"), "close")
+    clumps = components(edges).withColumnRenamed("component", "clump")
+    return kept(clumps.join(nodes.select("node", "comp").dropDuplicates(["node"]), "node"), "clumps")
+
+
+def _links(clumps: DataFrame, docs: DataFrame, words: int, similarity: float, kept) -> DataFrame:
+    """Rows (a, b): links between components, enough to join all that links of this similarity join.
+
+    The members of a clump meet in blocks of texts; a text goes to each pair of blocks once, not to
+    each of its partners, and of the links found a task gives a forest.
+    """
+    dealt = kept(_blocks(clumps, "clump", TEXT_BLOCK), "dealt")
+    rows = docs.join(dealt, docs["id"] == dealt["node"]).select("clump", "i", "j", "side", "node", "comp", "top", "_text", F.xxhash64("_text").alias("same"))
+    rows = rows.dropDuplicates(["clump", "i", "j", "side", "node", "same"])  # repeated rows
 
     def compare(group: pa.Table) -> pa.Table:
-        side, node, comp, top = (group[c].to_numpy() for c in ("side", "node", "comp", "top"))
-        sketch = _longs(group["sketch"])
-        left, right, out = np.flatnonzero(side == 0), np.flatnonzero(side == 1), []
+        node, comp, left, right, meets = _sides(group)
+        sets = [shingle_set(word_hashes(t.lower().split()), words) for t in texts(group.combine_chunks().to_batches()[0], "_text")]
+        sizes = np.array([len(x) for x in sets])
+        owner, flat = np.repeat(np.arange(len(right)), sizes[right]), np.concatenate([sets[y] for y in right])
+        order = np.argsort(flat, kind="stable")
+        flat, owner, joined, out = flat[order], owner[order], _Joined(), []
         for x in left:
-            bits = _differing(sketch[right], sketch[x])
-            hit = (bits <= most) & (comp[right] != comp[x]) & ((comp[right] == top[right]) | (node[x] < node[right]))
-            y = node[right[hit]]
-            out.append(np.stack([np.minimum(y, node[x]), np.maximum(y, node[x]), bits[hit]]))
-        a, b, bits = np.concatenate([*out, np.empty((3, 0), dtype=np.int64)], axis=1).astype(np.int64)
-        return pa.table({"a": a, "b": b, "bits": bits})
+            may = meets(x)
+            if not may.any():
+                continue
+            lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            alike = may & (both >= similarity * (sizes[right] + sizes[x] - both) - 1e-9) & (both > 0)
+            out += [(int(node[x]), int(node[y])) for y in right[alike] if joined.join(int(comp[x]), int(comp[y]))]
+        a, b = np.array(out, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
 
-    met = left.select(*columns).unionByName(right.select(*columns)).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, bits long")
-    return kept(met.groupBy("a", "b").agg(F.min("bits").alias("bits")), "across")
+    return kept(rows.groupBy("clump", "i", "j").applyInArrow(compare, "a long, b long"), "links")
 
 
 def minhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, similarity: float = 0.8) -> DataFrame:
@@ -158,9 +225,10 @@ def minhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
     has fewer words. Texts are linked if their sets' similarity is at least `similarity`; every link is
     confirmed on the full sets. component_id is the least key that can be reached, kept is true for its
     row. Sets that share a band are first compared with the least member of each bucket, which leaves
-    one component of a group of near copies, however large; then with all members of other components.
-    A pair is missed only if no band is shared (3e-7 at 0.8) or its sketches are off by five standard
-    deviations, and if no chain of other links joins it.
+    few components of a group of near copies, however large; then members of different components by
+    their sketches, and those that are close by their full sets. A pair is missed only if no band is
+    shared (3e-7 at 0.8) or its sketches are off by five standard deviations, and if no chain of other
+    pairs joins it.
 
     Null, empty and blank texts have no set and are linked with nothing. Rows with equal sets are one
     node and keep their own row. Rows of one key are one document. Rows with a null key take part:
@@ -193,19 +261,9 @@ def minhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
     heads = keys.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
     edges = confirmed(_close(nearest(keys.join(heads, "band").select("a", F.col("node").alias("b"))), nodes, most))
     first = joined(edges)
-    across = _across(first, most, kept)
-
-    def open_pairs(comps: DataFrame) -> DataFrame:
-        one = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")).dropDuplicates([c])
-        met = across.join(one("a"), "a").join(one("b"), "b").where("comp_a <> comp_b")
-        return met.select("a", "b", "bits", F.least("comp_a", "comp_b").alias("x"), F.greatest("comp_a", "comp_b").alias("y"))
-
-    if not across.isEmpty():
-        closest = Window.partitionBy("x", "y").orderBy("bits", "a", "b")
-        tried = kept(open_pairs(first).withColumn("place", F.row_number().over(closest)).where(F.col("place") <= FIRST).select("a", "b"), "tried")
-        edges = edges.unionByName(confirmed(tried))
-        edges = edges.unionByName(confirmed(open_pairs(joined(edges)).select("a", "b").join(tried, ["a", "b"], "left_anti")))
-        first = joined(edges)
+    clumps = _clumps(first, most, kept)
+    if not clumps.isEmpty():
+        first = joined(edges.unionByName(_links(clumps, whole, words, similarity, kept)))
     rows = members.groupBy("same").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("least"))
     rows = rows.join(first.select("same", "comp"), "same")
     named = rows.join(rows.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("same", "rows", "component_id")
