@@ -31,6 +31,10 @@ NEAREST = 2
 PART_TEXTS, BROADCAST_IDS = 64, 1_000_000
 #: Cells in which shingles are counted, by their leading bits, to put rare ones first; members of a salted part.
 CELL_BITS, SALT_ROWS = 22, 2000
+#: The class of a cell from which its shingles may be frequent (50,000 in it), and the tasks over which these are dealt.
+FREQUENT, SALTS = 125, 64
+#: The ratio of the greatest to the least size of a band; sets that a task knows again.
+BAND, KNOWN = 1.05, 200_000
 
 
 def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -231,10 +235,11 @@ def _rarity(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Rows (gram, same, size, at): the first shingles of each set, rare ones first, `at` the place.
+    """Rows (gram, same, size, at, salt): the first shingles of each set, rare ones first, `at` the place.
 
     A set of n can do without the others: if none of n - ceil(similarity n) + 1 is in another set,
-    less than similarity n are. Equal sets of a task give their rows once.
+    less than similarity n are. Equal sets of a task give their rows once. Rows of a shingle that may be
+    frequent have one of SALTS salts, by their set, all others have none.
     """
     rarity = _rarity(docs, words)
 
@@ -248,15 +253,19 @@ def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                 if not len(g) or same in seen:
                     continue
                 seen.add(same)
+                if len(seen) > KNOWN:
+                    seen.clear()
                 take = len(g) - math.ceil(similarity * len(g) - 1e-9) + 1
                 rank = rarity[(g >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                got.append((g[np.argsort(rank, kind="stable")[:take]], same, len(g)))
-            takes = [len(x) for x, _, _ in got]
-            grams = np.concatenate([*(x for x, _, _ in got), np.empty(0, dtype=np.uint64)]).view(np.int64)
+                first = np.argsort(rank, kind="stable")[:take]
+                got.append((g[first], same, len(g), np.where(rank[first] >= FREQUENT, 1 + same % SALTS, 0)))
+            takes = [len(x[0]) for x in got]
+            grams = np.concatenate([*(x[0] for x in got), np.empty(0, dtype=np.uint64)]).view(np.int64)
+            salt = np.concatenate([*(x[3] for x in got), np.empty(0, dtype=np.int64)]).astype(np.int32)
             at = np.concatenate([*map(np.arange, takes), np.empty(0, dtype=np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.repeat(np.array([x[1] for x in got], dtype=np.int64), takes)), pa.array(np.repeat(np.array([x[2] for x in got], dtype=np.int32), takes)), pa.array(at)], names=["gram", "same", "size", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(np.repeat(np.array([x[1] for x in got], dtype=np.int64), takes)), pa.array(np.repeat(np.array([x[2] for x in got], dtype=np.int32), takes)), pa.array(at), pa.array(salt)], names=["gram", "same", "size", "at", "salt"])
 
-    return docs.select("_text").mapInArrow(cut, "gram long, same long, size int, at int")
+    return docs.select("_text").mapInArrow(cut, "gram long, same long, size int, at int, salt int")
 
 
 def _rare_shingle_pairs(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, kept) -> DataFrame:
@@ -266,17 +275,30 @@ def _rare_shingle_pairs(docs: DataFrame, nodes: DataFrame, words: int, similarit
     places behind it in both. Under each shingle the members of its most frequent component, which are
     linked already, meet the other members only; a shingle of one component makes no pair. Members of
     frequent shingles are dealt over salted parts, so that no task gets all pairs of one.
+
+    Sizes and places are in the key of the join: two sets of sizes s and t have at least
+    (s + t) * similarity / (1 + similarity) shingles in common, and at place p of the first no more than
+    s - p are left. That bounds t, and a member meets the bands of such sizes only. So texts of one
+    template that differ in too much else do not meet, though they share many shingles.
     """
-    rows = _prefixes(docs, words, similarity).repartition("gram").dropDuplicates(["gram", "same"])
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n > 1").drop("n")
+    rows = _prefixes(docs, words, similarity).repartition("gram", "salt").dropDuplicates(["gram", "salt", "same"])
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram", "salt"))).where("n > 1 or salt > 0").drop("n", "salt")
     rows = kept(rows.join(nodes, "same").select("gram", "node", "size", "at", "comp"), "prefixes")
     most = rows.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("gram")
     most = most.agg(F.max_by("comp", "n").alias("top"), F.count(F.lit(1)).alias("k"), F.ceil(F.sum("n") / SALT_ROWS).cast("int").alias("parts")).where("k > 1").drop("k")
-    open_ = kept(rows.join(most, "gram"), "open")
-    right = open_.select("gram", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), *(F.col(c).alias(c + "2") for c in ("node", "size", "at", "comp")))
-    left = open_.where("comp <> top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     once = (F.col("comp2") == F.col("top")) | (F.col("node") < F.col("node2"))
     sizes = F.least("size", "size2") >= similarity * F.greatest("size", "size2") - 1e-9
     places = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2")) >= similarity / (1 + similarity) * (F.col("size") + F.col("size2")) - 1e-9
-    met = left.join(right, ["gram", "part"]).where((F.col("comp") != F.col("comp2")) & once & sizes & places)
+    met = _met(kept(rows.join(most, "gram"), "open"), similarity).where((F.col("comp") != F.col("comp2")) & once & sizes & places)
     return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
+def _met(rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of rows (gram, node, size, at, comp, top, parts) that the join tries: those of bands that may fit."""
+    band = lambda n: F.floor(F.round(F.log(n) / math.log(BAND), 9)).cast("int")
+    right = rows.select("gram", band(F.col("size")).alias("band"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), *(F.col(c).alias(c + "2") for c in ("node", "size", "at", "comp")))
+    least = F.greatest(similarity * F.col("size") - 1e-6, F.lit(1.0))
+    most = F.least(F.col("size") / similarity, (1 + similarity) / similarity * (F.col("size") - F.col("at")) - F.col("size")) + 1e-6
+    left = rows.where("comp <> top").withColumn("least", least).withColumn("most", most).where("most >= least")
+    left = left.withColumn("band", F.explode(F.sequence(band(F.col("least")), band(F.col("most"))))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return left.join(right, ["gram", "part", "band"])
