@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.ordinal import shared_base
@@ -24,6 +24,30 @@ def words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+def row_without(df: DataFrame, *names: str) -> Column:
+    """The row of df as one struct, without the columns of these names in either case.
+
+    Operators carry it as `row` beside their own columns, so that no name of df can clash with one of
+    theirs; `columns_of` takes it apart again.
+    """
+    return F.struct(*[F.col(f"`{c}`") for c in _rest(df, names)] or [F.lit(0).alias("nothing")])
+
+
+def columns_of(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of df without these names, out of the struct `row` that row_without made of it."""
+    return [F.col("row")[c].alias(c) for c in _rest(df, names)]
+
+
+def _rest(df: DataFrame, names: tuple[str, ...]) -> list[str]:
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def beside(df: DataFrame, new: Column, *names: str) -> DataFrame:
+    """df with the fields `names` of the struct column `new`; columns of df with those names are replaced."""
+    return df.select(row_without(df, *names).alias("row"), new.alias("new")).select(*columns_of(df, *names), *[f"new.{n}" for n in names])
+
+
 _WORD_HASHES: dict[bytes, int] = {}
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts, word_hashes
+from .common import columns_of, row_without, stored, table, texts, word_hashes
 
 #: Masks over a window: 1 picks a position. One of them hits wherever a passage of 13 to 26 tokens is
 #: equal to a share of 0.8, whichever inner tokens are substituted (all cases are gone through in a test).
@@ -230,13 +230,14 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, **options) -> DataFrame:
-    """docs with _items and _longest, null where there is no overlap."""
+    """Rows (row, items, longest): each row of docs as a struct; the two are null where there is no overlap."""
     found = stored(find_overlaps(docs, benchmark, key, text, item, **options), "overlaps")
-    sums = found.groupBy(F.col(key).alias("_key"), F.col("digest").alias("_digest")).agg(F.count_distinct(item).alias("_items"), F.max("length").alias("_longest"))
-    named, other = sums.where("_key is not null").drop("_digest"), sums.where("_key is null").drop("_key")
-    known = docs.where(F.col(key).isNotNull()).join(named, F.col(key) == F.col("_key"), "left").drop("_key")
-    rest = docs.where(F.col(key).isNull()).join(other, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")) == F.col("_digest"), "left").drop("_digest")
-    return known.unionByName(rest)
+    sums = found.groupBy(F.col(key).alias("key"), "digest").agg(F.count_distinct(item).alias("items"), F.max("length").alias("longest"))
+    named, other = sums.where("key is not null").drop("digest"), sums.where("key is null").drop("key")
+    rows = docs.select(row_without(docs).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    known = rows.where("key is not null").join(named, "key", "left").select("row", "items", "longest")
+    rest = rows.where("key is null").withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(other, "digest", "left")
+    return known.unionByName(rest.select("row", "items", "longest"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", **options) -> DataFrame:
@@ -245,14 +246,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     Columns of docs with those names are replaced. An empty benchmark contaminates nothing. Nulls and
     repeated rows are as find_overlaps says.
     """
-    out = _judged(docs.drop("n_items", "longest", "contaminated"), benchmark, key, text, item, **options)
-    rest = [c for c in out.columns if c not in ("_items", "_longest")]
-    return out.select(*rest, F.coalesce("_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("_longest", F.lit(0)).alias("longest"), F.col("_items").isNotNull().alias("contaminated"))
+    out = _judged(docs, benchmark, key, text, item, **options)
+    return out.select(*columns_of(docs, "n_items", "longest", "contaminated"), F.coalesce("items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("longest", F.lit(0)).alias("longest"), F.col("items").isNotNull().alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", **options) -> DataFrame:
     """The rows of docs without an overlap, all columns as they are."""
-    return _judged(docs, benchmark, key, text, item, **options).where("_items is null").select(*docs.columns)
+    return _judged(docs, benchmark, key, text, item, **options).where("items is null").select(*columns_of(docs))
 
 
 def op4_decontaminate(spark, sf_dir):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_sql, table
+from .common import beside, crc32_sql, table
 
 #: Least words of a run; words that are compared at an anchor.
 LEAST, GRAM = 12, 4
@@ -193,8 +193,7 @@ def periodic_runs(df: DataFrame, text: str = "text", least: int = LEAST) -> Data
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, rows), pa.array(short, pa.binary()).cast(pa.string())], names=["runs", "collapsed"])
 
     scan = F.arrow_udf(find, "runs array<struct<start: long, length: long, period: long>>, collapsed string")
-    rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("runs", "collapsed")]
-    return df.select(F.struct(*rest).alias("row"), scan(F.col(text).cast("string")).alias("found")).select("row.*", "found.runs", "found.collapsed")
+    return beside(df, scan(F.col(text).cast("string")), "runs", "collapsed")
 
 
 def planted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import columns_of, row_without, table, texts
 
 #: Buckets, orders of the byte n-grams, added to each bucket's count, and the least mean log ratio kept.
 BUCKETS, ORDERS, SMOOTH, LEAST = 1 << 16, (3, 5), 0.5, -0.25
@@ -92,7 +92,6 @@ def judge_quality(df: DataFrame, ratio: np.ndarray, text: str = "text", least: f
     df with those names are replaced; repeated rows are judged alike.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    df = df.drop(*names, "base_failed", "mean_ratio", "kept")
 
     def judge(s: pa.Array) -> pa.Array:
         many = [t or b"" for t in s.cast(pa.large_binary()).to_pylist()]
@@ -101,9 +100,10 @@ def judge_quality(df: DataFrame, ratio: np.ndarray, text: str = "text", least: f
         return pa.StructArray.from_arrays([*(pa.array(stats[:, i].copy()) for i in range(5)), pa.array(mean)], names=[*names, "mean_ratio"])
 
     udf = F.arrow_udf(judge, ", ".join(f"{n} long" for n in names) + ", mean_ratio double")
-    out = df.withColumn("_q", udf(F.col(text).cast("string"))).select(*df.columns, "_q.*")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("mean_ratio") >= least))
+    new = (*names, "base_failed", "mean_ratio", "kept")
+    failed = (F.col("q.n_words") < 50) | (100 * F.col("q.n_repeat_words") > 50 * F.col("q.n_words"))
+    out = df.select(row_without(df, *new).alias("row"), udf(F.col(text).cast("string")).alias("q"))
+    return out.select(*columns_of(df, *new), "q.*", failed.alias("base_failed"), (~failed & (F.col("q.mean_ratio") >= least)).alias("kept"))
 
 
 def op6_quality(spark, sf_dir):

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import columns_of, row_without, stored, table
 
 #: Fixed values of the contract: kinds in order, their patterns, the group measured and its least length.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -146,14 +146,13 @@ def _level(p: Column) -> Column:
     return F.least(F.floor(F.round(-F.log10(F.greatest(p, F.lit(1e-300))) * STEP, 6)), F.lit(MOST)).cast("int")
 
 
-def find_spans(df: DataFrame, text: str = "text", keep: bool = False) -> DataFrame:
-    """df without its text (with it if `keep`), with _base and _cands: arrays of spans, _cands with their test results.
+def find_spans(rows: DataFrame, *carry: str) -> DataFrame:
+    """The columns `carry` of rows, with _base and _cands: arrays of spans of its column _t, _cands with their test results.
 
     Null texts count as empty.
     """
     t = F.coalesce(F.col("_t"), F.lit(""))
-    rest = [c for c in df.columns if keep or c != text]
-    out = df.select(*rest, F.col(text).cast("string").alias("_t"))
+    out = rows
     sign = (F.instr(t, ":") > 0) | (F.instr(t, "=") > 0)
     out = out.withColumn("_a", _spans(t, ASSIGN, 0, 2, LEAST["assign"], sign))
     out = out.withColumn("_k", _spans(t, ACCESS, 1, 0, LEAST["access"], F.instr(t, "AKIA") > 0))
@@ -173,7 +172,7 @@ def find_spans(df: DataFrame, text: str = "text", keep: bool = False) -> DataFra
 
     fresh = F.filter(F.transform("_o", free), lambda x: x.isNotNull())
     tested = F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), randomness(c["text"]).alias("test")))
-    return out.withColumn("_cands", F.filter(tested, lambda c: c["test"].isNotNull())).select(*rest, "_base", "_cands")
+    return out.withColumn("_cands", F.filter(tested, lambda c: c["test"].isNotNull())).select(*carry, "_base", "_cands")
 
 
 def rejection_levels(found: DataFrame) -> dict[int, int]:
@@ -199,8 +198,9 @@ def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     and empty texts have none; repeated rows are scanned alike; very long texts are taken whole. An
     empty table gives no rows. A column of df named secrets or base_secrets is replaced.
     """
-    found = stored(find_spans(df.drop("secrets", "base_secrets"), text), "secret-spans")
-    return _decide(found, rejection_levels(found)).drop("_cands").withColumnRenamed("_base", "base_secrets")
+    rows = df.select(row_without(df, text, "secrets", "base_secrets").alias("row"), F.col(text).cast("string").alias("_t"))
+    found = stored(find_spans(rows, "row"), "secret-spans")
+    return _decide(found, rejection_levels(found)).select(*columns_of(df, text, "secrets", "base_secrets"), F.col("_base").alias("base_secrets"), "secrets")
 
 
 def _decide(found: DataFrame, levels: dict[int, int]) -> DataFrame:
@@ -225,8 +225,9 @@ def redact_secrets(df: DataFrame, text: str = "text", mark: str = "[SECRET]") ->
     rows. The texts are scanned twice, for the tests' levels and for the spans, so that no text is
     shuffled.
     """
-    levels = rejection_levels(stored(find_spans(df.select(F.col(text).alias("_text")), "_text"), "secret-spans"))
-    found = _decide(find_spans(df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_text")), "_text", keep=True), levels)
+    rows = df.select(row_without(df).alias("_row"), F.col(text).alias("_text"), F.col(text).cast("string").alias("_t"))
+    levels = rejection_levels(stored(find_spans(rows), "secret-spans"))
+    found = _decide(find_spans(rows, "_row", "_text"), levels)
     # Kept pieces lie between the ends so far and the next start that is past them; the last one goes to the text's end.
     found = found.withColumn("_m", running(F.transform("secrets", lambda s: s["end"]), F.greatest))
     piece = lambda a, b: F.struct(a.alias("a"), b.alias("b"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import beside, table
 
 MARK = "▁"
 #: Fixed values of the format: piece types and model types.
@@ -201,9 +201,9 @@ class Codec:
 
 
 def codec(path: str, threads: int = THREADS) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path, threads)
-    return _CODECS[path]
+    if (path, threads) not in _CODECS:
+        _CODECS[path, threads] = Codec(path, threads)
+    return _CODECS[path, threads]
 
 
 def encode(df: DataFrame, path: str, text: str = "text", batch_bytes: int = 1 << 20, threads: int = THREADS) -> DataFrame:
@@ -213,9 +213,10 @@ def encode(df: DataFrame, path: str, text: str = "text", batch_bytes: int = 1 <<
     where it is false the ids stay as they are. round_trip: the tokenizer's decoder gives the text back
     from them. Null and empty texts have no ids, parity and round_trip true. Columns of df with those
     names are replaced; repeated rows are encoded alike; texts of any length are taken whole; an empty
-    table gives no rows. A task encodes on `threads` threads.
+    table gives no rows. A Python worker encodes on `threads` threads,
+    unless another tokenizer of its process has started a pool before. parity and round_trip are of
+    chunks where no piece crosses a blank, else of whole texts.
     """
-    df = df.drop("ids", "n_tokens", "parity", "round_trip")
 
     def run(s: pa.Array) -> pa.Array:
         c, got = codec(path, threads), []
@@ -231,7 +232,7 @@ def encode(df: DataFrame, path: str, text: str = "text", batch_bytes: int = 1 <<
         return pa.StructArray.from_arrays([lists, pa.array(lengths), pa.array([s for _, s, _ in got], pa.bool_()), pa.array([b for _, _, b in got], pa.bool_())], names=["ids", "n_tokens", "parity", "round_trip"])
 
     udf = F.arrow_udf(run, "ids array<int>, n_tokens long, parity boolean, round_trip boolean")
-    return df.withColumn("_e", udf(F.col(text).cast("string"))).select(*df.columns, "_e.*")
+    return beside(df, udf(F.col(text).cast("string")), "ids", "n_tokens", "parity", "round_trip")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

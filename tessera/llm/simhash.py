@@ -149,14 +149,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     Fingerprints of `words`-word shingles link at two or fewer differing bits; component_id is the
     least key that can be reached. Texts without words (null, empty, blank) have fingerprint zero and
     link like any other. Equal fingerprints are one node, so groups of copies of any size cost one
-    row; repeated rows keep their own row. An empty table gives no rows.
+    row; repeated rows keep their own row. A row with a null key links like any other, and its
+    component_id is null only if no key can be reached; a key with two texts has a row for each, whose
+    fingerprints are not linked by that. An empty table gives no rows.
     """
-    prints = stored(simhash(df.select(key, text), text, words).select(key, "fp"), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min(key).alias("node"), F.count(F.lit(1)).alias("n"))
-    nodes = stored(nodes, "nodes")
-    found = components(stored(link_fingerprints(nodes), "links"))
-    named = nodes.join(found, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
-    return lookup(prints, stored(named, "named"), "fp", "n").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = stored(simhash(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", words).select("key", "fp"), "fingerprints")
+    nodes = stored(prints.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("node", F.col("fp")), "nodes")
+    found = components(stored(link_fingerprints(nodes.select("fp", "node")), "links"))
+    placed = stored(nodes.join(found, "node", "left").select("fp", "n", "least", F.coalesce("component", "node").alias("component")), "placed")
+    named = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "n", "component_id")
+    return lookup(prints, stored(named, "named"), "fp", "n").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark, sf_dir):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, shared_folder, stored, table, texts
+from .common import columns_of, lookup, row_without, shared_folder, stored, table, texts
 
 #: Entries of the memory of pieces that a task keeps; beyond it the memory starts anew.
 MEMORY = 400_000
@@ -115,7 +115,8 @@ def count_tokens(df: DataFrame, path: str, cache_path: str, text: str = "text",
     the same counts; a count that two runs append twice is read once.
     """
     spark, version, form = df.sparkSession, tokenizer_digest(path), normal_form(path)
-    df = df.drop("n_bytes", "n_tokens").withColumn("_digest", content_digest(form(F.col(text))))
+    body, rest = F.col(text).cast("string"), columns_of(df, "n_bytes", "n_tokens")
+    df = df.select(row_without(df, "n_bytes", "n_tokens").alias("row"), body.alias("text"), content_digest(form(body)).alias("digest"))
 
     def cache() -> DataFrame:
         jvm = spark.sparkContext._jvm
@@ -135,18 +136,17 @@ def count_tokens(df: DataFrame, path: str, cache_path: str, text: str = "text",
                     start, held = i + 1, 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(got), pa.string()), pa.array(got, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
-    digests = stored(df.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")), "digests")
-    misses = digests.join(cache(), F.col("_digest") == F.col("content_digest"), "left_anti").select("_digest")
+    digests = stored(df.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digests")
+    misses = digests.join(cache(), F.col("digest") == F.col("content_digest"), "left_anti").select("digest")
     missing = misses.count()
     if missing:
         # all rows of a first run are misses, and need no look-up among them
-        rows = df if missing == digests.count() else df.join(misses, "_digest", "left_semi")
-        texts_ = rows.groupBy("_digest").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+        rows = df if missing == digests.count() else df.join(misses, "digest", "left_semi")
+        texts_ = rows.groupBy("digest").agg(F.first(F.coalesce("text", F.lit(""))).alias("_text"))
         texts_.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = stored(digests.join(cache(), F.col("_digest") == F.col("content_digest")).select("_digest", "_n", "n_tokens"), "counts")
-    bytes_ = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    rest = [c for c in df.columns if c != "_digest"]
-    return lookup(df.withColumn("n_bytes", bytes_), counts, "_digest", "_n").select(*rest, "n_bytes", "n_tokens")
+    counts = stored(digests.join(cache(), F.col("digest") == F.col("content_digest")).select("digest", "n", "n_tokens"), "counts")
+    rows = df.select("row", "digest", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return lookup(rows, counts, "digest", "n").select(*rest, "n_bytes", "n_tokens")
 
 
 def op10_token_counts(spark, sf_dir):

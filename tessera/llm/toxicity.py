@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts
+from .common import columns_of, row_without, stored, table, texts
 
 #: At most so many labelled rows are fitted, those with the least hash of their id.
 SAMPLE = 12_000
@@ -158,13 +158,13 @@ def score_toxicity(df: DataFrame, model: tuple[dict[bytes, float], list[float]],
     Columns of df with those names are replaced. Null and empty texts have no words: their score is
     the thresholds' alone. Repeated rows score alike.
     """
-    df = df.drop("p_toxic", "expected_severity", "grade", "rejected")
-    return df.withColumn("_s", _scores(text, model)).select(*df.columns, "_s.*").withColumn("rejected", F.col("p_toxic") >= cut)
+    new = ("p_toxic", "expected_severity", "grade", "rejected")
+    return df.select(row_without(df, *new).alias("row"), _scores(text, model).alias("s")).select(*columns_of(df, *new), "s.*", (F.col("s.p_toxic") >= cut).alias("rejected"))
 
 
 def drop_toxic(df: DataFrame, model: tuple[dict[bytes, float], list[float]], text: str = "text", cut: float = CUT) -> DataFrame:
     """The rows of df that score_toxicity does not reject, all columns as they are."""
-    return df.withColumn("_s", _scores(text, model)).where(F.col("_s.p_toxic") < cut).select(*df.columns)
+    return df.select(row_without(df).alias("row"), _scores(text, model).alias("s")).where(F.col("s.p_toxic") < cut).select(*columns_of(df))
 
 
 def _scores(text: str, model: tuple[dict[bytes, float], list[float]]) -> Column:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import columns_of, lower_ascii, row_without, table
 
 #: Fixed values of the contract: host, path and verdict of the exact rules.
 HOST_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -95,14 +95,17 @@ def filter_urls(df: DataFrame, url: str = "url", host_rules=HOST_RULES, pattern_
 
     The verdict is the longest fitting exact rule's; else block if a pattern rule fits and no
     exception does; else allow. Null URLs, those without `://` and empty tables go the same way.
-    Columns of df with those names are replaced; a pattern rule that is given twice counts once.
+    Columns of df with those names are replaced; a pattern rule that is given twice counts once; of several
+    that fit, the least text is reported.
     Verdicts are found once per distinct URL, so a URL that many rows share is matched once; its rows
     then meet a narrow row in the join. Rules without a token are candidates of every URL; they are
     tried on its row, without a row for each.
     """
     pattern_rules = list(dict.fromkeys(pattern_rules))
-    df = df.drop("host", "path", "rule", "verdict", "pattern_rule", "n_candidates")
-    urls = df.select(F.col(url).alias("_url")).where(F.col(url).isNotNull()).distinct()
+    names = ("host", "path", "rule", "verdict", "pattern_rule", "n_candidates")
+    host, path = url_parts(F.col("url"))
+    rows = df.select(row_without(df, *names).alias("row"), F.col(url).cast("string").alias("url")).select("row", "url", host.alias("host"), path.alias("path"))
+    urls = rows.select(F.col("url").alias("_url")).where("url is not null").distinct()
     index = index_rules(urls, pattern_rules, "_url")
     small = F.broadcast if len(pattern_rules) <= BROADCAST_RULES else (lambda x: x)
     tokens = urls.select("_url", F.explode(url_tokens(F.col("_url"))).alias("token"))
@@ -116,12 +119,10 @@ def filter_urls(df: DataFrame, url: str = "url", host_rules=HOST_RULES, pattern_
         hits = urls.select("_url", F.filter(every, lambda r: F.call_function("regexp_like", low, r["regex"])).alias("_l"))
         least = lambda own, exception: F.least(own, F.array_min(F.transform(F.filter("_l", lambda r: r["exception"] == exception), lambda r: r["rule"])))
         judged = hits.join(judged, "_url", "left").select("_url", (F.coalesce("n_candidates", F.lit(0)) + len(loose)).alias("n_candidates"), least(F.col("_block"), False).alias("_block"), least(F.col("_except"), True).alias("_except"))
-    host, path = url_parts(F.col(url))
-    out = df.join(judged, F.col(url) == F.col("_url"), "left").withColumn("host", host).withColumn("path", path)
-    out = out.withColumn("_r", host_rule(F.col("host"), F.col("path"), host_rules))
+    out = rows.join(judged, F.col("url") == F.col("_url"), "left").withColumn("exact", host_rule(F.col("host"), F.col("path"), host_rules))
     pattern = F.coalesce("_except", "_block")
-    verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("_except").isNull() & F.col("_block").isNotNull(), "block").otherwise("allow"))
-    return out.withColumn("rule", F.col("_r.rule")).withColumn("verdict", verdict).withColumn("pattern_rule", pattern).withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)).cast("long")).drop("_r", "_url", "_block", "_except")
+    verdict = F.coalesce(F.col("exact.verdict"), F.when(F.col("_except").isNull() & F.col("_block").isNotNull(), "block").otherwise("allow"))
+    return out.select(*columns_of(df, *names), "host", "path", F.col("exact.rule").alias("rule"), verdict.alias("verdict"), pattern.alias("pattern_rule"), F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"))
 
 
 def op8_url_filter(spark, sf_dir):

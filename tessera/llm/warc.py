@@ -33,11 +33,11 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
     """One record; a revisit has the HTTP head but not the payload."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}", "WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url), f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{f'urn:page:{page_id}' if page_id is not None else f'urn:sha1:{payload_digest(payload)}'}>", f"WARC-Date: {DATE}", "WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url), f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     if refers_to is not None:
         lines[3:3] = [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -132,28 +132,32 @@ def train_dictionary(pages: DataFrame, key: str = "page_id", payload: str = "htm
 
 
 def find_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Rows (key, refers_to): pages whose payload equals that of a page with a smaller id.
+    """Rows (key, digest, refers_to): pages whose payload, of this SHA-1, equals that of a page with a smaller id.
 
-    A null payload counts as empty; a null key refers to nothing and is referred to by none; a page
-    that is there twice is one row. No pages give no rows. Only digests are shuffled.
+    A null payload counts as empty; a null key refers to the smallest and is referred to by none; a
+    page that is there twice with one payload is one row, with two payloads each has its own. No pages
+    give no rows. Only digests are shuffled.
     """
     text = F.coalesce(F.col(payload), F.lit(""))
-    narrow = stored(pages.where(F.octet_length(text) >= least_bytes).select(key, F.unhex(F.sha1(text.cast("binary"))).alias("_digest")), "payload-digests")
-    first = narrow.groupBy("_digest").agg(F.min(key).alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return lookup(narrow, first, "_digest", "n").where(F.col(key) > F.col("refers_to")).select(key, "refers_to").distinct()
+    narrow = stored(pages.where(F.octet_length(text) >= least_bytes).select(F.col(key).alias("key"), F.unhex(F.sha1(text.cast("binary"))).alias("digest")), "payload-digests")
+    first = narrow.groupBy("digest").agg(F.min("key").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null")
+    found = lookup(narrow, first, "digest", "n").where(F.col("key").isNull() | (F.col("key") > F.col("refers_to")))
+    return found.select(F.col("key").alias(key), "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, level: int = 3) -> None:
-    """Write a record per row; rows with a null key have none.
+    """Write a record per row; those of rows with a null key have ids of their own that name no page.
 
     A null payload or URL counts as empty. Of equal payloads of at least `least_bytes`, that with the
     smallest key is a response (each of its rows, if the table repeats it) and the others revisits.
     Files hold at most ROWS_PER_FILE rows of about BLOCK bytes, and one record more, and each begins
     with the dictionary.
     """
-    pages = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(url), F.lit("")).alias("u"), F.coalesce(F.col(payload), F.lit("")).alias("p"))
+    pages = pages.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(url), F.lit("")).alias("u"), F.coalesce(F.col(payload), F.lit("")).alias("p"))
     dictionary = train_dictionary(pages, "k", "p")
-    rows = pages.join(stored(find_revisits(pages, "k", "p", least_bytes), "revisits"), "k", "left").select("k", "u", "p", "refers_to")
+    revisits = stored(find_revisits(pages, "k", "p", least_bytes), "revisits").withColumnRenamed("k", "own")
+    same = pages["k"].eqNullSafe(revisits["own"]) & (F.unhex(F.sha1(pages["p"].cast("binary"))) == revisits["digest"])
+    rows = pages.join(revisits, same, "left").select("k", "u", "p", "refers_to")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}

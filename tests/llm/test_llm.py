@@ -718,6 +718,26 @@ def test_near_copies_in_a_template_group(spark):
     assert got == groups(like, range(2000))
 
 
+def test_pairs_tried_in_a_template_group(spark, monkeypatch):
+    """The exact join of texts of one template tries pairs in proportion to the texts, and salts do not change it."""
+    tried = []
+    for n in (500, 2000):
+        texts = [[f"s{i}" for i in range(200)] + [f"o{i}x{k}" for k in range(35)] for i in range(n)]
+        df = spark.createDataFrame([(" ".join(t),) for t in texts], "_text string")
+        rows = near_copies._prefixes(df, 5, 0.8).select("gram", "size", "at", F.col("same").alias("node"), F.col("same").alias("comp"))
+        top = rows.groupBy("gram").agg(F.max("comp").alias("top")).withColumn("parts", F.lit(1))
+        tried.append(near_copies._met(rows.join(top, "gram"), 0.8).count())
+    assert tried[1] <= 4 * tried[0] + 2000 and tried[1] < 2000 * 20, tried
+    monkeypatch.setattr(near_copies, "FREQUENT", 1)
+    monkeypatch.setattr(near_copies, "KNOWN", 2)
+    base = [f"v{x}" for x in range(100)]
+    rows = [(i, " ".join(base[:80] + [f"a{i}x{k}" for k in range(i % 24)])) for i in range(60)]
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    like = [(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert got == groups(like, range(60))
+
+
 def test_near_copies_with_a_passage_appended(spark):
     """Copies at just 0.8, whose fingerprints differ in more bits than the Golay keys bear."""
     rng = np.random.default_rng(9)
@@ -862,3 +882,60 @@ def test_pipeline_stages_on_odd_tables(spark, sf_dir):
     assert ids("near_duplicates") == ["1", "1", "3", "4", "5", "None", "None"]  # rows without an id stay
     assert ids("decontamination") == ["1", "1", "2", "4", "5", "None"]
     assert [r[1:5:3] for r in out["secrets"] if r[0] == 5] == [("pw [SECRET]", 11)]
+
+
+# Columns of any name
+
+#: Every private name that an operator has used for a column of its own.
+PRIVATE = ["_s", "_e", "_q", "_r", "_url", "_block", "_except", "_l", "_digest", "_n", "_text", "_key", "_items", "_longest", "_a", "_k", "_h", "_c", "_o", "_m", "_p", "_t", "_row", "_base", "_cands", "row", "new", "s", "q", "url", "exact", "token", "tokens", "digest", "key", "items", "content_digest", "fp", "n", "id", "same", "found"]
+REPLACED = {
+    "score_toxicity": ("p_toxic", "expected_severity", "grade", "rejected"), "encode": ("ids", "n_tokens", "parity", "round_trip"), "count_tokens": ("n_bytes", "n_tokens"), "judge_quality": ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "mean_ratio", "kept"),
+    "filter_urls": ("host", "path", "rule", "verdict", "pattern_rule", "n_candidates"), "decontaminate": ("n_items", "longest", "contaminated"), "scan_secrets": ("base_secrets", "secrets"), "periodic_runs": ("runs", "collapsed"), "drop_toxic": (), "drop_contaminated": (), "redact_secrets": (),
+}
+
+
+@pytest.mark.parametrize("name", sorted(REPLACED))
+def test_columns_of_any_name(spark, tmp_path, name):
+    from tessera.llm import periodic_runs
+
+    texts = ["one two three https://example.com/en/ four", "password=abcdef0123456789abcdef012345", None, "a b c " * 30]
+    fields = [*PRIVATE, *(c.upper() for c in REPLACED[name])]
+    held = ", ".join(f"'{c} ' || doc_id AS `{c}`" for c in fields)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string").selectExpr("*", *held.split(", "))
+    bench = spark.createDataFrame([(1, "nothing of this is in any text here at all, not a word")], "item_id long, text string")
+    run = {
+        "score_toxicity": lambda: toxicity.score_toxicity(df, ({b"one": 1.0}, [0.0])), "drop_toxic": lambda: toxicity.drop_toxic(df, ({b"one": 1.0}, [0.0]), cut=2.0), "encode": lambda: sentencepiece_model.encode(df, public_tokenizers.path("piece_bpe_32k.model")),
+        "count_tokens": lambda: token_counts.count_tokens(df, public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/cache"), "judge_quality": lambda: quality.judge_quality(df, np.zeros(1024)), "filter_urls": lambda: url_filter.filter_urls(df, url="text"),
+        "decontaminate": lambda: decontaminate.decontaminate(df, bench), "drop_contaminated": lambda: decontaminate.drop_contaminated(df, bench), "scan_secrets": lambda: secrets.scan_secrets(df), "redact_secrets": lambda: secrets.redact_secrets(df), "periodic_runs": lambda: periodic_runs.periodic_runs(df),
+    }
+    out = run[name]()
+    rest = [c for c in df.columns if c.lower() not in REPLACED[name] and not (name == "scan_secrets" and c == "text")]
+    assert [c for c in out.columns if c in rest] == rest and set(out.columns) == {*rest, *REPLACED[name]}
+    own = [c for c in PRIVATE if c in rest]
+    view = lambda d: sorted(map(repr, (tuple(r) for r in d.select("doc_id", *[f"`{c}`" for c in own]).collect())))
+    assert view(out) == view(df)
+    only = df.select("text")
+    alone = {"score_toxicity": lambda: toxicity.score_toxicity(only, ({}, [0.0])), "scan_secrets": lambda: secrets.scan_secrets(only), "periodic_runs": lambda: periodic_runs.periodic_runs(only)}
+    if name in alone:
+        assert alone[name]().count() == 5
+
+
+def test_archives_of_pages_with_several_payloads(spark, tmp_path):
+    rows = [(3, "u", "same"), (7, "u", "same"), (7, "v", "only here"), (7, "v", "only here"), (None, "w", "same"), (None, "w", "of no page"), (9, "x", None), (8, "x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    back = warc.read_archives(spark, f"file://{tmp_path}/w", payloads=True).collect()
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, (r.payload or b"").decode()) for r in back)
+    assert got == sorted([(3, "response", 0, "same"), (7, "revisit", 3, ""), (7, "response", 0, "only here"), (7, "response", 0, "only here"), (0, "revisit", 3, ""), (0, "response", 0, "of no page"), (9, "revisit", 8, ""), (8, "response", 0, "")])
+    assert all(r.error is None for r in back)
+    digest = {r.payload_digest for r in back if r.page_id == 7}
+    assert digest == {warc.payload_digest(b"same"), warc.payload_digest(b"only here")}
+
+
+def test_fingerprints_of_rows_without_a_key(spark, monkeypatch):
+    """0 and 15 are linked by 3 alone, whose row has no key; one key has two texts."""
+    prints = {"a": 0, "b": 3, "c": 15, "d": 7 << 40, "e": 7 << 40 | 3 << 50}
+    monkeypatch.setattr(simhash, "simhash", lambda df, text, words: df.withColumn("fp", F.element_at(F.create_map(*[F.lit(x) for p in prints.items() for x in p]), F.col(text)).cast("long")))
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (9, "a"), (9, "d"), (None, "e")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(df).collect())
+    assert got == sorted([(1, 0, 1), (0, 3, 1), (2, 15, 1), (9, 0, 1), (9, prints["d"], 9), (0, prints["e"], 9)])
