@@ -80,8 +80,7 @@ def test_odd_and_empty(spark, odd, none):  # noqa: F811
 
 def test_null_keys_join_what_they_are_near_to(spark):
     words = [f"w{i}" for i in range(60)]
-    far = [*words[:55], *(f"v{i}" for i in range(11))]
-    middle = [*words[:55], *words[55:58]]
+    far, middle = [*words[:55], *(f"v{i}" for i in range(10))], words[:56]
     rows = [(5, " ".join(words)), (None, " ".join(middle)), (4, " ".join(far)), (None, "alone here it stands still")]
     got = found(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got == groups(rows)

@@ -39,10 +39,10 @@ def variants(words, factor=2):
         close = [(-m, x) for x, m in words.items() if near(w, x)]
         best = min(close, default=None)
         forms[w] = best[1] if best and -best[0] >= factor * n else None
-        out[w] = [n, len(close), forms[w], -best[0] if forms[w] else None]
+        out[w] = [n, len(close), forms[w], -best[0] if forms[w] is not None else None]
     for w, row in out.items():
         root = w
-        while forms[root]:
+        while forms[root] is not None:
             root = forms[root]
         row.append(root)
     return {w: tuple(row) for w, row in out.items()}
