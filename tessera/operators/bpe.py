@@ -24,7 +24,7 @@ SPECIALS = ("[BOS]", "[EOS]", "[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]")
 #: Fixed value: the public pattern of byte-level pre-tokens, each with the blank before it.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose pieces a task keeps, stretches that the driver takes for a phase, pairs that a phase looks at first and at most.
-MEMORY, STRETCHES, FIRST_PAIRS, MOST_PAIRS = 200_000, 200_000, 256, 8192
+MEMORY, STRETCHES, FIRST_PAIRS, MOST_PAIRS = 200_000, 200_000, 64, 8192
 
 
 def byte_symbols() -> list[str]:
@@ -140,9 +140,12 @@ def stretches(parts: list[str], pairs: Collection[tuple[str, str]], symbols: set
     them is among `symbols`.
     """
     edges = [p in pairs for p in zip(parts, parts[1:], strict=False)]
-    start = 0
-    for i in range(len(edges) + 1):
-        if i == len(edges) or not (any(edges[max(0, i - 1) : i + 2]) or parts[i] in symbols or parts[i + 1] in symbols):
+    if not (True in edges or symbols):
+        return
+    start, n = 0, len(edges)
+    beside = [False, *edges, False]
+    for i in range(n + 1):
+        if i == n or not (beside[i] or beside[i + 1] or beside[i + 2] or parts[i] in symbols or parts[i + 1] in symbols):
             if i > start:
                 yield tuple(parts[start : i + 1])
             start = i + 1
@@ -239,7 +242,8 @@ def train(word_counts: DataFrame, merges: int, least: int = 2, most_pairs: int =
             floor = top[most_pairs][2] if len(top) > most_pairs else 0
             known = {a + b for a, b in pairs if a + b in symbols}
             cut = _summed(parts, lambda p, pairs=pairs, known=known: stretches(p, pairs, known), "parts array<string>, n long")
-            rows = [(r.parts, r.n) for r in cut.limit(STRETCHES + 1).collect()]
+            got = cut.limit(STRETCHES + 1).toArrow()
+            rows = list(zip(got["parts"].to_pylist(), got["n"].to_pylist(), strict=True))
             if len(rows) <= STRETCHES or most_pairs == 1:
                 break
             most_pairs = max(1, most_pairs // 4)
