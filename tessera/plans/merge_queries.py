@@ -147,6 +147,16 @@ def level_order(spark, sf_dir):
     return hierarchy.levels(_turns(spark, sf_dir))
 
 
+@query("""WITH c AS (SELECT conv_id * 1000 + turn AS id, turn, conv_id, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations)
+SELECT id, CASE WHEN conv_id % 5 = 0 OR conv_id % 7 <> 3 THEN turn END AS level, CASE WHEN conv_id % 5 = 0 THEN 'dangling' WHEN conv_id % 7 = 3 THEN 'cycle' END AS problem FROM c WHERE first = 0""")
+def level_problems(spark, sf_dir):
+    """Turns below a parent that is not there, and conversations whose first turn answers their last."""
+    c = table(spark, sf_dir, "conversations")
+    ends = c.groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last")).where("first = 0")
+    above = F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).when(F.col("conv_id") % 5 == 0, -1 - F.col("conv_id")).when(F.col("conv_id") % 7 == 3, F.col("conv_id") * 1000 + F.col("last"))
+    return hierarchy.levels(c.join(ends, "conv_id").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), above.alias("parent")))
+
+
 @query(f"WITH {_TREE} SELECT t.id, p.id AS parent_id, t.role, p.role AS parent_role FROM t JOIN t p ON t.parent = p.id")
 def parent_pair(spark, sf_dir):
     return hierarchy.with_parent(_turns(spark, sf_dir), ["id", "role"]).select("id", "parent_id", "role", "parent_role")

@@ -190,6 +190,15 @@ def normalize_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(z(v), 6).alias("z"), F.round(normalise.normaliser("log")[0](F.when(v > 0, v)), 6).alias("logged"), F.round(log(v), 6).alias("logged1"), F.round((unz(z(v)) + unlog(log(v))) / 2, 6).alias("back"))
 
 
+@query("SELECT l_orderkey, round(sum(ln(1 + l_extendedprice)), 6) AS logs, round(sum(l_extendedprice), 4) AS back FROM lineitem GROUP BY 1")
+def normalize_arrays(spark, sf_dir):
+    """Arrays of prices normalised element by element and taken back."""
+    f, g = (normalise.on_array(x) for x in normalise.normaliser("log1p"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    arrays = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_extendedprice").cast("double")).alias("a")).withColumn("n", f(F.col("a")))
+    return _r(_r(arrays.select("l_orderkey", total("n").alias("logs"), total(g(F.col("n"))).alias("back")), "logs"), "back", places=4)
+
+
 @query("""WITH s AS (SELECT event_type, user_id, sum(CAST(round(value * 100) AS BIGINT) % 50) AS v FROM events GROUP BY 1, 2), b AS (SELECT user_id, v FROM s WHERE event_type = 'click')
 SELECT event_type, count(*) FILTER (WHERE s.v = b.v) AS original, count(*) FILTER (WHERE s.v <> b.v) AS deviated FROM s JOIN b USING (user_id) WHERE event_type <> 'click' GROUP BY 1""")
 def deviation_census(spark, sf_dir):

@@ -47,6 +47,15 @@ def ingest_counts(spark, sf_dir):
     return spark.read.parquet(f"{path}/out")
 
 
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, 2 * count(*) AS n FROM events GROUP BY 1, 2")
+def ingest_count_updates(spark, sf_dir):
+    """Events that come twice, in several batches: each batch changes counts, and the last ones stand."""
+    path = scratch(spark, "count-updates")
+    counts = ingest.status_counts(_stream(spark, sf_dir, twice=True), "ts", "1 day", "event_type", "10000 days")
+    ingest.store_counts(counts, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return ingest.stored_counts(spark, f"{path}/out", "event_type")
+
+
 @query("SELECT event_id, value AS trace, event_type = 'click' AS hash_mismatch FROM events WHERE user_id % 2 = 0")
 def ingest_traces(spark, sf_dir):
     """Traces that come as a stream are attached to the stored runs; clicks have another image."""

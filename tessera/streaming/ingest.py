@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -58,6 +58,24 @@ def status_counts(runs: DataFrame, time: str, window: str, status: str, late: st
     return w.select(F.col("window.start").alias("start"), status, "n")
 
 
+def store_counts(counts: DataFrame, out: str, checkpoint: str):
+    """Start a query that writes the counts that each batch changes, in update mode, to a folder of its number.
+
+    State stays bounded: a window that the watermark has passed is dropped, and rows later than that
+    are not counted.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_counts(spark: SparkSession, out: str, status: str) -> DataFrame:
+    """Rows (start, status, n): the last count of each window that any batch has written."""
+    return spark.read.parquet(out).groupBy("start", status).agg(F.max_by("n", "batch").alias("n"))
+
+
 def attach_stream(traces: DataFrame, target: str, out: str, checkpoint: str, key: str, value: str, hash_col: str):
     """Start a query that joins each batch of traces to the stored runs and writes the attached rows."""
     from tessera.operators.merge import attach

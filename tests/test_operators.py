@@ -772,3 +772,21 @@ def test_a_hot_value_is_dealt_over_tasks(spark):
     small = spark.createDataFrame([("hot", 1), ("hot", 2), ("460", 3)], "w string, item int")
     got = merge.salted_join(big, small, "w", "id", salts=4)
     assert sorted((r.id, r.item) for r in got.collect()) == [(i, k) for i in range(450) for k in (1, 2)] + [(460, 3)]
+
+
+def test_counts_in_update_mode_leave_late_rows_out(spark, tmp_path):
+    from tessera.streaming import ingest
+
+    feed = f"file://{tmp_path}/in"
+    batch = lambda rows_: spark.createDataFrame(rows_, "ts string, kind string").select(F.col("ts").cast("timestamp").alias("ts"), "kind").coalesce(1).write.mode("append").parquet(feed)
+
+    def run():
+        stream = spark.readStream.schema("ts timestamp, kind string").parquet(feed)
+        ingest.store_counts(ingest.status_counts(stream, "ts", "1 day", "kind", "1 day"), f"file://{tmp_path}/out", f"file://{tmp_path}/check").awaitTermination()
+
+    batch([("2024-01-01 10:00:00", "a"), ("2024-01-05 10:00:00", "a")])
+    run()
+    batch([("2024-01-05 11:00:00", "a"), ("2024-01-01 11:00:00", "a"), ("2024-01-05 12:00:00", "b")])  # the second is four days late
+    run()
+    got = ingest.stored_counts(spark, f"file://{tmp_path}/out", "kind").collect()
+    assert sorted((str(r.start)[:10], r.kind, r.n) for r in got) == [("2024-01-01", "a", 1), ("2024-01-05", "a", 2), ("2024-01-05", "b", 1)]
