@@ -273,9 +273,13 @@ def media_list(spark, sf_dir):
     return filters.media_list(filters.channels(_passes(spark, sf_dir), "page_id", F.col("passes")))
 
 
-@query("SELECT page_id, 2 AS n, '0,2' AS channels FROM pages")
+@query("SELECT page_id, (page_id % 3 = 1)::INT + (page_id % 5 < 2)::INT + 1 AS n, concat_ws(',', CASE WHEN page_id % 3 = 1 THEN '0' END, CASE WHEN page_id % 5 < 2 THEN '1' END, '2') AS channels FROM pages")
 def passes_of_type(spark, sf_dir):
-    got = _passes(spark, sf_dir).select("page_id", filters.passes_of(F.col("passes"), "image").alias("p"))
+    """Of three passes the first two are images on some pages only."""
+    first, second = F.col("page_id") % 3 == 1, F.col("page_id") % 5 < 2
+    kinds = F.array(F.when(first, "image").otherwise("sound"), F.when(second, "image").otherwise("buffer"), F.lit("image"))
+    passes = F.transform("passes", lambda p, i: F.struct(F.get(kinds, i).alias("type"), F.array(F.struct(i.alias("channel"))).alias("inputs")))
+    got = _passes(spark, sf_dir).select("page_id", filters.passes_of(passes, "image").alias("p"))
     channel = F.array_join(F.transform("p", lambda p: p["inputs"][0]["channel"].cast("string")), ",")
     return got.select("page_id", F.size("p").alias("n"), channel.alias("channels"))
 

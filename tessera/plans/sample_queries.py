@@ -147,10 +147,11 @@ def tokenised_snapshot(spark, sf_dir):
     return spark.read.parquet(out).select("o_orderkey", F.size("ids").cast("long").alias("n_tokens"))
 
 
-@query("SELECT 'a' AS feature, 1.5::DOUBLE * count(*) AS coef FROM part UNION ALL SELECT '(intercept)', 2.0::DOUBLE")
+@query("SELECT p_brand AS feature, round(avg(p_retailprice), 6) AS coef FROM part GROUP BY 1 UNION ALL SELECT '(intercept)', 2.0::DOUBLE")
 def coefficients_stored(spark, sf_dir):
+    """A coefficient a brand, written, and read as the kind that it was written as."""
     path = scratch(spark, "coefficients")
-    n = table(spark, sf_dir, "part").agg((1.5 * F.count(F.lit(1))).alias("coef")).select(F.lit("a").alias("feature"), "coef")
+    n = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("feature")).agg(F.round(F.avg("p_retailprice"), 6).alias("coef"))
     samples.write_coefficients(n.unionByName(regress.coefficient_table(spark, [("(intercept)", 2.0)])), path, "linear")
     return samples.read_coefficients(spark, path, "linear")
 
@@ -162,12 +163,11 @@ def epoch_sample(spark, sf_dir):
     return samples.epoch_sample(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 6, 0, 1500).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("draws"))
 
 
-@query("SELECT round(avg(place * l_quantity), 4) AS moment, max(place) AS n FROM (SELECT l_quantity, row_number() OVER (ORDER BY l_quantity) AS place FROM lineitem)")
+@query("SELECT l_quantity AS counter, row_number() OVER (ORDER BY l_quantity) AS place FROM lineitem")
 def counters_sorted(spark, sf_dir):
-    """Counters of all arrays in order; places of equal ones may change hands, which no sum over them shows."""
+    """Counters of all arrays in order, a row each."""
     arrays = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("c"))
-    out = samples.sorted_counters(arrays, "c")
-    return out.agg(F.round(F.avg(F.col("place") * F.col("counter")), 4).alias("moment"), F.max("place").alias("n"))
+    return samples.sorted_counters(arrays, "c")
 
 
 @query("""SELECT l_orderkey, count(*) AS n_ids, count(*)::DOUBLE AS ones, true AS plain FROM lineitem GROUP BY 1""")
