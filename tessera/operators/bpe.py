@@ -24,7 +24,7 @@ SPECIALS = ("[BOS]", "[EOS]", "[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]")
 #: Fixed value: the public pattern of byte-level pre-tokens, each with the blank before it.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose pieces a task keeps, stretches that the driver takes for a phase, pairs that a phase looks at first and at most.
-MEMORY, STRETCHES, FIRST_PAIRS, MOST_PAIRS = 200_000, 200_000, 64, 8192
+MEMORY, STRETCHES, FIRST_PAIRS, MOST_PAIRS = 200_000, 200_000, 16, 8192
 
 
 def byte_symbols() -> list[str]:
