@@ -538,7 +538,10 @@ def test_warc_round_trip(spark, tmp_path, least):
     path = f"{tmp_path}/a"
     warc.write_archives(pages, path, least_bytes=least)
     got = warc.read_archives(spark, path, payloads=True).collect()
-    assert len(got) == len(html) + 1 and all(r.error is None for r in got)
+    assert len(got) == len(html) + 2 and all(r.error is None for r in got)
+    null = [r for r in got if r.page_id is None]  # a row without an id has its record too
+    assert [(r.record_type, r.refers_to, r.payload) for r in null] == [("response", None, b"v")]
+    got = [r for r in got if r.page_id is not None]
     first = {}
     for i, h in enumerate(html):
         first.setdefault(h or "", i)
