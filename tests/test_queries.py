@@ -45,3 +45,20 @@ def test_query_without_sql_gives_rows(spark, sf_dir, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 9
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _same(spark, folder, name):
+    """A query against its SQL over a folder that has just the tables it reads."""
+    con = duckdb.connect()
+    for p in folder.glob("*.parquet"):
+        con.sql(f"create view {p.stem} as select * from read_parquet('{p}/**/*.parquet')")
+    got, want = QUERIES[name](spark, f"file://{folder}").toPandas(), con.sql(ORACLES[name]).df()
+    assert normal(got) == normal(want)
+    return got
+
+
+def test_runs_that_come_late_are_there_once(spark, tmp_path):
+    """Each file has early and late events, so that after the first batch every other has some of weeks before."""
+    for i in range(8):
+        spark.sql(f"SELECT id AS event_id, timestamp'2024-01-01' + make_dt_interval(CAST(20 * (id % 2) AS INT), {i}) AS ts, 7L AS user_id, IF(id % 3 = 0, 'error', 'click') AS event_type, 1.5D AS value, '' AS props FROM range({10 * i}, {10 * i + 10})").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/events.parquet")
+    assert sum(_same(spark, tmp_path, "ingest_runs").n) == 80
