@@ -96,7 +96,8 @@ def relative_deviation(df: DataFrame, group: str, key: str, value: str, base) ->
 def order_by_base(df: DataFrame, group: str, key: str, value: str, groups: Sequence) -> DataFrame:
     """Rows (key, a column per group, ordinal): group means, keys in the order of the first group's mean.
 
-    Only keys that every group has are there.
+    Only keys that every group has are there. Equal means go by the key; a mean of whole numbers does
+    not hang on the order in which they are added, one of fractions does in its last digits.
     """
     wide = df.groupBy(key).pivot(group, list(groups)).agg(F.avg(value)).dropna()
     return global_rank(wide, F.col(f"`{groups[0]}`"), key, name="ordinal")

@@ -213,10 +213,14 @@ def relative_deviation(spark, sf_dir):
     return _r(metrics.relative_deviation(e, "event_type", "user_id", "v", "click"), "deviation")
 
 
-@query("""WITH w AS (SELECT user_id, avg(value) FILTER (WHERE event_type = 'click') AS click, avg(value) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1)
-SELECT user_id, round(click, 6) AS click, round(view, 6) AS view, row_number() OVER (ORDER BY click, user_id) AS ordinal FROM w WHERE click IS NOT NULL AND view IS NOT NULL""")
+@query("""WITH v AS (SELECT user_id, event_type, CAST(round(value * 1000000) AS BIGINT) AS v FROM events),
+w AS (SELECT user_id, avg(v) FILTER (WHERE event_type = 'click') AS click, avg(v) FILTER (WHERE event_type = 'view') AS view FROM v GROUP BY 1)
+SELECT user_id, round(click) / 1000000 AS click, round(view) / 1000000 AS view, row_number() OVER (ORDER BY click, user_id) AS ordinal FROM w WHERE click IS NOT NULL AND view IS NOT NULL""")
 def order_by_base(spark, sf_dir):
-    return _r(metrics.order_by_base(table(spark, sf_dir, "events"), "event_type", "user_id", "value", ["click", "view"]), "click", "view")
+    """Means of whole millionths: equal means are equal in whatever order their values are added, and their users stand by number."""
+    e = table(spark, sf_dir, "events").withColumn("v", F.round(F.col("value") * 1000000).cast("long"))
+    out = metrics.order_by_base(e, "event_type", "user_id", "v", ["click", "view"])
+    return out.select("user_id", (F.round("click") / 1000000).alias("click"), (F.round("view") / 1000000).alias("view"), "ordinal")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS ordinal FROM orders")

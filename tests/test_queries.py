@@ -62,3 +62,12 @@ def test_runs_that_come_late_are_there_once(spark, tmp_path):
     for i in range(8):
         spark.sql(f"SELECT id AS event_id, timestamp'2024-01-01' + make_dt_interval(CAST(20 * (id % 2) AS INT), {i}) AS ts, 7L AS user_id, IF(id % 3 = 0, 'error', 'click') AS event_type, 1.5D AS value, '' AS props FROM range({10 * i}, {10 * i + 10})").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/events.parquet")
     assert sum(_same(spark, tmp_path, "ingest_runs").n) == 80
+
+
+def test_equal_means_stand_by_their_key(spark, tmp_path):
+    """The same values in other orders have equal means, whose users stand in the order of their numbers."""
+    values = [0.1, 0.2, 0.3, 0.7, 1.1, 122.79, 29.27]
+    rows_ = [(u, t, values[(k * (1 + u % 6) + u) % 7]) for u in range(60) for t in ("click", "view") for k in range(7)]
+    spark.createDataFrame(rows_, "user_id long, event_type string, value double").coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    got = _same(spark, tmp_path, "order_by_base")
+    assert list(got.sort_values("ordinal").user_id) == list(range(60))
