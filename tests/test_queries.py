@@ -71,3 +71,9 @@ def test_equal_means_stand_by_their_key(spark, tmp_path):
     spark.createDataFrame(rows_, "user_id long, event_type string, value double").coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
     got = _same(spark, tmp_path, "order_by_base")
     assert list(got.sort_values("ordinal").user_id) == list(range(60))
+
+
+def test_a_program_with_an_id_past_the_range_has_no_tokens(spark, tmp_path):
+    spark.sql("SELECT CAST(id % 4 AS BIGINT) AS l_orderkey, id AS l_partkey, 19997 + id % 4 AS l_suppkey, CAST(1 + id DIV 4 AS INT) AS l_linenumber, 3D AS l_quantity, 'A' AS l_returnflag FROM range(12)").coalesce(1).write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    got = _same(spark, tmp_path, "program_tokens").set_index("l_orderkey")
+    assert got.tokens.isna().to_dict() == {0: False, 1: False, 2: False, 3: True}
