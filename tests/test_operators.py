@@ -767,6 +767,41 @@ def test_thousands_of_features(spark):
     assert all(got[f"f{i}"] == pytest.approx(i % 11, abs=1e-6) for i in range(0, n, 37))
 
 
+@pytest.mark.parametrize("steps", [0, 500])
+def test_sparse_least_squares_by_steps(spark, monkeypatch, steps):
+    """Steps give what all moments give, the coefficients of least norm too; without enough steps the moments are taken."""
+    import numpy as np
+
+    monkeypatch.setattr(regress, "STEPPED", 5)
+    monkeypatch.setattr(regress, "PIECE", 4)
+    monkeypatch.setattr(regress, "STEPS", steps)
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((80, 15)) < 0.3, rng.integers(1, 9, (80, 15)), 0).astype(float)
+    x[:, 7], x[:, 11] = 4.0, x[:, 3]
+    y, w = x @ rng.normal(size=15) + rng.normal(size=80), rng.random(80) + 0.1
+    long = spark.createDataFrame([(i, f"f{j:02d}", float(x[i, j])) for i in range(80) for j in range(15) if x[i, j]], "id long, feature string, value double")
+    targets = spark.createDataFrame([(i, float(y[i]), float(w[i])) for i in range(80)], "id long, y double, w double")
+    got = dict(regress.sparse_ols(long, targets, "id", "y", F.col("w")))
+    mean, mean_y = np.average(x, axis=0, weights=w), np.average(y, weights=w)
+    want = np.linalg.lstsq((x - mean) * np.sqrt(w)[:, None], (y - mean_y) * np.sqrt(w), rcond=1e-10)[0]
+    assert [got[f"f{j:02d}"] for j in range(15)] == pytest.approx(list(want), abs=1e-6)
+    assert got["(intercept)"] == pytest.approx(mean_y - mean @ want, abs=1e-6)
+    monkeypatch.setattr(regress, "MOST_MOMENTS", 10)
+    if not steps:
+        with pytest.raises(ValueError):
+            regress.sparse_ols(long, targets, "id", "y", F.col("w"))
+
+
+def test_more_features_than_moments(spark):
+    """9,000 features, each in two rows: more than a fit by moments takes."""
+    n = 9000
+    long = spark.range(2 * n).selectExpr("id", "concat('f', id % 9000) AS feature", "cast(1 + id div 9000 AS double) AS value")
+    targets = spark.range(2 * n).selectExpr("id", "cast((id % 9000 % 11) * (1 + id div 9000) + 5 AS double) AS y")
+    got = dict(regress.sparse_ols(long, targets, "id", "y"))
+    assert len(got) == n + 1 and got["(intercept)"] == pytest.approx(5, abs=1e-6)
+    assert all(got[f"f{i}"] == pytest.approx(i % 11, abs=1e-6) for i in range(0, n, 37))
+
+
 def test_a_hot_value_is_dealt_over_tasks(spark):
     big = spark.range(500).selectExpr("id", "if(id < 450, 'hot', cast(id AS string)) AS w")
     small = spark.createDataFrame([("hot", 1), ("hot", 2), ("460", 3)], "w string, item int")
