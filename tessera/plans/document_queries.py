@@ -112,10 +112,9 @@ def bpe_roundtrip(spark, sf_dir):
     """Byte-level pieces of whole texts: how many the merges leave; decoded they are the texts again, with as many symbols as bytes."""
     docs = table(spark, sf_dir, "documents")
     merges = bpe.train_vocabulary(docs, "text", len(bpe.SPECIALS) + 256 + 30)
-    pieces = bpe.encode(docs, "doc_id", "text", merges, bpe.byte_words)
-    back = bpe.decode_bytes(pieces, "doc_id").join(docs.select("doc_id", bpe.led(F.coalesce("text", F.lit(""))).alias("_own")), "doc_id")
-    n = pieces.select("doc_id", F.length(F.array_join("pieces", "")).cast("long").alias("n_bytes"), F.size("pieces").cast("long").alias("n_pieces"))
-    return back.select("doc_id", (F.col("text") == F.col("_own")).alias("back")).join(n, "doc_id")
+    pieces = bpe.encode(docs, "doc_id", "text", merges, bpe.byte_words, keep=["text"]).withColumn("_all", F.array_join("pieces", ""))
+    own = bpe.led(F.coalesce("text", F.lit("")))
+    return pieces.select("doc_id", (bpe.unspelt(F.col("_all")) == own).alias("back"), F.length("_all").cast("long").alias("n_bytes"), F.size("pieces").cast("long").alias("n_pieces"))
 
 
 @query(f"""WITH raw AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda x: x <> '')) AS w FROM documents),
@@ -127,10 +126,10 @@ def bpe_encode(spark, sf_dir):
     """Pieces of each text under twenty merges, and those of its words that are one piece."""
     docs = table(spark, sf_dir, "documents")
     merges = bpe.train(bpe.words(docs, "text"), 20)
-    n = bpe.encode(docs, "doc_id", "text", merges).select("doc_id", F.size("pieces").cast("long").alias("n_pieces"))
     made = {a + b for a, b in merges}
     whole = F.filter(bpe.blank_words(F.coalesce("text", F.lit(""))), lambda w: (F.length(w) == 1) | w.isin(sorted(made)))
-    return n.join(docs.select("doc_id", F.size(whole).cast("long").alias("n_whole")), "doc_id")
+    counted = docs.select("doc_id", "text", F.size(whole).cast("long").alias("n_whole"))
+    return bpe.encode(counted, "doc_id", "text", merges, keep=["n_whole"]).select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "n_whole")
 
 
 @query("""WITH w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), lambda x: 5000 + strlen(x)) AS ids FROM documents)

@@ -767,6 +767,22 @@ def test_thousands_of_features(spark):
     assert all(got[f"f{i}"] == pytest.approx(i % 11, abs=1e-6) for i in range(0, n, 37))
 
 
+def test_pieces_beside_other_columns(spark, monkeypatch):
+    """Columns go along with the pieces of their row, also where batches are small, ids repeat and a task forgets words."""
+    monkeypatch.setattr(bpe, "MEMORY", 2)
+    texts = ["low lower é", None, "", "  low\n\tnew", "low", "\x00 a"] * 3
+    df = spark.createDataFrame([(i % 4, t, f"k{i}") for i, t in enumerate(texts)], "id long, t string, k string").repartition(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = {r.k: "".join(r.pieces) for r in bpe.encode(df, "id", "t", [("l", "o"), ("lo", "w")], bpe.byte_words, keep=["k"]).collect()}
+        blank = {r.k: list(r.pieces) for r in bpe.encode(df, "id", "t", [("l", "o"), ("lo", "w")], keep=["k"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    led = [" " + t if t and t[0] != " " else t or "" for t in texts]
+    assert got == {f"k{i}": "".join(bpe.byte_symbols()[b] for b in t.encode()) for i, t in enumerate(led)}
+    assert blank["k0"] == ["low", "low", "e", "r", "é"] and blank["k1"] == blank["k2"] == [] and len(blank) == len(texts)
+
+
 @pytest.mark.parametrize("steps", [0, 500])
 def test_sparse_least_squares_by_steps(spark, monkeypatch, steps):
     """Steps give what all moments give, the coefficients of least norm too; without enough steps the moments are taken."""
