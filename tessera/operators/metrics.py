@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordinal import global_rank, running_total
+from .ordinal import checkpointed, global_rank, running_total
 
 #: The ranges of the measured value, half open; values elsewhere are in none.
 RANGES = ((0.0, 1e-4), (1e-4, 1e-3), (1e-3, 1e-2), (1e-2, 1e-1), (1e-1, 1e10))
@@ -43,21 +45,32 @@ def metric_matrix(df: DataFrame, row: str, columns: Sequence[str], values: Seque
     return tagged.groupBy(row).pivot("_c", list(values)).agg(pick)
 
 
-def average_ranks(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
-    """Rows (by..., value, name): the average rank of each distinct value within `by`.
+def average_ranks(df: DataFrame, value: str, by: Sequence[str], name: str, times: Column | None = None) -> DataFrame:
+    """Rows (by..., value, name): the average rank of each distinct value within `by`; a row counts `times`, or once.
 
     Ranks are running totals over counts of distinct values, by ranges: one row for each value, and
     no task that sorts a group.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*by, value).agg(F.sum(F.lit(1) if times is None else times).alias("_n"))
     upto = running_total(counts, by, value, "_n", "_upto")
     return upto.select(*by, value, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, by: Sequence[str], real: str, pred: str) -> DataFrame:
-    """Rows (by..., spearman): rank correlation with average ranks for ties."""
-    a, b = average_ranks(df, real, by, "_ra"), average_ranks(df, pred, by, "_rb")
-    return df.join(a, [*by, real]).join(b, [*by, pred]).groupBy(*by).agg(F.corr("_ra", "_rb").alias("spearman"))
+    """Rows (by..., spearman): rank correlation with average ranks for ties; NaN where one does not vary, null for one row.
+
+    Rows are read once, and equal pairs are one from then on, with their number.
+    """
+    pairs = checkpointed(df.groupBy(*by, real, pred).agg(F.count(F.lit(1)).alias("_times")))
+    a, b = (average_ranks(pairs, c, by, name, F.col("_times")) for c, name in ((real, "_ra"), (pred, "_rb")))
+    ranked = pairs.join(a, [*by, real]).join(b, [*by, pred])
+    total = lambda *cols: F.sum(reduce(mul, map(F.col, cols), F.col("_times").cast("double")))
+    sums = {"n": total(), "a": total("_ra"), "b": total("_rb"), "aa": total("_ra", "_ra"), "bb": total("_rb", "_rb"), "ab": total("_ra", "_rb")}
+    m = ranked.groupBy(*by).agg(*[s.alias(f"_{k}") for k, s in sums.items()], *[(F.min(c) < F.max(c)).alias(f"_varies{c}") for c in ("_ra", "_rb")])
+    both = lambda x, y, xy: F.col(xy) / F.col("_n") - F.col(x) / F.col("_n") * (F.col(y) / F.col("_n"))
+    r = both("_a", "_b", "_ab") / F.sqrt(both("_a", "_a", "_aa") * both("_b", "_b", "_bb"))
+    out = F.when(F.col("_varies_ra") & F.col("_varies_rb"), r).when(F.col("_n") > 1, F.lit(float("nan")))
+    return m.select(*by, out.alias("spearman"))
 
 
 def relative_squared_error(real: str, pred: str) -> Column:

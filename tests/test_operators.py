@@ -767,6 +767,32 @@ def test_thousands_of_features(spark):
     assert all(got[f"f{i}"] == pytest.approx(i % 11, abs=1e-6) for i in range(0, n, 37))
 
 
+def test_rank_correlation_reads_its_rows_once(spark):
+    """As the correlation of average ranks over the single rows; equal rows come many times, and each is read once."""
+    import math
+
+    rng = random.Random(5)
+    data = [(g, float(x), float(x * rng.choice([1, 1, -2]) % 7)) for g in "ab" for x in (rng.randrange(9) for _ in range(60))] * 3 + [("a", None, 1.0), ("c", 1.0, 2.0), ("d", 1.0, 2.0), ("d", 1.0, 3.0)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(data, "g string, x double, y double")
+    got = {r.g: r.spearman for r in metrics.spearman(df.mapInArrow(seen, df.schema), ["g"], "x", "y").collect()}
+    assert read.value <= 2 * len(data)  # a checkpoint writes what it has counted
+    for g in "ab":
+        v = [(x, y) for h, x, y in data if h == g and x is not None]
+        rank = lambda k: [sum(u[k] < w[k] for u in v) + (sum(u[k] == w[k] for u in v) + 1) / 2 for w in v]  # noqa: E731, B023
+        p, q = rank(0), rank(1)
+        mp, mq = sum(p) / len(p), sum(q) / len(q)
+        want = sum((i - mp) * (j - mq) for i, j in zip(p, q, strict=True)) / math.sqrt(sum((i - mp) ** 2 for i in p) * sum((j - mq) ** 2 for j in q))
+        assert got[g] == pytest.approx(want, abs=0.02 if g == "a" else 1e-9)  # the row without x has a rank of y
+    assert got["c"] is None and math.isnan(got["d"])
+
+
 def test_pieces_beside_other_columns(spark, monkeypatch):
     """Columns go along with the pieces of their row, also where batches are small, ids repeat and a task forgets words."""
     monkeypatch.setattr(bpe, "MEMORY", 2)
