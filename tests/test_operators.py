@@ -615,6 +615,22 @@ def test_modules_to_tokens(spark, tmp_path):
     assert operands.tokenise_binaries(spark.createDataFrame([], "id long, b binary"), "id", "b", grammar).count() == 0
 
 
+def test_binaries_are_tokenised_where_they_are(spark, tmp_path):
+    """Without blocks nothing is shuffled; with them rows once on each side. A null key's binary is read like any other."""
+    from tessera.operators import operands
+
+    grammar = operands.Grammar({15: [("Model", ""), ("IdRef", "")], 54: [], 248: [("IdResult", "")]}, frozenset(), KINDS | {"Model": ("ValueEnum", [], {})})
+    words = [programs.MAGIC, 0, 0, 99, 0, 3 << 16 | 15, 0, 20, 5 << 16 | 54, 1, 20, 0, 9, 2 << 16 | 248, 21]
+    df = spark.createDataFrame([(1, struct.pack(f"<{len(words)}I", *words)), (None, struct.pack(f">{len(words)}I", *words))], "id long, b binary")
+    out = operands.tokenise_binaries(df, "id", "b", grammar)
+    assert [(r.id, r.input_ids, [int(x) for x in r.trace], r.problem) for r in sorted(out.collect(), key=str)] == [(1, [2248, 20021], [0, 0], None), (None, [2248, 20021], [0, 0], None)]
+    blocks = spark.createDataFrame([(1, 21, 3), (1, None, 4), (2, 21, 5)], "id long, block_id long, times long")
+    counted = operands.tokenise_binaries(df, "id", "b", grammar, blocks)
+    assert {r.id: [int(x) for x in r.trace] for r in counted.collect()} == {1: [3, 0], None: [0, 0]}
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (out, counted)]
+    assert [p.count("Join") for p in plans] == [0, 1] and [p.count("Aggregate") for p in plans] == [0, 1]
+
+
 def test_bytes_of_columns(spark):
     df = spark.createDataFrame([(1, bytes(range(256))), (2, b""), (3, None)], "id long, b binary")
     got = {r.id: r for r in df.select("id", scalar.byte_values(F.col("b")).alias("v"), store.unpack_counters(F.col("b"), 4).alias("c")).collect()}
