@@ -55,13 +55,10 @@ def read_documents(spark: SparkSession, path: str, legacy: bool = False) -> Data
 
     An id that two files have fails the job.
     """
-    reader = spark.read.schema(DOCUMENT).option("multiLine", True)
-    reader = reader.option("pathGlobFilter", "*-*.json") if legacy else reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    docs = reader.json(path).select(F.substring_index(name, "-", 1).alias("id") if legacy else name.alias("id"), F.struct("Error", "Shader").alias("document"))
-    twice = docs.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
-    safe = F.when(F.col("_n") == 1, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("twice: "), F.col("id"))).cast("string"))
-    return docs.join(twice, "id").select(safe.alias("id"), "document")
+    from .named import read_named
+
+    docs = read_named(spark, path, DOCUMENT, legacy)
+    return docs.select("id", F.struct("document.Error", "document.Shader").alias("document"))
 
 
 def write_documents(docs: DataFrame, path: str, id: str = "id") -> None:

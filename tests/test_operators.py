@@ -728,6 +728,32 @@ def test_documents_are_named_by_their_ids(spark, tmp_path):
     assert (tmp_path / "none" / "_SUCCESS").read_text() == "0"
 
 
+def test_documents_are_read_once_in_few_tasks(spark, tmp_path):
+    """400 files are read by as many tasks as parts are dealt, each once; blank, broken and hidden files, arrays and UTF-16 are as for Spark's reader."""
+    from tessera.sources import named
+
+    docs = spark.range(400).select(F.concat((F.col("id") % 7).cast("string"), F.lit("é"), F.col("id").cast("string")).alias("id"), F.struct(F.struct(F.struct(F.col("id").cast("string").alias("name")).alias("info")).alias("Shader")).alias("document"))
+    flat = f"file://{tmp_path}/flat"
+    named.write_named(docs, flat, suffix="v1")
+    got = store.read_documents(spark, flat, legacy=True)
+    assert "FileScan json" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.name) for r in got.select("id", "document.Shader.info.name").collect()) == sorted((f"{i % 7}é{i}", str(i)) for i in range(400))
+    assert got.rdd.getNumPartitions() <= named.tasks(spark) and not [p for p in (tmp_path / "flat").iterdir() if p.is_dir()]
+    tree = tmp_path / "tree"
+    (tree / "x" / "y" / "z").mkdir(parents=True)
+    (tree / "_temporary").mkdir()
+    files = {"a": b'{"Error": "e"}', "x/b": b"", "x/y/c": b" \n", "x/y/z/d": b'{"Error": ', "e": b'[{"Error": "f"}]', "f": b"[]", "g": '{"Error": "é"}'.encode("utf-16"), "_h": b"{}", ".i": b"{}", "_temporary/j": b"{}", "k": b'{"Error": "k", "Shader": {"info": 3}}', "l": b"\xff\xff{", "m": b"null", "n": b'{"Error": 5}'}
+    for name, data in files.items():
+        (tree / f"{name}.json").write_bytes(data)
+    (tree / "o.txt").write_text("{}")
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("id")
+    want = spark.read.schema(store.DOCUMENT).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(str(tree)).select(name, F.struct("Error", "Shader").alias("document"))
+    assert sorted(map(str, store.read_documents(spark, str(tree)).collect())) == sorted(map(str, want.collect()))
+    (tree / "p.json").write_text('[{"Error": "1"}, {"Error": "2"}]')
+    with pytest.raises(Exception, match="twice"):
+        store.read_documents(spark, str(tree)).collect()
+
+
 def test_kernel_density_against_a_direct_sum(spark):
     import math
     import statistics
