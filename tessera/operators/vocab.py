@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,84 +55,104 @@ def merge_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("symbol").agg(F.sum("count").alias("count"))
 
 
-#: A vocabulary of up to so many symbols goes to every task; a larger one is joined.
+#: So many symbols of a vocabulary go to every task, those of the least indexes; the others are joined.
 SMALL_VOCAB = 500_000
 
 
-def held(vocab: DataFrame) -> DataFrame | list[tuple[str, int]]:
-    """The (symbol, index) of a vocabulary of up to SMALL_VOCAB symbols, to be used more than once; a larger one as it is."""
-    few = _small(vocab)
-    return vocab if few is None else few
+class Held(NamedTuple):
+    """(symbol, index) of the symbols that every task has, and the whole vocabulary if it has more."""
 
+    few: list[tuple[str, int]]
+    whole: DataFrame | None
 
-def _small(vocab: DataFrame | list[tuple[str, int]]) -> list[tuple[str, int]] | None:
-    """(symbol, index) of a vocabulary, or None if it has more than SMALL_VOCAB symbols."""
-    if isinstance(vocab, list):
-        return vocab
-    rows = vocab.select("symbol", "index").where("symbol is not null and index is not null").limit(SMALL_VOCAB + 1).collect()
-    return [tuple(r) for r in rows] if len(rows) <= SMALL_VOCAB else None
 
+def held(vocab: DataFrame) -> Held:
+    """A vocabulary to be used more than once; it is worked out once."""
+    known = checkpointed(vocab.select("symbol", "index").where("symbol is not null and index is not null"))
+    rows = known.limit(SMALL_VOCAB + 1).collect()
+    if len(rows) <= SMALL_VOCAB:
+        return Held([tuple(r) for r in rows], None)
+    return Held([tuple(r) for r in known.where(F.col("index") < SMALL_VOCAB).limit(SMALL_VOCAB).collect()], known)
 
-def encode_lines(of_lines: DataFrame, vocab: DataFrame | list[tuple[str, int]], key: Sequence[str], line: str = "line", unk: str = "<unk>", eos: str | None = "</s>", reverse: bool = False) -> DataFrame:
+
+def _with_found(rows: DataFrame, wanted: Column, whole: DataFrame | None, key: Sequence[str], on: str, value: str) -> DataFrame:
+    """rows with _found: the values that a vocabulary has for their `wanted`, in that order, null for what it lacks.
+
+    Only what is wanted is joined; rows themselves are shuffled once, by their keys, which are distinct.
+    """
+    if whole is None:
+        return rows.withColumn("_found", F.lit(None).cast(f"array<{'long' if value == 'index' else 'string'}>"))
+    long = rows.select(*key, wanted.alias("_wanted")).select(*key, F.posexplode("_wanted").alias("_at", on))
+    named = long.join(whole.groupBy(on).agg(F.min(value).alias(value)), on, "left")
+    got = named.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_at", F.col(value).alias("v")))).alias("_x"))
+    got = got.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)], F.transform("_x", lambda x: x["v"]).alias("_found"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)])
+    return rows.join(got, same, "left").drop(*[f"_key{i}" for i in range(len(key))])
+
+
+def encode_lines(of_lines: DataFrame, vocab: DataFrame | Held, key: Sequence[str], line: str = "line", unk: str = "<unk>", eos: str | None = "</s>", reverse: bool = False) -> DataFrame:
     """Rows (key..., ids): each line's symbol indexes, unknown ones that of `unk`; the end symbol stays last.
 
-    A vocabulary of up to SMALL_VOCAB symbols is looked up where the lines are read; a larger one is
-    joined to the tokens by a shuffle. A null line has the end symbol alone.
+    The SMALL_VOCAB symbols of the least indexes, in a finalised vocabulary the most frequent, are looked
+    up where the lines are read; other tokens alone are joined to a larger vocabulary. A null line has
+    the end symbol alone. Keys are distinct.
     """
-    few = _small(vocab)
-    if few is None:
-        return _encode_joined(of_lines, vocab, key, line, unk, eos, reverse)
+    few, whole = vocab if isinstance(vocab, Held) else held(vocab)
     index = {s.encode(): i for s, i in few}
+    if whole is not None:
+        index |= {r["symbol"].encode(): r["index"] for r in whole.where(F.col("symbol").isin([unk, *([eos] if eos else [])])).collect()}
     other = index.get(unk.encode())
 
-    def run(s: pa.Array) -> pa.Array:
+    def words(t: bytes | None) -> list[bytes]:
+        found = (t or b"").split()  # at ASCII blanks, as \\s+ does
+        return found[::-1] if reverse else found
+
+    def strange(s: pa.Array) -> pa.Array:
+        return pa.array([[w for w in words(t) if w not in index] for t in s.cast(pa.binary()).to_pylist()], pa.list_(pa.string()))
+
+    def run(s: pa.Array, found: pa.Array) -> pa.Array:
         out = []
-        for t in s.cast(pa.binary()).to_pylist():
-            words = (t or b"").split()  # at ASCII blanks, as \\s+ does
-            ids = [index.get(w, other) for w in (reversed(words) if reverse else words)]
+        for t, more in zip(s.cast(pa.binary()).to_pylist(), found.to_pylist(), strict=True):
+            rest = iter(more or ())
+            ids = [index[w] if w in index else next(rest, None) for w in words(t)]
+            if other is not None:
+                ids = [other if i is None else i for i in ids]
             if eos:
                 ids.append(index.get(eos.encode(), other))
             out.append([i for i in ids if i is not None])
         return pa.array(out, pa.list_(pa.int64()))
 
-    return of_lines.select(*key, F.arrow_udf(run, "array<long>")(F.col(line)).alias("ids"))
-
-
-def _encode_joined(of_lines: DataFrame, vocab: DataFrame, key: Sequence[str], line: str, unk: str, eos: str | None, reverse: bool) -> DataFrame:
-    tokens = line_tokens(F.coalesce(F.col(line), F.lit("")))
-    tokens = F.reverse(tokens) if reverse else tokens
-    long = of_lines.select(*key, F.posexplode_outer(F.concat(tokens, F.array(F.lit(eos))) if eos else tokens).alias("_at", "symbol"))
-    other = vocab.where(F.col("symbol") == unk).agg(F.max("index").alias("_unk"))
-    found = long.join(vocab.select("symbol", "index"), "symbol", "left").join(F.broadcast(other))
-    index = F.when(F.col("symbol").isNotNull(), F.coalesce("index", "_unk"))
-    rows = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(index.isNotNull(), F.struct(F.col("_at").alias("at"), index.alias("i"))))).alias("_x"))
-    return rows.select(*key, F.transform("_x", lambda x: x["i"].cast("long")).alias("ids"))
+    rows = of_lines.select(*key, F.col(line).alias("_line"))
+    rows = _with_found(rows, F.arrow_udf(strange, "array<string>")("_line"), whole, key, "symbol", "index")
+    return rows.select(*key, F.arrow_udf(run, "array<long>")("_line", "_found").alias("ids"))
 
 
-def decode_lines(encoded: DataFrame, vocab: DataFrame | list[tuple[str, int]], key: Sequence[str], ids: str = "ids", drop: Sequence[str] = ("</s>",), subword: str | None = None) -> DataFrame:
+def decode_lines(encoded: DataFrame, vocab: DataFrame | Held, key: Sequence[str], ids: str = "ids", drop: Sequence[str] = ("</s>",), subword: str | None = None) -> DataFrame:
     """Rows (key..., text): symbols joined by blanks, without `drop`; `subword`: a mark whose blank-followed ends are glued.
 
-    Indexes that the vocabulary lacks are left out. As in encode_lines, a small vocabulary is not joined.
+    Indexes that the vocabulary lacks are left out. As in encode_lines, only indexes that not every task
+    has are joined. Keys are distinct.
     """
-    few = _small(vocab)
-    if few is None:
-        out = _decode_joined(encoded, vocab, key, ids, drop)
-    else:
-        symbol = {i: s for s, i in few if s not in set(drop)}
+    few, whole = vocab if isinstance(vocab, Held) else held(vocab)
+    symbol, dropped = {i: s for s, i in few}, set(drop)
 
-        def run(s: pa.Array) -> pa.Array:
-            return pa.array([" ".join(symbol[i] for i in x or [] if i in symbol) for x in s.to_pylist()], pa.string())
+    def strange(s: pa.Array) -> pa.Array:
+        return pa.array([[i for i in x or [] if i is not None and i not in symbol] for x in s.to_pylist()], pa.list_(pa.int64()))
 
-        out = encoded.select(*key, F.arrow_udf(run, "string")(F.col(ids)).alias("text"))
+    def run(s: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for x, more in zip(s.to_pylist(), found.to_pylist(), strict=True):
+            rest = iter(more or ())
+            symbols = [symbol[i] if i in symbol else next(rest, None) for i in x or [] if i is not None]
+            out.append(" ".join(t for t in symbols if t is not None and t not in dropped))
+        return pa.array(out, pa.string())
+
+    rows = encoded.select(*key, F.col(ids).alias("_ids"))
+    rows = _with_found(rows, F.arrow_udf(strange, "array<long>")("_ids"), whole, key, "index", "symbol")
+    out = rows.select(*key, F.arrow_udf(run, "string")("_ids", "_found").alias("text"))
     return out if subword is None else out.withColumn("text", F.rtrim(F.replace(F.concat(F.col("text"), F.lit(" ")), F.lit(subword + " "), F.lit(""))))
 
 
-def _decode_joined(encoded: DataFrame, vocab: DataFrame, key: Sequence[str], ids: str, drop: Sequence[str]) -> DataFrame:
-    long = encoded.select(*key, F.posexplode_outer(ids).alias("_at", "index")).join(vocab.select("index", "symbol"), "index", "left").where(F.col("symbol").isNull() | ~F.col("symbol").isin(list(drop)) | F.col("index").isNull())
-    got = long.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(F.col("symbol").isNotNull(), F.struct(F.col("_at").alias("at"), F.col("symbol").alias("s"))))).alias("_x"))
-    return encoded.select(*key).join(got, list(key), "left").select(*key, F.coalesce(F.array_join(F.transform("_x", lambda x: x["s"]), " "), F.lit("")).alias("text"))
-
-
 def write_vocab(vocab: DataFrame, path: str) -> None:
     """Text lines `<symbol> <count>` in the order of the index."""
     vocab.orderBy("index").select(F.concat_ws(" ", "symbol", F.col("count").cast("string"))).write.text(path)

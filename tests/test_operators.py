@@ -421,6 +421,24 @@ def test_large_vocabularies_are_joined(spark, monkeypatch):
     assert rows(vocab.decode_lines(coded, words, ["id"]), "id", "text") == [(1, "a b <unk> a"), (2, ""), (3, "")]
 
 
+def test_frequent_symbols_of_large_vocabularies_are_not_joined(spark, monkeypatch):
+    """Of 3,000 tokens the 40 of rare symbols are joined; rows without them, null keys and what no vocabulary has stay right."""
+    lines = spark.createDataFrame([(i if i else None, i % 7, " ".join(["a b c"] * 10 + ([f"rare{i}", "a", f"rare{i + 1}"] if i % 5 == 0 else []))) for i in range(100)], "id long, n int, line string")
+    counts = vocab.count_symbols(lines.unionByName(lines.limit(0)))
+    monkeypatch.setattr(vocab, "SMALL_VOCAB", 8)
+    words = vocab.held(vocab.finalise(counts))
+    assert words.whole is not None and len(words.few) == 8
+    joined = []
+    real = vocab._with_found
+    monkeypatch.setattr(vocab, "_with_found", lambda rows, wanted, *rest: joined.append(rows.select(F.sum(F.size(wanted))).first()[0]) or real(rows, wanted, *rest))
+    coded = vocab.encode_lines(lines, words, ["id", "n"])
+    assert sorted((r.id or 0, r.text) for r in vocab.decode_lines(coded, words, ["id", "n"]).collect()) == sorted((r.id or 0, r.line) for r in lines.collect())
+    assert len(joined) == 2 and all(n <= 40 for n in joined)
+    some = spark.createDataFrame([(1, "rare5 zz b"), (2, None), (3, "zz")], "id long, line string")
+    assert [vocab.decode_lines(vocab.encode_lines(some, words, ["id"], reverse=r), words, ["id"]).orderBy("id").collect()[0].text for r in (False, True)] == ["rare5 <unk> b", "b <unk> rare5"]
+    assert [r.text for r in vocab.decode_lines(spark.createDataFrame([(1, [4, 10**6, None, 9]), (2, None)], "id long, ids array<long>"), words, ["id"]).orderBy("id").collect()][1] == ""
+
+
 def test_lengths_are_reused_for_their_programs_only(spark, tmp_path):
     tokens = spark.createDataFrame([(1, [1, 2]), (2, None)], "id long, ids array<int>")
     lengths = programs.token_lengths(tokens, None, "id", "ids")
