@@ -187,9 +187,12 @@ def edit_distance(spark, sf_dir):
     """Items against the whole lines of documents that begin with the same word; other than ASCII characters count as one."""
     plain = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
     start = lambda c: F.try_element_at(F.split(c, " "), F.lit(1))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), start("text").alias("w"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", plain("text").alias("item"), start("text").alias("w"))
     lines = vocab.lines(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line_no", "line", start("line").alias("w"))
-    return merge.salted_join(lines, b, "w", "line").select("item_id", "doc_id", "line_no", F.levenshtein(plain("item"), plain("line")).cast("long").alias("distance"))
+    near = merge.salted_join(lines, scalar.in_blocks(b, "w", "item_id", "item"), "w", "line").select("doc_id", "line_no", plain("line").alias("line"), "x")
+    near = near.repartition("line").sortWithinPartitions("line")  # equal lines stand together and are compared once
+    items = near.select("doc_id", "line_no", F.inline(F.arrays_zip(F.col("x.item_id").alias("item_id"), scalar.block_distances(F.col("line"), F.col("x.item")).alias("distance"))))
+    return items.select("item_id", "doc_id", "line_no", "distance")
 
 
 @query("SELECT page_id, CASE WHEN ends_with(split_part(split_part(url, '?', 1), '#', 1), '.html') THEN NULL WHEN strlen(u) = 0 THEN NULL ELSE 'bad suffix' END AS problem, 'page' AS kind FROM (SELECT page_id, url, url AS u FROM pages)")

@@ -746,6 +746,19 @@ def test_documents_are_named_by_their_ids(spark, tmp_path):
     assert (tmp_path / "none" / "_SUCCESS").read_text() == "0"
 
 
+def test_distances_of_blocks_are_those_of_pairs(spark):
+    """Texts of one to 200 characters in blocks, empty ones and repeats too, against Spark's own distance of each pair."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    texts = spark.createDataFrame([(i, "w" if i < 70 else "v", None if i == 3 else word(rng.choice([0, 1, 63, 64, 65, 200]))) for i in range(80)], "id long, w string, t string")
+    lines = spark.createDataFrame([("w", word(n)) for n in (0, 1, 64, 150, 400)] * 2 + [("v", word(90)), ("u", "a")], "w string, line string")
+    blocks = scalar.in_blocks(texts, "w", "id", "t")
+    assert sorted(len(r.x) for r in blocks.collect()) == [5, 10, 32, 32]
+    got = lines.join(blocks, "w").select("line", F.inline(F.arrays_zip(F.col("x.id").alias("id"), scalar.block_distances(F.col("line"), F.col("x.t")).alias("d"))))
+    want = lines.join(texts.where("t is not null"), "w").select("line", "id", F.levenshtein("t", "line").cast("long").alias("d"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_documents_are_read_once_in_few_tasks(spark, tmp_path):
     """400 files are read by as many tasks as parts are dealt, each once; blank, broken and hidden files, arrays and UTF-16 are as for Spark's reader."""
     from tessera.sources import named
