@@ -6,6 +6,7 @@ import struct
 import types
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,6 +354,43 @@ def test_certain_merges():
     assert total > 5 * phases
 
 
+def test_merges_above_the_pairs_left_out():
+    """Stretches that end with the pairs above a count give the merges of counting anew each time."""
+    rng = random.Random(6)
+    for _ in range(400):
+        words = {"".join(rng.choice("abcdé\x00"[: rng.randint(1, 6)]) for _ in range(rng.randint(2, 9))): rng.choice([1, 2, 2, 3, 5, 8, 20, 60]) for _ in range(rng.randint(1, 14))}
+        want, done, names, most = brute_merges(words, 40), [], bpe._Symbols(), rng.choice([1, 2, 3, 6, 1000])
+        symbols, n = bpe._numbered(list(words), np.array(list(words.values())))
+        while len(done) < 40:
+            counts = dict(zip(*(x.tolist() for x in bpe._pair_counts(symbols, n)), strict=True))
+            top = sorted((-c, names.text(p >> 32), names.text(p & 0xFFFFFFFF)) for p, c in counts.items() if c >= 2)
+            if not top:
+                break
+            floor = -top[most][0] if len(top) > most else 1
+            pairs, new = {(a, b): -c for c, a, b in top[:most] if -c > floor}, []
+            if pairs:
+                stretch, weights = bpe._cut(symbols, n, bpe._Edges([(names.number(a), names.number(b)) for a, b in pairs]).among(symbols))
+                cut = [np.frombuffer(x, np.int32) for x in stretch.to_pylist()]
+                rows_ = bpe._ended(np.concatenate(cut), np.array([len(x) for x in cut])), weights
+                new = bpe._phase(rows_, pairs, floor, set(names.numbers), 40 - len(done), 2, names, beside=False)
+            new = new or [top[0][1:]]
+            done += new
+            symbols, n = next(bpe._after([(symbols, n)], [(names.number(a), names.number(b), names.number(a + b)) for a, b in new]))
+        assert done == want, (words, most)
+
+
+def test_what_stands_beside_a_pair_makes_no_stretches(spark, monkeypatch):
+    """Pairs among many different neighbours are merged in few phases, though the driver takes few stretches."""
+    rng, phases = random.Random(7), []
+    pairs = rng.sample([a + b for a in "abcdefghijklm" for b in "nopqrstuvwxyz"], 30)
+    words = {f"{rng.randint(0, 99):02}{pairs[int(30 * rng.random() ** 2)]}{rng.randint(0, 99):02}": 1 for _ in range(4000)}
+    phase = bpe._phase
+    monkeypatch.setattr(bpe, "STRETCHES", 100)
+    monkeypatch.setattr(bpe, "_phase", lambda *a: phases.append(1) or phase(*a))
+    assert bpe.train(spark.createDataFrame(list(words.items()), "word string, n long"), 12) == brute_merges(words, 12)
+    assert len(phases) <= 3
+
+
 def test_byte_level_pieces(spark):
     texts = ["Hello  world's été\n\tx", "", None, "naïve 日本 don't  ", "\x00\x7f"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
