@@ -391,6 +391,15 @@ def test_what_stands_beside_a_pair_makes_no_stretches(spark, monkeypatch):
     assert len(phases) <= 3
 
 
+def test_pre_tokens_are_counted_by_chunks(spark):
+    """Counts of chunks' pre-tokens are those of whole texts, whatever blanks stand in them."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "Bé", "7", "'s", "'", "!", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x00", "\u00a0", "\u2028", "\u3000", "日", "𝒳", "\u0301"]) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, "", " ", "\n \n"]], "t string").repartition(3)
+    whole = df.select(F.explode(bpe.byte_words(F.col("t"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    assert rows(bpe.words(df, "t", bpe.byte_words), "word", "n") == rows(whole, "word", "n")
+
+
 def test_byte_level_pieces(spark):
     texts = ["Hello  world's été\n\tx", "", None, "naïve 日本 don't  ", "\x00\x7f"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
